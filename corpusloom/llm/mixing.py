@@ -92,7 +92,7 @@ def min_cost_flow(supply: list[tuple[int, list[int]]], quotas: list[int], copies
             cap[e ^ 1] += least
 
 
-def mix(docs: DataFrame, sources: Column | None = None, copies: int = 3, cycle: tuple[int, ...] = (1, 2, 3), weights: dict[str, float] | None = None, seed: int = 17, bucket_docs: int = 4096, most_sets: int = 200_000) -> DataFrame:
+def mix(docs: DataFrame, sources: Column | None = None, copies: int = 3, cycle: tuple[int, ...] = (1, 2, 3), weights: dict[str, float] | None = None, seed: int = 17, bucket_docs: int = 512, most_sets: int = 200_000) -> DataFrame:
     """One row per document: doc_id, text_key, size, source_size, target, taken, taken_by.
 
     ``sources`` is an array of the source names of a document (default: its column source). Without ``weights`` (by name) the
