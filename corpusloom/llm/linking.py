@@ -146,7 +146,7 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("uid"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("uid"), F.col("b").alias("component")).distinct())
 
 
-def exact_links(members: DataFrame, links_of: Callable, block: int = 1024) -> tuple[DataFrame, DataFrame]:
+def exact_links(members: DataFrame, links_of: Callable, block: int = 256) -> tuple[DataFrame, DataFrame]:
     """((uid, links), (a, b)): how much weight every member links with inside its candidate component, and spanning edges.
 
     members: ``component`` long, ``uid`` long, ``weight`` long, ``body`` binary. ``links_of(bodies)`` returns the boolean

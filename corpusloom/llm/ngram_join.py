@@ -31,7 +31,7 @@ class WordHashes(dict):
         import xxhash
 
         h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        if len(self) < 500_000:
+        if len(self) < 200_000:
             self[word] = h
         return h
 
@@ -146,7 +146,7 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands
 
         import pyarrow as pa
 
-        for b in batches:
+        for b in (x.slice(i, 256) for x in batches for i in range(0, x.num_rows, 256)):
             sets = [shingle_set(t, k) for t in b.column("text").to_pylist()]
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             signatures = [minhash(s, *factors.value).tobytes() if len(s) else None for s in sets]
@@ -184,7 +184,7 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands
 
         import pyarrow as pa
 
-        for b in batches:
+        for b in (x.slice(i, 256) for x in batches for i in range(0, x.num_rows, 256)):
             sets = [shingle_set(t, k).tobytes() for t in b.column("text").to_pylist()]
             same = [hashlib.blake2b(s, digest_size=16).digest() == d for s, d in zip(sets, b.column("digest").to_pylist(), strict=True)]
             out = pa.RecordBatch.from_arrays([*(b.column(c) for c in ("component", "uid", "weight")), pa.array(sets, pa.large_binary())], ["component", "uid", "weight", "body"])
