@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -21,8 +22,22 @@ _WITH_SPACE = re.compile(rf" ?{_LETTERS}| ?\S+|\s+(?!\S)|\s")
 _WITHOUT_SPACE = re.compile(rf"{_LETTERS}|\S+")
 
 
+_PLAIN = re.compile("( ?)[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level models write for each byte: printable bytes stand for themselves, the others follow from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Pieces(dict):
-    """piece -> its ids as bytes of ``kind``; holds ``most`` pieces, the others are encoded each time."""
+    """piece -> its ids as bytes of ``kind``; holds ``most`` pieces, the others are encoded each time.
+
+    A piece that is one plain word goes to the library's model at once, past its splitting, if that gives the same ids for
+    a few probes; every other piece through its whole encoding.
+    """
 
     def __init__(self, path: str, keeps_space: bool, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -31,11 +46,26 @@ class Pieces(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() < 65536 else "<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         self.find = (_WITH_SPACE if keeps_space else _WITHOUT_SPACE).findall
         self.most = most
+        self.keeps_space = keeps_space
+        self.letters = _byte_letters()
+        self.model = self.tokenizer.model.tokenize
+        self.plain = False
+        probes = ["The", "straße", "Été", "aÿÀzhouroundeaux", *([" the", " Ünter", " thonreésh"] if keeps_space else [])]
+        self.plain = all(self.word(p) == self.whole(p) for p in probes)
+
+    def whole(self, piece: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+
+    def word(self, piece: str) -> bytes:
+        if not self.keeps_space:
+            piece = piece.lower()
+        return array(self.code, [t.id for t in self.model(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.kind).tobytes()
+        ids = self.word(piece) if self.plain and _PLAIN(piece) else self.whole(piece)
         if len(self) < self.most and len(piece) < 64:
             self[piece] = ids
         return ids
