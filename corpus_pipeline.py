@@ -29,8 +29,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the language model doesn't reject. It learns from the lang column of four fifths of them."""
     held_out = crc_fold("doc_id", 5) == 0
     model = langid.fit_languages(docs.select("doc_id", "text", "lang").where(~held_out))
-    others = [F.col(c) for c in docs.columns if c not in ("doc_id",)]
-    return langid.predict_language(docs, model, *others).where("not rejected").select(*docs.columns)
+    others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
+    return langid.predict_language(docs, model, *others, keep_text=True).where("not rejected").select(*docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,6 +30,13 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of whole texts hold at most ``rows`` rows, unless the session asks for fewer: their memory doesn't follow Spark's default."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def if_small(df: DataFrame, rows: int) -> DataFrame:
     """A written table marked for broadcast if it has no more than ``rows`` rows; else Spark shuffles both sides of the join."""
     return F.broadcast(df) if df.count() <= rows else df

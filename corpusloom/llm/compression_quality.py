@@ -19,6 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import text_batches
 from corpusloom.llm.samples import fit_logistic, labelled_sample
 
 
@@ -88,6 +89,7 @@ def fit_quality(labelled: DataFrame, label: str = "quality", most_per_class: int
 
 def score_quality(docs: DataFrame, model: CompressionModel | None, *keep: Column) -> DataFrame:
     """doc_id, the columns ``keep``, difference, score, predicted."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long"), *keep, F.col("text").cast("string").alias("_text"))
     kept = [f for f in rows.schema.fields if f.name != "_text"]

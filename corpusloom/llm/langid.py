@@ -19,6 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import text_batches
 from corpusloom.llm.samples import labelled_sample
 
 DIM = 1 << 13
@@ -85,8 +86,9 @@ def fit_languages(labelled: DataFrame, most_per_lang: int = 400, clusters: int =
     return model
 
 
-def predict_language(docs: DataFrame, model: CentroidModel | None, *keep: Column) -> DataFrame:
-    """doc_id, the columns ``keep``, lang_pred, score, rejected."""
+def predict_language(docs: DataFrame, model: CentroidModel | None, *keep: Column, keep_text: bool = False) -> DataFrame:
+    """doc_id, the columns ``keep``, lang_pred, score, rejected and, if asked for, text (which then goes to the tasks once)."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long"), *keep, F.col("text").cast("string").alias("_text"))
     kept = [f for f in rows.schema.fields if f.name != "_text"]
@@ -96,8 +98,8 @@ def predict_language(docs: DataFrame, model: CentroidModel | None, *keep: Column
 
         m = shared.value
         for batch in batches:
-            for first in range(0, batch.num_rows, 512):
-                b = batch.slice(first, 512)
+            for first in range(0, batch.num_rows, 256):
+                b = batch.slice(first, 256)
                 counts = [gram_counts(t) if m else None for t in b.column("_text").to_pylist()]
                 lang, score, rejected = ["und"] * len(counts), [0.0] * len(counts), [True] * len(counts)
                 some = [i for i, c in enumerate(counts) if c is not None]
@@ -106,8 +108,8 @@ def predict_language(docs: DataFrame, model: CentroidModel | None, *keep: Column
                     for i, k, s in zip(some, best.tolist(), cos.tolist(), strict=True):
                         lang[i], score[i] = m.langs[k], s
                         rejected[i] = s < m.least[m.langs[k]]
-                cols = [*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]
-                yield pa.RecordBatch.from_arrays(cols, [*(f.name for f in kept), "lang_pred", "score", "rejected"])
+                cols = [*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_()), *b.columns[-1:][:keep_text]]
+                yield pa.RecordBatch.from_arrays(cols, [*(f.name for f in kept), "lang_pred", "score", "rejected", "text"][: len(cols)])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", lang_pred string, score double, rejected boolean"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", lang_pred string, score double, rejected boolean" + ", text string" * keep_text
     return rows.mapInArrow(predict, schema)

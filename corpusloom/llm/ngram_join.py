@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import if_small, saved
+from corpusloom.llm.common import if_small, saved, text_batches
 from corpusloom.llm.linking import candidate_edges, components, exact_links
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -138,6 +138,7 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands
     probability of 7 in a million.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     rng = np.random.default_rng(seed)
     factors = spark.sparkContext.broadcast((rng.integers(0, 1 << 31, bands * rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, bands * rows, dtype=np.uint32)))
 

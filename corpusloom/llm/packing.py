@@ -17,6 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import text_batches
 from corpusloom.llm.pieces import pieces
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -85,6 +86,7 @@ def pack(lengths: list[int], capacity: int, slack: int) -> list[tuple[int, int,
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048, slack: int = 32, group_bytes: int = 8 << 20, keeps_space: bool = False, seed: int = 23) -> DataFrame:
     """One row per piece: SCHEMA. ``ids`` are little-endian unsigned 32-bit, as the checksum takes them."""
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
     groups = max(1, -(-int(total) // group_bytes))

@@ -39,7 +39,7 @@ class Pieces(dict):
     a few probes; every other piece through its whole encoding.
     """
 
-    def __init__(self, path: str, keeps_space: bool, most: int = 400_000):
+    def __init__(self, path: str, keeps_space: bool, most: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

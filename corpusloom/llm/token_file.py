@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import open_fs, range_shards, saved
+from corpusloom.llm.common import open_fs, range_shards, saved, text_batches
 from corpusloom.llm.pieces import pieces
 
 MANIFEST_SCHEMA = "shard int, ids_tmp string, docs_tmp string, documents long, n_ids long"
@@ -89,6 +89,7 @@ def _writer(out: str, tokenizer: str, end_id: int, seq_len: int, batch_rows: int
 
 def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2, seq_len: int = 1024, batch_rows: int = 256, shard_bytes: int = 16 << 20, keeps_space: bool = True) -> list[dict]:
     """Writes the ids of (doc_id, text) in ascending doc_id order and returns the manifest, one entry for each shard."""
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     at, weights = range_shards(rows, "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)) + 64, shard_bytes)
     dealt = rows.select(at.cast("int").alias("shard"), "doc_id", "text").repartitionById(len(weights), F.col("shard")).sortWithinPartitions("shard", "doc_id", "text")

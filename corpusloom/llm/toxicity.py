@@ -21,6 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import text_batches
 from corpusloom.llm.samples import labelled_sample
 
 _words = re.compile(r"\w+").findall
@@ -118,6 +119,7 @@ def fit_toxicity(labelled: DataFrame, label: str = "toxic", most_per_class: int
 def score_toxicity(docs: DataFrame, model: OrdinalModel, *keep: Column) -> DataFrame:
     """doc_id, the columns ``keep``, score (probability of a grade above 0), predicted (1 from 0.5 on), grade (the likeliest),
     expected_severity, probabilities."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long"), *keep, F.col("text").cast("string").alias("_text"))
     kept = [f for f in rows.schema.fields if f.name != "_text"]

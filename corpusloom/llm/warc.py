@@ -27,7 +27,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import open_fs, range_shards, saved
+from corpusloom.llm.common import open_fs, range_shards, saved, text_batches
 
 FIXED_DATE = "2024-01-01T00:00:00Z"
 MANIFEST_SCHEMA = "shard int, part int, tmp string, name string, records long, bytes long, sha256 string"
@@ -119,6 +119,7 @@ def write_warc(pages: DataFrame, out: str, shard_bytes: int = 32 << 20, roll_byt
     ``shard_bytes`` is the uncompressed size of a shard, ``roll_bytes`` the compressed size after which a file ends.
     Payloads below ``min_payload`` bytes are all responses. The manifest grows with the number of files, not of records.
     """
+    text_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     digests = saved(rows.select("page_id", F.unhex(F.sha1(body)).alias("digest")), "digests")
