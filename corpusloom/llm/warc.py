@@ -113,7 +113,7 @@ def _tasks_files(out: str, roll_bytes: int, date: str):
     return write
 
 
-def write_warc(pages: DataFrame, out: str, shard_bytes: int = 32 << 20, roll_bytes: int = 64 << 20, min_payload: int = 0, date: str = FIXED_DATE) -> list[dict]:
+def write_warc(pages: DataFrame, out: str, shard_bytes: int = 16 << 20, roll_bytes: int = 64 << 20, min_payload: int = 0, date: str = FIXED_DATE) -> list[dict]:
     """Writes (page_id, url, html) as WARC files under ``out`` and returns the manifest, one entry for each file.
 
     ``shard_bytes`` is the uncompressed size of a shard, ``roll_bytes`` the compressed size after which a file ends.
@@ -125,10 +125,10 @@ def write_warc(pages: DataFrame, out: str, shard_bytes: int = 32 << 20, roll_byt
     digests = saved(rows.select("page_id", F.unhex(F.sha1(body)).alias("digest")), "digests")
     # Written first, so that its size is known when the join is planned: small, it is broadcast and the html isn't shuffled for it.
     best = saved(digests.groupBy("digest").agg(F.max("page_id").alias("winner"), F.count("*").alias("copies")).where("copies > 1"), "shared")
-    at, _ = range_shards(rows, "page_id", F.octet_length(F.coalesce("html", F.lit(""))) + 512, shard_bytes)
+    at, weights = range_shards(rows, "page_id", F.octet_length(F.coalesce("html", F.lit(""))) + 512, shard_bytes)
     keyed = rows.withColumn("digest", F.unhex(F.sha1(body))).join(best, "digest", "left")
     again = F.col("winner").isNotNull() & (F.octet_length(body) >= min_payload)
-    sorted_rows = keyed.withColumn("shard", at).withColumn("repeated", again).repartition("shard").sortWithinPartitions("shard", "page_id", "digest", "url")
+    sorted_rows = keyed.withColumn("shard", at.cast("int")).withColumn("repeated", again).repartitionById(len(weights), F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", "url")
     tasks = sorted_rows.select("shard", "page_id", "url", "html", "winner", "repeated").mapInArrow(_tasks_files(out, roll_bytes, date), MANIFEST_SCHEMA)
     entries = [r.asDict() for r in saved(tasks, "manifest").orderBy("shard", "part").collect()]
     fs, base = open_fs(out)
