@@ -119,7 +119,7 @@ def similarity(a: Column, b: Column) -> Column:
     """1 - edit distance / longer length, of lower-case texts; 1 for two empty ones."""
     a, b = F.lower(a), F.lower(b)
     longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
+    return F.when(longest == 0, 1.0).otherwise(1 - F.try_divide(F.levenshtein(a, b), longest))
 
 
 def without_plural(text: Column) -> Column:

@@ -32,14 +32,14 @@ def filter_over_search(filtered: DataFrame, search: DataFrame, key: str = "path"
 def min_max(hits: DataFrame, query: str, score: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
     """Scaled to [low, high] within a query, 0.5 if all scores are equal. Bounds are aggregated, then joined."""
     b = hits.groupBy(query).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
-    scaled = F.when(F.col("_hi") == F.col("_lo"), 0.5).otherwise(F.lit(low) + (F.col(score) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * (high - low))
+    scaled = F.when(F.col("_hi") == F.col("_lo"), 0.5).otherwise(F.lit(low) + F.try_divide(F.col(score) - F.col("_lo"), F.col("_hi") - F.col("_lo")) * (high - low))
     return hits.join(b, query).withColumn("normalised", scaled).drop("_lo", "_hi")
 
 
 def z_score(hits: DataFrame, query: str, score: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
     """0.5 + 0.5 tanh(z / 2.5), clipped; 0.5 without deviation."""
     b = hits.groupBy(query).agg(F.avg(score).alias("_m"), F.stddev_pop(score).alias("_s"))
-    z = (F.col(score) - F.col("_m")) / F.col("_s")
+    z = F.try_divide(F.col(score) - F.col("_m"), F.col("_s"))
     return hits.join(b, query).withColumn("normalised", F.when(F.col("_s") == 0, 0.5).otherwise(F.least(F.lit(high), F.greatest(F.lit(low), 0.5 + 0.5 * F.tanh(z / 2.5))))).drop("_m", "_s")
 
 
@@ -47,7 +47,7 @@ def percentile(hits: DataFrame, query: str, score: str, tie: str, low: float = 0
     """Place among a query's ascending scores, scaled; 0.5 for one hit. Places are counted by slices of the scores."""
     placed = numbered(hits, [query], F.col(score), [F.col(score), F.col(tie)], slices)
     n = hits.groupBy(query).agg(F.count("*").alias("_n"))
-    return placed.join(n, query).withColumn("normalised", F.when(F.col("_n") == 1, 0.5).otherwise(low + (F.col("place") - 1) / (F.col("_n") - 1) * (high - low))).drop("_n", "place")
+    return placed.join(n, query).withColumn("normalised", F.when(F.col("_n") == 1, 0.5).otherwise(low + F.try_divide(F.col("place") - 1, F.col("_n") - 1) * (high - low))).drop("_n", "place")
 
 
 def numbered(rows: DataFrame, keys: list[str], value: Column, order: list[Column], slices: int = 64) -> DataFrame:
@@ -57,7 +57,7 @@ def numbered(rows: DataFrame, keys: list[str], value: Column, order: list[Column
     rows before a part are counted by aggregation, and only within a part are rows sorted.
     """
     b = rows.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    part = F.coalesce(F.least(F.floor((value - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * slices), F.lit(slices - 1)), F.lit(0)).cast("int")
+    part = F.coalesce(F.least(F.floor(F.try_divide(value - F.col("_lo"), F.col("_hi") - F.col("_lo")) * slices), F.lit(slices - 1)), F.lit(0)).cast("int")
     cut = (rows.join(b, keys) if keys else rows.crossJoin(F.broadcast(b))).withColumn("_part", part).drop("_lo", "_hi")
     sums = cut.groupBy(*keys, "_part").agg(F.count("*").alias("_c"))
     before = sums.withColumn("_before", F.coalesce(F.sum("_c").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")

@@ -12,7 +12,7 @@ def cosine(a: Column, b: Column) -> Column:
     """0 for lengths that differ, empty or zero vectors."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when((F.size(a) != F.size(b)) | (F.size(a) == 0) | (norm == 0), 0.0).otherwise(dot(a, b) / norm)
+    return F.when((F.size(a) != F.size(b)) | (F.size(a) == 0) | (norm == 0), 0.0).otherwise(F.try_divide(dot(a, b), norm))
 
 
 def top_similar(queries: DataFrame, rows: DataFrame, k: int, least: float = -1.0, block: int = 2048) -> DataFrame:

@@ -248,7 +248,7 @@ SELECT p_brand AS query, count(*) FILTER (s >= 0.7) AS high, count(*) FILTER (s
 def quality_summary(spark, sf_dir):
     p = V.table(spark, sf_dir, "part").select("p_brand", "p_retailprice")
     b = p.agg(F.min("p_retailprice").alias("lo"), F.max("p_retailprice").alias("hi"))
-    s = p.crossJoin(F.broadcast(b)).select(F.col("p_brand").alias("query"), ((F.col("p_retailprice") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("s"))
+    s = p.crossJoin(F.broadcast(b)).select(F.col("p_brand").alias("query"), F.try_divide(F.col("p_retailprice") - F.col("lo"), F.col("hi") - F.col("lo")).alias("s"))
     return s.groupBy("query").agg(F.count_if(F.col("s") >= 0.7).alias("high"), F.count_if((F.col("s") >= 0.3) & (F.col("s") < 0.7)).alias("medium"), F.count_if(F.col("s") < 0.3).alias("low"), F.round(F.avg("s"), 6).alias("mean"))
 
 
