@@ -37,6 +37,40 @@ def text_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+_CACHES: dict[str, dict] = {}
+
+
+def worker_cache(name: str) -> dict:
+    """A dictionary that lives as long as its Python worker; asking for another one empties it, since workers serve many stages."""
+    for other, held in _CACHES.items():
+        if other != name:
+            held.clear()
+    return _CACHES.setdefault(name, {})
+
+
+def tidy() -> None:
+    """Returns memory that a finished task has freed to the system, for the executor's other processes."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library: nothing to trim
+        pass
+
+
+def tidied(task):
+    """``task`` for mapInArrow, followed by ``tidy``."""
+
+    def run(batches):
+        yield from task(batches)
+        tidy()
+
+    return run
+
+
 def if_small(df: DataFrame, rows: int) -> DataFrame:
     """A written table marked for broadcast if it has no more than ``rows`` rows; else Spark shuffles both sides of the join."""
     return F.broadcast(df) if df.count() <= rows else df

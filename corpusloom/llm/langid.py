@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import text_batches
+from corpusloom.llm.common import text_batches, tidied, worker_cache
 from corpusloom.llm.samples import labelled_sample
 
 DIM = 1 << 13
@@ -96,6 +96,7 @@ def predict_language(docs: DataFrame, model: CentroidModel | None, *keep: Column
     def predict(batches):
         import pyarrow as pa
 
+        worker_cache("languages")
         m = shared.value
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
@@ -112,4 +113,4 @@ def predict_language(docs: DataFrame, model: CentroidModel | None, *keep: Column
                 yield pa.RecordBatch.from_arrays(cols, [*(f.name for f in kept), "lang_pred", "score", "rejected", "text"][: len(cols)])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", lang_pred string, score double, rejected boolean" + ", text string" * keep_text
-    return rows.mapInArrow(predict, schema)
+    return rows.mapInArrow(tidied(predict), schema)

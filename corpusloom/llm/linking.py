@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import runs, saved
+from corpusloom.llm.common import runs, saved, tidied
 
 
 def block_pairs(members: DataFrame, group: str, member: str, block: int) -> DataFrame:
@@ -102,7 +102,7 @@ def candidate_edges(members: DataFrame, similar_of: Callable, block: int = 2048)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     rows = sorted_groups(block_pairs(members.select("bucket", "uid", "code"), "bucket", "uid", block), "bucket", "uid")
-    return rows.mapInArrow(compare, "a long, b long")
+    return rows.mapInArrow(tidied(compare), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -135,7 +135,7 @@ def components(edges: DataFrame) -> DataFrame:
             out = met.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
         return out.where("a <> b").distinct()
 
-    now = saved(edges.where("a <> b").mapInArrow(forest, "a long, b long"), "forest")
+    now = saved(edges.where("a <> b").mapInArrow(tidied(forest), "a long, b long"), "forest")
     before = None
     while True:
         now = saved(star(star(now, True), False), "stars")
@@ -174,6 +174,6 @@ def exact_links(members: DataFrame, links_of: Callable, block: int = 256) -> tup
             yield pa.RecordBatch.from_arrays(out, ["uid", "links", "other"])
 
     rows = sorted_groups(block_pairs(members.select("component", "uid", "weight", "body"), "component", "uid", block), "component", "uid")
-    out = saved(rows.mapInArrow(compare, "uid long, links long, other long"), "links")
+    out = saved(rows.mapInArrow(tidied(compare), "uid long, links long, other long"), "links")
     counts = out.where("other < 0").groupBy("uid").agg(F.sum("links").alias("links"))
     return counts, out.where("other >= 0").select(F.col("uid").alias("a"), F.col("other").alias("b"))

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import if_small, saved, text_batches
+from corpusloom.llm.common import if_small, saved, text_batches, tidied, worker_cache
 from corpusloom.llm.linking import candidate_edges, components, exact_links
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -31,12 +31,16 @@ class WordHashes(dict):
         import xxhash
 
         h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        if len(self) < 200_000:
+        if len(self) < 100_000:
             self[word] = h
         return h
 
 
-_WORDS = WordHashes()
+def _word_hashes() -> WordHashes:
+    held = worker_cache("words")
+    if 0 not in held:
+        held[0] = WordHashes()
+    return held[0]
 
 
 def shingle_set(text: str | None, k: int = 5) -> np.ndarray:
@@ -44,7 +48,7 @@ def shingle_set(text: str | None, k: int = 5) -> np.ndarray:
     words = (text or "").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(_word_hashes().__getitem__, words), np.uint64, len(words))
     k = min(k, len(h))
     n = len(h) - k + 1
     s = np.full(n, k, np.uint64)
@@ -154,7 +158,7 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary()), b.column("text_key")], ["doc_id", "digest", "signature", "text_key"])
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    signed_docs = texts.withColumn("text_key", F.xxhash64("text")).mapInArrow(signed, "doc_id long, digest binary, signature binary, text_key long")
+    signed_docs = texts.withColumn("text_key", F.xxhash64("text")).mapInArrow(tidied(signed), "doc_id long, digest binary, signature binary, text_key long")
     table = saved(signed_docs.withColumn("uid", F.monotonically_increasing_id()), "signatures")
     some = table.where("digest is not null")
     classes = saved(some.groupBy("digest").agg(F.min("uid").alias("uid"), F.min(F.struct("doc_id", "uid")).alias("low"), F.count("*").alias("weight")), "classes")
@@ -194,7 +198,7 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands
 
     # Of rows that repeat a class's doc_id, one with its shingles is enough.
     again = texts.join(if_small(wanted, 300_000), texts["doc_id"].eqNullSafe(wanted["doc_id"]))
-    again = again.select("component", "uid", "weight", "digest", "text").mapInArrow(bodies, "component long, uid long, weight long, body binary")
+    again = again.select("component", "uid", "weight", "digest", "text").mapInArrow(tidied(bodies), "component long, uid long, weight long, body binary")
     repeated = table.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     if not repeated.isEmpty():
         again = again.dropDuplicates(["uid"])

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import text_batches
+from corpusloom.llm.common import text_batches, tidied
 from corpusloom.llm.pieces import pieces
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -120,4 +120,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: i
         if ids:
             yield from finish()
 
-    return dealt.mapInArrow(packed, SCHEMA)
+    return dealt.mapInArrow(tidied(packed), SCHEMA)

@@ -14,6 +14,8 @@ from array import array
 
 import numpy as np
 
+from corpusloom.llm.common import worker_cache
+
 _ODD = re.compile("[\x1c-\x1f\x85\u180e\u200b-\u200f\u2028\u2029\ufeff]")
 _LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,;:!?|%*$&#\\s]|$)"
 #: A space belongs to the word that follows it.
@@ -77,11 +79,9 @@ class Pieces(dict):
         return np.frombuffer(b"".join(map(self.__getitem__, self.find(text))), self.kind)
 
 
-_OPEN: dict[tuple, Pieces] = {}
-
-
 def pieces(path: str, keeps_space: bool) -> Pieces:
-    """One for each Python worker."""
-    if (path, keeps_space) not in _OPEN:
-        _OPEN[path, keeps_space] = Pieces(path, keeps_space)
-    return _OPEN[path, keeps_space]
+    """One for each Python worker, as long as it does nothing else."""
+    held = worker_cache(f"pieces {path} {keeps_space}")
+    if 0 not in held:
+        held[0] = Pieces(path, keeps_space)
+    return held[0]
