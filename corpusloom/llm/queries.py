@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import compression_quality, exact_dedup, itq, langid, mixing, ngram_join, packing, token_file, toxicity, warc
 from corpusloom.llm.common import crc_fold, new_folder
+from corpusloom.llm.samples import with_some_labels
 
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
 
@@ -44,7 +45,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     held_out = crc_fold("doc_id", 3) == 1
-    labelled = docs.select("doc_id", "text").where(~held_out).join(_read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    labelled = with_some_labels(docs, _read(spark, sf_dir, "labels").where(~held_out), "quality", 2500)
     model = compression_quality.fit_quality(labelled)
     return compression_quality.score_quality(docs, model, held_out.alias("held_out")).select("doc_id", "held_out", "score", "predicted")
 
@@ -52,7 +53,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     held_out = crc_fold("doc_id", 3) == 1
-    labelled = docs.select("doc_id", "text").where(~held_out).join(_read(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
+    labelled = with_some_labels(docs, _read(spark, sf_dir, "labels").where(~held_out), "toxic", 4000)
     model = toxicity.fit_toxicity(labelled)
     return toxicity.score_toxicity(docs, model, held_out.alias("held_out")).select("doc_id", "held_out", "score", "predicted", "grade", "expected_severity")
 

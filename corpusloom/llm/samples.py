@@ -8,6 +8,20 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import seeded
 
 
+def with_some_labels(docs: DataFrame, labels: DataFrame, label: str, most: int, seed: int = 3) -> DataFrame:
+    """(doc_id, text, label) of about ``most`` labelled documents of each value, at most twice as many.
+
+    The sample is drawn from the labels alone; being bounded, it is sent to the documents, whose texts aren't shuffled.
+    """
+    rows = labels.select("doc_id", label).where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
+    counts = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}
+    if not counts:
+        return docs.select("doc_id", "text").join(rows, "doc_id")
+    share = F.element_at(F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1 << 60, (1 << 60) * most // n)))), F.col(label))
+    picked = rows.where(seeded(seed, "doc_id") < share).limit(2 * most * len(counts))
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+
+
 def labelled_sample(labelled: DataFrame, label: str, most: int, most_chars: int = 200_000, seed: int = 3) -> list[tuple]:
     """(label, text) of about ``most`` rows of each value of ``label``, by a seeded hash of doc_id, at most twice as many.
 
