@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import dates, text, urls
 from corpusloom.operators import corpus, ranking, retrieval, vectors
 from corpusloom.plans import views as V
+from corpusloom.sources import chats
 from corpusloom.sources.html import extract_pages
 from corpusloom.sources.markdown import line_windows, section_chunks
 from corpusloom.streaming import events as feed
@@ -427,3 +428,22 @@ SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS "end", count(*)
 def event_sessions(spark, sf_dir):
     s = feed.sessions(V.table(spark, sf_dir, "events"), "12 hours")
     return s.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@query(r"""WITH m AS (SELECT conv_id, turn, CASE role WHEN 'assistant' THEN 'ai' ELSE 'user' END AS sender, coalesce(text, '') AS t FROM conversations),
+l AS (SELECT conv_id, turn, '**' || sender || '**: ' || CASE sender WHEN 'ai' THEN regexp_replace(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') ELSE t END || chr(10) || '[Timestamp: turn ' || turn || ']' AS line FROM m)
+SELECT conv_id, CAST(floor(turn / 500) AS BIGINT) AS part, count(*) AS messages, md5(string_agg(line, chr(10) || chr(10) ORDER BY turn, line)) AS content FROM l GROUP BY 1, 2""")
+def chat_transcript(spark, sf_dir):
+    return chats.transcripts(_messages(spark, sf_dir)).select(F.col("chat").alias("conv_id"), "part", "messages", F.md5("content").alias("content"))
+
+
+@query(r"""WITH m AS (SELECT conv_id, turn, CASE role WHEN 'assistant' THEN 'ai' ELSE 'user' END AS sender, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS t FROM conversations)
+SELECT conv_id, sender, 'turn ' || turn AS "at", md5(CASE sender WHEN 'ai' THEN regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g') ELSE t END) AS message FROM m""")
+def chat_parse(spark, sf_dir):
+    back = chats.parse_transcripts(chats.transcripts(_messages(spark, sf_dir)))
+    return back.select(F.col("chat").alias("conv_id"), "sender", "at", F.md5("message").alias("message"))
+
+
+def _messages(spark, sf_dir):
+    sender = F.when(F.col("role") == "assistant", "ai").otherwise("user")
+    return V.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("chat"), F.col("turn").alias("ord"), sender.alias("sender"), F.col("text").alias("message"), F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("at"), F.lit(None).cast("string").alias("context"))

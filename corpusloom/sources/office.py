@@ -1,0 +1,264 @@
+"""Office files and e-books to markdown, a row a file.
+
+Files come from Spark's ``binaryFile`` reader, so any store that Spark reads will do. A file that can't be converted has an
+error code (unsupported, too_large, unreadable) and null markdown; it never fails the job. Contents that are too large, packed
+or unpacked, don't reach the parsers.
+"""
+
+from __future__ import annotations
+
+import io
+import posixpath
+import re
+import zipfile
+from urllib.parse import unquote
+from xml.etree import ElementTree
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.sources.html import extract_html
+
+MOST_BYTES = 50 * 1024 * 1024
+_UNPACKED = 20
+
+
+class _Package:
+    """The parts of a zipped file, as XML."""
+
+    def __init__(self, content: bytes, most_bytes: int):
+        self.zip = zipfile.ZipFile(io.BytesIO(content))
+        self.names = set(self.zip.namelist())
+        if sum(i.file_size for i in self.zip.infolist()) > _UNPACKED * most_bytes:
+            raise OverflowError
+
+    def text(self, name: str) -> str:
+        return self.zip.read(name).decode("utf-8", "replace")
+
+    def xml(self, name: str) -> ElementTree.Element:
+        return ElementTree.fromstring(self.zip.read(name))
+
+    def links(self, name: str) -> dict[str, tuple[str, str]]:
+        """Relationship id to (kind, part) of the part ``name``."""
+        folder, file = posixpath.split(name)
+        rels = f"{folder}/_rels/{file}.rels"
+        if rels not in self.names:
+            return {}
+        at = lambda target: target.lstrip("/") if target.startswith("/") else posixpath.normpath(f"{folder}/{target}")
+        return {r.get("Id"): (r.get("Type", "").rsplit("/", 1)[-1], at(r.get("Target", ""))) for r in self.xml(rels)}
+
+
+def _attr(e: ElementTree.Element | None, name: str) -> str | None:
+    """An attribute by its local name."""
+    return None if e is None else next((v for k, v in e.items() if k.rsplit("}", 1)[-1] == name), None)
+
+
+def _relation(e: ElementTree.Element) -> str | None:
+    return next((v for k, v in e.items() if k.endswith("relationships}id")), None)
+
+
+def _tag(e: ElementTree.Element) -> str:
+    return e.tag.rsplit("}", 1)[-1]
+
+
+def _cell(text: str) -> str:
+    return re.sub(r"\r\n|\r|\n", "<br>", text.strip()).replace("|", "\\|")
+
+
+def _table(rows: list[list[str]]) -> str:
+    width = max(map(len, rows), default=0)
+    lines = ["| " + " | ".join(map(_cell, r + [""] * (width - len(r)))) + " |" for r in rows]
+    return "\n".join([*lines[:1], "|" + " --- |" * width, *lines[1:]]) if width else ""
+
+
+def _run(r: ElementTree.Element) -> str:
+    text = "".join("\t" if _tag(e) == "tab" else "\n" if _tag(e) in ("br", "cr") else e.text or "" for e in r if _tag(e) in ("t", "tab", "br", "cr"))
+    on = lambda name: (e := r.find(f"{{*}}rPr/{{*}}{name}")) is not None and _attr(e, "val") not in ("0", "false", "none")
+    mark = ("**" if on("b") else "") + ("*" if on("i") else "")
+    core = text.strip()
+    return text.replace(core, f"{mark}{core}{mark[::-1]}", 1) if mark and core else text
+
+
+def _paragraph(p: ElementTree.Element) -> str:
+    style = _attr(p.find("{*}pPr/{*}pStyle"), "val") or ""
+    level = re.fullmatch(r"(?i)heading\s*([1-6])", style)
+    text = "".join(_run(r) for r in p.iter() if _tag(r) == "r").strip()
+    if not text:
+        return ""
+    if level or style.lower() == "title":
+        return "#" * int(level[1] if level else 1) + " " + text.replace("*", "")
+    if (place := p.find("{*}pPr/{*}numPr")) is not None:
+        return "  " * int(_attr(place.find("{*}ilvl"), "val") or 0) + "- " + text
+    return text
+
+
+def docx_markdown(content: bytes, most_bytes: int = MOST_BYTES) -> tuple[str | None, str]:
+    """(title, markdown): headings, lists, emphasis and tables of a word-processor file; the title is its first heading."""
+    body = _Package(content, most_bytes).xml("word/document.xml").find("{*}body")
+    out = ""
+    for e in body if body is not None else ():
+        if _tag(e) == "p":
+            block = _paragraph(e)
+        elif _tag(e) == "tbl":
+            block = _table([["\n".join(filter(None, map(_paragraph, c.iterfind(".//{*}p")))) for c in r.findall("{*}tc")] for r in e.findall("{*}tr")])
+        else:
+            block = "\n\n".join(filter(None, (_paragraph(p) for p in e.iterfind(".//{*}p"))))
+        if block:
+            tight = out.rsplit("\n", 1)[-1].lstrip().startswith("- ") and block.lstrip().startswith("- ")
+            out += ("\n" if tight else "\n\n" if out else "") + block
+    heading = re.search(r"^#{1,6}\s+(.+)$", out, re.M)
+    return heading[1].strip() if heading else None, re.sub(r"\n{3,}", "\n\n", out).strip()
+
+
+def _shapes(root: ElementTree.Element) -> list[tuple[str, str]]:
+    """(placeholder kind, text) of the shapes that have text."""
+    found = []
+    for s in root.iterfind(".//{*}sp"):
+        lines = ["".join("\n" if _tag(t) == "br" else t.text or "" for t in p.iter() if _tag(t) in ("t", "br")).strip() for p in s.iterfind(".//{*}p")]
+        kind = s.find(".//{*}nvPr/{*}ph")
+        if text := "\n".join(filter(None, lines)):
+            found.append(((_attr(kind, "type") or "body") if kind is not None else "", text))
+    return found
+
+
+def pptx_markdown(content: bytes, most_bytes: int = MOST_BYTES) -> tuple[str | None, str]:
+    """(title, markdown): slides in the order of the presentation, their notes as quotes; the title is the first slide's with one."""
+    pack = _Package(content, most_bytes)
+    main = "ppt/presentation.xml"
+    links, out, titles = pack.links(main), [], []
+    for n, s in enumerate(pack.xml(main).iterfind(".//{*}sldId"), 1):
+        _, part = links.get(_relation(s), ("", ""))
+        if part not in pack.names:
+            continue
+        shapes = _shapes(pack.xml(part))
+        title = next((t for kind, t in shapes if kind in ("title", "ctrTitle")), None)
+        titles += [title] if title else []
+        out.append(f"## Slide {n}")
+        out += [t for kind, t in shapes]
+        for kind, notes in pack.links(part).values():
+            if kind == "notesSlide" and notes in pack.names:
+                said = "\n\n".join(t for k, t in _shapes(pack.xml(notes)) if k not in ("sldNum", "sldImg", "dt", "hdr", "ftr"))
+                out += ["\n".join(f"> {x}".rstrip() for x in said.split("\n"))] if said else []
+    return titles[0] if titles else None, "\n\n".join(out)
+
+
+def epub_markdown(content: bytes, most_bytes: int = MOST_BYTES) -> tuple[str | None, str]:
+    """(title, markdown): chapters in reading order, each under its first heading, else its page title, else its number."""
+    pack = _Package(content, most_bytes)
+    book = pack.xml("META-INF/container.xml").find(".//{*}rootfile").get("full-path")
+    opf, folder, out = pack.xml(book), posixpath.dirname(book), []
+    items = {i.get("id"): i.get("href", "") for i in opf.iterfind(".//{*}item")}
+    for ref in opf.iterfind(".//{*}itemref"):
+        part = posixpath.normpath(posixpath.join(folder, unquote(items.get(ref.get("idref"), ""))))
+        if part not in pack.names:
+            continue
+        page, _, body, _ = extract_html(pack.text(part))
+        first = re.search(r"^#{1,6}\s+(.+)$", body, re.M)
+        title = (first[1] if first else page).strip() or f"Chapter {len(out) + 1}"
+        if first and not body[: first.start()].strip():
+            body = body[first.end() :].strip()
+        out.append(f"## {title}" + (f"\n\n{body}" if body else ""))
+    named = opf.find(".//{*}metadata/{*}title")
+    return (named.text or "").strip() or None if named is not None else None, "\n\n".join(out)
+
+
+def _column(ref: str) -> int:
+    """The place of a cell reference such as AB12, from 0."""
+    n = 0
+    for c in re.match("[A-Z]*", ref)[0]:
+        n = n * 26 + ord(c) - 64
+    return n - 1
+
+
+def xlsx_rows(content: bytes, most_bytes: int = MOST_BYTES) -> list[tuple[str, int, list[str]]]:
+    """(sheet, row, cells) of a workbook, in the order of its sheets."""
+    pack = _Package(content, most_bytes)
+    words = lambda e: "".join(t.text or "" for t in e.iterfind(".//{*}t"))
+    shared = [words(s) for s in pack.xml("xl/sharedStrings.xml").findall("{*}si")] if "xl/sharedStrings.xml" in pack.names else []
+    links, found = pack.links("xl/workbook.xml"), []
+    for sheet in pack.xml("xl/workbook.xml").iterfind(".//{*}sheet"):
+        _, part = links.get(_relation(sheet), ("", ""))
+        if part not in pack.names:
+            continue
+        for i, row in enumerate(pack.xml(part).iterfind(".//{*}row"), 1):
+            cells: list[str] = []
+            for c in row.findall("{*}c"):
+                place = _column(c.get("r", ""))
+                cells += [""] * (place - len(cells))
+                value = c.findtext("{*}v") or ""
+                cells.append(shared[int(value)] if c.get("t") == "s" and value else words(c) if c.get("t") == "inlineStr" else value)
+            found.append((sheet.get("name", ""), int(row.get("r", i)), cells))
+    return found
+
+
+def xlsx_markdown(content: bytes, most_bytes: int = MOST_BYTES) -> tuple[str | None, str]:
+    """(None, markdown): a section for each sheet with cells; empty rows at its ends go, empty columns at its right too."""
+    sheets: dict[str, list[list[str]]] = {}
+    for name, _, cells in xlsx_rows(content, most_bytes):
+        width = max((i for i, c in enumerate(cells, 1) if c.strip()), default=0)
+        sheets.setdefault(name, []).append(cells[:width])
+    out = []
+    for name, rows in sheets.items():
+        full = [i for i, r in enumerate(rows) if r]
+        if full:
+            out.append(f"## Sheet: {name}\n\n{_table(rows[full[0] : full[-1] + 1])}")
+    return None, "\n\n".join(out)
+
+
+PARSERS = {"docx": docx_markdown, "pptx": pptx_markdown, "epub": epub_markdown, "xlsx": xlsx_markdown}
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """path, modificationTime, length, content of the files below a folder; Spark's reader leaves out empty ones."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+
+
+def convert_files(files: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """path, format, title, markdown, words, error of files (path, length, content). Without a title of its own a file has its name's."""
+    ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    error = F.when(~F.coalesce(ext, F.lit("")).isin(*PARSERS), "unsupported").when(F.col("length") > most_bytes, "too_large").when(F.col("content").isNull(), "unreadable")
+    sized = files.select("path", ext.alias("format"), error.alias("error"), F.when(error.isNull(), F.col("content")).alias("content"))
+
+    def parse(batches):
+        for b in batches:
+            out = []
+            for path, kind, failed, content in b[["path", "format", "error", "content"]].itertuples(index=False, name=None):
+                title = text = None
+                if failed is None or failed != failed:
+                    failed = None
+                    try:
+                        title, text = PARSERS[kind](bytes(content), most_bytes)
+                    except OverflowError:
+                        failed = "too_large"
+                    except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, AttributeError, ValueError, IndexError, NotImplementedError, RuntimeError):
+                        failed = "unreadable"
+                out.append((path, kind, title, text, failed))
+            yield pd.DataFrame(out, columns=["path", "format", "title", "markdown", "error"], dtype=object)
+
+    out = sized.mapInPandas(parse, "path string, format string, title string, markdown string, error string")
+    stem = F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1)
+    return out.select("path", "format", F.coalesce("title", F.when(F.col("error").isNull(), stem)).alias("title"), "markdown", F.regexp_count("markdown", F.lit(r"\S+")).alias("words"), "error")
+
+
+def converted_notes(converted: DataFrame, existing: DataFrame, folder: str) -> DataFrame:
+    """(path, content, source) of notes to write for converted files; ``existing`` notes have path and content.
+
+    The note is named by the file's stem, or by its whole path where a note of another source has that name, there or among the
+    new ones. Files without markdown give none; neither do those whose note exists unchanged, nor those for which both names are
+    taken by other sources.
+    """
+    marker = F.concat(F.lit("<!-- source: "), F.col("source"), F.lit(" -->"))
+    quoted = F.concat(F.lit('"'), F.replace(F.replace("title", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    head = F.concat(F.lit("---\ntitle: "), quoted, F.lit("\nformat: "), F.col("format"), F.lit("\nwords: "), F.col("words").cast("string"), F.lit("\n---\n"))
+    bare = F.regexp_replace("source", r"\.[^./]*$", "")
+    new = converted.where("error is null and markdown <> ''").withColumnRenamed("path", "source")
+    new = new.select("source", marker.alias("marker"), F.concat(head, marker, F.lit("\n"), "markdown").alias("content"), F.concat(F.lit(f"{folder}/"), F.regexp_extract(bare, r"([^/]*)$", 1), F.lit(".md")).alias("short"), F.concat(F.lit(f"{folder}/"), F.regexp_replace(bare, r"[/\\]", "__"), F.lit(".md")).alias("long"))
+    owner = new.groupBy("short").agg(F.min("source").alias("_owner"))
+    held = existing.select(F.col("path").alias("_path"), F.col("content").alias("_held"))
+    # A name is another source's if its note lacks this marker; notes at either name are looked up by one join each.
+    taken = lambda: F.col("_held").isNotNull() & ~F.contains("_held", "marker")
+    placed = new.join(held, F.col("short") == F.col("_path"), "left").withColumns({"_busy": taken(), "_mine": F.contains("_held", "marker")}).drop("_path", "_held")
+    placed = placed.join(owner, "short").withColumn("path", F.when(F.coalesce("_mine", F.lit(False)) | (~F.col("_busy") & (F.col("_owner") == F.col("source"))), F.col("short")).otherwise(F.col("long")))
+    found = placed.select("path", "content", "source", "marker").join(held, F.col("path") == F.col("_path"), "left")
+    return found.where(F.col("_held").isNull() | (~taken() & (F.col("_held") != F.col("content")))).select("path", "content", "source")
