@@ -2,7 +2,7 @@
 
 Files come from Spark's ``binaryFile`` reader, so any store that Spark reads will do. A file that can't be converted has an
 error code (unsupported, too_large, unreadable) and null markdown; it never fails the job. Contents that are too large, packed
-or unpacked, don't reach the parsers.
+or unpacked, don't reach the parsers; Spark bounds the bytes of an Arrow batch (64 MB by default), so batches hold few large files.
 """
 
 from __future__ import annotations
