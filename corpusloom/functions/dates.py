@@ -54,3 +54,25 @@ def clock(seconds: Column) -> Column:
     two = lambda c: F.lpad(F.floor(c).cast("string"), 2, "0")
     short = F.concat_ws(":", two((seconds % 3600) / 60), two(seconds % 60))
     return F.when(seconds >= 3600, F.concat_ws(":", two(seconds / 3600), short)).otherwise(short)
+
+
+def relative_range(count: int, unit: str, now: Column) -> tuple[Column, Column]:
+    """The last ``count`` days, weeks, months or years, up to the start of today."""
+    end = F.date_trunc("DAY", now)
+    return end - F.make_interval(**{unit: F.lit(count)}), end
+
+
+def utc_offset(text: Column) -> Column:
+    """Minutes of +8, UTC+5:30 or GMT-0330; null for other texts and beyond 14 hours."""
+    pattern = r"^(?:UTC|GMT)?([+-])(\d{1,2})(?::?(\d{2}))?$"
+    clean = F.upper(F.trim(text))
+    hours, minutes = F.regexp_extract(clean, pattern, 2).try_cast("int"), F.coalesce(F.regexp_extract(clean, pattern, 3).try_cast("int"), F.lit(0))
+    size = hours * 60 + minutes
+    return F.when((size <= 14 * 60) & (minutes < 60), F.when(F.regexp_extract(clean, pattern, 1) == "-", -size).otherwise(size))
+
+
+def duration_seconds(text: Column) -> Column:
+    """Seconds of an ISO 8601 duration of hours, minutes and seconds (PT1H2M3S); null for other texts."""
+    pattern = r"^PT(?:(\d+)H)?(?:(\d+)M)?(?:(\d+)S)?$"
+    part = lambda g: F.coalesce(F.regexp_extract(text, pattern, g).try_cast("long"), F.lit(0))
+    return F.when(text.rlike(pattern) & (text != "PT"), part(1) * 3600 + part(2) * 60 + part(3))

@@ -194,3 +194,9 @@ def indexable(path: Column, tags: Column, inclusions: list[str], exclusions: lis
     for p in exclusions:
         keep = keep & ~pattern_predicate(p, path, tags)
     return keep
+
+
+def tag_matches(tags: Column, wanted: str) -> Column:
+    """Whether some tag is the wanted one or lies below it (#a holds #a/b), in any case."""
+    name = "#" + wanted.lstrip("#").lower()
+    return F.coalesce(F.exists(tags, lambda t: (F.lower(t) == name) | F.lower(t).startswith(name + "/")), F.lit(False))
