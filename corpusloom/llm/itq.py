@@ -7,8 +7,11 @@ bits. Candidates are joined into components (edges only, one code a row and tabl
 once, to their component, where the cosine of all pairs is computed in double precision by blocks. Tasks return counts of
 links and spanning edges, not pairs.
 
-Identical vectors of one label are one representative with a weight. Vectors that are null, zero, of another length than
-most, or hold null or non-finite components, and vectors without a label, link with nothing and are their own component.
+Tables and the bound on differing bits come from pairs drawn at the threshold and coded by the final codes, so that the share
+of them that would be found is measured, not assumed. Vectors of each length are a group of their own with its own codes.
+
+Identical vectors of one label are one representative with a weight. Vectors that are null, empty, zero, or hold null or
+non-finite components, and vectors without a label, link with nothing and are their own component.
 Rows that repeat a vec_id take part one by one and show the same component. Empty tables give empty results; columns beyond vec_id,
 embedding and label are ignored.
 """
@@ -42,14 +45,14 @@ class Codes:
         return np.packbits(signs, axis=1)
 
 
-def fit_itq(sample: np.ndarray, n_rotations: int, rounds: int = 30, seed: int = 11) -> Codes:
-    """Learns ``n_rotations`` rotations: from a random start, alternately codes by sign and solves for the best rotation."""
+def fit_itq(sample: np.ndarray, n_rotations: int, rounds: int = 30, seed: int = 11, known: Codes | None = None) -> Codes:
+    """Learns ``n_rotations`` rotations, beyond those ``known`` of this sample: from a random start, alternately codes by sign and solves for the best rotation."""
     mean = sample.mean(0)
     x = sample - mean
     _, _, basis = np.linalg.svd(x, full_matrices=False)
     v = x @ basis.T
-    out = []
-    for k in range(n_rotations):
+    out = known.rotations[:n_rotations] if known else []
+    for k in range(len(out), n_rotations):
         r = np.linalg.qr(np.random.default_rng(seed + k).standard_normal((v.shape[1],) * 2))[0]
         for _ in range(rounds):
             u, _, w = np.linalg.svd(np.where(v @ r > 0, 1.0, -1.0).T @ v)
@@ -58,53 +61,92 @@ def fit_itq(sample: np.ndarray, n_rotations: int, rounds: int = 30, seed: int =
     return Codes(mean, out)
 
 
-def differing(codes: Codes, sample: np.ndarray, threshold: float, seed: int) -> np.ndarray:
-    """The share of differing bits of each sampled vector and one drawn at exactly the threshold from it."""
+def pairs_at(sample: np.ndarray, threshold: float, seed: int, n: int = 10_000) -> list[tuple[np.ndarray, np.ndarray]]:
+    """About ``n`` pairs at exactly the threshold, twice: unit vectors with partners drawn in any direction, and towards another vector of the sample."""
     rng = np.random.default_rng(seed)
-    x = sample[rng.permutation(len(sample))[:4000]]
-    y = rng.standard_normal(x.shape)
-    y -= (y * x).sum(axis=1, keepdims=True) * x
-    y = threshold * x + math.sqrt(1 - threshold**2) * y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
-    return np.bitwise_count(codes.encode(x) ^ codes.encode(y)).sum(axis=1) / codes.bits
+    x = sample[np.concatenate([rng.permutation(len(sample)) for _ in range(-(-n // len(sample)))])[:n]]
+    out = []
+    for y in (rng.standard_normal(x.shape), sample[rng.integers(len(sample), size=len(x))]):
+        y = y - (y * x).sum(axis=1, keepdims=True) * x
+        size = np.linalg.norm(y, axis=1, keepdims=True)
+        some = size[:, 0] > 1e-9
+        if some.any():
+            out.append((x[some], threshold * x[some] + math.sqrt(max(0.0, 1 - threshold**2)) * y[some] / size[some]))
+    return out
 
 
-def plan_tables(p: np.ndarray, group_rows: int, recall: float, block: int = 256, most_tables: int = 256) -> tuple[int, int, int]:
-    """(bits of a chunk, tables, bits that a candidate may differ in) where pairs at the threshold differ in shares ``p`` of their bits.
+def plan_tables(sample: np.ndarray, threshold: float, group_rows: int, recall: float, seed: int, block: int = 256, most_tables: int = 256, most_whole: int = 20_000) -> tuple[Codes, int, int, int]:
+    """(codes, bits of a chunk, tables, bits that a candidate may differ in), such that the measured share of pairs at the threshold that are found is ``recall`` at least.
 
-    Chunks are as wide as the largest label asks for, tables as many as the recall asks for (and 128 bits at least, for
-    strangers to stay apart), and the bound on differing bits lies 4.5 deviations above the mean.
+    Chunks are as wide as the largest label asks for, and narrower where that would take more than ``most_tables`` tables; codes
+    hold 128 bits at least, for strangers to stay apart. The bound may lose a tenth of what may be lost, the tables the rest. Small labels
+    are compared whole (no bits, one table), and so are those of up to ``most_whole`` vectors where no width does; larger ones are an error.
     """
-    width = min(16, max(8, round(math.log2(max(1, group_rows) / block))))
-    tables = 128 // width
-    while tables < most_tables and np.mean((1 - (1 - p) ** width) ** tables) > 1 - recall:
-        tables += 1
-    bits, mean = tables * width, float(np.mean(p))
-    return width, tables, math.ceil(bits * mean + 4.5 * math.sqrt(bits * mean * (1 - mean)))
+    pairs = pairs_at(sample, threshold, seed) if group_rows > 64 else []
+    codes = fit_itq(sample, 1, seed=seed)
+    step = codes.bits
+    parts = [[] for _ in pairs]  # differing bits by rotation
+    first = min(16, max(8, round(math.log2(max(1, group_rows) / block)))) if pairs else 0
+    for width in range(first, 0, -1):
+        tables = min(most_tables, 128 // width)
+        while True:
+            need = -(-tables * width // step)
+            codes = fit_itq(sample, max(need, len(codes.rotations)), seed=seed, known=codes)
+            for (x, y), p in zip(pairs, parts, strict=True):
+                p += [((x - codes.mean) @ r > 0) != ((y - codes.mean) @ r > 0) for r in codes.rotations[len(p) : need]]
+            differ = [np.concatenate(p[:need], axis=1) for p in parts]
+            n = [d.sum(axis=1) for d in differ]
+            most = max(math.ceil(np.quantile(k, 1 - (1 - recall) / 10, method="higher")) for k in n)
+            met = [(~d[:, : tables * width].reshape(len(d), tables, width).any(axis=2)).any(axis=1) for d in differ]
+            if min(np.mean(m & (k <= most)) for m, k in zip(met, n, strict=True)) >= recall:
+                return Codes(codes.mean, codes.rotations[:need]), width, tables, most
+            if tables >= most_tables:
+                break
+            tables = min(most_tables, tables + max(1, tables // 8))
+    if pairs and group_rows > most_whole:
+        raise ValueError(f"no {most_tables} tables find {recall:.2%} of the pairs at cosine {threshold} in labels of {group_rows} vectors; take a higher threshold or a lower recall")
+    return Codes(codes.mean, codes.rotations[:1]), 0, 1, step
 
 
 def near_embeddings(vectors: DataFrame, threshold: float = 0.93, sample_rows: int = 20_000, recall: float = 0.999, seed: int = 11) -> DataFrame:
-    """One row per vector: vec_id, n_links, component_id, kept. ``sample_rows`` bounds the vectors that the rotations are learned from."""
-    spark = vectors.sparkSession
+    """One row per vector: vec_id, n_links, component_id, kept. ``sample_rows`` bounds the vectors that the rotations of a length are learned from."""
     x = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>").alias("v"), "label")
     rows = saved(x.withColumn("row", F.monotonically_increasing_id()), "vectors")
     fine = F.col("label").isNotNull() & F.col("v").isNotNull() & F.exists("v", lambda c: c != 0) & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     usable = rows.where(fine)
-    widths = usable.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     alone = rows.select("row", "vec_id")
-    if widths is None:
-        return alone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    dim = widths["d"]
-    usable = usable.where(F.size("v") == dim)
     classes = saved(usable.groupBy("label", "v").agg(F.min("row").alias("uid"), F.min("vec_id").alias("low"), F.count("*").alias("weight")), "classes")
-    per_label = classes.groupBy("label").count().agg(F.max("count"), F.sum("count")).first()
-    share = min(1.0, sample_rows / per_label[1])
+    # A length whose labels hold one vector each has no pairs.
+    lengths = classes.groupBy(F.size("v").alias("d"), "label").count().groupBy("d").agg(F.max("count").alias("largest"), F.sum("count").alias("n")).orderBy("d").collect()
+    counts = joined = None
+    for r in lengths:
+        if r["largest"] > 1:
+            c, e = length_links(classes.where(F.size("v") == r["d"]), r["d"], r["largest"], r["n"], threshold, sample_rows, recall, seed)
+            counts, joined = (c, e) if counts is None else (counts.unionByName(c), joined.unionByName(e))
+    own = F.col("weight") - 1
+    if counts is None:
+        per_class = classes.select("label", "v", "uid", "low", F.col("uid").alias("c"), own.alias("n"))
+    else:
+        per_class = classes.join(counts, "uid", "left").join(components(joined), "uid", "left").select("label", "v", "uid", "low", F.coalesce("component", "uid").alias("c"), (own + F.coalesce("links", F.lit(0))).alias("n"))
+    lows = per_class.groupBy("c").agg(F.min("low").alias("component_id"))
+    per_class = saved(per_class.join(lows, "c").select("label", "v", "n", "component_id"), "per_class")
+    linked = usable.join(per_class, ["label", "v"]).select("row", "vec_id", "n", "component_id")
+    rest = alone.join(linked.select("row"), "row", "left_anti").select("row", "vec_id", F.lit(0).cast("long").alias("n"), F.col("vec_id").alias("component_id"))
+    return linked.unionByName(rest).select("vec_id", F.col("n").alias("n_links"), "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def length_links(classes: DataFrame, dim: int, largest: int, n: int, threshold: float, sample_rows: int, recall: float, seed: int) -> tuple[DataFrame, DataFrame]:
+    """((uid, links), (a, b)) among the ``n`` distinct vectors of one length, with up to ``largest`` of a label."""
+    spark = classes.sparkSession
+    share = min(1.0, sample_rows / n)
     picked = classes.where(F.pmod(F.xxhash64("uid", F.lit(seed)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).orderBy("uid").limit(sample_rows).select("v").toPandas()["v"]
     if not len(picked):
         picked = classes.limit(sample_rows).select("v").toPandas()["v"]
     sample = np.array(picked.tolist(), np.float64)
+    sample /= np.abs(sample).max(axis=1, keepdims=True)  # tiny and huge vectors alike
     sample /= np.linalg.norm(sample, axis=1, keepdims=True)
-    width, tables, most = plan_tables(differing(fit_itq(sample, 1, seed=seed), sample, threshold, seed), per_label[0], recall)
-    codes = spark.sparkContext.broadcast(fit_itq(sample, -(-tables * width // min(dim, len(sample))), seed=seed))
+    fitted, width, tables, most = plan_tables(sample, threshold, largest, recall, seed)
+    codes = spark.sparkContext.broadcast(fitted)
 
     def tabled(batches):
         import pyarrow as pa
@@ -148,11 +190,4 @@ def near_embeddings(vectors: DataFrame, threshold: float = 0.93, sample_rows: in
     # Components never cross labels: a bucket holds one label. A colliding bucket hash is undone here.
     members = saved(found.join(classes, "uid"), "candidates").select(F.xxhash64("component", "label").alias("component"), "uid", "weight", "v")
     members = members.mapInArrow(packed, "component long, uid long, weight long, body binary")
-    counts, edges = exact_links(members, cosines)
-    joined = components(edges)
-    per_class = classes.join(counts, "uid", "left").join(joined, "uid", "left").select("label", "v", "uid", "low", F.coalesce("component", "uid").alias("c"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n"))
-    lows = per_class.groupBy("c").agg(F.min("low").alias("component_id"))
-    per_class = saved(per_class.join(lows, "c").select("label", "v", "n", "component_id"), "per_class")
-    linked = usable.join(per_class, ["label", "v"]).select("row", "vec_id", "n", "component_id")
-    rest = alone.join(linked.select("row"), "row", "left_anti").select("row", "vec_id", F.lit(0).cast("long").alias("n"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(rest).select("vec_id", F.col("n").alias("n_links"), "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return exact_links(members, cosines)

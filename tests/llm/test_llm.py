@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import json
+import math
 import random
 import zlib
 
@@ -142,6 +143,48 @@ def test_embeddings_against_brute_force(spark):
     assert itq.near_embeddings(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def spread_vectors(lengths):
+    """Half of the vectors lie anywhere and half close together, where vectors at the threshold differ in far more bits; each has a partner just above it."""
+    rng = np.random.default_rng(5)
+    unit = lambda a: a / np.linalg.norm(a, axis=-1, keepdims=True)
+    out = []
+    for d in lengths:
+        x = unit(rng.standard_normal((300, d)))
+        x[150:] = unit(math.sqrt(0.8) * unit(np.ones(d)) + math.sqrt(0.2) * x[150:])
+        y = rng.standard_normal(x.shape)
+        y = unit(y - (y * x).sum(axis=1, keepdims=True) * x)
+        out += [*x, *(0.935 * x + math.sqrt(1 - 0.935**2) * y)]
+    return [(i, [float(np.float32(a)) for a in v], 0) for i, v in enumerate(out)]
+
+
+def test_embeddings_find_pairs_of_uneven_spread_and_of_every_length(spark):
+    rows = spread_vectors([64, 48])
+    got = {r["vec_id"]: r for r in itq.near_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), 0.93).collect()}
+    want = found = 0
+    for d in (64, 48):
+        ids = [r[0] for r in rows if len(r[1]) == d]
+        x = np.array([r[1] for r in rows if len(r[1]) == d], np.float32).astype(float)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        n = (x @ x.T >= 0.93).sum(axis=1) - 1
+        want += n.sum()
+        assert n.min() >= 1 and all(got[i]["n_links"] <= k for i, k in zip(ids, n, strict=True))
+        found += sum(got[i]["n_links"] for i in ids)
+    assert found >= 0.999 * want
+
+
+def test_table_plan_meets_its_recall_or_fails():
+    x = np.array([r[1] for r in spread_vectors([64])])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    codes, width, tables, most = itq.plan_tables(x, 0.93, 1_000_000, 0.999, 11)
+    for a, b in itq.pairs_at(x, 0.93, 77):
+        d = np.unpackbits(codes.encode(a) ^ codes.encode(b), axis=1)[:, : codes.bits]
+        met = (d[:, : tables * width].reshape(len(d), tables, width).sum(axis=2) == 0).any(axis=1)
+        assert (met & (d.sum(axis=1) <= most)).mean() >= 0.997
+    assert itq.plan_tables(x, 0.0, 600, 0.999, 11, most_tables=1)[1:3] == (0, 1)
+    with pytest.raises(ValueError):
+        itq.plan_tables(x, 0.0, 1_000_000, 0.999, 11, most_tables=1)
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     e = [(i, i + 1) for i in range(1, 60)] + [(100, 100 + i) for i in range(1, 80)] + [(5, 5)]
     got = {r["uid"]: r["component"] for r in linking.components(spark.createDataFrame(e, "a long, b long").repartition(7)).collect()}
