@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -11,27 +13,43 @@ from corpusloom.functions import text as T
 FIELD_WEIGHTS = {"title": 5.0, "tags": 4.0, "heading": 2.5, "path": 1.5, "body": 1.0}
 
 
-def postings(notes: DataFrame, fields: dict[str, str]) -> DataFrame:
-    """(ord, field, term, n_terms): a term counts once for a field; fields maps a field's name to a column."""
-    parts = [notes.select("ord", F.lit(f).alias("field"), T.ascii_terms(F.coalesce(F.col(c), F.lit(""))).alias("t")) for f, c in fields.items()]
+def postings(notes: DataFrame, fields: dict[str, str], terms: Callable[[Column], Column] = T.ascii_terms) -> DataFrame:
+    """(ord, field, term, n_terms): a term counts once for a field; fields maps a field's name to a column of strings or of arrays (tags)."""
+    text = lambda c: F.concat_ws(" ", c) if notes.schema[c].dataType.typeName() == "array" else F.coalesce(F.col(c), F.lit(""))
+    parts = [notes.select("ord", F.lit(f).alias("field"), terms(text(c)).alias("t")) for f, c in fields.items()]
     both = parts[0]
     for p in parts[1:]:
         both = both.unionByName(p)
     return both.select("ord", "field", F.size("t").alias("n_terms"), F.explode("t").alias("term"))
 
 
-def bm25_plus(notes: DataFrame, queries: DataFrame, fields: dict[str, str], k1: float = 1.2, b: float = 0.7, delta: float = 0.5) -> DataFrame:
-    """(query, ord, score) for queries (query, term). Terms come from both sides before they meet, and only their postings are shuffled."""
-    index = postings(notes, fields)
+def prefix_matches(index: DataFrame, asked: DataFrame, share: float = 0.375) -> DataFrame:
+    """(term, asked, nearness): index terms that start with an asked term; longer ones count ``share`` and less the more they add."""
+    longest = asked.agg(F.max(F.length("term")).alias("_longest"))
+    words = index.select("term").distinct().crossJoin(F.broadcast(longest)).where("_longest > 0 and length(term) > 0")
+    starts = words.select("term", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("term"), "_longest")), lambda i: F.substring("term", F.lit(1), i))).alias("asked"))
+    n, more = F.length("term"), F.length("term") - F.length("asked")
+    return starts.join(asked.select(F.col("term").alias("asked")), "asked").select("term", "asked", F.when(more == 0, 1.0).otherwise(share * n / (n + 0.3 * more)).alias("nearness"))
+
+
+def bm25_plus(notes: DataFrame, queries: DataFrame, fields: dict[str, str], k1: float = 1.2, b: float = 0.7, delta: float = 0.5, terms: Callable[[Column], Column] = T.ascii_terms, prefix: bool = False) -> DataFrame:
+    """(query, ord, score) for queries (query, term). Terms come from both sides before they meet, and only their postings are shuffled.
+
+    ``terms`` makes the terms of a field (``T.terms`` for tags and CJK text; the queries' are to be made alike); with ``prefix``, index terms that start with a query's term count too.
+    """
+    index = postings(notes, fields, terms)
     sizes = index.groupBy("field").agg(F.countDistinct("ord").alias("n"), F.count("*").alias("total"))
     sizes = sizes.select("field", "n", (F.col("total") / F.col("n")).alias("mean"))
     asked = queries.select("term").distinct()
-    met = index.join(asked, "term", "left_semi")
+    matches = prefix_matches(index, asked) if prefix else None
+    met = index.join(matches.select("term").distinct() if prefix else asked, "term", "left_semi")
     df = met.groupBy("field", "term").agg(F.count("*").alias("df"))
     weight = F.element_at(F.create_map(*(F.lit(x) for kv in FIELD_WEIGHTS.items() for x in kv)), F.col("field"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = (k1 + 1) / (1 + k1 * (1 - b + b * F.col("n_terms") / F.col("mean"))) + delta
     scored = met.join(df, ["field", "term"]).join(F.broadcast(sizes), "field").select("ord", "term", (weight * idf * tf).alias("s"))
+    if prefix:
+        scored = scored.join(matches, "term").select("ord", F.col("asked").alias("term"), (F.col("s") * F.col("nearness")).alias("s"))
     per_term = scored.groupBy("ord", "term").agg(F.sum("s").alias("s"))
     return per_term.join(queries.select("query", "term").distinct(), "term").groupBy("query", "ord").agg(F.sum("s").alias("score"))
 

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as T
 from corpusloom.operators import corpus, ranking, retrieval, vectors
 from corpusloom.sources import canvas, memories
 from corpusloom.sources.html import extract_html
@@ -107,6 +108,19 @@ def test_bm25_prefers_rare_terms_and_titles(spark):
     assert got[3] > got[1] > got[2]
 
 
+def test_bm25_finds_cjk_tags_and_prefixes(spark):
+    n = spark.createDataFrame([(1, "東京都の本", ["#work/big"]), (2, "retrieval of words", None), (3, "words", ["#home"]), (4, None, [])], "ord int, body string, tags array<string>")
+    q = spark.createDataFrame([(1, "京都"), (2, "#work"), (3, "retr"), (4, "words")], "query int, text string").select("query", F.explode(T.terms(F.col("text"))).alias("term"))
+    fields = {"body": "body", "tags": "tags"}
+    got = {(r["query"], r["ord"]): r["score"] for r in retrieval.bm25_plus(n, q, fields, terms=T.terms, prefix=True).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 2), (4, 2), (4, 3)}
+    whole = {(r["query"], r["ord"]): r["score"] for r in retrieval.bm25_plus(n, q, fields, terms=T.terms).collect()}
+    assert set(whole) == set(got) - {(3, 2)} and whole[4, 3] == pytest.approx(got[4, 3])
+    asked = spark.createDataFrame([(3, "retrieval")], "query int, term string")
+    full = retrieval.bm25_plus(n, asked, fields, terms=T.terms).first()["score"]
+    assert got[3, 2] == pytest.approx(full * 0.375 * 9 / (9 + 0.3 * 5))
+
+
 def test_grep_puts_path_hits_first(spark):
     n = spark.createDataFrame([(1, "a.md", "alpha beta"), (2, "alpha.md", "none"), (3, "c.md", "x")], "ord int, path string, body string")
     q = spark.createDataFrame([(7, ["alpha", "b"])], "query int, terms array<string>")
