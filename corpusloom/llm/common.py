@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextlib import contextmanager
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a new local one where that is unset (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where that is unset, a new local one, for a local master only (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -23,11 +28,41 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/corpusloom/{uuid.uuid4().hex}/{name}"
 
 
+_TABLES: dict[int, str] = {}  # folders of written tables that haven't been discarded, by the order of writing
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to a new table in the shared folder and read from there: a later loss of executors costs no recomputation."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    _TABLES[max(_TABLES, default=0) + 1] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``saved`` has written, once nothing reads them any more."""
+    for t in tables:
+        _delete(t.sparkSession, t._written_to)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    for k in [k for k, p in _TABLES.items() if p == path]:
+        del _TABLES[k]
+
+
+@contextmanager
+def scratch(spark: SparkSession, *keep: str):
+    """Tables that ``saved`` writes inside go at the end, but for those with the names ``keep``: for jobs whose result is written, not lazy."""
+    before = max(_TABLES, default=0)
+    try:
+        yield
+    finally:
+        for path in [p for k, p in _TABLES.items() if k > before and p.rsplit("/", 1)[1] not in keep]:
+            _delete(spark, path)
 
 
 def text_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -76,6 +111,20 @@ def if_small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], count: str, total: int, how: str = "inner", hot: int = 50_000) -> DataFrame:
+    """Inner or left join of ``rows`` with a written ``table`` of distinct keys, whose column ``count`` tells how many rows have the key.
+
+    Keys of more than ``hot`` rows, or of a ten-thousandth of ``total`` if that is more, are at most 10,000: they are sent to every task, so
+    that a key of a third of all rows isn't shuffled to one.
+    """
+    limit = max(hot, total // 10_000)
+    many = table.where(F.col(count) > limit)
+    if many.isEmpty():
+        return rows.join(table, keys, how)
+    others = rows.join(F.broadcast(many.select(*keys)), keys, "left_anti").join(table.where(F.col(count) <= limit), keys, how)
+    return rows.join(F.broadcast(many), keys).unionByName(others)
+
+
 def open_fs(uri: str):
     """(pyarrow file system, path) of a folder that tasks write files of their own format to."""
     from pyarrow import fs
@@ -98,28 +147,72 @@ def seeded(seed: int, column: str) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def range_shards(df: DataFrame, key: str, weight: Column, target: int, bins: int = 4096) -> tuple[Column, list[int]]:
-    """A column with the shard of ``key`` and the weight of every shard.
+def range_shards(keys: DataFrame, target: int, split: int = 4) -> tuple[Callable[[DataFrame], DataFrame], list[int]]:
+    """(a function that adds ``shard`` to rows with ``key`` and ``tie``, the weight of every shard).
 
-    Shards are runs of ascending keys (nulls first) of about ``target`` weight each. The cuts follow from exact sums
-    over ``bins`` equal ranges of the key, so that they depend on the rows alone; no more than ``bins`` sums reach the driver.
+    keys: ``key`` long, ``tie`` long, ``weight`` long; read a few times, so best a written table. Shards are runs of ascending keys (nulls
+    first) of at most ``target`` weight, but for single rows above it and rows that share key and tie. The cuts depend on the rows
+    alone: a range is cut into equal cells, about ``split`` for each shard that it needs; cells above the target are cut again between the
+    least and largest key they hold, or by ``tie`` where they hold one key. What reaches the driver grows with the number of shards.
     """
-    lo, hi = df.agg(F.min(key), F.max(key)).first()
-    if lo is None or hi == lo:
-        return F.lit(0), [0]
-    width = (float(hi) - float(lo)) / bins
-    at = F.coalesce(F.least(F.floor((F.col(key).cast("double") - F.lit(float(lo))) / F.lit(width)), F.lit(bins - 1)), F.lit(0)).cast("int")
-    sums = dict(df.groupBy(at.alias("b")).agg(F.sum(weight)).collect())
-    shard, total, cuts, weights = 0, 0, [], []
-    for b in range(bins):
-        w = sums.get(b) or 0
-        if total and total + w > target:
-            weights.append(total)
-            shard, total = shard + 1, 0
-        total += w
-        cuts.append(shard)
-    weights.append(total)
-    return F.element_at(F.lit(cuts), at + 1), weights
+    spark = keys.sparkSession
+    levels: list[DataFrame] = []
+    children: dict[int, list[int]] = {}
+    weights: dict[int, int] = {}
+    schema = "parent long, lo decimal(20,0), width decimal(21,0), cells long, first long, by_tie boolean"
+
+    def refine(rows: DataFrame, level: DataFrame) -> DataFrame:
+        within = F.floor((F.col("key").cast("decimal(20,0)") - F.col("lo")) * F.col("cells").cast("decimal(12,0)") / F.col("width"))
+        at = F.when(F.col("by_tie"), F.pmod("tie", "cells")).otherwise(F.least(within.cast("long"), F.col("cells") - 1))
+        held = rows.join(F.broadcast(level), rows["cell"] == level["parent"], "left")
+        return held.withColumn("cell", F.coalesce(F.col("first") + at, "cell")).select(*rows.columns)
+
+    now = keys.withColumn("cell", F.when(F.col("key").isNull(), 0).otherwise(1).cast("long"))
+    cells, fresh = [0, 1], 2
+    tied: set[int] = set()
+    while True:
+        found = {r["cell"]: r for r in now.where(F.col("cell") >= cells[0]).groupBy("cell").agg(F.sum("weight").alias("w"), F.min("key").alias("lo"), F.max("key").alias("hi")).collect()}
+        rows = []
+        for c in cells:
+            r = found.get(c)
+            weights[c] = int(r["w"]) if r else 0
+            if weights[c] > target and c not in tied:
+                n = min(1 << 20, max(2, split * -(-weights[c] // target)))
+                by_tie = r["lo"] == r["hi"]
+                if not by_tie:
+                    n = min(n, r["hi"] - r["lo"] + 1)
+                rows.append((c, Decimal(r["lo"] or 0), Decimal((r["hi"] or 0) - (r["lo"] or 0) + 1), n, fresh, by_tie))
+                children[c] = list(range(fresh, fresh + n))
+                if by_tie:
+                    tied.update(children[c])
+                fresh += n
+        if not rows:
+            break
+        cells = list(range(rows[0][4], fresh))
+        levels.append(spark.createDataFrame(rows, schema))
+        now = refine(now, levels[-1])
+
+    shards: list[int] = []
+    of: list[tuple[int, int]] = []
+    stack = [1, 0]
+    while stack:  # the cells that aren't cut again, in ascending order
+        c = stack.pop()
+        if c in children:
+            stack += reversed(children[c])
+        elif weights[c] or c == 1:
+            if not shards or shards[-1] and shards[-1] + weights[c] > target:
+                shards.append(0)
+            shards[-1] += weights[c]
+            of.append((c, len(shards) - 1))
+    final = spark.createDataFrame(of, "cell long, shard int")
+
+    def assign(rows: DataFrame) -> DataFrame:
+        out = rows.withColumn("cell", F.when(F.col("key").isNull(), 0).otherwise(1).cast("long"))
+        for level in levels:
+            out = refine(out, level)
+        return out.join(F.broadcast(final), "cell").drop("cell")
+
+    return assign, shards
 
 
 def runs(batches, *keys: str):

@@ -4,15 +4,16 @@ A rotation is learned on a bounded sample so that the signs of the rotated vecto
 quantisation error; several rotations from different starts give longer codes. Every vector is coded. The code is cut into chunks, one
 hash table for each chunk and label; vectors that share a chunk are candidates if their whole codes differ in few enough
 bits. Candidates are joined into components (edges only, one code a row and table), and the original vectors are sent
-once, to their component, where the cosine of all pairs is computed in double precision by blocks. Tasks return counts of
-links and spanning edges, not pairs.
+to their component, by blocks, where the pairs whose codes differ in few enough bits are reranked by their cosine in double precision.
+Tasks return counts of links and spanning edges, not pairs.
 
 Tables and the bound on differing bits come from pairs drawn at the threshold and coded by the final codes, so that the share
 of them that would be found is measured, not assumed. Vectors of each length are a group of their own with its own codes.
 
 Identical vectors of one label are one representative with a weight. Vectors that are null, empty, zero, or hold null or
-non-finite components, and vectors without a label, link with nothing and are their own component.
-Rows that repeat a vec_id take part one by one and show the same component. Empty tables give empty results; columns beyond vec_id,
+non-finite components, and vectors without a label, link with nothing and are their own component. Vectors of doubles are
+compared as they are, all others as floats.
+Rows that repeat a vec_id take part one by one and show the same component; a null vec_id is below all others, so its component_id is null. Empty tables give empty results; columns beyond vec_id,
 embedding and label are ignored.
 """
 
@@ -25,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import saved
+from corpusloom.llm.common import discard, join_counted, saved
 from corpusloom.llm.linking import candidate_edges, components, exact_links
 
 
@@ -110,33 +111,39 @@ def plan_tables(sample: np.ndarray, threshold: float, group_rows: int, recall: f
 
 def near_embeddings(vectors: DataFrame, threshold: float = 0.93, sample_rows: int = 20_000, recall: float = 0.999, seed: int = 11) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept. ``sample_rows`` bounds the vectors that the rotations of a length are learned from."""
-    x = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>").alias("v"), "label")
-    rows = saved(x.withColumn("row", F.monotonically_increasing_id()), "vectors")
-    fine = F.col("label").isNotNull() & F.col("v").isNotNull() & F.exists("v", lambda c: c != 0) & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
-    usable = rows.where(fine)
-    alone = rows.select("row", "vec_id")
-    classes = saved(usable.groupBy("label", "v").agg(F.min("row").alias("uid"), F.min("vec_id").alias("low"), F.count("*").alias("weight")), "classes")
+    kind = "double" if vectors.schema["embedding"].dataType.simpleString() == "array<double>" else "float"
+    x = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast(f"array<{kind}>").alias("v"), "label")
+    fine = F.col("label").isNotNull() & F.exists("v", lambda c: c != 0) & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
+    keys = [F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(2), "v").alias("h2")]  # together a key of 128 bits
+    rows = saved(x.select(F.monotonically_increasing_id().alias("row"), "vec_id", "label", "v", *keys, F.coalesce(fine, F.lit(False)).alias("usable")), "vectors")
+    classes = saved(rows.where("usable").groupBy("label", "v", "h1", "h2").agg(F.min("row").alias("uid"), F.min(F.struct("vec_id")).alias("low"), F.count("*").alias("weight")), "classes")
     # A length whose labels hold one vector each has no pairs.
     lengths = classes.groupBy(F.size("v").alias("d"), "label").count().groupBy("d").agg(F.max("count").alias("largest"), F.sum("count").alias("n")).orderBy("d").collect()
     counts = joined = None
+    tables = []
     for r in lengths:
         if r["largest"] > 1:
-            c, e = length_links(classes.where(F.size("v") == r["d"]), r["d"], r["largest"], r["n"], threshold, sample_rows, recall, seed)
+            c, e, t = length_links(classes.where(F.size("v") == r["d"]), r["d"], r["largest"], r["n"], threshold, sample_rows, recall, seed)
             counts, joined = (c, e) if counts is None else (counts.unionByName(c), joined.unionByName(e))
+            tables.append(t)
     own = F.col("weight") - 1
+    light = classes.select("label", "h1", "h2", "uid", "low", "weight")
     if counts is None:
-        per_class = classes.select("label", "v", "uid", "low", F.col("uid").alias("c"), own.alias("n"))
+        per_class = light.withColumns({"c": F.col("uid"), "n": own})
     else:
-        per_class = classes.join(counts, "uid", "left").join(components(joined), "uid", "left").select("label", "v", "uid", "low", F.coalesce("component", "uid").alias("c"), (own + F.coalesce("links", F.lit(0))).alias("n"))
-    lows = per_class.groupBy("c").agg(F.min("low").alias("component_id"))
-    per_class = saved(per_class.join(lows, "c").select("label", "v", "n", "component_id"), "per_class")
-    linked = usable.join(per_class, ["label", "v"]).select("row", "vec_id", "n", "component_id")
-    rest = alone.join(linked.select("row"), "row", "left_anti").select("row", "vec_id", F.lit(0).cast("long").alias("n"), F.col("vec_id").alias("component_id"))
+        tables.append(components(joined))
+        per_class = light.join(counts, "uid", "left").join(tables[-1], "uid", "left").withColumns({"c": F.coalesce("component", "uid"), "n": own + F.coalesce("links", F.lit(0))})
+    lows = per_class.groupBy("c").agg(F.min("low").alias("least"))
+    per_class = saved(per_class.join(lows, "c").select("label", "h1", "h2", "weight", "n", F.col("least.vec_id").alias("component_id")), "per_class")
+    discard(classes, *tables)
+    light = rows.select("vec_id", "label", "h1", "h2", "usable")
+    linked = join_counted(light.where("usable"), per_class, ["label", "h1", "h2"], "weight", rows.count()).select("vec_id", "n", "component_id")
+    rest = light.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(rest).select("vec_id", F.col("n").alias("n_links"), "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def length_links(classes: DataFrame, dim: int, largest: int, n: int, threshold: float, sample_rows: int, recall: float, seed: int) -> tuple[DataFrame, DataFrame]:
-    """((uid, links), (a, b)) among the ``n`` distinct vectors of one length, with up to ``largest`` of a label."""
+def length_links(classes: DataFrame, dim: int, largest: int, n: int, threshold: float, sample_rows: int, recall: float, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((uid, links), (a, b), their written table) among the ``n`` distinct vectors of one length, with up to ``largest`` of a label."""
     spark = classes.sparkSession
     share = min(1.0, sample_rows / n)
     picked = classes.where(F.pmod(F.xxhash64("uid", F.lit(seed)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).orderBy("uid").limit(sample_rows).select("v").toPandas()["v"]
@@ -148,15 +155,20 @@ def length_links(classes: DataFrame, dim: int, largest: int, n: int, threshold:
     fitted, width, tables, most = plan_tables(sample, threshold, largest, recall, seed)
     codes = spark.sparkContext.broadcast(fitted)
 
+    kind = np.float64 if classes.schema["v"].dataType.simpleString() == "array<double>" else np.float32
+
+    def unit(v):
+        v = v.astype(np.float64)
+        v = v / np.abs(v).max(axis=1, keepdims=True)  # tiny and huge vectors alike
+        return v / np.linalg.norm(v, axis=1, keepdims=True)
+
     def tabled(batches):
         import pyarrow as pa
 
         for b in batches:
             if not b.num_rows:
                 continue
-            v = b.column("v").flatten().to_numpy().astype(np.float64).reshape(b.num_rows, dim)
-            v = v / np.abs(v).max(axis=1, keepdims=True)  # tiny and huge vectors alike
-            code = codes.value.encode(v / np.linalg.norm(v, axis=1, keepdims=True))
+            code = codes.value.encode(unit(b.column("v").flatten().to_numpy().reshape(b.num_rows, dim)))
             bits = np.unpackbits(code, axis=1)[:, : tables * width].reshape(len(code), tables, width)
             chunk = bits @ (1 << np.arange(width, dtype=np.int64))
             keys = (chunk * tables + np.arange(tables)).ravel()
@@ -166,28 +178,32 @@ def length_links(classes: DataFrame, dim: int, largest: int, n: int, threshold:
             yield pa.RecordBatch.from_arrays([label, pa.array(keys), pa.array(uid), flat], ["label", "key", "uid", "code"])
 
     index = classes.select("label", "uid", "v").mapInArrow(tabled, f"label {classes.schema['label'].dataType.simpleString()}, key long, uid long, code binary")
-    index = index.select(F.xxhash64("label", "key").alias("bucket"), "uid", "code")
+    index = saved(index.select(F.xxhash64("label", "key").alias("bucket"), "uid", "code"), "index")
+    shared = index.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
 
     def within(codes):
         words = np.ascontiguousarray(np.pad(codes, ((0, 0), (0, -codes.shape[1] % 8)))).view(np.uint64)
-        return lambda i, j: np.bitwise_count(words[i] ^ words[j]).sum(axis=1) <= most
+        return lambda i, j: np.bitwise_count(words[i] ^ words[j]).sum(axis=-1) <= most
 
-    found = components(candidate_edges(index, within))
+    found = components(candidate_edges(index.join(shared, "bucket"), within))
 
-    def cosines(bodies):
-        v = np.frombuffer(b"".join(bodies), np.float32).reshape(len(bodies), -1).astype(np.float64)
-        v /= np.abs(v).max(axis=1, keepdims=True)
-        v /= np.linalg.norm(v, axis=1, keepdims=True)
-        return v @ v.T >= threshold
+    def cosines(codes, bodies):
+        v = unit(np.frombuffer(b"".join(bodies), kind).reshape(len(bodies), -1))
+        near = within(codes)(np.arange(len(v))[:, None], np.arange(len(v))[None, :])
+        return near & (v @ v.T >= threshold)
 
     def packed(batches):
         import pyarrow as pa
 
         for b in batches:
-            v = b.column("v").flatten().to_numpy().astype(np.float32).reshape(b.num_rows, dim) if b.num_rows else np.zeros((0, dim), np.float32)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("component", "uid", "weight")), pa.array([x.tobytes() for x in v], pa.binary())], ["component", "uid", "weight", "body"])
+            v = b.column("v").flatten().to_numpy().astype(kind).reshape(b.num_rows, dim)
+            code = codes.value.encode(unit(v)) if len(v) else v
+            out = [*(b.column(c) for c in ("component", "n", "uid", "weight")), *(pa.array([y.tobytes() for y in x], pa.binary()) for x in (code, v))]
+            yield pa.RecordBatch.from_arrays(out, ["component", "n", "uid", "weight", "code", "body"])
 
     # Components never cross labels: a bucket holds one label. A colliding bucket hash is undone here.
-    members = saved(found.join(classes, "uid"), "candidates").select(F.xxhash64("component", "label").alias("component"), "uid", "weight", "v")
-    members = members.mapInArrow(packed, "component long, uid long, weight long, body binary")
-    return exact_links(members, cosines)
+    sizes = found.groupBy("component").agg(F.count("*").alias("n"))
+    members = saved(found.join(sizes, "component").join(classes, "uid").select(F.xxhash64("component", "label").alias("component"), "n", "uid", "weight", "v"), "candidates")
+    counts, edges, links = exact_links(members.mapInArrow(packed, "component long, n long, uid long, weight long, code binary, body binary"), cosines)
+    discard(index, found, members)
+    return counts, edges, links

@@ -2,7 +2,8 @@
 
 A group (an index bucket or a candidate component) may hold a third of all rows. Groups above ``block`` members are
 cut into blocks by a hash of the member, and every pair of blocks is a task group of its own, so that no task ever
-holds more than two blocks. Tasks return counts and spanning edges, never the pairs themselves.
+holds more than two blocks at a time. The block pairs of a group are dealt to tasks in turn. Tasks return counts and spanning
+edges, never the pairs themselves.
 """
 
 from __future__ import annotations
@@ -13,26 +14,27 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import runs, saved, tidied
+from corpusloom.llm.common import discard, runs, saved, tidied
 
 
-def block_pairs(members: DataFrame, group: str, member: str, block: int) -> DataFrame:
-    """Adds ``bi <= bj`` and ``own`` (the block of the row), with one row for each pair of blocks that holds the member's block."""
-    sizes = members.groupBy(group).agg(F.count("*").alias("_n")).where("_n > 1")
-    blocks = F.ceil(F.col("_n") / F.lit(block)).cast("int")
-    return (
-        members.join(sizes, group)
+def block_pairs(members: DataFrame, group: str, member: str, size: str, block: int) -> DataFrame:
+    """Members of groups of two or more, with one row for each pair of blocks ``bi <= bj`` that holds the member's block ``own``.
+
+    ``size`` is the column with the number of members of the group. Rows come sorted by group and block pair within a partition.
+    """
+    blocks = F.ceil(F.col(size) / F.lit(block)).cast("int")
+    dealt = (
+        members.where(F.col(size) > 1)
         .withColumn("_b", blocks)
         .withColumn("own", F.when(F.col("_b") > 1, F.pmod(F.xxhash64(member, F.lit(7)), F.col("_b")).cast("int")).otherwise(0))
         .withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
         .withColumn("bi", F.least("own", "_o"))
         .withColumn("bj", F.greatest("own", "_o"))
-        .drop("_n", "_b", "_o")
+        .drop(size, "_b", "_o")
     )
-
-
-def sorted_groups(rows: DataFrame, group: str, member: str) -> DataFrame:
-    return rows.repartition(group, "bi", "bj").sortWithinPartitions(group, "bi", "bj", member)
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pair = F.expr("bj * (bj + 1L) div 2 + bi")  # numbers the block pairs of a group
+    return dealt.repartitionById(tasks, F.pmod(F.xxhash64(group) + pair, F.lit(tasks)).cast("int")).sortWithinPartitions(group, "bi", "bj", member)
 
 
 def roots(n: int, edges) -> np.ndarray:
@@ -81,11 +83,17 @@ def sparse_links(n: int, similar: Callable[[np.ndarray, np.ndarray], np.ndarray]
     return root
 
 
+def code_matrix(column) -> np.ndarray:
+    """Codes of equal length, a row for each; the column is a binary Arrow array."""
+    parts = column.to_pylist()
+    return np.frombuffer(b"".join(parts), np.uint8).reshape(len(parts), -1)
+
+
 def candidate_edges(members: DataFrame, similar_of: Callable, block: int = 2048) -> DataFrame:
     """(a, b) edges between members of the same bucket that ``similar_of`` lets through.
 
-    members: ``bucket`` long, ``uid`` long, ``code`` binary. ``similar_of(codes)`` gets the codes of a group as a
-    two-dimensional uint8 array and returns ``similar(i, j) -> mask`` over pairs of its rows.
+    members: ``bucket`` long, ``n`` long (members of the bucket), ``uid`` long, ``code`` binary. ``similar_of(codes)`` gets the codes
+    of a group as a two-dimensional uint8 array and returns ``similar(i, j) -> mask`` over pairs of its rows.
     """
 
     def compare(batches):
@@ -95,62 +103,76 @@ def candidate_edges(members: DataFrame, similar_of: Callable, block: int = 2048)
             if t.num_rows < 2:
                 continue
             ids = t.column("uid").to_numpy()
-            code = t.column("code").combine_chunks()
-            codes = np.frombuffer(b"".join(code.to_pylist()), np.uint8).reshape(len(ids), -1)
-            a, b = chain(ids, sparse_links(len(ids), similar_of(codes)))
+            a, b = chain(ids, sparse_links(len(ids), similar_of(code_matrix(t.column("code").combine_chunks()))))
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    rows = sorted_groups(block_pairs(members.select("bucket", "uid", "code"), "bucket", "uid", block), "bucket", "uid")
-    return rows.mapInArrow(tidied(compare), "a long, b long")
+    return block_pairs(members.select("bucket", "n", "uid", "code"), "bucket", "uid", "n", block).mapInArrow(tidied(compare), "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(uid, component): the smallest uid that can be reached, for every uid that has an edge.
+def components(edges: DataFrame, chunk: int = 1 << 20) -> DataFrame:
+    """(uid, component): the smallest uid that can be reached, for every uid that has an edge; a written table.
 
-    Alternates the large-star and small-star steps, each two shuffles of the edges; the edges shrink to one star for each
-    component. Edges within a partition are first reduced to a spanning forest. Each round is a written table.
+    The edges of a partition are first reduced to stars, ``chunk`` edges at a time. Each round then hooks: of the parents of a node the
+    least stays, and the others become its children. It ends with a jump to the parents' parents. Both make ends of edges smaller, so the
+    rounds end, with one star for each component. A round is two written tables, of which the older one goes as soon as the next is there.
     """
 
-    def forest(batches):
+    def stars(batches):
+        import pyarrow as pa
+
+        def reduced(parts):
+            a, b = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+            ids, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
+            root = roots(len(ids), zip(inverse[: len(a)].tolist(), inverse[len(a) :].tolist(), strict=True))
+            child = np.flatnonzero(root != np.arange(len(ids)))
+            return pa.RecordBatch.from_arrays([pa.array(ids[child]), pa.array(ids[root[child]])], ["a", "b"])
+
+        held, n = [], 0
+        for x in batches:
+            held.append((x.column(0).to_numpy(), x.column(1).to_numpy()))
+            n += x.num_rows
+            if n >= chunk:
+                yield reduced(held)
+                held, n = [], 0
+        if n:
+            yield reduced(held)
+
+    def hook(batches):
         import pyarrow as pa
 
-        parts = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches]
-        if not parts:
-            return
-        a, b = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-        ids, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
-        root = roots(len(ids), zip(inverse[: len(a)].tolist(), inverse[len(a) :].tolist(), strict=True))
-        a, b = chain(ids, root)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        down = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        both = down.unionByName(down.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else down
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        met = both.join(low, "u")
-        if large:
-            out = met.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        else:
-            out = met.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        return out.where("a <> b").distinct()
-
-    now = saved(edges.where("a <> b").mapInArrow(tidied(forest), "a long, b long"), "forest")
-    before = None
+        last, least = None, None  # the node that the batch before ended with, and its least parent
+        for x in batches:
+            if not x.num_rows:
+                continue
+            a, b = x.column(0).to_numpy(), x.column(1).to_numpy()
+            first = np.r_[a[0] != last, a[1:] != a[:-1]]
+            at = np.maximum.accumulate(np.where(first, np.arange(len(a)), -1))
+            low = np.where(at >= 0, b[at], least if last is not None else 0)
+            other = np.unique(np.stack([b[b != low], low[b != low]]), axis=1)
+            last, least = a[-1], low[-1]
+            out = [np.r_[a[first], other[0]], np.r_[b[first], other[1]], np.r_[np.zeros(first.sum(), bool), np.ones(other.shape[1], bool)]]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in out], ["a", "b", "changed"])
+
+    now = saved(edges.where("a <> b").mapInArrow(tidied(stars), "a long, b long"), "stars")
     while True:
-        now = saved(star(star(now, True), False), "stars")
-        mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if mark == before:
+        hooked = saved(now.select("a", "b").repartition("a").sortWithinPartitions("a", "b").mapInArrow(hook, "a long, b long, changed boolean"), "hooked")
+        parents = hooked.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("above"))
+        jumped = hooked.join(parents.hint("merge"), "b", "left").select("a", F.coalesce("above", "b").alias("b"), (F.col("changed") | F.col("above").isNotNull()).alias("changed"))
+        before, now = now, saved(jumped, "jumped")
+        discard(before, hooked)
+        if not now.agg(F.bool_or("changed")).first()[0]:
             break
-        before = mark
-    return now.select(F.col("a").alias("uid"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("uid"), F.col("b").alias("component")).distinct())
+    found = saved(now.select(F.col("a").alias("uid"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("uid"), F.col("b").alias("component")).distinct()), "components")
+    discard(now)
+    return found
 
 
-def exact_links(members: DataFrame, links_of: Callable, block: int = 256) -> tuple[DataFrame, DataFrame]:
-    """((uid, links), (a, b)): how much weight every member links with inside its candidate component, and spanning edges.
+def exact_links(members: DataFrame, links_of: Callable, block: int = 128) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((uid, links), (a, b), the written table of both): how much weight every member links with inside its candidate component, and spanning edges.
 
-    members: ``component`` long, ``uid`` long, ``weight`` long, ``body`` binary. ``links_of(bodies)`` returns the boolean
-    matrix of links among the bodies of one task group.
+    members: ``component`` long, ``n`` long (members of the component), ``uid`` long, ``weight`` long, ``code`` binary, ``body`` binary.
+    ``links_of(codes, bodies)`` returns the boolean matrix of links among the members of one task group.
     """
 
     def compare(batches):
@@ -160,7 +182,7 @@ def exact_links(members: DataFrame, links_of: Callable, block: int = 256) -> tup
             if t.num_rows < 2:
                 continue
             ids, own, weight = (t.column(c).to_numpy() for c in ("uid", "own", "weight"))
-            hit = links_of(t.column("body").to_pylist())
+            hit = links_of(code_matrix(t.column("code").combine_chunks()), t.column("body").to_pylist())
             np.fill_diagonal(hit, False)
             if bi != bj:  # links inside a block are counted where the block meets itself
                 hit = hit & (own[:, None] != own[None, :])
@@ -173,7 +195,7 @@ def exact_links(members: DataFrame, links_of: Callable, block: int = 256) -> tup
             out = [pa.array(np.concatenate([ids[some], a])), pa.array(np.concatenate([n[some], np.zeros(len(a), np.int64)])), pa.array(np.concatenate([np.full(some.sum(), -1), b]))]
             yield pa.RecordBatch.from_arrays(out, ["uid", "links", "other"])
 
-    rows = sorted_groups(block_pairs(members.select("component", "uid", "weight", "body"), "component", "uid", block), "component", "uid")
+    rows = block_pairs(members.select("component", "n", "uid", "weight", "code", "body"), "component", "uid", "n", block)
     out = saved(rows.mapInArrow(tidied(compare), "uid long, links long, other long"), "links")
     counts = out.where("other < 0").groupBy("uid").agg(F.sum("links").alias("links"))
-    return counts, out.where("other >= 0").select(F.col("uid").alias("a"), F.col("other").alias("b"))
+    return counts, out.where("other >= 0").select(F.col("uid").alias("a"), F.col("other").alias("b")), out

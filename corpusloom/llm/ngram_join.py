@@ -2,13 +2,14 @@
 
 Documents with equal sets of shingles are one class. Classes get a MinHash signature; classes that share a band of it are
 candidates. A candidate pair is compared ``step`` values at a time and dropped once the posterior probability that its
-similarity reaches the threshold (uniform prior, binomial matches) is below ``tolerance``. What survives only joins classes
-into candidate components. The whole shingle sets are then sent once, to their component, and the similarity of all its
-pairs is computed exactly, by blocks. Tasks return link counts and spanning edges, never the pairs.
+similarity reaches the threshold (uniform prior, binomial matches) is below ``tolerance``. What survives joins classes
+into candidate components. The whole shingle sets are then sent to their component, by blocks, where pairs are pruned in the same
+way and what is left is verified exactly. Tasks return link counts and spanning edges, never the pairs.
 
 A word is a run of characters that aren't white space, in lower case. Texts of fewer words than a shingle have one shingle, all
 their words. Null texts and texts without words have none: they link with nothing. Rows that repeat a doc_id take part one
-by one. Empty tables give empty results. Columns beyond doc_id and text are ignored.
+by one; a null doc_id is below all others, so a class that holds one has a null class_id. Of equal least ids one row is kept. Texts of
+any length are read whole, one at a time in a task. Empty tables give empty results. Columns beyond doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import if_small, saved, text_batches, tidied, worker_cache
+from corpusloom.llm.common import discard, if_small, join_counted, saved, text_batches, tidied, worker_cache
 from corpusloom.llm.linking import candidate_edges, components, exact_links
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -107,6 +108,16 @@ def survivors(threshold: float, tolerance: float, step: int) -> Callable:
     return of
 
 
+def surviving_pairs(codes: np.ndarray, threshold: float, tolerance: float, step: int) -> np.ndarray:
+    """The matrix of the pairs among all signatures of a task group that no step drops."""
+    n = len(codes)
+    i, j = np.triu_indices(n, 1)
+    kept = survivors(threshold, tolerance, step)(codes)(i, j)
+    out = np.zeros((n, n), bool)
+    out[i[kept], j[kept]] = out[j[kept], i[kept]] = True
+    return out
+
+
 def jaccard_matrix(bodies: list[bytes], threshold: float) -> np.ndarray:
     """Which pairs of shingle sets reach the threshold, exactly: counts of common shingles by products of 0/1 blocks."""
     sets = [np.frombuffer(b, np.uint64) for b in bodies]
@@ -134,12 +145,21 @@ def jaccard_matrix(bodies: list[bytes], threshold: float) -> np.ndarray:
     return (common > 0) & (common >= threshold * either - 1e-9)
 
 
-def similar_documents(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands: int = 30, rows: int = 5, tolerance: float = 1e-4, step: int = 25, seed: int = 5) -> DataFrame:
+def verified(codes: np.ndarray, bodies: list[bytes], threshold: float, tolerance: float, step: int) -> np.ndarray:
+    """The links of a task group: the pairs that pruning leaves, verified on their whole shingle sets."""
+    left = surviving_pairs(codes, threshold, tolerance, step)
+    some = np.flatnonzero(left.any(axis=1))
+    if len(some):
+        left[np.ix_(some, some)] &= jaccard_matrix([bodies[k] for k in some], threshold)
+    return left
+
+
+def similar_documents(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands: int = 30, rows: int = 5, tolerance: float = 1e-6, step: int = 25, seed: int = 5) -> DataFrame:
     """One row per document: doc_id, class_id, n_links, kept, text_key.
 
     class_id is the smallest doc_id that links lead to, n_links the number of other documents with similarity of at least
     ``threshold``, kept true for one row of each class, with that doc_id; text_key is the text's hash, for joins where ids repeat. With 30 bands of 5 a pair at 0.8 is missed with a
-    probability of 7 in a million.
+    probability of 7 in a million, and each step of the pruning drops one if its posterior is below ``tolerance``.
     """
     spark = docs.sparkSession
     text_batches(spark)
@@ -161,7 +181,8 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands
     signed_docs = texts.withColumn("text_key", F.xxhash64("text")).mapInArrow(tidied(signed), "doc_id long, digest binary, signature binary, text_key long")
     table = saved(signed_docs.withColumn("uid", F.monotonically_increasing_id()), "signatures")
     some = table.where("digest is not null")
-    classes = saved(some.groupBy("digest").agg(F.min("uid").alias("uid"), F.min(F.struct("doc_id", "uid")).alias("low"), F.count("*").alias("weight")), "classes")
+    classes = some.groupBy("digest").agg(F.min(F.struct("uid", "doc_id", "text_key")).alias("one"), F.min(F.struct("doc_id", "uid")).alias("low"), F.count("*").alias("weight"))
+    classes = saved(classes.select("digest", "one.*", "low", "weight"), "classes")
     signatures = table.select("uid", "signature").join(classes.select("uid"), "uid", "left_semi")
 
     def banded(batches):
@@ -178,11 +199,12 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands
             yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(np.repeat(b.column("uid").to_numpy(), bands))], ["bucket", "uid"])
 
     index = signatures.mapInArrow(banded, "bucket long, uid long")
-    shared = index.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    shared = index.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     met = saved(index.join(shared, "bucket"), "met")
     asked = met.join(table.select("uid", F.col("signature").alias("code")), "uid")
     found = components(candidate_edges(asked, survivors(threshold, tolerance, step)))
-    wanted = saved(found.join(classes, "uid").join(table.select("uid", "doc_id"), "uid").select("component", "uid", "weight", "digest", "doc_id"), "candidates")
+    sizes = found.groupBy("component").agg(F.count("*").alias("n"))
+    wanted = saved(found.join(sizes, "component").join(classes, "uid").select("component", "n", "uid", "weight", "digest", "doc_id", "text_key"), "candidates")
 
     def bodies(batches):
         import hashlib
@@ -190,23 +212,24 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands
         import pyarrow as pa
 
         for b in (x.slice(i, 256) for x in batches for i in range(0, x.num_rows, 256)):
-            sets = [shingle_set(t, k).tobytes() for t in b.column("text").to_pylist()]
-            same = [hashlib.blake2b(s, digest_size=16).digest() == d for s, d in zip(sets, b.column("digest").to_pylist(), strict=True)]
-            out = pa.RecordBatch.from_arrays([*(b.column(c) for c in ("component", "uid", "weight")), pa.array(sets, pa.large_binary())], ["component", "uid", "weight", "body"])
-            out = out.filter(pa.array(same))
-            yield out.set_column(3, "body", out.column(3).cast(pa.binary()))
-
-    # Of rows that repeat a class's doc_id, one with its shingles is enough.
-    again = texts.join(if_small(wanted, 300_000), texts["doc_id"].eqNullSafe(wanted["doc_id"]))
-    again = again.select("component", "uid", "weight", "digest", "text").mapInArrow(tidied(bodies), "component long, uid long, weight long, body binary")
-    repeated = table.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    if not repeated.isEmpty():
+            sets = [shingle_set(t, k) for t in b.column("text").to_pylist()]
+            same = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == d for s, d in zip(sets, b.column("digest").to_pylist(), strict=True)]
+            signatures = [minhash(s, *factors.value).tobytes() if ok else None for s, ok in zip(sets, same, strict=True)]
+            out = [*(b.column(c) for c in ("component", "n", "uid", "weight")), pa.array(signatures, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(out, ["component", "n", "uid", "weight", "code", "body"]).filter(pa.array(same, pa.bool_()))
+
+    again = texts.withColumn("text_key", F.xxhash64("text")).join(if_small(wanted.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"}), 100_000), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
+    again = again.select("component", "n", "uid", "weight", "digest", "text").mapInArrow(tidied(bodies), "component long, n long, uid long, weight long, code binary, body binary")
+    # Of rows that repeat a class's doc_id and text, one with its shingles is enough.
+    if not table.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         again = again.dropDuplicates(["uid"])
-    counts, edges = exact_links(again, lambda b: jaccard_matrix(b, threshold))
+    counts, edges, links = exact_links(again, lambda codes, b: verified(codes, b, threshold, tolerance, step))
     joined = components(edges)
-    per_class = classes.join(counts, "uid", "left").join(joined, "uid", "left").select("digest", "low", F.coalesce("component", "uid").alias("c"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    per_class = classes.join(counts, "uid", "left").join(joined, "uid", "left").select("digest", "low", "weight", F.coalesce("component", "uid").alias("c"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     lows = per_class.groupBy("c").agg(F.min("low").alias("first"))
-    per_class = saved(per_class.join(lows, "c").select("digest", "n_links", "first"), "per_class")
-    linked = some.join(per_class, "digest").select("doc_id", F.col("first.doc_id").alias("class_id"), "n_links", (F.col("uid") == F.col("first.uid")).alias("kept"), "text_key")
+    per_class = saved(per_class.join(lows, "c").select("digest", "n_links", "first", "weight"), "per_class")
+    discard(met, found, wanted, links, joined, classes)
+    linked = join_counted(some, per_class, ["digest"], "weight", table.count())
+    linked = linked.select("doc_id", F.col("first.doc_id").alias("class_id"), "n_links", (F.col("uid") == F.col("first.uid")).alias("kept"), "text_key")
     alone = table.where("digest is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"), "text_key")
     return linked.unionByName(alone)
