@@ -3,7 +3,7 @@
 Both tokenizer kinds split a text into words before they merge, and never merge across the cuts. A text is cut here only
 where they cut as well (before a lone space, between a plain letter and plain punctuation, around white space), and the
 library encodes each distinct piece once. The ids equal those of one call on the whole text. Texts with control
-characters on whose class the libraries may differ are encoded in one call.
+characters on whose class the libraries may differ, and texts that hold one of the tokenizer's added tokens, are encoded in one call.
 """
 
 from __future__ import annotations
@@ -46,7 +46,8 @@ class Pieces(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.odd = re.compile("|".join([_ODD.pattern, *map(re.escape, added)]), re.IGNORECASE).search
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() < 65536 else "<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
         self.find = (_WITH_SPACE if keeps_space else _WITHOUT_SPACE).findall
@@ -74,7 +75,7 @@ class Pieces(dict):
 
     def encode(self, text: str | None) -> np.ndarray:
         text = text or ""
-        if _ODD.search(text):
+        if self.odd(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
         return np.frombuffer(b"".join(map(self.__getitem__, self.find(text))), self.kind)
 

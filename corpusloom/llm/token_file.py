@@ -6,8 +6,8 @@ is padded with id 0 and mask false. A second Arrow file for each shard has a row
 before it in the shard and its own number of ids. The manifest has each shard's first position in the whole stream.
 Ids are stored in 16 bits where the vocabulary allows, else in 32.
 
-Null texts are empty: their document has the end id alone. Null ids come first; rows that repeat an id stay, in the order of
-their texts. An empty table gives a manifest without shards. Columns beyond doc_id and text are ignored.
+Null texts are empty: their document has the end id alone. Null ids come first; rows that repeat an id stay, next to each other unless they
+fill several shards. Texts of any length are read whole, one at a time in a task. An empty table gives a manifest without shards. Columns beyond doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import open_fs, range_shards, saved, text_batches
+from corpusloom.llm.common import discard, open_fs, range_shards, saved, text_batches
 from corpusloom.llm.pieces import pieces
 
 MANIFEST_SCHEMA = "shard int, ids_tmp string, docs_tmp string, documents long, n_ids long"
@@ -90,25 +90,62 @@ def _writer(out: str, tokenizer: str, end_id: int, seq_len: int, batch_rows: int
 def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2, seq_len: int = 1024, batch_rows: int = 256, shard_bytes: int = 16 << 20, keeps_space: bool = True) -> list[dict]:
     """Writes the ids of (doc_id, text) in ascending doc_id order and returns the manifest, one entry for each shard."""
     text_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    at, weights = range_shards(rows, "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)) + 64, shard_bytes)
-    dealt = rows.select(at.cast("int").alias("shard"), "doc_id", "text").repartitionById(len(weights), F.col("shard")).sortWithinPartitions("shard", "doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("key"), F.col("text").cast("string")).withColumn("tie", F.xxhash64("text"))
+    keys = saved(rows.select("key", "tie", (F.coalesce(F.octet_length("text"), F.lit(0)) + 64).cast("long").alias("weight")), "keys")
+    assign, weights = range_shards(keys, shard_bytes)
+    discard(keys)
+    dealt = assign(rows).select("shard", "key", "text").repartitionById(len(weights), F.col("shard")).sortWithinPartitions("shard", "key", "text")
     tasks = dealt.mapInArrow(_writer(out, tokenizer, end_id, seq_len, batch_rows, keeps_space), MANIFEST_SCHEMA)
     fs, base = open_fs(out)
     fs.create_dir(base, recursive=True)
     entries, before = [], 0
-    for r in saved(tasks, "manifest").orderBy("shard").collect():
+    manifest = saved(tasks, "manifest")
+    for r in manifest.orderBy("shard").collect():
         e = {"shard": r["shard"], "ids": f"shard-{r['shard']:06d}.arrow", "docs": f"shard-{r['shard']:06d}.docs.arrow", "documents": r["documents"], "n_ids": r["n_ids"], "start": before}
         fs.move(f"{base}/{r['ids_tmp']}", f"{base}/{e['ids']}")
         fs.move(f"{base}/{r['docs_tmp']}", f"{base}/{e['docs']}")
         entries.append(e)
         before += r["n_ids"]
+    discard(manifest)
+    if entries:
+        fs.delete_dir(f"{base}/tmp")  # files of lost attempts
     with fs.open_output_stream(f"{base}/manifest.json.tmp") as f:
-        f.write(json.dumps({"seq_len": seq_len, "shards": entries}, indent=1).encode())
+        f.write(json.dumps({"seq_len": seq_len, "batch_rows": batch_rows, "shards": entries}, indent=1).encode())
     fs.move(f"{base}/manifest.json.tmp", f"{base}/manifest.json")
     return entries
 
 
+class Sequences:
+    """Random access to the sequences at ``out`` in the order of the stream: opens a shard's file at its first use.
+
+    Of local files, what comes back are views of the mapped file: nothing is copied.
+    """
+
+    def __init__(self, out: str):
+        self.fs, self.base = open_fs(out)
+        with self.fs.open_input_stream(f"{self.base}/manifest.json") as f:
+            held = json.loads(f.read())
+        self.seq_len, self.batch_rows, self.shards = held["seq_len"], held["batch_rows"], held["shards"]
+        self.ends = np.cumsum([-(-e["n_ids"] // self.seq_len) for e in self.shards])
+        self.files: dict = {}
+
+    def __len__(self) -> int:
+        return int(self.ends[-1]) if len(self.ends) else 0
+
+    def __getitem__(self, i: int):
+        """(ids as a numpy array, mask as a boolean Arrow array) of sequence ``i``."""
+        if not 0 <= i < len(self):
+            raise IndexError(i)
+        k = int(np.searchsorted(self.ends, i, side="right"))
+        if k not in self.files:
+            self.files[k] = open_sequences(self.fs, f"{self.base}/{self.shards[k]['ids']}")
+        batch, row = divmod(i - (int(self.ends[k - 1]) if k else 0), self.batch_rows)
+        b = self.files[k].get_batch(batch)
+        part = slice(row * self.seq_len, (row + 1) * self.seq_len)
+        ids, mask = (b.column(c).flatten() for c in ("ids", "mask"))
+        return ids.to_numpy(zero_copy_only=True)[part], mask.slice(part.start, self.seq_len)
+
+
 def open_sequences(fs, path: str):
     """The record batches of a shard; of a local file they are views of the mapped file."""
     import pyarrow as pa

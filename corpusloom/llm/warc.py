@@ -7,12 +7,13 @@ those of the attempts that succeeded, the driver renames them and then writes th
 first. Files of lost or repeated attempts stay outside the manifest.
 
 Equal payloads are stored once, in the record with the largest id (a ``response``); the others become ``revisit`` records
-that refer to it. The winner of each payload is found by aggregating digests only, so a payload shared by a third of
-all rows meets in no task.
+that refer to it. The winner of each payload is found by aggregating digests only, and very common digests are sent to all
+tasks, so a payload shared by a third of all rows meets in no task.
 
-Null html is an empty payload. Rows with a null id come first and never win against an id. Rows that repeat an id and a
-payload give one response, the rest revisits of it. Empty tables give an empty archive. Columns beyond id, url and html
-are ignored.
+Null html is an empty payload. Rows with a null id come first and never win against an id; if all rows of a payload have a null id, one
+of them is the response and the others refer to a null id. Rows that repeat an id and a
+payload give one response, the rest revisits of it. Payloads of any length are whole records, one at a time in a task. Empty tables give an
+empty archive. Columns beyond id, url and html are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import open_fs, range_shards, saved, text_batches
+from corpusloom.llm.common import discard, join_counted, open_fs, range_shards, saved, text_batches
 
 FIXED_DATE = "2024-01-01T00:00:00Z"
 MANIFEST_SCHEMA = "shard int, part int, tmp string, name string, records long, bytes long, sha256 string"
@@ -58,7 +59,7 @@ def _record(page_id, url, payload: bytes, digest: str, winner, revisit: bool, da
         ("X-Payload-Length", len(payload)),
     ]
     if revisit:
-        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _record_id(winner, digest)), ("X-Refers-To-Page-Id", winner)]
+        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _record_id(winner, digest)), ("X-Refers-To-Page-Id", "" if winner is None else winner)]
     raw = b"WARC/1.1\r\n" + _head([*fields, ("Content-Length", len(block))]) + b"\r\n" + block + b"\r\n\r\n"
     return gzip.compress(raw, 6, mtime=0)
 
@@ -113,29 +114,36 @@ def _tasks_files(out: str, roll_bytes: int, date: str):
     return write
 
 
-def write_warc(pages: DataFrame, out: str, shard_bytes: int = 16 << 20, roll_bytes: int = 64 << 20, min_payload: int = 0, date: str = FIXED_DATE) -> list[dict]:
+def write_warc(pages: DataFrame, out: str, shard_bytes: int = 16 << 20, roll_bytes: int = 1 << 20, min_payload: int = 0, date: str = FIXED_DATE) -> list[dict]:
     """Writes (page_id, url, html) as WARC files under ``out`` and returns the manifest, one entry for each file.
 
-    ``shard_bytes`` is the uncompressed size of a shard, ``roll_bytes`` the compressed size after which a file ends.
+    ``shard_bytes`` is the uncompressed size of a shard, ``roll_bytes`` the compressed size after which a file ends and the shard goes on in
+    another one; at the defaults a shard of html is a few files.
     Payloads below ``min_payload`` bytes are all responses. The manifest grows with the number of files, not of records.
     """
     text_batches(pages.sparkSession)
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
+    rows = pages.select(F.col("page_id").cast("long").alias("key"), F.col("url").cast("string"), F.col("html").cast("string"))
     body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    digests = saved(rows.select("page_id", F.unhex(F.sha1(body)).alias("digest")), "digests")
+    rows = rows.withColumn("digest", F.unhex(F.sha1(body))).withColumn("tie", F.xxhash64("digest"))
+    digests = saved(rows.select("key", "tie", "digest", (F.octet_length(body) + 512).cast("long").alias("weight")), "digests")
     # Written first, so that its size is known when the join is planned: small, it is broadcast and the html isn't shuffled for it.
-    best = saved(digests.groupBy("digest").agg(F.max("page_id").alias("winner"), F.count("*").alias("copies")).where("copies > 1"), "shared")
-    at, weights = range_shards(rows, "page_id", F.octet_length(F.coalesce("html", F.lit(""))) + 512, shard_bytes)
-    keyed = rows.withColumn("digest", F.unhex(F.sha1(body))).join(best, "digest", "left")
-    again = F.col("winner").isNotNull() & (F.octet_length(body) >= min_payload)
-    sorted_rows = keyed.withColumn("shard", at.cast("int")).withColumn("repeated", again).repartitionById(len(weights), F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", "url")
-    tasks = sorted_rows.select("shard", "page_id", "url", "html", "winner", "repeated").mapInArrow(_tasks_files(out, roll_bytes, date), MANIFEST_SCHEMA)
-    entries = [r.asDict() for r in saved(tasks, "manifest").orderBy("shard", "part").collect()]
+    best = digests.groupBy("digest").agg(F.max("key").alias("winner"), F.count("*").alias("copies"))
+    best = saved(best.where("copies > 1"), "shared")
+    assign, weights = range_shards(digests, shard_bytes)
+    keyed = join_counted(rows, best, ["digest"], "copies", sum(weights) // 512, how="left")
+    again = F.col("copies").isNotNull() & (F.octet_length(body) >= min_payload)
+    dealt = assign(keyed.withColumn("repeated", again)).repartitionById(len(weights), F.col("shard")).sortWithinPartitions("shard", "key", "digest", "url")
+    tasks = dealt.select("shard", F.col("key").alias("page_id"), "url", "html", "winner", "repeated").mapInArrow(_tasks_files(out, roll_bytes, date), MANIFEST_SCHEMA)
+    manifest = saved(tasks, "manifest")
+    entries = [r.asDict() for r in manifest.orderBy("shard", "part").collect()]
+    discard(digests, best, manifest)
     fs, base = open_fs(out)
     fs.create_dir(base, recursive=True)
     for e in entries:
         fs.move(f"{base}/{e['tmp']}", f"{base}/{e['name']}")
         del e["tmp"]
+    if entries:
+        fs.delete_dir(f"{base}/tmp")  # files of lost attempts
     with fs.open_output_stream(f"{base}/manifest.json.tmp") as f:
         f.write(json.dumps({"files": entries}, indent=1).encode())
     fs.move(f"{base}/manifest.json.tmp", f"{base}/manifest.json")
