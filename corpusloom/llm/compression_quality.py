@@ -1,12 +1,12 @@
 """A quality classifier by compression: two zstandard dictionaries, one trained on good and one on bad labelled text.
 
 A text is compressed with each dictionary. The difference of the sizes, normalised by their sum and by the text's length, says
-which class it resembles. A logistic curve over both and the share of its length that the text keeps with the good
-dictionary, fitted on labelled texts that are in neither dictionary, turns them into a score from 0 to 1.
+which class it resembles. A logistic curve over both, fitted on labelled texts that are in neither dictionary, turns them into a
+score from 0 to 1.
 
-Labels are read for fitting only, from a bounded sample of whole texts (``most_per_class`` for each class). Null and
-empty texts have a difference of 0. Without labels of both classes every score is 0.5. Rows that repeat a doc_id are
-scored one by one; empty tables give empty results; columns beyond doc_id and text are ignored.
+Labels are read for fitting only, from a bounded sample of whole texts (``most_per_class`` for each class, ``most_bytes`` in all). Null and
+empty texts have a difference of 0. Without labels of both classes every score is 0.5. Texts of any length are read whole, one at a time
+in a task. Rows that repeat a doc_id, or have none, are scored one by one; empty tables give empty results; columns beyond doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -47,37 +47,40 @@ class CompressionModel:
 
 
 def differences(text: str | None, compressors) -> list[float]:
-    """The size with the bad dictionary less that with the good one, over their sum and over the length; the good one over the length."""
+    """The size with the bad dictionary less that with the good one, over their sum and over the text's length."""
     data = (text or "").encode("utf-8", "surrogatepass")
     if not data:
-        return [0.0, 0.0, 0.0]
+        return [0.0, 0.0]
     good, bad = (len(c.compress(data)) for c in compressors)
-    return [(bad - good) / (bad + good), (bad - good) / len(data), min(1.0, good / len(data))]
+    return [(bad - good) / (bad + good), (bad - good) / len(data)]
 
 
-def _dictionary(texts: list[str], size: int, rng: random.Random, piece: int = 400) -> bytes:
-    """Trained on pieces from all over the texts; where they are too few to train on, the pieces themselves."""
+def _dictionary(texts: list[str], size: int, train_bytes: int, rng: random.Random, piece: int = 400) -> bytes:
+    """Trained on pieces from all over the texts, ``train_bytes`` of them at most; where they are too few to train on, the pieces themselves."""
     import zstandard as z
 
     parts = [t[i : i + piece].encode() for t in texts for i in range(0, len(t), piece)]
     rng.shuffle(parts)
-    parts = parts[:20_000]
+    parts = parts[: max(1, train_bytes // piece)]
     try:
         return z.train_dictionary(min(size, sum(map(len, parts)) // 4), parts).as_bytes()
     except z.ZstdError:
         return b"".join(parts)[:size]
 
 
-def fit_quality(labelled: DataFrame, label: str = "quality", most_per_class: int = 2500, dictionary_bytes: int = 500_000, level: int = 3, seed: int = 3) -> CompressionModel | None:
-    """Fits on (doc_id, text, label 0 or 1); every other sampled text goes to the dictionaries, the rest to the curve."""
+def fit_quality(labelled: DataFrame, label: str = "quality", most_per_class: int = 2500, most_bytes: int = 64 << 20, dictionary_bytes: int = 500_000, train_bytes: int = 8 << 20, level: int = 3, seed: int = 3) -> CompressionModel | None:
+    """Fits on (doc_id, text, label 0 or 1); every other sampled text goes to the dictionaries, the rest to the curve.
+
+    ``most_per_class`` and ``most_bytes`` bound the sample, ``train_bytes`` what a dictionary of ``dictionary_bytes`` is trained on.
+    """
     rng = random.Random(seed)
     texts: dict[int, list[str]] = {0: [], 1: []}
-    for y, t in labelled_sample(labelled.where(F.col(label).isin(0, 1)), label, most_per_class):
+    for y, t in labelled_sample(labelled.where(F.col(label).isin(0, 1)), label, most_per_class, most_bytes):
         if t:
             texts[y].append(t)
     if min(map(len, texts.values())) < 4:
         return None
-    model = CompressionModel(_dictionary(texts[1][::2], dictionary_bytes, rng), _dictionary(texts[0][::2], dictionary_bytes, rng), [], 0, level)
+    model = CompressionModel(_dictionary(texts[1][::2], dictionary_bytes, train_bytes, rng), _dictionary(texts[0][::2], dictionary_bytes, train_bytes, rng), [], 0, level)
     c = model.compressors()
     x, y = zip(*((differences(t, c), k) for k in (0, 1) for t in texts[k][1::2]), strict=True)
     x = np.array(x)

@@ -6,7 +6,8 @@ language of the nearest centroid; the score is the cosine. A text farther from a
 with a margin, is rejected.
 
 Null texts and texts without a letter get the language ``und`` and score 0 and are rejected. So does every text if nothing could be
-learned. Rows that repeat a doc_id are handled one by one; empty tables give empty results; columns beyond doc_id, text
+learned. Of equally near centroids the first counts, by name of the language. Texts of any length are read whole, one at a time in a task. Rows that
+repeat a doc_id, or have none, are handled one by one; empty tables give empty results; columns beyond doc_id, text
 and (for fitting) lang are ignored.
 """
 
@@ -19,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import text_batches, tidied, worker_cache
+from corpusloom.llm.common import text_batches, tidied, tidy, worker_cache
 from corpusloom.llm.samples import labelled_sample
 
 DIM = 1 << 13
@@ -47,8 +48,10 @@ class CentroidModel:
     least: dict[str, float]  # cosine below which a text is rejected
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
-        v = np.log1p(counts) * self.idf
-        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        v = np.log1p(counts)
+        v *= self.idf
+        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        return v
 
     def nearest(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cos = self.vectors(counts) @ self.centroids.T
@@ -66,23 +69,27 @@ def _clusters(v: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 15)
     return centres
 
 
-def fit_languages(labelled: DataFrame, most_per_lang: int = 400, clusters: int = 3, margin: float = 0.8, seed: int = 3) -> CentroidModel | None:
-    """Fits on (doc_id, text, lang); ``most_per_lang`` bounds the sample, from which weights, centroids and limits come."""
-    found = [(lang, c) for lang, t in labelled_sample(labelled, "lang", most_per_lang) if (c := gram_counts(t)) is not None]
+def fit_languages(labelled: DataFrame, most_per_lang: int = 400, most_texts: int = 4000, clusters: int = 3, margin: float = 0.8, seed: int = 3) -> CentroidModel | None:
+    """Fits on (doc_id, text, lang). ``most_per_lang`` and ``most_texts`` bound the sample, from which weights, centroids and limits come."""
+    found = [(lang, c) for lang, t in labelled_sample(labelled, "lang", most_per_lang, most_rows=most_texts) if (c := gram_counts(t)) is not None]
     if not found:
         return None
     langs = sorted({x for x, _ in found})
-    counts = np.stack([c for _, c in found])
     labels = np.array([x for x, _ in found])
+    counts = np.stack([c for _, c in found])
+    del found
     idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
     model = CentroidModel([], np.zeros((0, DIM), np.float32), idf, {})
     v = model.vectors(counts)
+    del counts
     rng = np.random.default_rng(seed)
     parts = [_clusters(v[labels == x], clusters, rng) for x in langs]
     model.langs = [x for x, p in zip(langs, parts, strict=True) for _ in p]
     model.centroids = np.concatenate(parts).astype(np.float32)
     cos = v @ model.centroids.T
     model.least = {x: margin * float(cos[labels == x].max(axis=1).min()) for x in langs}
+    del v
+    tidy()
     return model
 
 

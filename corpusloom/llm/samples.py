@@ -2,40 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import seeded
 
 
+def _share(rows: DataFrame, label: str, most: int) -> tuple[Column, int]:
+    """(for each row, the hash below which about ``most`` rows of its label lie; the number of labels)."""
+    counts = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}
+    if not counts:
+        return F.lit(0), 0
+    return F.element_at(F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1 << 60, (1 << 60) * most // n)))), F.col(label)), len(counts)
+
+
 def with_some_labels(docs: DataFrame, labels: DataFrame, label: str, most: int, seed: int = 3) -> DataFrame:
     """(doc_id, text, label) of about ``most`` labelled documents of each value, at most twice as many.
 
-    The sample is drawn from the labels alone; being bounded, it is sent to the documents, whose texts aren't shuffled.
+    The sample is drawn from the labels alone, in the order of a seeded hash; being bounded, it is sent to the documents, whose texts
+    aren't shuffled.
     """
     rows = labels.select("doc_id", label).where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
-    counts = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}
-    if not counts:
-        return docs.select("doc_id", "text").join(rows, "doc_id")
-    share = F.element_at(F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1 << 60, (1 << 60) * most // n)))), F.col(label))
-    picked = rows.where(seeded(seed, "doc_id") < share).limit(2 * most * len(counts))
+    share, n = _share(rows, label, most)
+    picked = rows.withColumn("h", seeded(seed, "doc_id")).where(F.col("h") < share).orderBy("h", "doc_id", label).limit(2 * most * n).drop("h")
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
 
-def labelled_sample(labelled: DataFrame, label: str, most: int, most_chars: int = 200_000, seed: int = 3) -> list[tuple]:
+def labelled_sample(labelled: DataFrame, label: str, most: int, most_bytes: int = 64 << 20, most_rows: int | None = None, seed: int = 3) -> list[tuple]:
     """(label, text) of about ``most`` rows of each value of ``label``, by a seeded hash of doc_id, at most twice as many.
 
-    Texts longer than ``most_chars`` aren't sampled, so that the sample is bounded in bytes as well. Null labels and null texts
-    aren't either. The rows come in the order of the hash.
+    All texts together hold no more than ``most_bytes``, each label an equal share: in the order of the hash, a text is taken if it still
+    fits, whole. ``most_rows`` bounds the rows of all labels together. Null labels and null texts aren't sampled. The rows come in the order of the hash.
     """
-    rows = labelled.select("doc_id", F.col(label).alias("label"), "text").where("label is not null and text is not null")
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    if not counts:
+    rows = labelled.select(seeded(seed, "doc_id").alias("h"), "doc_id", F.col(label).alias("label"), "text").where("label is not null and text is not null")
+    share, n = _share(rows, "label", most)
+    if not n:
         return []
-    share = F.element_at(F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1 << 60, (1 << 60) * most // n)))), F.col("label"))
-    picked = rows.withColumn("h", seeded(seed, "doc_id")).where((F.col("h") < share) & (F.length("text") <= most_chars))
-    found = picked.select("h", "doc_id", "label", "text").limit(2 * most * len(counts)).collect()
-    found.sort(key=lambda r: (r["h"], str(r["doc_id"]), r["text"]))
+    if most_rows is not None and n * most > most_rows:
+        return labelled_sample(labelled, label, max(1, most_rows // n), most_bytes, None, seed)
+    key = F.xxhash64("text").alias("key")
+    picked = rows.where(F.col("h") < share)
+    sizes = picked.select("h", "label", key, F.octet_length("text").alias("size")).orderBy("h", "label", "key").limit(2 * most * n).collect()
+    left: dict = {}
+    taken = []
+    for r in sizes:
+        if r["size"] <= left.setdefault(r["label"], most_bytes // n):
+            left[r["label"]] -= r["size"]
+            taken.append((r["h"], r["key"]))
+    wanted = labelled.sparkSession.createDataFrame(sorted(set(taken)), "h long, key long")
+    found = picked.select("h", "label", "text", key).join(F.broadcast(wanted), ["h", "key"]).select("h", "label", "text").collect()
+    found.sort(key=lambda r: (r["h"], str(r["label"]), r["text"]))
     return [(r["label"], r["text"]) for r in found]
 
 

@@ -4,9 +4,15 @@ P(grade <= k) is a logistic curve of a threshold minus one weighted sum of word
 thresholds, which are kept in order. Features are log(1 + count) of the words that tell the grades apart in the fitting
 sample. The result holds every grade's probability and the expected severity.
 
+Labels that are grades are fitted as they are. Labels that are 0/1 flags hold no grades above 1: the flagged texts of the sample are then
+graded 1 to 3 by the number of telling words they hold (``graded``). Such grades order texts by the amount of what the flag marks; they are made here, not
+labelled, and only the flag can be checked against labels.
+
 A word is a run of letters, digits and underscores, in lower case. Null and empty texts have no features and get the
-thresholds' own probabilities. Labels are read for fitting only, from a bounded sample (``most_per_class``). Without
-labels, or with labels of one grade only, the severity is that grade (0 without any). Rows that repeat a doc_id are scored one by one; empty tables
+thresholds' own probabilities; of equally likely grades the lowest is the text's. Labels are read for fitting only, from a bounded sample
+(``most_per_class`` for each value, ``most_bytes`` in all). Without
+labels, or with labels of one grade only, the severity is that grade (0 without any). Texts of any length are read whole, one at a time in a task. Rows that
+repeat a doc_id, or have none, are scored one by one; empty tables
 give empty results; columns beyond doc_id and text are ignored.
 """
 
@@ -70,6 +76,25 @@ def graded(flags: list[tuple[int, str]]) -> list[tuple[int, str]]:
     return out
 
 
+def loss_and_gradient(p: np.ndarray, x: np.ndarray, y: np.ndarray, share: np.ndarray, levels: int, l2: float) -> tuple[float, np.ndarray]:
+    """Of the weighted negative log likelihood of grades ``y``; p: weights, first threshold, logarithms of the gaps to the next ones."""
+    k = x.shape[1]
+    w, gaps = p[:k], np.exp(p[k + 1 :])
+    theta = p[k] + np.r_[0, np.cumsum(gaps)]
+    f = 1 / (1 + np.exp(-np.clip(theta[None, :] - (x @ w.astype(x.dtype))[:, None], -40, 40)))
+    rows = np.arange(len(y))
+    cum = np.c_[np.zeros(len(y)), f, np.ones(len(y))]
+    prob = np.maximum(cum[rows, y + 1] - cum[rows, y], 1e-9)
+    d = np.c_[np.zeros(len(y)), f * (1 - f), np.zeros(len(y))]  # slopes of the curves
+    hi, lo = d[rows, y + 1] / prob * share, d[rows, y] / prob * share
+    g_theta = np.zeros(levels + 2)
+    np.add.at(g_theta, y + 1, -hi)
+    np.add.at(g_theta, y, lo)
+    g_theta = g_theta[1:-1]
+    g = np.concatenate([x.T @ (hi - lo).astype(x.dtype) + l2 * w, [g_theta.sum()], np.cumsum(g_theta[::-1])[::-1][1:] * gaps])
+    return float(-(share * np.log(prob)).sum() + l2 / 2 * (w * w).sum()), g
+
+
 def fit_ordinal(docs: list[tuple[int, str]], most_words: int = 300, l2: float = 1e-4, rounds: int = 400, rate: float = 0.05) -> OrdinalModel:
     """Fits by gradient descent (Adam); grade 0 and the grades above it together count the same."""
     grades = sorted({g for g, _ in docs})
@@ -87,32 +112,19 @@ def fit_ordinal(docs: list[tuple[int, str]], most_words: int = 300, l2: float =
         for w, c in Counter(w for w in _words(text.lower()) if w in index).items():
             x[r, index[w]] = math.log1p(c)
     share = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y == 0).sum())
-    p = np.concatenate([np.zeros(len(chosen)), [0.0], np.zeros(levels - 1)])  # weights, first threshold, log gaps
+    p = np.zeros(len(chosen) + levels)
     m, v = np.zeros_like(p), np.zeros_like(p)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-    rows = np.arange(len(y))
     for t in range(1, rounds + 1):
-        w, gaps = p[: len(chosen)], np.exp(p[len(chosen) + 1 :])
-        theta = p[len(chosen)] + np.r_[0, np.cumsum(gaps)]
-        f = sigmoid(theta[None, :] - (x @ w.astype(np.float32))[:, None])
-        cum = np.c_[np.zeros(len(y)), f, np.ones(len(y))]
-        prob = np.maximum(cum[rows, y + 1] - cum[rows, y], 1e-9)
-        d = np.c_[np.zeros(len(y)), f * (1 - f), np.zeros(len(y))]  # slopes of the curves
-        hi, lo = d[rows, y + 1] / prob * share, d[rows, y] / prob * share
-        g_theta = np.zeros(levels + 2)
-        np.add.at(g_theta, y + 1, -hi)
-        np.add.at(g_theta, y, lo)
-        g_theta = g_theta[1:-1]
-        g = np.concatenate([x.T @ (hi - lo).astype(np.float32) + l2 * w, [g_theta.sum()], np.cumsum(g_theta[::-1])[::-1][1:] * gaps])
+        g = loss_and_gradient(p, x, y, share, levels, l2)[1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p = p - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
     theta = p[len(chosen)] + np.r_[0, np.cumsum(np.exp(p[len(chosen) + 1 :]))]
     return OrdinalModel({w: float(a) for w, a in zip(chosen, p, strict=False) if abs(a) > 1e-6}, theta.tolist())
 
 
-def fit_toxicity(labelled: DataFrame, label: str = "toxic", most_per_class: int = 4000, grades: bool = False) -> OrdinalModel:
+def fit_toxicity(labelled: DataFrame, label: str = "toxic", most_per_class: int = 4000, most_bytes: int = 64 << 20, grades: bool = False) -> OrdinalModel:
     """Fits on (doc_id, text, label). ``grades``: the labels are grades 0, 1, 2, ... already; else 0/1 flags, graded here."""
-    sample = labelled_sample(labelled, label, most_per_class)
+    sample = labelled_sample(labelled, label, most_per_class, most_bytes)
     return fit_ordinal(sample if grades else graded(sample))
 
 
