@@ -92,6 +92,19 @@ def min_cost_flow(supply: list[tuple[int, list[int]]], quotas: list[int], copies
             cap[e ^ 1] += least
 
 
+def sums_before(rows: DataFrame, keys: list[str], at: str, value: str, fan: int = 4096) -> DataFrame:
+    """Adds ``before``: the sum of ``value`` over the key's rows with a smaller ``at`` (distinct whole numbers from 0).
+
+    Runs of ``fan`` numbers are summed first, so that a window sorts no more than the runs of a key, or the rows of a run.
+    """
+    run = F.expr(f"{at} div {fan}L").alias("_run")
+    earlier = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    runs = rows.groupBy(*keys, run).agg(F.sum(value).alias("_s"))
+    runs = runs.select(*keys, "_run", F.coalesce(F.sum("_s").over(earlier(*keys).orderBy("_run")), F.lit(0)).alias("_runs"))
+    within = F.coalesce(F.sum(value).over(earlier(*keys, "_run").orderBy(at)), F.lit(0))
+    return rows.withColumn("_run", run).withColumn("_within", within).join(runs, [*keys, "_run"]).withColumn("before", F.col("_runs") + F.col("_within")).drop("_run", "_within", "_runs")
+
+
 def mix(docs: DataFrame, sources: Column | None = None, copies: int = 3, cycle: tuple[int, ...] = (1, 2, 3), weights: dict[str, float] | None = None, seed: int = 17, bucket_docs: int = 512, most_sets: int = 200_000) -> DataFrame:
     """One row per document: doc_id, text_key, size, source_size, target, taken, taken_by.
 
@@ -127,7 +140,7 @@ def mix(docs: DataFrame, sources: Column | None = None, copies: int = 3, cycle:
     width = (1 << 60) // max(1, -(-sum(n for _, _, n in found) // bucket_docs)) + 1
     rows = rows.withColumn("slice", F.expr(f"h div {width}L"))
     slices = rows.groupBy("sources", "slice").agg(F.sum("size").alias("s"))
-    before = slices.select("sources", "slice", F.coalesce(F.sum("s").over(Window.partitionBy("sources").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    before = sums_before(slices, ["sources"], "slice", "s").select("sources", "slice", "before")
     within = Window.partitionBy("sources", "slice").orderBy("h", "doc_id", "text_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.withColumn("upto", F.sum("size").over(within)).join(before, ["sources", "slice"]).join(if_small(plan, 10_000), "sources")
     first = F.col("before") + F.col("upto") - F.col("size")

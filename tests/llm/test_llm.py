@@ -11,9 +11,11 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from corpusloom.llm import compression_quality, exact_dedup, itq, langid, linking, mixing, ngram_join, packing, token_file, toxicity, warc
-from corpusloom.llm.common import new_folder, open_fs
+from corpusloom.llm import common
+from corpusloom.llm.common import join_counted, new_folder, open_fs, range_shards, saved
 from corpusloom.llm.pieces import pieces
 from corpusloom.llm.queries import TOKENIZERS
 
@@ -56,6 +58,14 @@ def test_warc_round_trip_with_nulls_copies_and_repeated_rows(spark):
         assert json.loads(f.read())["files"] == files
 
 
+def test_warc_keeps_one_response_of_a_payload_without_ids(spark):
+    rows = [(None, "http://a", "same"), (None, "http://b", "same"), (None, "http://a", "same"), (None, None, "other"), (3, "http://c", None), (None, "http://d", "")]
+    out = new_folder(spark, "warc")
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), out)
+    got = collections.Counter((r["page_id"], r["record_type"], r["payload_bytes"], r["refers_to"]) for r in warc.read_warc(spark, out).collect())
+    assert got == {(None, "response", 4, None): 1, (None, "revisit", 4, None): 2, (None, "response", 5, None): 1, (3, "response", 0, None): 1, (None, "revisit", 0, 3): 1}
+
+
 def test_warc_of_nothing(spark):
     out = new_folder(spark, "warc")
     assert warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), out) == []
@@ -67,12 +77,13 @@ def test_warc_of_nothing(spark):
 
 @pytest.mark.parametrize(("name", "keeps"), [("byte_bpe_50k", True), ("word_bpe_49k", False)])
 def test_pieces_equal_one_call_on_the_whole_text(name, keeps):
-    p = pieces(f"{TOKENIZERS}/{name}.json", keeps)
+    p, fresh = pieces(f"{TOKENIZERS}/{name}.json", keeps), Tokenizer.from_file(f"{TOKENIZERS}/{name}.json")
+    added = [t.content for t in fresh.get_added_tokens_decoder().values()]
     r = random.Random(2)
-    texts = ["", " ", "  a  b\n\n c ", "it's WE'LL 'll x'd", "a\tb \t c\r\n d", "123 4567,foo1bar", "é́ ñ̃ ﬁ İ ΣΑΣ ß", "日本語 テスト。한국어", " x  y", "<|endoftext|> a", "\x1cx\x1d y\x85z", "x" * 400, "a|b%%% c&&&"]
+    texts = ["", " ", "  a  b\n\n c ", "it's WE'LL 'll x'd", "a\tb \t c\r\n d", "123 4567,foo1bar", "é́ ñ̃ ﬁ İ ΣΑΣ ß", "日本語 テスト。한국어", " x  y", "<|endoftext|> a", "a <|endoftext|> b", "x<|EndOfText|>", *(f"a {t}b" for t in added), *(f"É{t.upper()} c" for t in added), "\x1cx\x1d y\x85z", "x" * 400, "a|b%%% c&&&"]
     texts += ["".join(r.choice("aé B\n\t.,'1!|日́") for _ in range(r.randint(0, 60))) for _ in range(400)]
     for t in texts:
-        assert p.encode(t).tolist() == p.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+        assert p.encode(t).tolist() == fresh.encode(t, add_special_tokens=False).ids, repr(t)
 
 
 def test_token_file_round_trip(spark):
@@ -90,6 +101,33 @@ def test_token_file_round_trip(spark):
     fs, base = open_fs(out)
     f = token_file.open_sequences(fs, f"{base}/{shards[0]['ids']}")
     assert f.schema.field("ids").type.list_size == 64 and f.get_batch(0).column("mask").type.list_size == 64
+    assert not fs.get_file_info(f"{base}/tmp").is_file and fs.get_file_info(f"{base}/tmp").type.name == "NotFound"
+    seq, stream = token_file.Sequences(out), []
+    for i in range(len(seq)):
+        ids, mask = seq[i]
+        stream += ids[np.array(mask)].tolist()
+    assert stream == [x for g in got for x in np.frombuffer(g[3], "<u4").tolist()]
+    ids, mask = seq[len(seq) // 2]
+    assert len(ids) == len(mask) == 64 and not ids.flags.owndata and not ids.flags.writeable
+    assert any(lo <= ids.__array_interface__["data"][0] < hi for lo, hi in mapped(".arrow"))  # a view of the mapped file
+    assert any(lo <= mask.buffers()[1].address < hi for lo, hi in mapped(".arrow"))
+    with pytest.raises(IndexError):
+        seq[len(seq)]
+
+
+def mapped(suffix):
+    with open("/proc/self/maps") as f:
+        return [tuple(int(x, 16) for x in line.split()[0].split("-")) for line in f if line.rstrip().endswith(suffix)]
+
+
+@pytest.mark.parametrize("keys", [[*range(2000), 1 << 60], [*range(1000), *range(1 << 50, (1 << 50) + 1000)], [None] * 700 + [7] * 700 + [*range(600)], [-(1 << 63), (1 << 63) - 1, *range(500)]])
+def test_shards_hold_their_target_wherever_the_ids_lie(spark, keys):
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "key long, x long").withColumn("tie", F.xxhash64("x"))
+    assign, weights = range_shards(rows.withColumn("weight", F.lit(10).cast("long")), 500)
+    got = assign(rows).groupBy("shard").agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).orderBy("shard").collect()
+    assert [10 * g["n"] for g in got] == weights and sum(weights) == 10 * len(keys)
+    assert max(weights) <= 500 and len(weights) <= 4 * len(keys) // 50
+    assert all(a["hi"] is None or a["hi"] <= b["lo"] for a, b in zip(got, got[1:], strict=False))
 
 
 def test_packing_keeps_every_id_once(spark):
@@ -128,7 +166,7 @@ def test_embeddings_against_brute_force(spark):
     rng = np.random.default_rng(0)
     base = rng.standard_normal((60, 32))
     v = [b + rng.standard_normal(32) * s for b in base for s in (0, 0.05, 0.12, 0.3)] + [base[0] + rng.standard_normal(32) * 0.1 for _ in range(300)]
-    rows = [(i, [float(np.float32(a)) for a in x], i % 2) for i, x in enumerate(v)] + [(9000, rows_v := [1.0] * 32, 0), (9001, rows_v, 0), (9002, rows_v, 1), (9003, None, 0), (9004, [0.0] * 32, 0), (9005, [None] * 32, 0), (9006, [float("nan")] * 32, 0), (9007, [1.0], 0), (9008, rows_v, None)]
+    rows = [(i, [float(np.float32(a)) for a in x], i % 2) for i, x in enumerate(v)] + [(9000, rows_v := [1.0] * 32, 0), (9001, rows_v, 0), (9002, rows_v, 1), (9003, None, 0), (9004, [0.0] * 32, 0), (9005, [None] * 32, 0), (9006, [float("nan")] * 32, 0), (9007, [1.0], 0), (9008, rows_v, None), (None, [0.0, 1.0], 0), (None, [0.0, 1.0], 0), (9011, [0.0, 1.0], 5)]
     got = {r["vec_id"]: r for r in itq.near_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("uid", F.lit(1)), 0.93).collect()}
     good = [r for r in rows if r[1] and len(r[1]) == 32 and None not in r[1] and np.isfinite(r[1]).all() and any(r[1]) and r[2] is not None]
     x = np.array([r[1] for r in good], np.float32).astype(float)
@@ -139,7 +177,8 @@ def test_embeddings_against_brute_force(spark):
     root = linking.roots(len(good), zip(*np.nonzero(hit), strict=True))
     for k, r in enumerate(good):
         assert (got[r[0]]["n_links"], got[r[0]]["component_id"]) == (hit[k].sum(), good[root[k]][0])
-    assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(9003, 9009)) and len(got) == len(rows)
+    assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(9003, 9009)) and len(got) == len(rows) - 1
+    assert (got[None]["n_links"], got[None]["component_id"], got[9011]["n_links"]) == (1, None, 0)
     assert itq.near_embeddings(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
@@ -346,8 +385,185 @@ def test_pipeline_stages(spark):
     c = p.near_copies(spark, b, "")
     assert ids(c) == [i for i in ids(b) if i != 101]
     m = p.mixture(spark, c, "")
-    want = sum(x["taken"] for x in mixing.mix(c).collect())
-    assert m.columns == docs.columns and sum(len((x["text"] or "").split()) for x in m.collect()) == want
+    want = {x["doc_id"]: int(x["taken"] / x["size"] + 0.5) for x in mixing.mix(c).collect() if x["size"]}
+    assert m.columns == docs.columns and collections.Counter(ids(m)) == collections.Counter({i: n for i, n in want.items() if n})
+    assert {(x["doc_id"], x["text"], x["n_chars"]) for x in m.collect()} <= {(x[0], x[1], x[4]) for x in rows}
     e = p.packed(spark, m, "")
     enc = pieces(f"{TOKENIZERS}/word_bpe_49k.json", False)
     assert e.agg(F.sum("length")).first()[0] == sum(len(enc.encode(x["text"])) + 1 for x in m.collect())
+
+
+CLASHES = ["size", "taken", "key", "_sha", "_key", "_id", "_gone", "h", "label", "c0", "n", "count", "copies", "copy", "number", "shard", "tie", "cell", "digest", "uid", "text_key", "text_", "rejected", "Dropped_Id"]
+
+
+def test_pipeline_stages_keep_columns_of_any_name(spark):
+    import corpus_pipeline as p
+
+    r = random.Random(13)
+    rows = [(i, sentence(r, r.randint(30, 60)), "en", f"s{i % 2}", 9) for i in range(12)]
+    rows += [(20, rows[0][1], "en", "s0", 9), (None, rows[1][1] + " end", "en", None, 9), rows[3], (3, rows[3][1], "en", "s1", 8), (21, "", "en", "s1", 0), (22, None, "en", "s1", None)]
+    docs = frame(spark, rows)
+    for k, c in enumerate(CLASHES):
+        docs = docs.withColumn(c, F.concat(F.lit(f"{k} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns, name
+        for x in out.collect():
+            assert [x[c] for c in CLASHES] == [f"{k} {'none' if x['doc_id'] is None else x['doc_id']}" for k in range(len(CLASHES))], name
+        assert stage(spark, docs.limit(0), "").count() == 0, name
+    assert p.packed(spark, docs, "").count() >= len(rows) and p.packed(spark, docs.limit(0), "").count() == 0
+    kept = p.exact_copies(spark, docs, "").select("doc_id", "text").collect()
+    assert collections.Counter(x["doc_id"] for x in kept) == collections.Counter([*range(1, 12), 20, None, 22])
+    kept = p.near_copies(spark, docs, "")
+    assert sorted(str(x["doc_id"]) for x in kept.select("doc_id").collect()) == sorted(map(str, [0, None, *range(2, 12), 21, 22]))
+
+
+def test_mixture_of_repeated_rows_takes_each_once(spark):
+    import corpus_pipeline as p
+
+    docs = frame(spark, [(1, "a b c d", "en", "s", 7)] * 5 + [(2, "e f g h", "en", "t", 7)] * 5)
+    want = sum(int(x["taken"] / x["size"] + 0.5) for x in mixing.mix(docs).collect())
+    assert p.mixture(spark, docs, "").count() == want
+
+
+def test_empty_tables(spark):
+    none = frame(spark, [])
+    assert token_file.write_tokens(none, new_folder(spark, "t"), f"{TOKENIZERS}/byte_bpe_50k.json") == []
+    assert packing.pack_documents(none, f"{TOKENIZERS}/word_bpe_49k.json").count() == 0
+    labelled = spark.createDataFrame([(i, "good text here" if i % 2 else "BAD!! TEXT!!", i % 2) for i in range(40)], "doc_id long, text string, label int")
+    assert compression_quality.score_quality(none, compression_quality.fit_quality(labelled, "label")).count() == 0
+    assert toxicity.score_toxicity(none, toxicity.fit_toxicity(labelled, "label")).count() == 0
+    assert langid.predict_language(none, langid.fit_languages(labelled.select("doc_id", "text", F.lit("en").alias("lang")))).count() == 0
+
+
+def test_texts_of_ten_megabytes(spark):
+    r = random.Random(1)
+    long = " ".join(r.choice(WORDS) for _ in range(1_800_000))
+    docs = docs_of(spark, [long, long, "short text", None])
+    assert [x["class_id"] for x in ngram_join.similar_documents(docs).orderBy("doc_id").collect()] == [0, 0, 2, 3]
+    assert [x["keep_id"] for x in exact_dedup.exact_dedup(docs, F.lit(True)).orderBy("doc_id").collect()] == [1, 1, 2, 3]
+    enc = Tokenizer.from_file(f"{TOKENIZERS}/word_bpe_49k.json")
+    n = len(enc.encode(long, add_special_tokens=False).ids) + 1
+    assert packing.pack_documents(docs, f"{TOKENIZERS}/word_bpe_49k.json").where("doc_id < 2").agg(F.sum("length")).first()[0] == 2 * n
+    labelled = spark.createDataFrame([(i, "good text here" if i % 2 else "BAD!! TEXT!!", i % 2) for i in range(40)], "doc_id long, text string, label int")
+    assert compression_quality.score_quality(docs, compression_quality.fit_quality(labelled, "label")).count() == 4
+    assert langid.predict_language(docs, langid.fit_languages(labelled.select("doc_id", "text", F.lit("en").alias("lang")))).count() == 4
+
+
+# --- classifiers against plain calculations
+
+
+def test_quality_scores_equal_plain_compression(spark):
+    import zstandard
+
+    r = random.Random(4)
+    texts = [(sentence(r, 80), 1) if i % 2 else (" ".join(w.upper() + "!!" for w in sentence(r, 80).split()), 0) for i in range(120)]
+    model = compression_quality.fit_quality(spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "doc_id long, text string, quality int"))
+    asked = [*(t for t, _ in texts[:20]), "", None, "é" * 500, texts[0][0]]
+    got = compression_quality.score_quality(docs_of(spark, asked).unionByName(docs_of(spark, ["x"]).withColumn("doc_id", F.lit(None).cast("long"))), model).collect()
+    assert len(got) == len(asked) + 1
+    for x in got:
+        data = (asked[x["doc_id"]] or "" if x["doc_id"] is not None else "x").encode()
+        good, bad = (len(zstandard.ZstdCompressor(level=model.level, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False).compress(data)) for d in (model.good, model.bad))
+        d = [(bad - good) / (bad + good), (bad - good) / len(data)] if data else [0.0, 0.0]
+        score = 1 / (1 + math.exp(-(sum(w * v for w, v in zip(model.weights, d, strict=True)) + model.bias)))
+        assert math.isclose(x["score"], score, rel_tol=1e-9) and x["predicted"] == int(score >= 0.5) and x["difference"] == d[0]
+
+
+def test_ordinal_likelihood_and_gradient():
+    rng = np.random.default_rng(2)
+    x, y = rng.random((30, 4)), rng.integers(0, 4, 30)
+    share, p = rng.random(30), rng.standard_normal(4 + 3) * 0.5
+    loss, gradient = toxicity.loss_and_gradient(p, x, y, share, 3, 0.1)
+    theta = [p[4], p[4] + math.exp(p[5]), p[4] + math.exp(p[5]) + math.exp(p[6])]
+    want = 0.05 * sum(w * w for w in p[:4])
+    for row, grade, weight in zip(x, y, share, strict=True):  # a plain loop over the grades
+        below = [0.0, *(1 / (1 + math.exp(-(t - sum(a * w for a, w in zip(row, p, strict=False))))) for t in theta), 1.0]
+        want -= weight * math.log(below[grade + 1] - below[grade])
+    assert math.isclose(loss, want, rel_tol=1e-9)
+    for k in range(len(p)):
+        e = np.zeros(len(p))
+        e[k] = 1e-6
+        slope = (toxicity.loss_and_gradient(p + e, x, y, share, 3, 0.1)[0] - toxicity.loss_and_gradient(p - e, x, y, share, 3, 0.1)[0]) / 2e-6
+        assert math.isclose(gradient[k], slope, rel_tol=1e-4, abs_tol=1e-7)
+
+
+def test_toxicity_takes_given_grades_and_scores_repeated_rows_alike(spark):
+    texts = [" ".join(["calm", "words"] * 5 + ["bad"] * g) for g in (0, 1, 2) for _ in range(30)]
+    labelled = spark.createDataFrame([(i, t, i // 30) for i, t in enumerate(texts)], "doc_id long, text string, toxic int")
+    model = toxicity.fit_toxicity(labelled, grades=True)
+    got = toxicity.score_toxicity(frame(spark, [(1, texts[0], "en", "s", 1), (2, texts[40], "en", "s", 1), (3, texts[-1], "en", "s", 1), (3, texts[-1], "en", "s", 1), (None, texts[-1], "en", "s", 1)]), model).collect()
+    want = {t: model.probabilities(t) for t in (texts[0], texts[40], texts[-1])}
+    assert [x["probabilities"] for x in got] == [want[texts[0]], want[texts[40]], *[want[texts[-1]]] * 3]
+    assert [x["grade"] for x in got] == [max(range(3), key=x["probabilities"].__getitem__) for x in got]
+    assert got[0]["expected_severity"] < got[1]["expected_severity"] < got[2]["expected_severity"]
+
+
+def test_languages_equal_a_plain_cosine_over_all_centroids(spark):
+    r = random.Random(3)
+    words = {"en": "the and of house is with for this that river".split(), "fr": "le la les des maison est avec pour cette rivière".split(), "de": "der die das und haus ist mit für dieser fluss".split()}
+    rows = [(i, " ".join(r.choice(words[x]) for _ in range(20)), x, "s", 1) for i, x in enumerate(["en", "fr", "de"] * 40)]
+    model = langid.fit_languages(frame(spark, rows[:90]))
+    asked = [*rows[90:], (500, rows[95][1], None, None, None), (500, rows[95][1], None, None, None), (None, "haus und 12 Fluss", None, None, None)]
+    got = langid.predict_language(frame(spark, asked), model).collect()
+    assert len(got) == len(asked)
+    for x, row in zip(sorted(got, key=lambda g: (g["doc_id"] is None, g["doc_id"] or 0)), sorted(asked, key=lambda g: (g[0] is None, g[0] or 0)), strict=True):
+        v = [math.log1p(float(c)) * float(w) for c, w in zip(langid.gram_counts(row[1]), model.idf, strict=True)]
+        size = math.sqrt(sum(a * a for a in v))
+        cos = [sum(a * float(b) for a, b in zip(v, c, strict=True) if a) / size for c in model.centroids]
+        best = max(range(len(cos)), key=cos.__getitem__)
+        assert x["lang_pred"] == model.langs[best] and math.isclose(x["score"], cos[best], abs_tol=1e-5) and x["rejected"] == (x["score"] < model.least[x["lang_pred"]])
+
+
+def test_embeddings_recall_on_planted_pairs(spark):
+    """Most vectors have no partner; copies lie at a cosine of 0.93 to 0.97, in groups of up to four."""
+    rng = np.random.default_rng(17)
+    unit = lambda a: a / np.linalg.norm(a, axis=-1, keepdims=True)
+    x = unit(rng.standard_normal((3000, 64)))
+    out = [*x]
+    for b in x[:600]:
+        for c in rng.uniform(0.93, 0.97, rng.integers(1, 4)):
+            y = rng.standard_normal(64)
+            out.append(c * b + math.sqrt(1 - c * c) * unit(y - (y @ b) * b))
+    rows = [(i, [float(np.float32(a)) for a in v], i % 3) for i, v in enumerate(out)]
+    for i in range(3000, len(rows)):  # a copy has its original's label, and so do most others' neighbours
+        rows[i] = (i, rows[i][1], 0)
+    rows[:600] = [(i, v, 0) for i, v, _ in rows[:600]]
+    got = {r["vec_id"]: r for r in itq.near_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), 0.93).collect()}
+    z = unit(np.array([r[1] for r in rows]))
+    label = np.array([r[2] for r in rows])
+    hit = (z @ z.T >= 0.93) & (label[:, None] == label[None, :])
+    np.fill_diagonal(hit, False)
+    n = hit.sum(axis=1)
+    assert n.sum() >= 1200 and all(got[i]["n_links"] <= k for i, k in enumerate(n.tolist()))
+    assert sum(g["n_links"] for g in got.values()) >= 0.995 * n.sum()
+
+
+def test_embeddings_of_doubles_are_compared_as_doubles(spark):
+    a = [1.0] + [0.0] * 7
+    b = [0.93 - 1e-10] + [math.sqrt(1 - (0.93 - 1e-10) ** 2)] + [0.0] * 6  # below the threshold by less than a float can tell
+    got = itq.near_embeddings(spark.createDataFrame([(1, a, 0), (2, b, 0), (3, a, 0)], "vec_id long, embedding array<double>, label int"), 0.93).orderBy("vec_id").collect()
+    assert [(g["n_links"], g["component_id"]) for g in got] == [(1, 1), (0, 2), (1, 1)]
+
+
+def test_hot_keys_are_joined_apart(spark):
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate([1] * 60 + [2] * 5 + [3])], "k long, x long")
+    table = saved(rows.groupBy("k").agg(F.count("*").alias("n")), "counts")
+    got = join_counted(rows, table.where("k < 3"), ["k"], "n", 66, hot=10).collect()
+    assert collections.Counter((g["k"], g["n"]) for g in got) == {(1, 60): 60, (2, 5): 5}
+    assert join_counted(rows, table.where("k < 3"), ["k"], "n", 66, how="left", hot=10).where("n is null").count() == 1
+
+
+def test_sums_before_equal_a_plain_running_sum(spark):
+    r = random.Random(2)
+    rows = [(k, i, r.randint(0, 9)) for k in "ab" for i in range(300)]
+    got = mixing.sums_before(spark.createDataFrame(rows, "k string, i long, v long"), ["k"], "i", "v", fan=16).collect()
+    assert all(g["before"] == sum(v for k, i, v in rows if k == g["k"] and i < g["i"]) for g in got) and len(got) == len(rows)
+
+
+def test_operators_leave_no_more_tables_than_their_result_reads(spark):
+    before = set(common._TABLES.values())
+    ngram_join.similar_documents(docs_of(spark, ["a b c d e f g", "a b c d e f g h", "other words"])).collect()
+    itq.near_embeddings(spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [1.0, 0.01], 0)], "vec_id long, embedding array<float>, label int")).collect()
+    names = sorted(p.rsplit("/", 1)[1] for p in set(common._TABLES.values()) - before)
+    assert names == ["per_class", "per_class", "signatures", "vectors"]
