@@ -91,7 +91,8 @@ def hierarchy(tag: Column) -> Column:
     body = F.regexp_replace(tag, "^#", "")
     parts = F.filter(F.split(body, "/"), lambda p: p != "")
     prefixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-    return F.array_distinct(F.concat(F.transform(prefixes, lambda p: F.concat(F.lit("#"), p)), prefixes, parts))
+    every = F.concat(F.array(tag, body), F.transform(prefixes, lambda p: F.concat(F.lit("#"), p)), prefixes, parts)
+    return F.filter(F.array_distinct(every), lambda t: ~t.isin("", "#"))
 
 
 def terms(text: Column) -> Column:
@@ -200,3 +201,277 @@ def tag_matches(tags: Column, wanted: str) -> Column:
     """Whether some tag is the wanted one or lies below it (#a holds #a/b), in any case."""
     name = "#" + wanted.lstrip("#").lower()
     return F.coalesce(F.exists(tags, lambda t: (F.lower(t) == name) | F.lower(t).startswith(name + "/")), F.lit(False))
+
+
+def valid_term(term: Column, least: int = 2) -> Column:
+    """A word of letters, digits, _ and -, or a tag with / as well; ``least`` characters or more."""
+    return (F.length(term) >= least) & F.when(F.startswith(term, F.lit("#")), term.rlike(r"^#[\p{L}\p{N}_/-]+$")).otherwise(term.rlike(r"^[\p{L}\p{N}_-]+$"))
+
+
+def combined_terms(base: Column, tags: Column, query: Column) -> Column:
+    """Base terms and tags, without the bodies of tags that the query doesn't hold as words of their own."""
+    plain = F.split(F.regexp_replace(F.lower(query), r"#[\p{L}\p{N}_/-]+", " "), r"[^\p{L}\p{N}_-]+")
+    bodies = F.array_except(F.transform(tags, lambda t: F.substr(t, F.lit(2))), plain)
+    return F.array_except(F.array_distinct(F.concat(base, tags)), bodies)
+
+
+def first_spellings(terms: Column) -> Column:
+    """Trimmed terms without blank ones, each once whatever its case, in its first spelling."""
+    clean = F.filter(F.transform(terms, lambda t: F.trim(t)), lambda t: t != "")
+    low = F.transform(clean, lambda t: F.lower(t))
+    return F.filter(clean, lambda t, i: F.array_position(low, F.lower(t)) == i + 1)
+
+
+def message_for_copy(text: Column) -> Column:
+    """Without thinking, write blocks (fenced ones too), tool calls and reasoning marks; at most one blank line in a row."""
+    text = strip_thinking(text)
+    for pattern in (
+        r"(?s)```xml\s*(?:(?!```).)*?<write(?:File|ToFile)>.*?</write(?:File|ToFile)>.*?```",
+        r"(?s)<write(?:File|ToFile)>.*?</write(?:File|ToFile)>",
+        r"(?s)<!--TOOL_CALL_START:.*?-->.*?<!--TOOL_CALL_END:.*?-->",
+        r"<!--AGENT_REASONING:\w+:\d+:.*-->",
+    ):
+        text = F.regexp_replace(text, pattern, "")
+    return F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+
+
+def joined_transcript(parts: Column) -> Column:
+    """Trimmed parts without blank ones, white space as single spaces."""
+    clean = F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
+    return F.trim(F.regexp_replace(F.array_join(clean, " "), r"\s+", " "))
+
+
+def byte_prefix(text: Column, limit: int | Column) -> Column:
+    """The longest prefix of whole characters within ``limit`` bytes of UTF-8."""
+    limit = F.lit(limit) if isinstance(limit, int) else limit
+    data = F.encode(text, "UTF-8")
+    last = F.hex(F.substring(data, F.greatest(limit - 3, F.lit(1)), F.least(limit, F.lit(4))))
+    # A character that the cut leaves without its last bytes: a first byte with fewer followers than it announces.
+    torn = F.regexp_extract(last, "(?:[CD].|E.(?:[89AB].)?|F.(?:[89AB].){0,2})$", 0)
+    cut = F.decode(F.substring(data, F.lit(1), limit - F.floor(F.length(torn) / 2).cast("int")), "UTF-8")
+    return F.when(limit <= 0, "").when(F.octet_length(text) <= limit, text).otherwise(cut)
+
+
+def file_name_within(path: Column, most: int = 255) -> Column:
+    """The path with its last part cut to ``most`` bytes, before the extension if that leaves room."""
+    name = F.element_at(F.split(path, "/"), -1)
+    folder = F.substring(path, F.lit(1), F.length(path) - F.length(name))
+    ext = F.regexp_extract(name, r"(?s)(\.[^.]*)$", 1)
+    stem = F.substring(name, F.lit(1), F.length(name) - F.length(ext))
+    room = F.lit(most) - F.octet_length(ext)
+    cut = F.when(room <= 0, byte_prefix(name, most)).otherwise(F.concat(byte_prefix(stem, room), ext))
+    return F.when(F.octet_length(name) <= most, path).otherwise(F.concat(folder, cut))
+
+
+def ellipsis(text: Column, limit: int) -> Column:
+    """Cut after the last sentence past half of the limit, else at the last paragraph past half, else at the last space past four fifths."""
+    cut = F.left(text, F.lit(limit))
+    last = lambda pattern: F.length(F.regexp_extract(cut, pattern, 1))
+    sentence, paragraph, space = last(r"(?s)^(.*)[.!?]\s+"), last(r"(?s)^(.*)\n\n"), last(r"(?s)^(.*) ")
+    shorter = (
+        F.when(sentence > limit * 0.5, F.concat(F.left(cut, sentence + 1), F.lit(" ...")))
+        .when(paragraph > limit * 0.5, F.concat(F.left(cut, paragraph), F.lit("\n\n...")))
+        .when(space > limit * 0.8, F.concat(F.left(cut, space), F.lit(" ...")))
+        .otherwise(F.concat(cut, F.lit("...")))
+    )
+    return F.when(F.length(text) <= limit, text).otherwise(shorter)
+
+
+def chat_title(name: Column) -> Column:
+    """A file's name without project prefix, days and times, @ and _ as spaces."""
+    plain = F.regexp_replace(name, r"^[A-Za-z0-9-]+__", "")
+    plain = F.regexp_replace(F.regexp_replace(plain, r"\{\$date\}|\d{8}", ""), r"\{\$time\}|\d{6}", "")
+    return F.trim(F.regexp_replace(F.translate(plain, "@_", "  "), r"\s+", " "))
+
+
+# Characters that compare as their plain counterparts.
+PLAIN_CHARACTERS = {"'": "\u2018\u2019", '"': "\u201c\u201d", "-": "\u2010\u2011\u2012\u2013\u2014\u2015\u2212", " ": "\u00a0\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"}
+
+
+def fuzzy_text(text: Column) -> Column:
+    """Smart quotes, dashes and special spaces as plain ones, lines without white space at their ends. Compatible characters are left alone."""
+    for plain, others in PLAIN_CHARACTERS.items():
+        text = F.translate(text, others, plain * len(others))
+    return F.regexp_replace(text, r"(?m)[^\S\n]+$", "")
+
+
+def edited(text: Column, old: Column, new: Column) -> Column:
+    """struct(status, text): the single occurrence of ``old`` replaced, exactly or else in ``fuzzy_text``; not_found and ambiguous change nothing.
+
+    Matches don't overlap. A leading byte order mark and the kind of line ends of the text are kept.
+    """
+    mark = F.when(F.startswith(text, F.lit("\ufeff")), F.lit("\ufeff")).otherwise("")
+    crlf = F.contains(text, F.lit("\r\n"))
+    unix = lambda c: F.replace(c, F.lit("\r\n"), F.lit("\n"))
+    body, old, new = unix(F.regexp_replace(text, "^\ufeff", "")), unix(old), unix(new)
+    count = lambda hay, needle: F.when(needle == "", 0).otherwise(F.try_divide(F.length(hay) - F.length(F.replace(hay, needle, F.lit(""))), F.length(needle)).cast("int"))
+    exact, near = count(body, old), count(fuzzy_text(body), fuzzy_text(old))
+    swap = lambda hay, needle: F.concat(F.left(hay, F.instr(hay, needle) - 1), new, F.substring(hay, F.instr(hay, needle) + F.length(needle), F.length(hay)))
+    done = F.when(exact == 1, swap(body, old)).when((exact == 0) & (near == 1), swap(fuzzy_text(body), fuzzy_text(old)))
+    status = F.when(exact > 1, "ambiguous").when(exact == 1, "exact").when(near > 1, "ambiguous").when(near == 1, "fuzzy").otherwise("not_found")
+    ended = F.when(crlf, F.replace(done, F.lit("\n"), F.lit("\r\n"))).otherwise(done)
+    return F.struct(status.alias("status"), F.coalesce(F.concat(mark, ended), text).alias("text"))
+
+
+def edit_applied(text: Column, kind: Column, find: Column, put: Column) -> Column:
+    """replace and delete the first occurrence, insert after it, create in place of a null text; null where nothing fits."""
+    at = F.when(find != "", F.instr(text, find)).otherwise(0)
+    left, right = F.left(text, at - 1), F.substring(text, at + F.length(find), F.length(text))
+    return (
+        F.when((kind == "create") & text.isNull(), put)
+        .when((kind == "replace") & (at > 0), F.concat(left, put, right))
+        .when((kind == "insert") & (at > 0), F.concat(left, find, put, right))
+        .when((kind == "delete") & (at > 0), F.concat(left, right))
+    )
+
+
+def log_sections(text: Column) -> Column:
+    """The sections of a log that start with ## lines, trimmed; what precedes the first one is left out."""
+    parts = F.split(text, r"\n(?=[^\S\n]*## )")
+    return F.transform(F.filter(parts, lambda p: F.ltrim(p).startswith("## ")), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
+
+
+# The tags of context blocks and the element that names their source (null: none).
+CONTEXT_BLOCKS = {
+    "note_context": "path",
+    "active_note": "path",
+    "embedded_note": "path",
+    "vault_note": "path",
+    "retrieved_document": "path",
+    "url_content": "url",
+    "web-content": "url",
+    "web-search": None,
+    "web_tab_context": "url",
+    "active_web_tab": "url",
+    "youtube_video_context": "url",
+    "twitter_content": "url",
+    "embedded_pdf": "name",
+    "selected_text": None,
+    "web_selected_text": "url",
+    "localSearch": None,
+}
+
+
+def block_tag(block: Column) -> Column:
+    return F.nullif(F.regexp_extract(block, r"^<(\w+)[\s>]", 1), F.lit(""))
+
+
+def block_source(block: Column, tag: Column) -> Column:
+    """What names the source of a block with this tag: the text of its path, url or name element, else its attribute url; empty if there is nothing."""
+    found = F.lit("")
+    for element in ("path", "url", "name"):
+        tags = [t for t, e in CONTEXT_BLOCKS.items() if e == element]
+        inner = F.regexp_extract(block, f"<{element}>([^<]+)</{element}>", 1)
+        if element == "url":
+            inner = F.when(inner != "", inner).otherwise(F.regexp_extract(block, r'\surl="([^"]+)"', 1))
+        found = F.when(tag.isin(tags), inner).otherwise(found)
+    return found
+
+
+def block_content(block: Column) -> Column:
+    """What its element content holds; the whole block if it has none."""
+    pattern = r"(?s)<content>(.*?)</content>"
+    return F.when(block.rlike(pattern), F.regexp_extract(block, pattern, 1)).otherwise(block)
+
+
+def search_block_compacted(block: Column, preview: int = 500) -> Column:
+    """The documents of a search block as a numbered list with the start of each; a block without documents as it is."""
+    docs = F.regexp_extract_all(block, F.lit(r"(?s)<document>(.*?)</document>"), F.lit(1))
+    part = lambda d, tag: F.regexp_extract(d, f"(?s)<{tag}>(.*?)</{tag}>", 1)
+
+    def line(d, i):
+        path, title, content = part(d, "path"), part(d, "title"), part(d, "content")
+        title = F.when(title != "", title).otherwise(F.element_at(F.split(path, "/"), -1))
+        short = F.when(F.length(content) > preview, F.concat(F.left(content, F.lit(preview)), F.lit("..."))).otherwise(content)
+        return F.concat((i + 1).cast("string"), F.lit(". [["), title, F.lit("]] ("), path, F.lit(")\n   "), F.regexp_replace(short, r"^\s+|\s+$", ""))
+
+    head = F.concat(F.lit('<prior_context source="localSearch" type="note">\n['), F.size(docs).cast("string"), F.lit(" search results - use localSearch to re-query]\n\n"))
+    return F.when(F.size(docs) == 0, block).otherwise(F.concat(head, F.array_join(F.transform(docs, line), "\n\n"), F.lit("\n</prior_context>")))
+
+
+def context_trailer(text: Column) -> Column:
+    """struct(notes, urls, tags, folders, tabs) of "Notes: a, b | URLs: c | ..."; absent kinds are empty arrays."""
+    parts = F.transform(F.split(text, r" \| "), lambda p: F.trim(p))
+
+    def kind(*names: str) -> Column:
+        pattern = f"^(?:{'|'.join(names)}): "
+        lists = F.transform(F.filter(parts, lambda p: p.rlike(pattern)), lambda p: F.split(F.regexp_replace(p, pattern, ""), ", "))
+        return F.filter(F.transform(F.flatten(lists), lambda x: F.trim(x)), lambda x: x != "")
+
+    return F.struct(kind("Notes").alias("notes"), kind("URLs").alias("urls"), kind("Tags").alias("tags"), kind("Folders").alias("folders"), kind("Web Tabs", "WebTabs").alias("tabs"))
+
+
+def document_xml(number: Column, title: Column, path: Column, modified: Column, content: Column) -> Column:
+    """A search result as an element: path where it isn't the title, time where there is one."""
+    line = lambda tag, c: F.concat(F.lit(f"<{tag}>"), c, F.lit(f"</{tag}>\n"))
+    title = F.when(title != "", title).otherwise("Untitled")
+    shown = F.when((path != "") & (path != title), line("path", path)).otherwise("")
+    at = F.when(modified.isNotNull(), line("modified", F.date_format(modified, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))).otherwise("")
+    return F.concat(F.lit("<document>\n"), line("id", number.cast("string")), line("title", title), F.coalesce(shown, F.lit("")), at, F.lit("<content>\n"), F.coalesce(content, F.lit("")), F.lit("\n</content>\n</document>"))
+
+
+def catalog_line(title: Column, path: Column) -> Column:
+    name = F.when(title != "", title).when(path != "", path).otherwise("Untitled")
+    return F.concat(F.lit("- [["), name, F.lit("]] ("), F.when(path != "", path).otherwise(name), F.lit(")"))
+
+
+def explained(matches: Column, folder: Column, links: Column, base: Column, final: Column) -> Column:
+    """What a score rests on, in parts with a pipe between; absent parts are left out.
+
+    matches: array of struct(field, term, weight); folder and links: factors above 1 count.
+    """
+    fields = F.array_sort(F.array_distinct(F.transform(matches, lambda m: F.concat(m["field"], F.lit(": "), m["term"]))))
+    boost = lambda name, c: F.when(c > 1, F.concat(F.lit(f"{name} x"), F.format_number(c, 2)))
+    change = F.when(base != final, F.concat(F.lit("score "), F.format_number(base, 2), F.lit(" to "), F.format_number(final, 2)))
+    return F.concat_ws(" | ", F.when(F.size(fields) > 0, F.array_join(fields, ", ")), boost("folder", folder), boost("links", links), change)
+
+
+def parsed_scores(reply: Column, expected: int) -> Column:
+    """The numbers of the field scores of a reply's first JSON object, between 0 and 10; what isn't a finite number is left out."""
+    held = F.from_json(F.regexp_extract(reply, r"(?s)(\{.*\})", 1), "scores array<string>")["scores"]
+    numbers = F.transform(F.slice(held, 1, expected), lambda x: x.try_cast("double"))
+    fine = F.filter(numbers, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce(F.transform(fine, lambda x: F.least(F.lit(10.0), F.greatest(F.lit(0.0), x))), F.array().cast("array<double>"))
+
+
+def parsed_memories(reply: Column, categories: list[str]) -> Column:
+    """array of struct(content, category, is_update, updated_id) from a reply's JSON array; items without content are left out.
+
+    The first category stands for unknown ones; an id counts for updates only.
+    """
+    items = F.from_json(F.regexp_extract(reply, r"(?s)(\[.*\])", 1), "array<struct<content:string,category:string,isUpdate:boolean,updatedMemoryId:string>>")
+    fine = F.filter(items, lambda x: F.trim(F.coalesce(x["content"], F.lit(""))) != "")
+
+    def item(x):
+        low = F.lower(F.coalesce(x["category"], F.lit("")))
+        update = F.coalesce(x["isUpdate"], F.lit(False))
+        return F.struct(F.trim(x["content"]).alias("content"), F.when(low.isin(categories), low).otherwise(categories[0]).alias("category"), update.alias("is_update"), F.when(update, x["updatedMemoryId"]).alias("updated_id"))
+
+    return F.coalesce(F.transform(fine, item), F.array().cast("array<struct<content:string,category:string,is_update:boolean,updated_id:string>>"))
+
+
+def parsed_expansion(reply: Column, query: Column, most: int = 3) -> Column:
+    """struct(queries, terms): the query and other ones in <query>, and valid terms in <salient>, of a reply; terms of the query if it has none."""
+    others = F.filter(F.transform(F.regexp_extract_all(reply, F.lit("<query>(.*?)</query>"), F.lit(1)), lambda q: F.trim(q)), lambda q: (q != "") & (q != query))
+    held = F.regexp_extract(reply, r"(?s)<salient>(.*?)</salient>", 1)
+    terms = F.transform(F.regexp_extract_all(held, F.lit("<term>(.*?)</term>"), F.lit(1)), lambda t: F.lower(F.trim(t)))
+    terms = F.array_distinct(F.filter(terms, lambda t: valid_term(t)))
+    found = F.when(F.size(terms) > 0, F.array_distinct(F.concat(terms, query_tags(query)))).otherwise(combined_terms(salient_terms(query), query_tags(query), query))
+    return F.struct(F.concat(F.array(query), F.slice(others, 1, most)).alias("queries"), found.alias("terms"))
+
+
+def fenced_json(reply: Column, schema: str) -> Column:
+    """The JSON in a reply's first code fence, or the reply itself, by ``schema``; null if it can't be read."""
+    fence = r"(?s)```(?:json)?\s*(.*?)```"
+    return F.from_json(F.when(reply.rlike(fence), F.regexp_extract(reply, fence, 1)).otherwise(reply), schema)
+
+
+def same_model(a: Column, b: Column) -> Column:
+    """Equal names, names of the nomic embedder, and the two names of one hosted model; null and empty ones are never the same."""
+    both = lambda name: F.contains(a, F.lit(name)) & F.contains(b, F.lit(name))
+    alias = F.array_sort(F.array(a, b)) == F.array(F.lit("cohereai"), F.lit("small"))
+    return F.coalesce((a != "") & (b != "") & (both("nomic-embed-text") | alias | (a == b)), F.lit(False))
+
+
+def model_name(key: Column) -> Column:
+    return F.element_at(F.split(key, r"\|"), 1)

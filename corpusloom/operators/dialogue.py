@@ -11,11 +11,11 @@ from corpusloom.operators.ranking import numbered
 def turn_pairs(messages: DataFrame, chat: str, turn: str) -> DataFrame:
     """(chat, asked, answered, question, answer) of each user message whose next message is the assistant's.
 
-    Messages are numbered by slices of their turns and paired by a join, so a very long chat isn't sorted in one task.
+    Messages are numbered by ranges of their turns and paired by a join, so a very long chat isn't sorted in one task.
     Rows with a null chat or turn pair with nothing; equal turns are ordered by role and text.
     """
     m = messages.select(chat, turn, "role", "text").where(F.col(chat).isNotNull() & F.col(turn).isNotNull())
-    placed = numbered(m, [chat], F.col(turn), [F.col(turn), F.col("role"), F.col("text")])
+    placed = numbered(m, [chat], [F.col(turn), F.col("role"), F.col("text")])
     asked = placed.where("role = 'user'").select(chat, F.col(turn).alias("asked"), F.col("text").alias("question"), (F.col("place") + 1).alias("place"))
     answered = placed.where("role = 'assistant'").select(chat, F.col(turn).alias("answered"), F.col("text").alias("answer"), "place")
     return asked.join(answered, [chat, "place"]).drop("place")
@@ -29,7 +29,7 @@ def latest_segments(segments: DataFrame, keys: list[str], order: str, content: s
 def renumber_citations(citations: DataFrame, doc: str, pos: str, number: str) -> DataFrame:
     """(doc, number, renumbered): numbers of a document's citations by order of first mention, from 1."""
     first = citations.groupBy(doc, number).agg(F.min(pos).alias("_first"))
-    return numbered(first, [doc], F.col("_first"), [F.col("_first"), F.col(number)]).select(doc, number, F.col("place").alias("renumbered"))
+    return numbered(first, [doc], [F.col("_first"), F.col(number)]).select(doc, number, F.col("place").alias("renumbered"))
 
 
 def outermost(blocks: DataFrame, doc: str, start: str = "start", end: str = "end", tie: str = "id") -> DataFrame:

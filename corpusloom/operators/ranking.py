@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.tables import ranged
+
 
 def _by(keys: list[str], *order) -> Window:
     return Window.partitionBy(*keys).orderBy(*order)
@@ -43,32 +45,34 @@ def z_score(hits: DataFrame, query: str, score: str, low: float = 0.02, high: fl
     return hits.join(b, query).withColumn("normalised", F.when(F.col("_s") == 0, 0.5).otherwise(F.least(F.lit(high), F.greatest(F.lit(low), 0.5 + 0.5 * F.tanh(z / 2.5))))).drop("_m", "_s")
 
 
-def percentile(hits: DataFrame, query: str, score: str, tie: str, low: float = 0.02, high: float = 0.98, slices: int = 64) -> DataFrame:
-    """Place among a query's ascending scores, scaled; 0.5 for one hit. Places are counted by slices of the scores."""
-    placed = numbered(hits, [query], F.col(score), [F.col(score), F.col(tie)], slices)
+def percentile(hits: DataFrame, query: str, score: str, tie: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
+    """Place among a query's ascending scores, scaled; 0.5 for one hit."""
+    placed = numbered(hits, [query], [F.col(score), F.col(tie)])
     n = hits.groupBy(query).agg(F.count("*").alias("_n"))
     return placed.join(n, query).withColumn("normalised", F.when(F.col("_n") == 1, 0.5).otherwise(low + F.try_divide(F.col("place") - 1, F.col("_n") - 1) * (high - low))).drop("_n", "place")
 
 
-def numbered(rows: DataFrame, keys: list[str], value: Column, order: list[Column], slices: int = 64) -> DataFrame:
+def numbered(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """row_number over ``keys`` as column ``place``, without sorting a whole key in one task.
 
-    ``value`` is the first order column, ascending, a number. Its range in each key is cut into ``slices`` equal parts; the
-    rows before a part are counted by aggregation, and only within a part are rows sorted.
+    Rows are dealt to ranges of keys and order, so that a key of a third of all rows, or with many equal values, spans as many tasks as it
+    fills. The rows of a key before a range are counted by aggregation. Rows that share keys and order are numbered in any order.
     """
-    b = rows.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    part = F.coalesce(F.least(F.floor(F.try_divide(value - F.col("_lo"), F.col("_hi") - F.col("_lo")) * slices), F.lit(slices - 1)), F.lit(0)).cast("int")
-    cut = (rows.join(b, keys) if keys else rows.crossJoin(F.broadcast(b))).withColumn("_part", part).drop("_lo", "_hi")
-    sums = cut.groupBy(*keys, "_part").agg(F.count("*").alias("_c"))
-    before = sums.withColumn("_before", F.coalesce(F.sum("_c").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
-    within = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))
-    return cut.join(before, [*keys, "_part"]).withColumn("place", (F.col("_before") + within).cast("long")).drop("_before", "_part")
+    dealt = ranged(rows, [F.col(k) for k in keys], order)
+    counts = dealt.groupBy(*keys, "_range").agg(F.min("_at").alias("_first"), F.count("*").alias("_c"))
+    by = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))  # a row a range
+    before = counts.withColumn("_before", F.coalesce(F.sum("_c").over(by.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    same = F.lit(True)
+    for k in [*keys, "_range"]:
+        same = same & F.col(f"_l.{k}").eqNullSafe(F.col(f"_r.{k}"))
+    met = dealt.alias("_l").join(before.alias("_r"), same)
+    return met.select(*(F.col(f"_l.{c}") for c in rows.columns), (F.col("_r._before") + F.col("_l._at") - F.col("_r._first") + 1).cast("long").alias("place"))
 
 
 def statistics(rows: DataFrame, key: str, score: str, tie: str) -> DataFrame:
     """Mean, population deviation, least, largest and upper median."""
     s = rows.groupBy(key).agg(F.count("*").alias("n"), F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"), F.min(score).alias("min"), F.max(score).alias("max"))
-    middle = numbered(rows, [key], F.col(score), [F.col(score), F.col(tie)]).join(s.select(key, "n"), key).where(F.col("place") == F.floor(F.col("n") / 2) + 1)
+    middle = numbered(rows, [key], [F.col(score), F.col(tie)]).join(s.select(key, "n"), key).where(F.col("place") == F.floor(F.col("n") / 2) + 1)
     return s.join(middle.select(key, F.col(score).alias("median")), key)
 
 
@@ -87,6 +91,27 @@ def adaptive_cutoff(hits: DataFrame, query: str, score: str, tie: str, floor: in
     return ranked.join(top, query).where((F.col("rank") <= floor) | (F.col(score) >= F.col("threshold")))
 
 
+def diverse_cutoff(hits: DataFrame, query: str, note: str, score: str, tie: str, floor: int = 3, ceiling: int = 30, relative: float = 0.3, absolute: float = 0.01) -> DataFrame:
+    """Each note's best hit first, as long as it reaches the threshold or the first ``floor`` aren't full, then further hits, ``ceiling`` in all.
+
+    The threshold is a share of the query's best score, or ``absolute`` if that is more. Numbered by score. Only the best ``ceiling`` of a note
+    and of a query go on from each step, as no more can be taken.
+    """
+    threshold = F.greatest(F.max(score) * relative, F.lit(absolute))
+    limits = hits.groupBy(query).agg(threshold.alias("_t"))
+    nth = F.row_number().over(_by([query, note], F.desc(score), tie))
+    rows = hits.withColumn("_nth", nth).where(F.col("_nth") <= ceiling).withColumn("_again", (F.col("_nth") > 1).cast("int")).join(limits, query)
+    # First the notes' best hits by score: those that fail the threshold come after all that don't, so a prefix is taken.
+    first = rows.where("_again = 0").withColumn("_p", F.row_number().over(_by([query], F.desc(score), tie))).where(F.col("_p") <= ceiling)
+    taken = first.where((F.col("_p") <= floor) | (F.col(score) >= F.col("_t")))
+    held = taken.groupBy(query).agg(F.count("*").alias("_held"))
+    left = rows.join(taken.select(query, tie), [query, tie], "left_anti")
+    left = left.withColumn("_p", F.row_number().over(_by([query], F.desc(score), tie))).where(F.col("_p") <= ceiling).join(held, query)
+    more = left.where((F.col("_held") + F.col("_p") <= ceiling) & ((F.col(score) >= F.col("_t")) | (F.col("_held") + F.col("_p") <= floor)))
+    out = taken.select(*hits.columns).unionByName(more.select(*hits.columns))
+    return out.withColumn("rank", F.row_number().over(_by([query], F.desc(score), tie)))
+
+
 def best_per_key(rows: DataFrame, key: list[str], score: str, tie: str) -> DataFrame:
     """The row with the best score of each key, the first on ties; an aggregate, so that hot keys combine before the shuffle."""
     others = [c for c in rows.columns if c not in (*key, score, tie)]

@@ -1,71 +1,148 @@
-"""Lexical retrieval: grep recall and fielded BM25+."""
+"""Lexical retrieval: grep recall, fielded BM25+ and the search that composes both with boosts."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators import ranking
+from corpusloom.tables import saved
 
 #: Weights of the fields of a note.
 FIELD_WEIGHTS = {"title": 5.0, "tags": 4.0, "heading": 2.5, "path": 1.5, "body": 1.0}
 
 
-def postings(notes: DataFrame, fields: dict[str, str], terms: Callable[[Column], Column] = T.ascii_terms) -> DataFrame:
-    """(ord, field, term, n_terms): a term counts once for a field; fields maps a field's name to a column of strings or of arrays (tags)."""
+def postings(notes: DataFrame, fields: dict[str, str], terms: Callable[[Column], Column] = T.terms) -> DataFrame:
+    """(ord, field, n_terms, first, term): a term counts once for a field, ``first`` marks one row of each field of a note.
+
+    fields maps a field's name to a column of strings or of arrays (tags). Notes are read once for all fields.
+    """
     text = lambda c: F.concat_ws(" ", c) if notes.schema[c].dataType.typeName() == "array" else F.coalesce(F.col(c), F.lit(""))
-    parts = [notes.select("ord", F.lit(f).alias("field"), terms(text(c)).alias("t")) for f, c in fields.items()]
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    return both.select("ord", "field", F.size("t").alias("n_terms"), F.explode("t").alias("term"))
+    made = F.array(*(F.struct(F.lit(f).alias("field"), terms(text(c)).alias("t")) for f, c in fields.items()))
+    rows = notes.select("ord", F.inline(made))
+    return rows.select("ord", "field", F.size("t").alias("n_terms"), F.posexplode("t").alias("_at", "term")).withColumn("first", F.col("_at") == 0).drop("_at")
 
 
-def prefix_matches(index: DataFrame, asked: DataFrame, share: float = 0.375) -> DataFrame:
-    """(term, asked, nearness): index terms that start with an asked term; longer ones count ``share`` and less the more they add."""
+def prefix_matches(words: DataFrame, asked: DataFrame, share: float = 0.375) -> DataFrame:
+    """(term, asked, nearness): distinct index terms that start with an asked term; longer ones count ``share`` and less the more they add."""
     longest = asked.agg(F.max(F.length("term")).alias("_longest"))
-    words = index.select("term").distinct().crossJoin(F.broadcast(longest)).where("_longest > 0 and length(term) > 0")
-    starts = words.select("term", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("term"), "_longest")), lambda i: F.substring("term", F.lit(1), i))).alias("asked"))
+    some = words.crossJoin(F.broadcast(longest)).where("_longest > 0 and length(term) > 0")  # one row
+    starts = some.select("term", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("term"), "_longest")), lambda i: F.substring("term", F.lit(1), i))).alias("asked"))
     n, more = F.length("term"), F.length("term") - F.length("asked")
     return starts.join(asked.select(F.col("term").alias("asked")), "asked").select("term", "asked", F.when(more == 0, 1.0).otherwise(share * n / (n + 0.3 * more)).alias("nearness"))
 
 
-def bm25_plus(notes: DataFrame, queries: DataFrame, fields: dict[str, str], k1: float = 1.2, b: float = 0.7, delta: float = 0.5, terms: Callable[[Column], Column] = T.ascii_terms, prefix: bool = False) -> DataFrame:
-    """(query, ord, score) for queries (query, term). Terms come from both sides before they meet, and only their postings are shuffled.
+def bm25_plus(index: DataFrame, queries: DataFrame, candidates: DataFrame | None = None, k1: float = 1.2, b: float = 0.7, delta: float = 0.5, prefix: bool = True) -> DataFrame:
+    """(query, ord, score, matches) for queries (query, term) over a written index of ``postings``; any of a query's terms may match.
 
-    ``terms`` makes the terms of a field (``T.terms`` for tags and CJK text; the queries' are to be made alike); with ``prefix``, index terms that start with a query's term count too.
+    ``candidates`` (query, ord): each query then has its own candidates only, and counts and mean lengths are of them. With ``prefix``, index
+    terms that start with a query's term count too. ``matches`` lists the (field, term, weight) that a score rests on. Only postings of
+    asked terms are shuffled.
     """
-    index = postings(notes, fields, terms)
-    sizes = index.groupBy("field").agg(F.countDistinct("ord").alias("n"), F.count("*").alias("total"))
-    sizes = sizes.select("field", "n", (F.col("total") / F.col("n")).alias("mean"))
-    asked = queries.select("term").distinct()
-    matches = prefix_matches(index, asked) if prefix else None
-    met = index.join(matches.select("term").distinct() if prefix else asked, "term", "left_semi")
-    df = met.groupBy("field", "term").agg(F.count("*").alias("df"))
+    asked = queries.select("query", "term").distinct()
+    terms = asked.select("term").distinct()
+    if prefix:
+        near = prefix_matches(index.select("term").distinct(), terms)
+    else:
+        near = terms.select("term", F.col("term").alias("asked"), F.lit(1.0).alias("nearness"))
+    near = saved(near, "near_terms")
+    met = index.join(near.select("term").distinct(), "term", "left_semi")
+    by = []
+    if candidates is None:
+        sizes = index.groupBy("field").agg(F.count_if("first").alias("n"), F.count("*").alias("total"))
+    else:
+        by, pairs = ["query"], candidates.select("query", "ord").distinct()
+        sizes = index.where("first").join(pairs, "ord").groupBy("query", "field").agg(F.count("*").alias("n"), F.sum("n_terms").alias("total"))
+        met = met.join(pairs, "ord")
+    sizes = sizes.select(*by, "field", "n", (F.col("total") / F.col("n")).alias("mean"))
+    df = met.groupBy(*by, "field", "term").agg(F.count("*").alias("df"))
     weight = F.element_at(F.create_map(*(F.lit(x) for kv in FIELD_WEIGHTS.items() for x in kv)), F.col("field"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = (k1 + 1) / (1 + k1 * (1 - b + b * F.col("n_terms") / F.col("mean"))) + delta
-    scored = met.join(df, ["field", "term"]).join(F.broadcast(sizes), "field").select("ord", "term", (weight * idf * tf).alias("s"))
-    if prefix:
-        scored = scored.join(matches, "term").select("ord", F.col("asked").alias("term"), (F.col("s") * F.col("nearness")).alias("s"))
-    per_term = scored.groupBy("ord", "term").agg(F.sum("s").alias("s"))
-    return per_term.join(queries.select("query", "term").distinct(), "term").groupBy("query", "ord").agg(F.sum("s").alias("score"))
+    scored = met.join(df.join(sizes, [*by, "field"]), [*by, "field", "term"]).select(*by, "ord", "term", "field", weight.alias("weight"), (weight * idf * tf).alias("s"))
+    reached = scored.join(near, "term").join(asked.withColumnRenamed("term", "asked"), [*by, "asked"])
+    # A term of the index may be reached from several of a query's terms: it counts for each, and is listed once.
+    hits = reached.groupBy("query", "ord").agg(F.sum(F.col("s") * F.col("nearness")).alias("score"), F.collect_set(F.struct("field", "term", "weight")).alias("matches"))
+    return hits.withColumn("matches", F.array_sort("matches"))
+
+
+def recall_terms(query: Column, most_chars: int = 1000) -> Column:
+    """The trimmed query, cut to ``most_chars``, and its salient terms, in lower case, each once."""
+    whole = F.left(F.trim(query), F.lit(most_chars))
+    return F.array_distinct(F.filter(F.concat(F.array(F.lower(whole)), T.salient_terms(whole)), lambda t: F.length(t) > 1))
 
 
-def grep(notes: DataFrame, queries: DataFrame, limit: int = 200) -> DataFrame:
-    """(query, ord, tier, matches, rank): path hits by number of terms first, then content hits in scan order.
+def grep(notes: DataFrame, queries: DataFrame, limit: int = 200, slice_terms: int = 50_000) -> DataFrame:
+    """(query, ord, tier, matches, rank): path hits by number of terms first, then content hits in scan order, ``limit`` a query.
 
-    queries (query, terms array): a stated set of a few short lists, sent to every task after a check of its size.
+    queries (query, terms array): a stated set; its distinct terms meet paths, the distinct words of all bodies and, where they hold white
+    space, whole bodies, in slices of about ``slice_terms`` terms sent to every task. A term without white space lies in a body exactly
+    if it lies in one of its words. Since content hits count in scan order, the first 2 ``limit`` of a term are enough: if fewer than
+    ``limit`` of them miss the path, path hits alone fill the list. Null bodies and paths hold nothing.
     """
-    n = queries.count()
-    if n > 10_000:
-        raise ValueError("grep takes at most 10,000 queries at once; split the set")
-    asked = F.broadcast(queries.withColumn("terms", F.filter("terms", lambda t: F.length(t) > 1)))
-    # One query set against all rows: each row is tested once for each query, and only hits go on.
-    tested = notes.select("ord", F.lower("path").alias("_p"), F.lower("body").alias("_b")).join(asked, F.expr("exists(terms, t -> contains(_p, lower(t)) or contains(_b, lower(t)))"))
-    in_path = F.size(F.filter("terms", lambda t: F.contains(F.col("_p"), F.lower(t))))
-    hits = tested.select("query", "ord", F.when(in_path > 0, 0).otherwise(1).alias("tier"), in_path.cast("long").alias("matches"))
+    asked = queries.select("query", F.explode(F.array_distinct(F.filter(F.transform("terms", F.lower), lambda t: F.length(t) > 1))).alias("term"))
+    asked = saved(asked, "asked")
+    terms = asked.select("term").distinct()
+    slices = max(1, math.ceil(terms.count() / slice_terms))
+    words = notes.select("ord", F.explode(F.array_distinct(F.split(F.lower("body"), r"\s+"))).alias("word"))
+    distinct = saved(words.select("word").distinct(), "words") if slices else None
+    in_path = in_body = None
+    for k in range(slices):
+        part = terms.where(F.pmod(F.xxhash64("term"), F.lit(slices)) == k)
+        single, phrase = F.broadcast(part.where(~F.col("term").rlike(r"\s"))), F.broadcast(part.where(F.col("term").rlike(r"\s")))
+        paths = notes.select("ord", F.lower("path").alias("_p")).join(F.broadcast(part), F.expr("contains(_p, term)")).select("term", "ord")
+        held = words.join(distinct.join(single, F.expr("contains(word, term)")), "word").select("term", "ord")
+        whole = notes.select("ord", F.lower("body").alias("_b")).join(phrase, F.expr("contains(_b, term)")).select("term", "ord")
+        bodies = held.unionByName(whole).distinct()
+        in_path, in_body = (paths, bodies) if in_path is None else (in_path.unionByName(paths), in_body.unionByName(bodies))
+    first = F.row_number().over(Window.partitionBy("term").orderBy("ord"))
+    in_body = in_body.withColumn("_n", first).where(F.col("_n") <= 2 * limit).select("term", "ord", F.lit(0).alias("p"))
+    both = in_path.select("term", "ord", F.lit(1).alias("p")).unionByName(in_body).join(asked, "term")
+    hits = both.groupBy("query", "ord").agg(F.sum("p").alias("matches"))
+    hits = hits.select("query", "ord", F.when(F.col("matches") > 0, 0).otherwise(1).alias("tier"), "matches")
     w = Window.partitionBy("query").orderBy("tier", F.desc("matches"), "ord")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+
+
+def search(notes: DataFrame, edges: DataFrame, queries: DataFrame, fields: dict[str, str], results: int = 30, candidates: int = 200, boosts: bool = True) -> DataFrame:
+    """(query, note, score, rank, matches): recall by grep, BM25+ over a query's candidates, boosts by folder and links, min-max, diverse top.
+
+    notes (ord, path, folder, tags, body and the columns of ``fields``), edges (src, dst), queries (query, text). Results are clamped to 1 to 100,
+    candidates to 10 to 1000; three times the results go into the boosts. A query whose candidates match no term has no results; blank queries have
+    none either.
+    """
+    results, candidates = min(max(1, results), 100), min(max(10, candidates), 1000)
+    asked = queries.where(F.trim("text") != "")
+    found = saved(grep(notes, asked.select("query", recall_terms(F.col("text")).alias("terms")), candidates).select("query", "ord"), "candidates")
+    near = notes.join(found.select("ord").distinct(), "ord", "left_semi")
+    index = saved(postings(near, fields), "postings")
+    words = asked.select("query", T.salient_terms(F.left(F.trim("text"), F.lit(1000))).alias("t"), "text")
+    terms = words.select("query", F.explode(T.terms(F.when(F.size("t") > 0, F.array_join("t", " ")).otherwise(F.col("text")))).alias("term"))
+    top = Window.partitionBy("query").orderBy(F.desc("score"), "ord")
+    hits = bm25_plus(index, terms, found).withColumn("score", F.round("score", 6)).withColumn("_rn", F.row_number().over(top)).where(F.col("_rn") <= 3 * results)
+    hits = saved(hits.select("query", F.col("ord").alias("note"), "score", "matches"), "hits")
+    if boosts:
+        near = notes.join(hits.select(F.col("note").alias("ord")).distinct(), "ord", "left_semi")
+        placed = hits.join(near.select(F.col("ord").alias("note"), "folder"), "note")
+        totals = notes.groupBy("folder").agg(F.count("*").alias("total"))
+        boosted = ranking.folder_boost(placed, totals).select("query", "note", F.col("boosted").alias("score"), "matches")
+        tags = near.select(F.col("ord").alias("note"), F.explode("tags").alias("tag"))
+        first = Window.partitionBy("query").orderBy(F.desc("score"), "note")
+        numbered = saved(boosted.withColumn("_rn", F.row_number().over(first)), "boosted")
+        # Links among a query's 20 best notes raise their scores; the others keep theirs.
+        best = ranking.graph_boost(numbered.where("_rn <= 20").select("query", "note", "score"), edges, tags).select("query", "note", "boosted")
+        hits = numbered.join(best, ["query", "note"], "left").select("query", "note", F.round(F.coalesce("boosted", "score"), 6).alias("score"), "matches")
+    scaled = ranking.min_max(hits, "query", "score").select("query", "note", F.round("normalised", 6).alias("score"), "matches", F.col("note").alias("_tie"))
+    return ranking.diverse_top(scaled, "query", "note", "score", "_tie", results).drop("_tie")
+
+
+def merged_search(lexical: DataFrame, semantic: DataFrame, limit: int = 30, k: int = 60) -> DataFrame:
+    """(query, note, score, rank): reciprocal ranks of both lists (query, note, score) summed, the best ``limit``."""
+    ranked = lambda rows: rows.where("score > 0").withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "note")))
+    fused = ranking.reciprocal_rank_fusion(ranked(lexical).select("query", "note", "r").unionByName(ranked(semantic).select("query", "note", "r")), "query", "note", "r", k)
+    top = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "note")
+    return fused.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= limit)

@@ -1,4 +1,4 @@
-"""Vector operators: cosine, a query set against all rows in blocks, threshold classification."""
+"""Vector operators: cosine, a query set against all rows in slices, threshold classification."""
 
 from __future__ import annotations
 
@@ -15,44 +15,75 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (F.size(a) == 0) | (norm == 0), 0.0).otherwise(F.try_divide(dot(a, b), norm))
 
 
-def top_similar(queries: DataFrame, rows: DataFrame, k: int, least: float = -1.0, block: int = 2048) -> DataFrame:
-    """(query, row, similarity, rank): the ``k`` rows most similar to each query vector, itself left out.
+def top_similar(queries: DataFrame, rows: DataFrame, k: int, least: float = -1.0, slice_rows: int = 10_000) -> DataFrame:
+    """(query, row, similarity, rank): the ``k`` rows most similar to each query vector, itself left out; the smaller id first on ties.
 
-    Both sides are (id long, vector array). They are cut into blocks by a hash of the id, and each pair of blocks is one row for
-    a task, which returns the best ``k`` of the block for each query; a window then joins the blocks' bests.
+    Both sides are (id long, vector array). The stated query set meets all rows in slices of about ``slice_rows`` vectors, each sent to the tasks, which
+    stream their rows past it and return the best ``k`` of each query: rows aren't shuffled. Vectors that are null, empty, zero, or hold
+    null or non-finite components have similarity 0 with everything, as have vectors of different lengths. Rows with a null id are left out.
     """
+    spark = queries.sparkSession
+    asked = queries.where("id is not null").select("id", F.col("vector").cast("array<double>").alias("vector"))
+    slices = max(1, math.ceil(asked.count() / slice_rows))
+    stored = rows.where("id is not null").select("id", F.col("vector").cast("array<double>").alias("vector"))
+    out = None
+    for s in range(slices):
+        part = asked.where(F.pmod(F.xxhash64("id"), F.lit(slices)) == s).orderBy("id").toArrow()
+        found = stored.mapInArrow(_best(spark.sparkContext.broadcast(part), k), "query long, row long, similarity double")
+        out = found if out is None else out.unionByName(found)
+    w = Window.partitionBy("query").orderBy(F.desc("similarity"), "row")
+    return out.where(F.col("similarity") >= least).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
 
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        n = max(1, math.ceil(df.count() / block))
-        dealt = df.select(F.pmod(F.xxhash64("id"), F.lit(n)).alias("_b"), F.struct("id", F.transform("vector", lambda x: x.cast("double")).alias("vector")).alias("_r"))
-        return dealt.groupBy("_b").agg(F.collect_list("_r").alias(name)).select(name)
+def unit_vectors(column) -> dict:
+    """length -> (places, unit vectors) of an Arrow array of lists; vectors without a direction are in none."""
+    import numpy as np
 
-    pairs = blocks(queries, "q").crossJoin(blocks(rows, "r"))
+    found: dict = {}
+    for i, x in enumerate(column.to_pylist()):
+        if x and None not in x:
+            found.setdefault(len(x), []).append((i, x))
+    out = {}
+    for d, held in found.items():
+        v = np.array([x for _, x in held], float)
+        size = np.abs(v).max(axis=1)
+        fine = np.isfinite(size) & (size > 0)
+        v = v[fine] / size[fine, None]
+        out[d] = np.array([i for i, _ in held])[fine], v / np.linalg.norm(v, axis=1, keepdims=True)
+    return out
 
+
+def _best(shared, k: int):
     def best(batches):
         import numpy as np
         import pyarrow as pa
 
-        def unit(column):
-            ids = column.field("id").to_numpy(zero_copy_only=False)
-            v = np.stack([np.asarray(x, float) for x in column.field("vector").to_pylist()])
-            norm = np.linalg.norm(v, axis=1, keepdims=True)
-            return ids, np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
-
-        for b in batches:
-            for i in range(b.num_rows):
-                qi, qv = unit(b.column("q").slice(i, 1).flatten())
-                ri, rv = unit(b.column("r").slice(i, 1).flatten())
-                s = np.round(qv @ rv.T, 6)
-                for j, q in enumerate(qi):
-                    order = np.lexsort((ri, -s[j]))
-                    order = order[(s[j][order] >= least) & (ri[order] != q)][:k]
-                    if len(order):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(order), q)), pa.array(ri[order]), pa.array(s[j][order])], ["query", "row", "similarity"])
-
-    spread = pairs.repartition(max(1, min(200, queries.sparkSession.sparkContext.defaultParallelism * 2)))
-    w = Window.partitionBy("query").orderBy(F.desc("similarity"), "row")
-    return spread.mapInArrow(best, "query long, row long, similarity double").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        ids = shared.value.column("id").to_numpy()
+        asked = unit_vectors(shared.value.column("vector").combine_chunks())
+        top = np.full((len(ids), k), -np.inf)
+        who = np.full((len(ids), k), np.iinfo(np.int64).max)
+        for batch in batches:
+            for first in range(0, batch.num_rows, 512):
+                b = batch.slice(first, 512)
+                mine, held = b.column("id").to_numpy(), unit_vectors(b.column("vector"))
+                for at in range(0, len(ids), 2048):
+                    s = np.zeros((len(ids[at : at + 2048]), len(mine)))
+                    for d in asked.keys() & held.keys():
+                        places, v = asked[d]
+                        some = (places >= at) & (places < at + 2048)
+                        s[np.ix_(places[some] - at, held[d][0])] = v[some] @ held[d][1].T
+                    s = np.round(s, 6)
+                    s[ids[at : at + 2048, None] == mine[None, :]] = -np.inf
+                    both = np.concatenate([top[at : at + 2048], s], axis=1)
+                    names = np.concatenate([who[at : at + 2048], np.broadcast_to(mine, s.shape)], axis=1)
+                    order = np.lexsort((names, -both), axis=1)[:, :k]
+                    top[at : at + 2048], who[at : at + 2048] = np.take_along_axis(both, order, 1), np.take_along_axis(names, order, 1)
+        for at in range(0, len(ids), 1024):
+            some = np.isfinite(top[at : at + 1024])
+            if some.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at : at + 1024], k)[some.ravel()]), pa.array(who[at : at + 1024][some]), pa.array(top[at : at + 1024][some])], ["query", "row", "similarity"])
+
+    return best
 
 
 def category(similarity: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import dates, text, urls
-from corpusloom.operators import corpus, ranking, retrieval, vectors
+from corpusloom.operators import corpus, ranking, vectors
 from corpusloom.plans import views as V
 from corpusloom.sources import chats
 from corpusloom.sources.html import extract_pages
@@ -29,45 +29,6 @@ def query(sql: str | None = None):
     return add
 
 
-TERMS_SQL = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9_]+'))"
-
-
-@query(f"""
-WITH {V.NOTES_SQL}, {V.QUESTIONS_SQL},
-f AS (SELECT ord, 'body' AS field, 1.0 AS w, {TERMS_SQL.format("coalesce(body, '')")} AS t FROM notes
-  UNION ALL SELECT ord, 'path', 1.5, {TERMS_SQL.format("path")} FROM notes
-  UNION ALL SELECT ord, 'title', 5.0, {TERMS_SQL.format("basename")} FROM notes),
-p AS (SELECT ord, field, w, len(t) AS n_terms, unnest(t) AS term FROM f),
-s AS (SELECT field, count(DISTINCT ord) AS n, count(*) / count(DISTINCT ord) AS mean FROM p GROUP BY field),
-q AS (SELECT DISTINCT query, unnest({TERMS_SQL.format("text")}) AS term FROM questions),
-df AS (SELECT field, term, count(*) AS df FROM p GROUP BY field, term),
-sc AS (SELECT q.query, p.ord, sum(w * ln(1 + (n - df + 0.5) / (df + 0.5)) * (2.2 / (1 + 1.2 * (1 - 0.7 + 0.7 * n_terms / mean)) + 0.5)) AS score
-  FROM q JOIN p USING (term) JOIN df USING (field, term) JOIN s USING (field) GROUP BY q.query, p.ord),
-r AS (SELECT query, ord, round(score, 6) AS score FROM sc),
-m AS (SELECT *, min(score) OVER (PARTITION BY query) AS lo, max(score) OVER (PARTITION BY query) AS hi FROM r)
-SELECT query, ord, round(CASE WHEN hi = lo THEN 0.5 ELSE 0.02 + (score - lo) / (hi - lo) * 0.96 END, 6) AS score,
-  row_number() OVER (PARTITION BY query ORDER BY score DESC, ord) AS rank FROM m
-QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, ord) <= 10""")
-def bm25_topk(spark, sf_dir):
-    q = V.questions(spark, sf_dir).select("query", F.explode(text.ascii_terms(F.col("text"))).alias("term"))
-    hits = retrieval.bm25_plus(V.notes(spark, sf_dir), q, {"body": "body", "path": "path", "title": "basename"})
-    hits = ranking.min_max(hits.withColumn("raw", F.round("score", 6)), "query", "raw")
-    top = Window.partitionBy("query").orderBy(F.desc("raw"), "ord")
-    return hits.withColumn("rank", F.row_number().over(top)).where("rank <= 10").select("query", "ord", F.round("normalised", 6).alias("score"), "rank")
-
-
-@query(f"""
-WITH {V.NOTES_SQL}, {V.QUESTIONS_SQL},
-q AS (SELECT query, list_filter(list_slice(string_split(lower(text), ' '), 1, 3), lambda t: length(t) > 1) AS terms FROM questions),
-h AS (SELECT query, ord, len(list_filter(terms, lambda t: contains(lower(path), t))) AS p, len(list_filter(terms, lambda t: contains(lower(body), t))) AS b FROM q, notes),
-t AS (SELECT query, ord, CASE WHEN p > 0 THEN 0 ELSE 1 END AS tier, CAST(p AS BIGINT) AS matches FROM h WHERE p > 0 OR b > 0)
-SELECT *, row_number() OVER (PARTITION BY query ORDER BY tier, matches DESC, ord) AS rank FROM t
-QUALIFY row_number() OVER (PARTITION BY query ORDER BY tier, matches DESC, ord) <= 200""")
-def grep_recall(spark, sf_dir):
-    q = V.questions(spark, sf_dir).select("query", F.slice(F.split(F.lower("text"), " "), 1, 3).alias("terms"))
-    return retrieval.grep(V.notes(spark, sf_dir), q, 200)
-
-
 _TWO_LISTS = f"""{V.NOTES_SQL}, {V.HITS_SQL},
 a AS (SELECT query, ord, row_number() OVER (PARTITION BY query ORDER BY score DESC, ord) AS rank FROM hits QUALIFY rank <= 50),
 b AS (SELECT query, ord, row_number() OVER (PARTITION BY query ORDER BY length(body) DESC, ord) AS rank FROM hits JOIN notes USING (ord) QUALIFY rank <= 50)"""
@@ -392,20 +353,21 @@ def chapter_asof(spark, sf_dir):
     return corpus.as_of(e.where("event_type <> 'signup'").select("user_id", "at", "event_id"), marks, ["user_id"]).select("event_id", F.col("label").alias("chapter"))
 
 
-@query(r"""WITH s AS (SELECT conv_id, turn * 3.0 AS t0, turn AS ord, trim(text) AS t FROM conversations WHERE trim(text) <> ''),
-c AS (SELECT *, CASE WHEN coalesce(t0 - lag(t0) OVER w >= 4, false) OR coalesce(regexp_matches(lag(t) OVER w, '[.?!]$'), false) THEN 1 ELSE 0 END AS c FROM s WINDOW w AS (PARTITION BY conv_id ORDER BY t0, ord)),
-p AS (SELECT *, sum(c) OVER (PARTITION BY conv_id ORDER BY t0, ord) AS paragraph FROM c)
-SELECT conv_id, CAST(paragraph AS BIGINT) AS paragraph, CAST(min(t0) AS DOUBLE) AS start, count(*) AS n, md5(regexp_replace(string_agg(t, ' ' ORDER BY t0, ord), '\s+', ' ', 'g')) AS text FROM p GROUP BY conv_id, paragraph""")
+@query(r"""WITH RECURSIVE s AS (SELECT conv_id, turn * 3.0 AS t0, turn AS ord, trim(regexp_replace(text, '[.?!](\s*)$', '\1')) AS t FROM conversations WHERE trim(text) <> ''),
+c AS (SELECT *, coalesce(t0 - lag(t0) OVER w >= 4, false) OR coalesce(regexp_matches(lag(t) OVER w, '[.?!]$'), false) AS cut, len(regexp_extract_all(t, '\S+')) AS words, row_number() OVER w AS n FROM s WINDOW w AS (PARTITION BY conv_id ORDER BY t0, ord)),
+f AS (SELECT conv_id, n, 0 AS paragraph, words FROM c WHERE n = 1 UNION ALL
+  SELECT c.conv_id, c.n, f.paragraph + CASE WHEN c.cut OR f.words >= 80 THEN 1 ELSE 0 END, CASE WHEN c.cut OR f.words >= 80 THEN c.words ELSE f.words + c.words END FROM f JOIN c ON c.conv_id = f.conv_id AND c.n = f.n + 1)
+SELECT conv_id, CAST(paragraph AS BIGINT) AS paragraph, CAST(min(t0) AS DOUBLE) AS start, count(*) AS n, md5(trim(regexp_replace(string_agg(t, ' ' ORDER BY n), '\s+', ' ', 'g'))) AS text FROM f JOIN c USING (conv_id, n) GROUP BY conv_id, paragraph""")
 def paragraph_sessions(spark, sf_dir):
-    c = V.table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") * 3.0).alias("at"), F.col("turn").alias("ord"), "text")
+    c = V.table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") * 3.0).alias("at"), F.col("turn").alias("ord"), F.regexp_replace("text", r"[.?!](?=\s*$)", "").alias("text"))
     return corpus.paragraphs(c, ["conv_id"]).withColumn("text", F.md5("text")).select("conv_id", "paragraph", "start", "n", "text")
 
 
-@query("""WITH r AS (SELECT p_partkey AS g, p_retailprice AS x0, p_size AS y0, p_retailprice + 3 AS x1, p_size + 3 AS y1 FROM part WHERE p_partkey % 10 = 0), n AS (SELECT p_partkey AS node, p_retailprice AS x, p_size AS y FROM part)
+@query("""WITH r AS (SELECT p_partkey AS g, p_retailprice AS x0, p_size AS y0, p_retailprice + 3 AS x1, p_size + 3 AS y1 FROM part), n AS (SELECT p_partkey AS node, p_retailprice AS x, p_size AS y FROM part)
 SELECT g AS "group", node FROM r, n WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 AND g <> node""")
 def canvas_containment(spark, sf_dir):
     p = V.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.col("p_retailprice").alias("x"), F.col("p_size").cast("double").alias("y"))
-    r = p.where("node % 10 = 0").select(F.col("node").alias("group"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + 3).alias("x1"), (F.col("y") + 3).alias("y1"))
+    r = p.select(F.col("node").alias("group"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + 3).alias("x1"), (F.col("y") + 3).alias("y1"))
     return corpus.contained(r, p, 4.0)
 
 

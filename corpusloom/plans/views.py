@@ -11,16 +11,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """path, folder, basename, tags, inline_tags, mtime (ms), body, ord of ``documents``."""
+    """path, folder, basename, tags, inline_tags, mtime (ms), body, heading (the first one), ord of ``documents``."""
     d = table(spark, sf_dir, "documents")
     folder = F.concat_ws("/", "lang", "source")
     base = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
     tags = F.array(F.concat(F.lit("#lang/"), "lang"), F.concat(F.lit("#"), "source"))
-    return d.select(F.concat(folder, F.lit("/"), base, F.lit(".md")).alias("path"), folder.alias("folder"), base.alias("basename"), tags.alias("tags"), F.array(F.concat(F.lit("#"), "lang")).alias("inline_tags"), (F.lit(1704067200000) + F.col("doc_id") * 3600000).alias("mtime"), F.col("text").alias("body"), F.col("doc_id").alias("ord"))
+    return d.select(F.concat(folder, F.lit("/"), base, F.lit(".md")).alias("path"), folder.alias("folder"), base.alias("basename"), tags.alias("tags"), F.array(F.concat(F.lit("#"), "lang")).alias("inline_tags"), (F.lit(1704067200000) + F.col("doc_id") * 3600000).alias("mtime"), F.col("text").alias("body"), F.regexp_extract("text", r"(?m)^#{1,6}[ \t]+([^\n]+)$", 1).alias("heading"), F.col("doc_id").alias("ord"))
 
 
-NOTES_SQL = """notes AS (SELECT lang || '/' || source || '/doc_' || doc_id || '.md' AS path, lang || '/' || source AS folder, 'doc_' || doc_id AS basename,
-  ['#lang/' || lang, '#' || source] AS tags, ['#' || lang] AS inline_tags, 1704067200000 + doc_id * 3600000 AS mtime, text AS body, doc_id AS ord FROM documents)"""
+NOTES_SQL = r"""notes AS (SELECT lang || '/' || source || '/doc_' || doc_id || '.md' AS path, lang || '/' || source AS folder, 'doc_' || doc_id AS basename,
+  ['#lang/' || lang, '#' || source] AS tags, ['#' || lang] AS inline_tags, 1704067200000 + doc_id * 3600000 AS mtime, text AS body, regexp_extract(text, '(?m)^#{1,6}[ \t]+([^\n]+)$', 1) AS heading, doc_id AS ord FROM documents)"""
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,13 +36,11 @@ EDGES_SQL = """edges AS (SELECT doc_id AS src, unnest([(doc_id * 7 + 1) % n, (do
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query, text): the first words of each benchmark text, as a user would type them."""
-    b = table(spark, sf_dir, "benchmark")
-    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    return b.select(F.col("item_id").alias("query"), F.array_join(F.slice(words, 1, 6), " ").alias("text"))
+    """(query, text): the whole texts of ``benchmark``."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
 
 
-QUESTIONS_SQL = r"""questions AS (SELECT item_id AS query, array_to_string(list_slice(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''), 1, 6), ' ') AS text FROM benchmark)"""
+QUESTIONS_SQL = "questions AS (SELECT item_id AS query, text FROM benchmark)"
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,8 +37,9 @@ def load_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def export_markdown(memories: DataFrame) -> DataFrame:
-    """(category, markdown): dated bullets of what isn't sensitive."""
-    day = F.date_format(F.timestamp_millis("createdAt"), "yyyy-MM-dd")
-    kept = memories.where(~F.coalesce("sensitive", F.lit(False))).select("category", F.struct("createdAt", "id", F.concat(F.lit("- ["), day, F.lit("] "), "content").alias("line")).alias("x"))
+    """(category, month, markdown): dated bullets of what isn't sensitive, a part for each month, so that no category is gathered whole."""
+    at = F.timestamp_millis("createdAt")
+    line = F.concat(F.lit("- ["), F.date_format(at, "yyyy-MM-dd"), F.lit("] "), "content")
+    kept = memories.where(~F.coalesce("sensitive", F.lit(False))).select("category", F.date_format(at, "yyyy-MM").alias("month"), F.struct("createdAt", "id", line.alias("line")).alias("x"))
     lines = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n")
-    return kept.groupBy("category").agg(F.concat(F.lit("## "), F.first("category"), F.lit("\n\n"), lines).alias("markdown"))
+    return kept.groupBy("category", "month").agg(F.concat(F.lit("## "), F.first("category"), F.lit("\n\n"), lines).alias("markdown"))

@@ -1,12 +1,16 @@
 """Operators on tiny tables."""
 
+import hashlib
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import corpus, ranking, retrieval, vectors
-from corpusloom.sources import canvas, memories
-from corpusloom.sources.html import extract_html
+from corpusloom.sources import canvas, chunks, memories
+from corpusloom.sources.html import extract_html, extract_pages
 from corpusloom.sources.markdown import chunk_note, line_windows, table_markdown
 from corpusloom.streaming.blocks import fold
 
@@ -40,7 +44,7 @@ def test_numbered_counts_like_row_number(spark):
     r = random.Random(4)
     data = [(k, i, float(r.choice([1, 1, 2, 50, 1000]))) for k in (1, 2) for i in range(60)]
     df = spark.createDataFrame(data, "k int, i int, v double")
-    got = {(x["k"], x["i"]): x["place"] for x in ranking.numbered(df, ["k"], F.col("v"), [F.col("v"), F.col("i")], 8).collect()}
+    got = {(x["k"], x["i"]): x["place"] for x in ranking.numbered(df, ["k"], [F.col("v"), F.col("i")]).collect()}
     for k in (1, 2):
         order = sorted((v, i) for kk, i, v in data if kk == k)
         assert [got[k, i] for _, i in order] == list(range(1, 61))
@@ -69,6 +73,22 @@ def test_duplicate_queries_name_the_first(spark):
     assert [(r["ord"], r["first"]) for r in corpus.duplicate_queries(q, 0.6).orderBy("ord").collect()] == [(2, 1), (4, 1)]
 
 
+def test_duplicate_queries_equal_all_pairs(spark):
+    r = random.Random(4)
+    texts = [" ".join({r.choice("abcdefghij") for _ in range(r.randint(0, 7))} | {"the"}) for _ in range(60)] + ["", "a a A"]
+    for t in (0.3, 0.6, 1.0):
+        want = []
+        sets = [set(x.lower().split()) for x in texts]
+        for i, a in enumerate(sets):
+            for j in range(i):
+                c = len(a & sets[j])
+                if a and sets[j] and max(c / len(a | sets[j]), c / min(len(a), len(sets[j]))) >= t:
+                    want.append((i, j))
+                    break
+        got = corpus.duplicate_queries(spark.createDataFrame(list(enumerate(texts)), "ord int, text string"), t)
+        assert sorted((x["ord"], x["first"]) for x in got.collect()) == want
+
+
 def test_containment_includes_borders(spark):
     r = spark.createDataFrame([("g", 0.0, 0.0, 10.0, 10.0)], "group string, x0 double, y0 double, x1 double, y1 double")
     n = spark.createDataFrame([("in", 10.0, 0.0), ("out", 10.1, 5.0), ("g", 5.0, 5.0)], "node string, x double, y double")
@@ -81,6 +101,20 @@ def test_as_of_takes_the_latest_mark(spark):
     assert {(r["id"], r["label"]) for r in corpus.as_of(e, m, ["k"]).collect()} == {("x", None), ("y", "c1"), ("z", "c2")}
 
 
+def test_as_of_carries_marks_over_ranges(spark):
+    r = random.Random(6)
+    marks = {(k, at): f"m{at}" for k in (1, 2, None) for at in r.sample(range(400), 9 if k else 3)}
+    events = [(r.choice([1, 1, 1, 2, 3]), r.randint(0, 400), i) for i in range(500)]
+    got = corpus.as_of(spark.createDataFrame(events, "k int, at int, id int"), spark.createDataFrame([(k, at, m) for (k, at), m in marks.items()], "k int, at int, label string"), ["k"]).collect()
+    want = {i: max(((a, m) for (x, a), m in marks.items() if x == k and a <= at), default=(0, None))[1] for k, at, i in events}
+    assert {g["id"]: g["label"] for g in got} == want
+
+
+def test_paragraphs_end_after_enough_words(spark):
+    s = spark.createDataFrame([(v, float(i), i, "w " * n) for v in ("a", "b") for i, n in enumerate([50, 29, 1, 80, 3, 200, 1])], "v string, at double, ord int, text string")
+    assert [(x["v"], x["paragraph"], x["n"]) for x in corpus.paragraphs(s, ["v"]).orderBy("v", "paragraph").collect()] == [(v, p, n) for v in ("a", "b") for p, n in enumerate([3, 1, 2, 1])]
+
+
 def test_paragraphs_break_on_gaps_and_sentence_ends(spark):
     s = spark.createDataFrame([(1, 0.0, 1, "a"), (1, 1.0, 2, "b."), (1, 2.0, 3, "c"), (1, 9.0, 4, "d"), (1, 9.5, 5, "  ")], "v int, at double, ord int, text string")
     assert [r["text"] for r in corpus.paragraphs(s, ["v"]).orderBy("start").collect()] == ["a b.", "c", "d"]
@@ -91,7 +125,7 @@ def test_similar_vectors_in_blocks_match_cosine(spark):
 
     v = np.random.default_rng(1).standard_normal((40, 8))
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vector array<double>")
-    got = vectors.top_similar(df.where("id < 5"), df, 3, block=7)
+    got = vectors.top_similar(df.where("id < 5"), df, 3, slice_rows=2)
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     s = u @ u.T
     np.fill_diagonal(s, -2)
@@ -101,32 +135,71 @@ def test_similar_vectors_in_blocks_match_cosine(spark):
     assert c == pytest.approx(s[2, 1])
 
 
+def test_similar_vectors_without_direction_and_of_other_lengths(spark):
+    rows_ = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [1.0, None]), (7, [float("nan"), 1.0]), (8, [1.0, 0.0, 0.0]), (9, [1.0, 1.0]), (None, [1.0, 0.0])]
+    df = spark.createDataFrame(rows_, "id long, vector array<double>")
+    got = vectors.top_similar(df, df, 2, least=0.5).collect()
+    assert sorted((g["query"], g["row"], g["similarity"]) for g in got) == [(1, 2, 1.0), (1, 9, 0.707107), (2, 1, 1.0), (2, 9, 0.707107), (9, 1, 0.707107), (9, 2, 0.707107)]
+    assert vectors.top_similar(df.limit(0), df, 2).count() == 0 and vectors.top_similar(df, df.limit(0), 2).count() == 0
+
+
 def test_bm25_prefers_rare_terms_and_titles(spark):
     n = spark.createDataFrame([(1, "x.md", "rare word", "t"), (2, "y.md", "word word", "t"), (3, "z.md", "word", "rare")], "ord int, path string, body string, title string")
     q = spark.createDataFrame([(1, "rare"), (1, "word")], "query int, term string")
-    got = {r["ord"]: r["score"] for r in retrieval.bm25_plus(n, q, {"body": "body", "title": "title"}).collect()}
+    got = {r["ord"]: r["score"] for r in retrieval.bm25_plus(retrieval.postings(n, {"body": "body", "title": "title"}), q).collect()}
     assert got[3] > got[1] > got[2]
 
 
 def test_bm25_finds_cjk_tags_and_prefixes(spark):
     n = spark.createDataFrame([(1, "東京都の本", ["#work/big"]), (2, "retrieval of words", None), (3, "words", ["#home"]), (4, None, [])], "ord int, body string, tags array<string>")
     q = spark.createDataFrame([(1, "京都"), (2, "#work"), (3, "retr"), (4, "words")], "query int, text string").select("query", F.explode(T.terms(F.col("text"))).alias("term"))
-    fields = {"body": "body", "tags": "tags"}
-    got = {(r["query"], r["ord"]): r["score"] for r in retrieval.bm25_plus(n, q, fields, terms=T.terms, prefix=True).collect()}
+    index = retrieval.postings(n, {"body": "body", "tags": "tags"})
+    found = retrieval.bm25_plus(index, q).collect()
+    got = {(r["query"], r["ord"]): r["score"] for r in found}
     assert set(got) == {(1, 1), (2, 1), (3, 2), (4, 2), (4, 3)}
-    whole = {(r["query"], r["ord"]): r["score"] for r in retrieval.bm25_plus(n, q, fields, terms=T.terms).collect()}
+    assert [tuple(m) for r in found if r["query"] == 2 for m in r["matches"]] == [("tags", "#work", 4.0), ("tags", "#work/big", 4.0), ("tags", "work", 4.0), ("tags", "work/big", 4.0)]
+    whole = {(r["query"], r["ord"]): r["score"] for r in retrieval.bm25_plus(index, q, prefix=False).collect()}
     assert set(whole) == set(got) - {(3, 2)} and whole[4, 3] == pytest.approx(got[4, 3])
     asked = spark.createDataFrame([(3, "retrieval")], "query int, term string")
-    full = retrieval.bm25_plus(n, asked, fields, terms=T.terms).first()["score"]
+    full = retrieval.bm25_plus(index, asked).first()["score"]
     assert got[3, 2] == pytest.approx(full * 0.375 * 9 / (9 + 0.3 * 5))
 
 
+def test_bm25_counts_candidates_only(spark):
+    n = spark.createDataFrame([(i, "rare word" if i < 2 else "word") for i in range(20)], "ord int, body string")
+    index = retrieval.postings(n, {"body": "body"})
+    q = spark.createDataFrame([(1, "rare"), (2, "rare")], "query int, term string")
+    pairs = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, 5), (2, 6), (2, 7)], "query int, ord int")
+    got = {(r["query"], r["ord"]): r["score"] for r in retrieval.bm25_plus(index, q, pairs).collect()}
+    assert set(got) == {(1, 0), (1, 1), (2, 0)} and got[2, 0] > got[1, 0]
+
+
 def test_grep_puts_path_hits_first(spark):
     n = spark.createDataFrame([(1, "a.md", "alpha beta"), (2, "alpha.md", "none"), (3, "c.md", "x")], "ord int, path string, body string")
     q = spark.createDataFrame([(7, ["alpha", "b"])], "query int, terms array<string>")
     assert [(r["ord"], r["tier"]) for r in retrieval.grep(n, q).orderBy("rank").collect()] == [(2, 0), (1, 1)]
 
 
+def test_grep_finds_parts_of_words_and_phrases_in_any_number_of_slices(spark):
+    r = random.Random(3)
+    words = ["alpha", "beta", "Gamma-ray", "del", "delta", "é"]
+    bodies = [" ".join(r.choice(words) for _ in range(6)) for _ in range(80)] + [None, "", "alpha\nbeta"]
+    n = spark.createDataFrame([(i, f"f{i % 7}/n{i}.md", b) for i, b in enumerate(bodies)], "ord int, path string, body string")
+    asked = [(1, ["lph", "delta beta"]), (2, ["GAMMA", "n1"]), (3, ["alpha beta del"]), (4, ["x", "é"]), (5, []), (6, ["del", "del"])]
+    for slices in (50_000, 2):
+        got = [(x["query"], x["ord"], x["tier"], x["matches"], x["rank"]) for x in retrieval.grep(n, spark.createDataFrame(asked, "query int, terms array<string>"), 10, slice_terms=slices).collect()]
+        want = []
+        for q, terms in asked:
+            terms = {t.lower() for t in terms if len(t) > 1}
+            hits = []
+            for i, b in enumerate(bodies):
+                m = sum(t in f"f{i % 7}/n{i}.md" for t in terms)
+                if m or any(t in (b or "").lower() for t in terms):
+                    hits.append((0 if m else 1, -m, i))
+            want += [(q, i, tier, -m, k + 1) for k, (tier, m, i) in enumerate(sorted(hits)[:10])]
+        assert sorted(got) == sorted(want)
+
+
 def test_chunks_follow_headings_outside_fences():
     note = "---\ntags: x\n---\nlost\n# A\none\n```\n# no\n```\n## B\ntwo"
     got = chunk_note(note)
@@ -150,12 +223,77 @@ def test_html_skips_scripts_and_keeps_structure():
     assert extract_html(None)[3] == "failed"
 
 
+def test_html_loses_no_content_to_wrappers_and_unclosed_elements():
+    assert extract_html("<body><form><p>all</p></form></body>")[2:] == ("all", "ok")
+    assert extract_html("<div><nav><a>menu</a></div><article><p>text</p></article>")[2] == "text"
+    assert extract_html("<body><nav><a>menu</a><article><p>text</p></article></body>")[2] == "text"
+    assert extract_html("<aside>only this</aside>")[2:] == ("only this", "ok")
+    assert extract_html("<p>a<br/>b<img src=x>c<svg><title>no</title></svg>d")[2] == "a\nbcd"
+    assert extract_html("<script>var t = '</p>';</script><p>x</p><noscript>no")[2] == "x"
+
+
+def test_page_signals(spark):
+    pages = [(1, "u", '<div id="root"></div>Loading'), (2, "u", "<p>" + "long text " * 50 + "loading</p>"), (3, "u", "<p>Access Denied</p>"), (4, "u", None), (5, "u", "<p>fine</p>")]
+    got = {r["page_id"]: (r["status"], r["needs_rendering"], r["blocked"]) for r in extract_pages(spark.createDataFrame(pages, "page_id int, url string, html string")).collect()}
+    assert got == {1: ("ok", True, False), 2: ("ok", False, False), 3: ("ok", False, True), 4: ("failed", True, False), 5: ("ok", False, False)}
+
+
+def naive_pieces(text, size, seps=("\n\n", "\n", ". ", " ", "")):
+    """What split_text does, piece by piece and without groups."""
+    sep = next(x for x in seps if x == "" or x in text)
+    rest = seps[seps.index(sep) + 1 :]
+    runs, now = [], []
+    for part in text.split(sep) if sep else text:
+        if len(part) < size or not sep:
+            now.append(part)
+        else:
+            runs += [(now, None), (None, part)]
+            now = []
+    out = []
+    for parts, large in [*runs, (now, None)]:
+        if large is not None:
+            out += naive_pieces(large, size, rest)
+            continue
+        held = ""
+        for part in filter(None, parts):
+            if held and len(held) + len(sep) + len(part) > size:
+                out.append(held.strip())
+                held = part
+            else:
+                held = held + sep + part if held else part
+        out.append(held.strip())
+    return [x for x in out if x]
+
+
+def test_lexical_chunks_against_plain_splitting(spark):
+    r = random.Random(5)
+    texts = ["", "short", "# only heading", "a" * 150, "# A\n" + "word " * 60 + "\n# B\n\n# C\n" + "text. " * 40]
+    for _ in range(60):
+        texts.append("".join(r.choice(["word", " ", " ", ". ", "\n", "\n\n", "\n# Head\n", "\n## Sub\n", "x" * 30, "é"]) for _ in range(r.randint(1, 120))))
+    for t in texts:
+        if t:
+            assert chunks.split_text(t, 100) == naive_pieces(t, 100)
+        made = chunks.note_chunks("t", t, 200)
+        head = "\n\nNOTE TITLE: [[t]]\n\nNOTE BLOCK CONTENT:\n\n"
+        assert all(c.startswith(head) and len(c) <= 200 + len(head) for _, c in made)
+        body = chunks.split_frontmatter(t)[0] if t.strip() else ""
+        letters = lambda x: re.sub(r"[\s.]", "", x)
+        assert letters("".join(c[len(head) :] for _, c in made)) == letters(body)
+        if len(head) + len(body) <= 200:
+            assert [c for _, c in made] == ([head + body] if t.strip() else [])
+    assert chunks.join_slight(["# A", "body", "# B"], 50) == ["# A\n\nbody\n\n# B"] and chunks.join_slight(["# A", "b" * 50], 50) == ["# A", "b" * 50]
+    n = spark.createDataFrame([("f/t.md", texts[4]), ("../x.md", "no"), ("/abs.md", "no"), ("e.md", " "), ("n.md", None)], "path string, body string")
+    got = chunks.lexical_chunks(n, 200).collect()
+    assert [(g["heading"], g["content"]) for g in got] == chunks.note_chunks("t", texts[4], 200)
+    assert [g["id"] for g in got] == [f"f/t.md#{i}" for i in range(len(got))] and all(g["content_hash"] == hashlib.md5(g["content"].encode()).hexdigest() for g in got)
+
+
 def test_memories_round_trip(spark, tmp_path):
     p = tmp_path / "m.jsonl"
     p.write_text('{"id":"a","content":"x","category":"fact","createdAt":0}\n\nbroken\n{"id":"b","deleted":true}\n{"id":"c","content":"y","category":"fact","createdAt":1,"sensitive":true}\n')
     m = memories.read_memories(spark, str(p))
     assert rows(m.select("id")) == [("a",), ("c",)]
-    assert memories.export_markdown(m).first()["markdown"] == "## fact\n\n- [1970-01-01] x"
+    assert rows(memories.export_markdown(m)) == [("fact", "1970-01", "## fact\n\n- [1970-01-01] x")]
     memories.save_index(m, str(tmp_path / "i"), 3)
     assert memories.load_index(spark, str(tmp_path / "i")).count() == 2
 
