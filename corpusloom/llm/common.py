@@ -1,68 +1,14 @@
-"""What the operators of this subpackage share: scratch tables, file systems, seeded hashes and range shards."""
+"""What the operators of this subpackage share: written tables, file systems, seeded hashes and range shards."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
-from contextlib import contextmanager
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``. Where that is unset, a new local one, for a local master only (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/corpusloom/{uuid.uuid4().hex}/{name}"
-
-
-_TABLES: dict[int, str] = {}  # folders of written tables that haven't been discarded, by the order of writing
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to a new table in the shared folder and read from there: a later loss of executors costs no recomputation."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._written_to = path
-    _TABLES[max(_TABLES, default=0) + 1] = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables that ``saved`` has written, once nothing reads them any more."""
-    for t in tables:
-        _delete(t.sparkSession, t._written_to)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    for k in [k for k, p in _TABLES.items() if p == path]:
-        del _TABLES[k]
-
-
-@contextmanager
-def scratch(spark: SparkSession, *keep: str):
-    """Tables that ``saved`` writes inside go at the end, but for those with the names ``keep``: for jobs whose result is written, not lazy."""
-    before = max(_TABLES, default=0)
-    try:
-        yield
-    finally:
-        for path in [p for k, p in _TABLES.items() if k > before and p.rsplit("/", 1)[1] not in keep]:
-            _delete(spark, path)
+from corpusloom.tables import discard, new_folder, saved, scratch  # noqa: F401 (part of this module for the operators)
 
 
 def text_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -111,16 +57,17 @@ def if_small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], count: str, total: int, how: str = "inner", hot: int = 50_000) -> DataFrame:
+def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], count: str, how: str = "inner", hot: int = 50_000) -> DataFrame:
     """Inner or left join of ``rows`` with a written ``table`` of distinct keys, whose column ``count`` tells how many rows have the key.
 
-    Keys of more than ``hot`` rows, or of a ten-thousandth of ``total`` if that is more, are at most 10,000: they are sent to every task, so
+    Keys of more than ``hot`` rows, or of a ten-thousandth of all if that is more, are at most 10,000: they are sent to every task, so
     that a key of a third of all rows isn't shuffled to one.
     """
-    limit = max(hot, total // 10_000)
-    many = table.where(F.col(count) > limit)
-    if many.isEmpty():
+    total, most = table.agg(F.sum(count), F.max(count)).first()
+    limit = max(hot, int(total or 0) // 10_000)
+    if (most or 0) <= limit:
         return rows.join(table, keys, how)
+    many = table.where(F.col(count) > limit)
     others = rows.join(F.broadcast(many.select(*keys)), keys, "left_anti").join(table.where(F.col(count) <= limit), keys, how)
     return rows.join(F.broadcast(many), keys).unionByName(others)
 

@@ -9,6 +9,8 @@ a historical text; the others are new texts, grouped among themselves.
 The hash is of the kind that places keys bucket by bucket (largest first) with a displacement for each bucket that leads to
 free slots; it needs about 2 bytes a bucket of 4 keys.
 
+Very common digests are sent to all tasks where rows meet their winners.
+
 Null texts are empty texts. Of equal texts the row with the largest doc_id stays; a null doc_id is below all others. Rows that
 repeat both doc_id and text count one by one in group_size and share their kept flag. Empty tables give empty
 results. Columns beyond doc_id and text are ignored.
@@ -20,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import runs, saved
+from corpusloom.llm.common import discard, join_counted, runs, saved
 
 HISTORY_SCHEMA = "shard int, n int, seed long, displacements binary, digests binary, winners binary, sizes binary"
 NONE = -(1 << 63)
@@ -175,7 +177,9 @@ def exact_dedup(docs: DataFrame, past: Column, shard_digests: int = 50_000, hist
     rest = old.select("digest", F.coalesce("winner", F.lit(NONE)).alias("winner"), "n", F.lit(True).alias("in_history"))
     final = met.unionByName(rest).groupBy("digest").agg(F.max("winner").alias("winner"), F.max("n").alias("n"), F.max("in_history").alias("in_history"))
     keep = F.when(F.col("winner") != NONE, F.col("winner"))
-    return rows.join(saved(final, "winners"), "digest").select(
+    winners = saved(final, "winners")
+    discard(groups, *([] if history_to else [history]))
+    return join_counted(rows, winners, ["digest"], "n").select(
         "doc_id",
         keep.alias("keep_id"),
         F.col("n").alias("group_size"),

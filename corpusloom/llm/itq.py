@@ -137,7 +137,7 @@ def near_embeddings(vectors: DataFrame, threshold: float = 0.93, sample_rows: in
     per_class = saved(per_class.join(lows, "c").select("label", "h1", "h2", "weight", "n", F.col("least.vec_id").alias("component_id")), "per_class")
     discard(classes, *tables)
     light = rows.select("vec_id", "label", "h1", "h2", "usable")
-    linked = join_counted(light.where("usable"), per_class, ["label", "h1", "h2"], "weight", rows.count()).select("vec_id", "n", "component_id")
+    linked = join_counted(light.where("usable"), per_class, ["label", "h1", "h2"], "weight").select("vec_id", "n", "component_id")
     rest = light.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(rest).select("vec_id", F.col("n").alias("n_links"), "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 

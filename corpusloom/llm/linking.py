@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import discard, runs, saved, tidied
+from corpusloom.llm.common import discard, join_counted, runs, saved, tidied
 
 
 def block_pairs(members: DataFrame, group: str, member: str, size: str, block: int) -> DataFrame:
@@ -114,8 +114,9 @@ def components(edges: DataFrame, chunk: int = 1 << 20) -> DataFrame:
     """(uid, component): the smallest uid that can be reached, for every uid that has an edge; a written table.
 
     The edges of a partition are first reduced to stars, ``chunk`` edges at a time. Each round then hooks: of the parents of a node the
-    least stays, and the others become its children. It ends with a jump to the parents' parents. Both make ends of edges smaller, so the
-    rounds end, with one star for each component. A round is two written tables, of which the older one goes as soon as the next is there.
+    least stays, and the others become its children. It ends with a jump to the parents' parents, where parents of very many nodes are sent to
+    every task. Both make ends of edges smaller, so the
+    rounds end, with one star for each component. A round's tables go as soon as the next one's are there.
     """
 
     def stars(batches):
@@ -158,9 +159,10 @@ def components(edges: DataFrame, chunk: int = 1 << 20) -> DataFrame:
     while True:
         hooked = saved(now.select("a", "b").repartition("a").sortWithinPartitions("a", "b").mapInArrow(hook, "a long, b long, changed boolean"), "hooked")
         parents = hooked.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("above"))
-        jumped = hooked.join(parents.hint("merge"), "b", "left").select("a", F.coalesce("above", "b").alias("b"), (F.col("changed") | F.col("above").isNotNull()).alias("changed"))
+        above = saved(hooked.groupBy("b").agg(F.count("*").alias("n")).join(parents, "b", "left"), "above")
+        jumped = join_counted(hooked, above, ["b"], "n", hot=1000).select("a", F.coalesce("above", "b").alias("b"), (F.col("changed") | F.col("above").isNotNull()).alias("changed"))
         before, now = now, saved(jumped, "jumped")
-        discard(before, hooked)
+        discard(before, hooked, above)
         if not now.agg(F.bool_or("changed")).first()[0]:
             break
     found = saved(now.select(F.col("a").alias("uid"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("uid"), F.col("b").alias("component")).distinct()), "components")

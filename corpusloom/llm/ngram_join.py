@@ -229,7 +229,7 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands
     lows = per_class.groupBy("c").agg(F.min("low").alias("first"))
     per_class = saved(per_class.join(lows, "c").select("digest", "n_links", "first", "weight"), "per_class")
     discard(met, found, wanted, links, joined, classes)
-    linked = join_counted(some, per_class, ["digest"], "weight", table.count())
+    linked = join_counted(some, per_class, ["digest"], "weight")
     linked = linked.select("doc_id", F.col("first.doc_id").alias("class_id"), "n_links", (F.col("uid") == F.col("first.uid")).alias("kept"), "text_key")
     alone = table.where("digest is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"), "text_key")
     return linked.unionByName(alone)

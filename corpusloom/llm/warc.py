@@ -130,7 +130,7 @@ def write_warc(pages: DataFrame, out: str, shard_bytes: int = 16 << 20, roll_byt
     best = digests.groupBy("digest").agg(F.max("key").alias("winner"), F.count("*").alias("copies"))
     best = saved(best.where("copies > 1"), "shared")
     assign, weights = range_shards(digests, shard_bytes)
-    keyed = join_counted(rows, best, ["digest"], "copies", sum(weights) // 512, how="left")
+    keyed = join_counted(rows, best, ["digest"], "copies", how="left")
     again = F.col("copies").isNotNull() & (F.octet_length(body) >= min_payload)
     dealt = assign(keyed.withColumn("repeated", again)).repartitionById(len(weights), F.col("shard")).sortWithinPartitions("shard", "key", "digest", "url")
     tasks = dealt.select("shard", F.col("key").alias("page_id"), "url", "html", "winner", "repeated").mapInArrow(_tasks_files(out, roll_bytes, date), MANIFEST_SCHEMA)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from corpusloom.llm import compression_quality, exact_dedup, itq, langid, linking, mixing, ngram_join, packing, token_file, toxicity, warc
-from corpusloom.llm import common
+from corpusloom import tables
 from corpusloom.llm.common import join_counted, new_folder, open_fs, range_shards, saved
 from corpusloom.llm.pieces import pieces
 from corpusloom.llm.queries import TOKENIZERS
@@ -549,9 +549,9 @@ def test_embeddings_of_doubles_are_compared_as_doubles(spark):
 def test_hot_keys_are_joined_apart(spark):
     rows = spark.createDataFrame([(k, i) for i, k in enumerate([1] * 60 + [2] * 5 + [3])], "k long, x long")
     table = saved(rows.groupBy("k").agg(F.count("*").alias("n")), "counts")
-    got = join_counted(rows, table.where("k < 3"), ["k"], "n", 66, hot=10).collect()
+    got = join_counted(rows, table.where("k < 3"), ["k"], "n", hot=10).collect()
     assert collections.Counter((g["k"], g["n"]) for g in got) == {(1, 60): 60, (2, 5): 5}
-    assert join_counted(rows, table.where("k < 3"), ["k"], "n", 66, how="left", hot=10).where("n is null").count() == 1
+    assert join_counted(rows, table.where("k < 3"), ["k"], "n", how="left", hot=10).where("n is null").count() == 1
 
 
 def test_sums_before_equal_a_plain_running_sum(spark):
@@ -562,8 +562,8 @@ def test_sums_before_equal_a_plain_running_sum(spark):
 
 
 def test_operators_leave_no_more_tables_than_their_result_reads(spark):
-    before = set(common._TABLES.values())
+    before = set(tables._TABLES.values())
     ngram_join.similar_documents(docs_of(spark, ["a b c d e f g", "a b c d e f g h", "other words"])).collect()
     itq.near_embeddings(spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [1.0, 0.01], 0)], "vec_id long, embedding array<float>, label int")).collect()
-    names = sorted(p.rsplit("/", 1)[1] for p in set(common._TABLES.values()) - before)
+    names = sorted(p.rsplit("/", 1)[1] for p in set(tables._TABLES.values()) - before)
     assert names == ["per_class", "per_class", "signatures", "vectors"]
