@@ -1,7 +1,8 @@
-"""Text functions as Column expressions; all run inside the JVM."""
+"""Text functions as Column expressions; all but balanced_json run inside the JVM."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -475,3 +476,212 @@ def same_model(a: Column, b: Column) -> Column:
 
 def model_name(key: Column) -> Column:
     return F.element_at(F.split(key, r"\|"), 1)
+
+
+# The keys next to each letter's on a keyboard.
+NEXT_KEYS = {"a": "sqwz", "b": "vghn", "c": "xdfv", "d": "serfcx", "e": "wrds", "f": "drtgvc", "g": "ftyhbv", "h": "gyujnb", "i": "uokj", "j": "huikmn", "k": "jiolm", "l": "kop", "m": "njk", "n": "bhjm", "o": "iplk", "p": "ol", "q": "wa", "r": "etfd", "s": "awedxz", "t": "rygf", "u": "yijh", "v": "cfgb", "w": "qesa", "x": "zsdc", "y": "tuhg", "z": "asx"}
+
+
+def term_variants(term: Column, most: int = 10) -> Column:
+    """Spellings of a term: its cases, joined words, singular or plural, and then one letter replaced by one on a key next to it, ``most`` in all."""
+    low = F.lower(term)
+    big = lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substr(w, F.lit(2)))
+    words = F.split(low, r"[\s_-]+")
+    pascal = F.array_join(F.transform(words, big), "")
+    camel = F.concat(words[0], F.array_join(F.transform(F.slice(words, F.lit(2), F.size(words)), big), ""))
+    some = F.when(low.rlike(r"[ _-]") & (F.size(words) > 1), F.array(camel, pascal)).otherwise(F.array().cast("array<string>"))
+    ends = F.when(F.endswith(low, F.lit("s")), F.array(F.left(low, F.length(low) - 1))).when(F.endswith(low, F.lit("y")), F.array(F.concat(low, F.lit("s")), F.concat(F.left(low, F.length(low) - 1), F.lit("ies")))).otherwise(F.array(F.concat(low, F.lit("s"))))
+    keys = F.create_map(*(F.lit(x) for kv in NEXT_KEYS.items() for x in kv))
+    at = F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1)))
+    near = lambda i: F.filter(F.split(F.coalesce(F.try_element_at(keys, F.substr(low, i, F.lit(1))), F.lit("")), ""), lambda c: c != "")
+    swapped = F.flatten(F.transform(at, lambda i: F.transform(near(i), lambda c: F.concat(F.left(low, i - 1), c, F.substr(low, i + 1)))))
+    return F.slice(F.array_distinct(F.concat(F.array(term, low, F.upper(term), big(low)), some, ends, swapped)), 1, most)
+
+
+_CITATION = r"^\[\^?\d+(?:\s*,\s*\^?\d+)*\]$"
+
+
+def _by_citation(content: Column) -> Column:
+    """The text in pieces, of which each citation is one."""
+    return F.split(content, r"(?<=\])|(?=\[\^?\d)")
+
+
+def _numbers(piece: Column) -> Column:
+    return F.transform(F.regexp_extract_all(piece, F.lit(r"\d+"), F.lit(0)), lambda n: n.cast("int"))
+
+
+def _cited(numbers: Column) -> Column:
+    return F.concat(F.lit("["), F.array_join(F.transform(numbers, lambda n: n.cast("string")), ", "), F.lit("]"))
+
+
+def has_citations(content: Column, inline: bool = False) -> Column:
+    """Whether a text has marks [^n] in it or, unless ``inline``, a section of sources or definitions of marks."""
+    if inline:
+        return content.rlike(r"\[\^\d+\]")
+    return content.rlike(r"(?i)(?:^|\n)\s*#{1,6}\s*Sources\b|(?:^|\n)\s*Sources\s*(?:[:-]\s*)?(?:\n|$)|<summary[^>]*>\s*Sources\s*</summary>") | content.rlike(r"(?:^|\n)\s*\[\^\d+\]:\s*")
+
+
+def sources_section(content: Column) -> Column:
+    """struct(main, sources): what follows a line Sources, or a rule or blank line if it holds definitions of marks and nothing else; null if there is none."""
+    named = r"(?is)^(.*?)\n+(?:####\s*)?Sources\s*:?\s*\n+(.*)$"
+    only = r"\s*(?:\[\^\d+\]:[^\n]*\s*)+"
+    ruled, bare = rf"(?s)^(.*?)\n+---+[^\S\n]*\n+({only})$", rf"(?s)^(.*?)\n{{2,}}({only})$"
+    out = F.lit(None).cast("struct<main:string,sources:string>")
+    for pattern in (bare, ruled, named):
+        out = F.when(content.rlike(pattern), F.struct(F.regexp_extract(content, pattern, 1).alias("main"), F.regexp_replace(F.regexp_extract(content, pattern, 2), r"^\s+|\s+$", "").alias("sources"))).otherwise(out)
+    return out
+
+
+def citations_numbered(content: Column, numbers: Column) -> Column:
+    """Marks [^n] and [^n, ^m] as [k] and [j, k] by a map of old to new numbers, in ascending order; others keep theirs. A point after [n] goes."""
+
+    def piece(p):
+        new = F.array_sort(F.transform(_numbers(p), lambda n: F.coalesce(F.try_element_at(numbers, n), n)))
+        return F.when(p.rlike(_CITATION) & F.startswith(p, F.lit("[^")), _cited(new)).otherwise(p)
+
+    return F.regexp_replace(F.array_join(F.transform(_by_citation(content), piece), ""), r"\[(\d+)\]\.", "[$1]")
+
+
+def citations_consolidated(content: Column, numbers: Column) -> Column:
+    """Numbers in [n, m] by a map of old to new ones, each once in a bracket."""
+
+    def piece(p):
+        new = F.array_distinct(F.transform(_numbers(p), lambda n: F.coalesce(F.try_element_at(numbers, n), n)))
+        return F.when(p.rlike(_CITATION) & ~F.startswith(p, F.lit("[^")), _cited(new)).otherwise(p)
+
+    return F.array_join(F.transform(_by_citation(content), piece), "")
+
+
+def adjacent_citations_joined(content: Column) -> Column:
+    """A bracket whose numbers are all in the one before it goes, with a comma, "and" or white space between them."""
+    none = F.array().cast("array<int>")
+    state = lambda out, held, last, gap: F.struct(out.alias("out"), held.alias("held"), last.alias("last"), gap.alias("gap"))
+
+    def step(s, p):
+        cited = p.rlike(_CITATION) & ~F.startswith(p, F.lit("[^"))
+        again = (F.size(s["last"]) > 0) & s["gap"].rlike(r"^(?:\s*(?:and|,)\s*|\s*)$") & (F.size(F.array_except(_numbers(p), s["last"])) == 0)
+        opened = state(F.concat(s["out"], s["held"], s["gap"]), p, _numbers(p), F.lit(""))
+        return F.when(cited & again, state(s["out"], _cited(F.array_distinct(s["last"])), s["last"], F.lit(""))).when(cited, opened).otherwise(state(s["out"], s["held"], s["last"], F.concat(s["gap"], p)))
+
+    return F.aggregate(_by_citation(content), state(F.lit(""), F.lit(""), none, F.lit("")), step, lambda s: F.concat(s["out"], s["held"], s["gap"]))
+
+
+def footnote_items(sources: Column, numbers: Column) -> Column:
+    """array of struct(number, item) of the definitions of marks, in the order of their new numbers: links as anchors (torn ones too), notes as [[a]], others without a last bracket."""
+    lines = F.filter(F.split(sources, "\n"), lambda x: x.rlike(r"^\[\^\d+\]:"))
+
+    def item(x):
+        n, t = F.regexp_extract(x, r"^\[\^(\d+)\]:", 1).cast("int"), F.regexp_replace(x, r"^\[\^\d+\]:\s*", "")
+        part = lambda pattern, g: F.regexp_extract(t, pattern, g)
+        anchor = lambda url, label: F.concat(F.lit('<a href="'), url, F.lit('">'), label, F.lit("</a>"))
+        link, note, torn = r"\[([^\]]+)\]\(([^)]+)\)", r"\[\[(.*?)\]\]", r"^(.*?)\]\s*\(([^)]+)\)\s*$"
+        shown = F.when(t.rlike(link), anchor(part(link, 2), part(link, 1))).when(t.rlike(note), F.concat(F.lit("[["), part(note, 1), F.lit("]]"))).when(t.rlike(torn), anchor(F.trim(part(torn, 2)), F.trim(part(torn, 1)))).otherwise(F.regexp_replace(t, r"\s*\([^)]*\)\s*$", ""))
+        return F.struct(F.coalesce(F.try_element_at(numbers, n), n).alias("number"), shown.alias("item"))
+
+    return F.array_sort(F.transform(lines, item))
+
+
+def block_compacted(block: Column, tag: Column, limit: int = 5000, preview: int = 500, sections: int = 20) -> Column:
+    """A long block whose source can be read again as its sections' starts under its source; all others as they are."""
+    kept = [t for t in CONTEXT_BLOCKS if t in ("selected_text", "web_selected_text")]
+    short = sections_compacted(block_content(block), preview, sections, 0)
+    wrapped = F.concat(F.lit('<prior_context source="'), xml_escape(block_source(block, tag)), F.lit('">\n'), short, F.lit("\n</prior_context>"))
+    return F.when(tag.isin(kept) | ~tag.isin(list(CONTEXT_BLOCKS)) | (F.length(block) <= limit), block).otherwise(wrapped)
+
+
+def list_markdown(values: Column) -> Column:
+    return F.when(F.size(values) > 0, F.array_join(F.transform(values, lambda v: F.concat(F.lit("- "), F.coalesce(v, F.lit("")))), "\n")).otherwise("No results")
+
+
+def tasks_markdown(tasks: Column) -> Column:
+    """tasks: array of struct(done, text)."""
+    line = lambda t: F.concat(F.when(t["done"], "- [x] ").otherwise("- [ ] "), F.coalesce(t["text"], F.lit("")))
+    return F.when(F.size(tasks) > 0, F.array_join(F.transform(tasks, line), "\n")).otherwise("No results")
+
+
+def rows_markdown(headers: Column, rows: Column) -> Column:
+    """rows: array of arrays of strings."""
+    line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r, lambda c: F.coalesce(c, F.lit(""))), " | "), F.lit(" |\n"))
+    body = F.array_join(F.transform(rows, line), "")
+    return F.when(F.size(rows) > 0, F.concat(line(headers), line(F.transform(headers, lambda h: F.lit("---"))), body)).otherwise("No results")
+
+
+def template_links(text: Column) -> Column:
+    """The names in {[[name]]}, each once."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\{\[\[([^\]]+)\]\]\}"), F.lit(1)))
+
+
+def frontmatter(text: Column) -> Column:
+    """What lies between the --- lines that a text begins with; empty if it doesn't."""
+    return F.regexp_extract(text, r"(?s)^---[^\S\n]*\r?\n(.*?\n)?---[^\S\n]*(?:\r?\n|$)", 1)
+
+
+def _listed(value: Column, below: Column) -> Column:
+    """The items of a value [a, b], of a scalar, or of the - lines below."""
+    clean = lambda x: F.regexp_replace(F.trim(x), "^[\"']|[\"']$", "")
+    inside = F.regexp_replace(F.regexp_replace(F.trim(value), r"^\[", ""), r"\]$", "")
+    dashes = F.regexp_extract_all(below, F.lit(r"(?m)^\s*-\s+(.*)$"), F.lit(1))
+    items = F.when(F.startswith(F.trim(value), F.lit("[")), F.split(inside, ",")).when(F.trim(value) != "", F.array(value)).otherwise(dashes)
+    return F.filter(F.transform(items, clean), lambda x: x != "")
+
+
+def markdown_tags(text: Column) -> Column:
+    """Tags of the frontmatter (in brackets, as one value, or in - lines) and of the text, in lower case with a #, each once."""
+    held = r"(?m)^tags:[^\S\n]*([^\n]*)\n?((?:\s*-\s+[^\n]*\n?)*)"
+    front = frontmatter(text)
+    body = F.substr(text, F.when(front != "", F.length(front) + 8).otherwise(1))
+    own = _listed(F.regexp_extract(front, held, 1), F.regexp_extract(front, held, 2))
+    inline = F.regexp_extract_all(body, F.lit(r"(?<!\w)#[\p{L}\p{N}_/-]+"), F.lit(0))
+    return F.array_distinct(F.transform(F.concat(own, inline), lambda t: F.concat(F.lit("#"), F.lower(F.regexp_replace(t, "^#+", "")))))
+
+
+def frontmatter_values(text: Column, most: int = 10) -> Column:
+    """The scalars of the frontmatter and up to ``most`` items of each of its lists, as texts; nested objects are left out."""
+    entries = F.regexp_extract_all(frontmatter(text), F.lit(r"(?m)^[A-Za-z_][\w -]*:[^\S\n]*(?:[^\n]*)(?:\n[^\S\n]*-[^\S\n]+[^\n]*)*"), F.lit(0))
+    first = lambda e: F.regexp_extract(e, r"^[^:\n]+:[^\S\n]*([^\n]*)", 1)
+    plain = F.filter(entries, lambda e: ~F.startswith(first(e), F.lit("{")))
+    return F.flatten(F.transform(plain, lambda e: F.slice(_listed(first(e), F.regexp_replace(e, r"^[^\n]*\n?", "")), 1, most)))
+
+
+def transcript_file(title: Column, video: Column) -> Column:
+    """A transcript's file name: the title without characters that names can't have, 120 at most, and the video's id."""
+    clean = F.trim(F.left(F.regexp_replace(F.regexp_replace(F.trim(title), r'[<>:"/\\|?*]', "-"), r"\s+", " "), F.lit(120)))
+    return F.concat(F.when(clean != "", clean).otherwise("Transcript"), F.lit(" - "), video)
+
+
+def transcript_note(title: Column, video: Column, url: Column, transcript: Column, details: dict[str, Column], summary: Column | None = None) -> Column:
+    """A transcript as a note: frontmatter with its details (null ones left out), a mark of its source, the summary if there is one, the text."""
+    quoted = lambda c: F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    entry = lambda k, c: F.concat(F.lit(f'{k}: "'), quoted(c), F.lit('"'))
+    front = F.concat_ws("\n", F.lit("---"), entry("title", title), entry("videoId", video), entry("sourceUrl", url), *(entry(k, c) for k, c in details.items()), F.lit("---"))
+    parts = [F.concat(F.lit("# "), title), F.concat(F.lit("Source: "), url)]
+    if summary is not None:
+        parts.append(F.when(F.trim(summary) != "", F.concat(F.lit("## Summary\n\n"), F.trim(summary))))
+    return F.concat(front, F.lit("\n<!-- source: "), url, F.lit(" -->\n"), F.concat_ws("\n\n", *parts, F.lit("## Transcript"), transcript), F.lit("\n"))
+
+
+def balanced_json(text: Column) -> Column:
+    """The first {...} of a text whose braces, outside its strings, are balanced; null if there is none."""
+    def first(t: str | None) -> str | None:
+        start = (t or "").find("{")
+        while t and start >= 0:
+            depth, quoted, at = 0, False, start
+            while at < len(t):
+                c = t[at]
+                if quoted and c == "\\":
+                    at += 1
+                elif c == '"':
+                    quoted = not quoted
+                elif not quoted and c in "{}":
+                    depth += 1 if c == "{" else -1
+                    if not depth:
+                        return t[start : at + 1]
+                at += 1
+            start = t.find("{", start + 1)
+        return None
+
+    @F.pandas_udf("string")
+    def find(texts: pd.Series) -> pd.Series:
+        return texts.map(first)
+
+    return find(text)

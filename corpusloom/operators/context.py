@@ -230,3 +230,59 @@ def embedded_sections(embeds: DataFrame, notes: DataFrame) -> DataFrame:
     missing = wanted.join(found.select("path", "heading"), ["path", "heading"], "left_anti").select("path", "heading", F.lit(None).cast("string").alias("content"))
     whole = asked.where("heading is null").join(near, "path", "left").select("path", "heading", F.col("body").alias("content"))
     return found.unionByName(missing).unionByName(whole)
+
+
+def folder_tree(files: DataFrame, limit: int = 500_000) -> DataFrame:
+    """(folder, files, counts as JSON): the names in each folder and how many files of each extension lie in or below it.
+
+    The names are left out where all rows together hold more than ``limit`` characters as JSON: one sum reaches the driver.
+    """
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    each = files.select(F.explode(above).alias("folder"), P.extension(F.col("path")).alias("e")).groupBy("folder", "e").agg(F.count("*").alias("n"))
+    counts = each.groupBy("folder").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("e", "n"))))).alias("counts"))
+    own = files.select(P.folder(F.col("path")).alias("folder"), P.name(F.col("path")).alias("f"))
+    size = own.agg(F.coalesce(F.sum(F.length("f") + 3), F.lit(0))).first()[0]
+    if size > limit:
+        return counts.select("folder", F.lit(None).cast("array<string>").alias("files"), "counts")
+    names = own.groupBy("folder").agg(F.array_sort(F.collect_list("f")).alias("files"))
+    return counts.join(names, "folder", "left").select("folder", "files", "counts")
+
+
+def local_search(filtered: DataFrame, searched: DataFrame, limit: int) -> DataFrame:
+    """(query, path, score, source, place): a query's filter hits, then its search hits that aren't among them, each path's best once, ``limit`` in all.
+
+    Both (query, path, score, ord); null paths stay apart.
+    """
+    rest = searched.join(filtered.select("query", "path").distinct(), ["query", "path"], "left_anti").select(*searched.columns)
+    best = F.max_by(F.struct("score", "ord", "path"), F.struct(F.col("score"), -F.col("ord")))
+    once = rest.groupBy("query", F.coalesce(F.lower("path"), F.col("ord").cast("string")).alias("_k")).agg(best.alias("_b")).select("query", F.col("_b.path").alias("path"), F.col("_b.score").alias("score"), F.col("_b.ord").alias("ord"))
+    both = filtered.select("query", "path", "score", "ord", F.lit("filter").alias("source")).unionByName(once.withColumn("source", F.lit("search")))
+    place = F.row_number().over(Window.partitionBy("query").orderBy("source", F.desc("score"), "ord"))
+    return both.withColumn("place", place).where(F.col("place") <= limit).drop("ord")
+
+
+def unified_search(asked: DataFrame, timed: DataFrame, lexical: DataFrame, semantic: DataFrame, limit: int = 30) -> DataFrame:
+    """(query, note, score, path of the search): asked (query, ranged, semantic) tells for each query whether it has a time range, and whether vectors are used.
+
+    With a range, the notes of the range (query, note, score); else with vectors, lexical and semantic hits by their summed reciprocal ranks;
+    else the lexical hits.
+    """
+    from corpusloom.operators.retrieval import merged_search
+
+    of = lambda rows, which: rows.join(asked.where(which).select("query"), "query", "left_semi")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "note")
+    first = lambda rows, name: rows.select("query", "note", "score").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).withColumn("way", F.lit(name))
+    fused = merged_search(of(lexical, "not ranged and semantic"), of(semantic, "not ranged and semantic"), limit).select("query", "note", "score", "rank", F.lit("hybrid").alias("way"))
+    return first(of(timed, "ranged"), "time").unionByName(fused).unionByName(first(of(lexical, "not ranged and not semantic"), "lexical"))
+
+
+def in_time(notes: DataFrame, ranges: DataFrame, daily: DataFrame) -> DataFrame:
+    """(query, path, daily): notes changed within a query's range, borders included, and the daily notes of its days; of both, the daily one.
+
+    ranges (query, start, end) in milliseconds; daily (query, path). A stated set of ranges meets all notes: it is sent to every task after a count.
+    """
+    few = F.broadcast(ranges) if ranges.count() <= 10_000 else ranges
+    inside = notes.select("path", "mtime").join(few, F.col("mtime").between(F.col("start"), F.col("end"))).select("query", "path", F.lit(False).alias("daily"))
+    named = daily.join(notes.select("path").distinct(), "path", "left_semi").select("query", "path", F.lit(True).alias("daily"))
+    return inside.unionByName(named).groupBy("query", "path").agg(F.bool_or("daily").alias("daily"))

@@ -88,3 +88,21 @@ def _best(shared, k: int):
 
 def category(similarity: Column) -> Column:
     return F.when(similarity > 0.7, 3).when(similarity > 0.55, 2).otherwise(1)
+
+
+def related_notes(vectors: DataFrame, note: Column, links: DataFrame, asked: DataFrame, k: int = 20, weight: float = 0.7) -> DataFrame:
+    """(query, note, score, similarity, category, place): notes like those asked for or linked with them, by category of similarity and then by score.
+
+    vectors (id, vector) of chunks, ``note`` the note of an id; links (query, note, links, backlinks); asked (query). A note's similarity is
+    that of its nearest chunk; it counts ``weight``, and a link 0.3 in both directions, 0.24 in one.
+    """
+    mine = vectors.withColumn("_n", note).join(asked.select(F.col("query").alias("_n")).distinct(), "_n", "left_semi")
+    found = top_similar(mine.select("id", "vector"), vectors, k)
+    of = vectors.select("id", note.alias("_n"))
+    pairs = found.join(of.select(F.col("id").alias("query"), F.col("_n").alias("q")), "query").join(of.select(F.col("id").alias("row"), F.col("_n").alias("note")), "row").where("q <> note")
+    best = pairs.groupBy(F.col("q").alias("query"), "note").agg(F.max("similarity").alias("similarity"))
+    best = best.withColumn("_rn", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "note"))).where(F.col("_rn") <= k).drop("_rn")
+    bonus = links.select("query", "note", F.when(F.col("links") & F.col("backlinks"), 0.3).otherwise(0.24).alias("bonus"))
+    s = F.coalesce("similarity", F.lit(0.0))
+    both = best.join(bonus, ["query", "note"], "full_outer").select("query", "note", F.round(weight * s + F.coalesce("bonus", F.lit(0.0)), 9).alias("score"), "similarity", category(s).alias("category"))
+    return both.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("category"), F.desc("score"), "note")))

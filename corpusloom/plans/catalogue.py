@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import dates, text, urls
-from corpusloom.operators import corpus, ranking, vectors
+from corpusloom.operators import corpus, links, ranking, vectors
 from corpusloom.plans import views as V
 from corpusloom.sources import chats
 from corpusloom.sources.html import extract_pages
@@ -88,26 +88,23 @@ _UNIT_SQL = "v AS (SELECT vec_id, vec_id // 5 AS note, CAST(embedding AS DOUBLE[
 
 
 @query(f"""WITH {_UNIT_SQL}, nn AS (SELECT max(note) + 1 AS n FROM v),
-k AS (SELECT q.note AS query, q.vec_id AS chunk, r.note AS note, r.vec_id, round(list_cosine_similarity(q.e, r.e), 6) AS s FROM v q, v r WHERE q.vec_id % 20 = 0 AND q.vec_id <> r.vec_id
+k AS (SELECT q.note AS query, q.vec_id AS chunk, r.note AS note, r.vec_id, round(list_cosine_similarity(q.e, r.e), 6) AS s FROM v q, v r WHERE q.note IN (SELECT note FROM v WHERE vec_id % 20 = 0) AND q.vec_id <> r.vec_id
   QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.e, r.e), 6) DESC, r.vec_id) <= 20),
 b AS (SELECT query, note, max(s) AS s FROM k WHERE query <> note GROUP BY query, note QUALIFY row_number() OVER (PARTITION BY query ORDER BY max(s) DESC, note) <= 20),
 e AS (SELECT DISTINCT note AS src, unnest([(note * 7 + 1) % n, (note * 11 + 3) % n]) AS dst FROM v, nn),
 l AS (SELECT query, note, CASE WHEN count(DISTINCT way) = 2 THEN 0.3 ELSE 0.24 END AS bonus FROM (
-  SELECT src AS query, dst AS note, 1 AS way FROM e UNION ALL SELECT dst, src, 2 FROM e) WHERE query <> note AND query IN (SELECT note FROM v WHERE vec_id % 20 = 0) GROUP BY query, note)
-SELECT query, note, round(coalesce(0.7 * s, 0) + coalesce(bonus, 0), 9) AS score, CASE WHEN coalesce(s, 0) > 0.7 THEN 3 WHEN coalesce(s, 0) > 0.55 THEN 2 ELSE 1 END AS category FROM b FULL JOIN l USING (query, note)""")
+  SELECT src AS query, dst AS note, 1 AS way FROM e UNION ALL SELECT dst, src, 2 FROM e) WHERE query <> note AND query IN (SELECT note FROM v WHERE vec_id % 20 = 0) GROUP BY query, note),
+c AS (SELECT query, note, round(coalesce(0.7 * s, 0) + coalesce(bonus, 0), 9) AS score, CASE WHEN coalesce(s, 0) > 0.7 THEN 3 WHEN coalesce(s, 0) > 0.55 THEN 2 ELSE 1 END AS category FROM b FULL JOIN l USING (query, note))
+SELECT *, row_number() OVER (PARTITION BY query ORDER BY category DESC, score DESC, note) AS place FROM c""")
 def knn_related(spark, sf_dir):
     v = V.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    found = vectors.top_similar(v.where("id % 20 = 0"), v, 20)
-    per_note = found.select(F.expr("query div 5").alias("query"), F.expr("row div 5").alias("note"), "similarity").where("query <> note").groupBy("query", "note").agg(F.max("similarity").alias("s"))
-    best = per_note.withColumn("rn", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("s"), "note"))).where("rn <= 20").drop("rn")
-    all_notes = v.select(F.expr("id div 5").alias("src")).distinct()
+    note = F.expr("id div 5")
+    all_notes = v.select(note.alias("src")).distinct()
     n = all_notes.agg((F.max("src") + 1).alias("n"))
-    e = all_notes.crossJoin(F.broadcast(n)).select("src", F.explode(F.array_distinct(F.array((F.col("src") * 7 + 1) % F.col("n"), (F.col("src") * 11 + 3) % F.col("n")))).alias("dst"))
-    both = e.select(F.col("src").alias("query"), F.col("dst").alias("note"), F.lit(1).alias("out"), F.lit(0).alias("back")).unionByName(e.select(F.col("dst").alias("query"), F.col("src").alias("note"), F.lit(0).alias("out"), F.lit(1).alias("back")))
-    asked = v.where("id % 20 = 0").select(F.expr("id div 5").alias("query")).distinct()
-    links = both.where("query <> note").join(asked, "query", "left_semi").groupBy("query", "note").agg(F.when(F.max("out") + F.max("back") == 2, 0.3).otherwise(0.24).alias("bonus"))
-    score = F.coalesce(0.7 * F.col("s"), F.lit(0.0)) + F.coalesce("bonus", F.lit(0.0))
-    return best.join(links, ["query", "note"], "full_outer").select("query", "note", F.round(score, 9).alias("score"), vectors.category(F.coalesce("s", F.lit(0.0))).alias("category"))
+    edges = all_notes.crossJoin(F.broadcast(n)).select("src", F.explode(F.array_distinct(F.array((F.col("src") * 7 + 1) % F.col("n"), (F.col("src") * 11 + 3) % F.col("n")))).alias("dst"))
+    asked = v.where("id % 20 = 0").select(note.alias("query")).distinct()
+    near = links.directions(edges).withColumnsRenamed({"note": "query", "other": "note"}).join(asked, "query", "left_semi")
+    return vectors.related_notes(v, note, near, asked).select("query", "note", "score", "category", "place")
 
 
 @query(f"""WITH {_UNIT_SQL}, k AS (SELECT q.vec_id AS id, r.vec_id AS other, round(list_cosine_similarity(q.e, r.e), 6) AS s FROM v q, v r WHERE q.vec_id % 20 = 0 AND q.vec_id <> r.vec_id)

@@ -448,3 +448,102 @@ SELECT query, note, score, tie, row_number() OVER (PARTITION BY query ORDER BY s
 def diverse_cutoff(spark, sf_dir):
     rows = V.lines(spark, sf_dir).groupBy("query", "note", "tie").agg(F.max("score").alias("score"))
     return ranking.diverse_cutoff(rows, "query", "note", "score", "tie", relative=0.97)
+
+
+_WORD = "lower(split_part(p_name, ' ', 1))"
+
+
+@query(f"""WITH p AS (SELECT p_partkey, {_WORD} AS w FROM part) SELECT p_partkey, w || '|' || upper(w) || '|' || upper(left(w, 1)) || substr(w, 2) || '|' || CASE WHEN w LIKE '%s' THEN left(w, length(w) - 1) WHEN w LIKE '%y' THEN w || 's|' || left(w, length(w) - 1) || 'ies' ELSE w || 's' END AS variants,
+array_to_string(list_transform(list_slice(list_filter(flatten(list_transform(range(1, length(w) + 1), lambda i: list_transform(string_split(map_extract(MAP {{{", ".join(f"'{k}': '{v}'" for k, v in text.NEXT_KEYS.items())}}}, substr(w, i, 1))[1], ''), lambda c: left(w, i - 1) || c || substr(w, i + 1)))), lambda x: x IS NOT NULL), 1, CASE WHEN w LIKE '%y' THEN 5 ELSE 6 END), lambda x: x), '|') AS near FROM p""")
+def term_variants(spark, sf_dir):
+    p = V.table(spark, sf_dir, "part").select("p_partkey", F.lower(F.element_at(F.split("p_name", " "), 1)).alias("w"))
+    v = text.term_variants(F.col("w"))
+    n = F.when(F.endswith("w", F.lit("y")), 5).otherwise(4)
+    return p.select("p_partkey", F.array_join(F.slice(v, F.lit(1), n), "|").alias("variants"), F.array_join(F.slice(v, n + 1, F.lit(10)), "|").alias("near"))
+
+
+@query("""SELECT o_orderkey, 'body ' || o_orderkey || ' [2] text [1, 3] and more [9] [1]' AS content, '[^1]: [[n' || o_custkey || ']]' || chr(10) || '[^2]: [T](http://x/' || o_orderkey || ')' || chr(10) || '[^3]: Torn](http://y)' || chr(10) || '[^4]: plain (1999)' AS sources, true AS cited,
+'1=<a href="http://x/' || o_orderkey || '">T</a>|2=[[n' || o_custkey || ']]|3=<a href="http://y">Torn</a>|4=plain' AS items, 'body ' || o_orderkey || ' [2] text [1, 2] and more [9] [1]' AS merged FROM orders""")
+def citation_texts(spark, sf_dir):
+    o = V.table(spark, sf_dir, "orders")
+    k, c = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    body = F.concat(F.lit("body "), k, F.lit(" [^1]. text [^3, ^2] and more [^9] [^2], [^2]"))
+    listed = F.concat(F.lit("[^1]: [["), F.lit("n"), c, F.lit("]]\n[^2]: [T](http://x/"), k, F.lit(")\n[^3]: Torn](http://y)\n[^4]: plain (1999)"))
+    whole = F.concat(body, F.when(F.col("o_orderkey") % 3 == 0, "\n\n#### Sources:\n\n").when(F.col("o_orderkey") % 3 == 1, "\n\n---\n\n").otherwise("\n\n"), listed)
+    parts = text.sources_section(whole)
+    numbers = F.create_map(F.lit(1), F.lit(2), F.lit(2), F.lit(1))
+    content = text.adjacent_citations_joined(text.citations_numbered(parts["main"], numbers))
+    merged = text.citations_consolidated(content, F.create_map(F.lit(3), F.lit(2)))
+    items = F.array_join(F.transform(text.footnote_items(parts["sources"], numbers), lambda i: F.concat_ws("=", i["number"].cast("string"), i["item"])), "|")
+    return o.select("o_orderkey", content.alias("content"), parts["sources"].alias("sources"), (text.has_citations(whole) & text.has_citations(whole, inline=True)).alias("cited"), items.alias("items"), merged.alias("merged"))
+
+
+@query(f"""WITH {_N} SELECT path, '#' || lang || '|#b/c|#' || source || '|#inl' AS tags, 'T ' || ord || '|' || lang || '|B/c|' || ord || '|1|2|3' AS vals, basename AS links FROM notes JOIN (SELECT doc_id, lang, source FROM documents) ON doc_id = ord""")
+def frontmatter_fields(spark, sf_dir):
+    d = V.notes(spark, sf_dir).join(V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), "lang", "source"), "ord")
+    k = F.col("ord") % 2
+    tags = F.when(k == 0, F.concat(F.lit("tags: ["), "lang", F.lit(", B/c]\n"))).otherwise(F.concat(F.lit("tags:\n  - "), "lang", F.lit("\n  - B/c\n")))
+    whole = F.concat(F.lit("---\ntitle: 'T "), F.col("ord").cast("string"), F.lit("'\n"), tags, F.lit("n: "), F.col("ord").cast("string"), F.lit("\nlist: [1, 2, 3]\nskip: {a: 1}\n---\n text #"), F.upper("source"), F.lit(" a#no #inl {[["), "basename", F.lit("]]}"))
+    return d.select("path", F.array_join(text.markdown_tags(whole), "|").alias("tags"), F.array_join(text.frontmatter_values(whole), "|").alias("vals"), F.array_join(text.template_links(whole), "|").alias("links"))
+
+
+@query(r"""SELECT p_partkey, '- ' || p_name || chr(10) || '- ' || p_brand AS list, '- [x] ' || p_name || chr(10) || '- [ ] ' || p_brand AS tasks, '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || p_name || ' |  |' || chr(10) AS rows, '{"a": "}' || p_brand || '", "b": {}}' AS json, CASE WHEN p_partkey % 2 = 0 THEN '<prior_context source="p' || p_partkey || '">' || chr(10) || '# h' || chr(10) || p_name || chr(10) || '</prior_context>' ELSE 'same' END AS compact FROM part""")
+def rendered(spark, sf_dir):
+    p = V.table(spark, sf_dir, "part")
+    task = lambda done, c: F.struct(F.lit(done).alias("done"), F.col(c).alias("text"))
+    none = F.lit(None).cast("string")
+    reply = F.concat(F.lit('call { not this; {"a": "}'), "p_brand", F.lit('", "b": {}} rest'))
+    block = F.concat(F.lit("<note_context><path>p"), F.col("p_partkey").cast("string"), F.lit("</path><content># h\n"), "p_name", F.lit("</content></note_context>"))
+    tag = F.when(F.col("p_partkey") % 2 == 0, "note_context").otherwise("selected_text")
+    short = text.block_compacted(block, tag, limit=20)
+    return p.select("p_partkey", text.list_markdown(F.array("p_name", "p_brand")).alias("list"), text.tasks_markdown(F.array(task(True, "p_name"), task(False, "p_brand"))).alias("tasks"), text.rows_markdown(F.array(F.lit("a"), F.lit("b")), F.array(F.array("p_name", none))).alias("rows"), text.balanced_json(reply).alias("json"), F.when(short == block, "same").otherwise(short).alias("compact"))
+
+
+@query("""SELECT conv_id, turn, 'a-b c - v' || conv_id AS file, '---' || chr(10) || 'title: "a/b \\"c"' || chr(10) || 'videoId: "v' || conv_id || '"' || chr(10) || 'sourceUrl: "http://v/' || conv_id || '"' || chr(10) || 'language: "' || role || '"' || chr(10) || '---' || chr(10) || '<!-- source: http://v/' || conv_id || ' -->' || chr(10) || '# a/b "c' || chr(10) || chr(10) || 'Source: http://v/' || conv_id || chr(10) || chr(10)
+  || CASE WHEN turn % 2 = 0 THEN '## Summary' || chr(10) || chr(10) || 'short' || chr(10) || chr(10) ELSE '' END || '## Transcript' || chr(10) || chr(10) || text || chr(10) AS note FROM (SELECT conv_id, turn, role, left(text, 40) AS text FROM conversations)""".replace("'title: \"a/b \\\\\"c\"'", "'title: \"a/b \\\"c\"'"))
+def transcript_notes(spark, sf_dir):
+    c = V.table(spark, sf_dir, "conversations")
+    v = F.concat(F.lit("v"), F.col("conv_id").cast("string"))
+    url = F.concat(F.lit("http://v/"), F.col("conv_id").cast("string"))
+    note = text.transcript_note(F.lit('a/b "c'), v, url, F.left("text", F.lit(40)), {"channel": F.lit(None).cast("string"), "language": F.col("role")}, F.when(F.col("turn") % 2 == 0, " short "))
+    return c.select("conv_id", "turn", text.transcript_file(F.lit(" a/b  c "), v).alias("file"), note.alias("note"))
+
+
+@query(f"""WITH {_N}, p AS (SELECT string_split(path, '/') AS s, basename || '.md' AS f, folder FROM notes), c AS (SELECT array_to_string(list_slice(s, 1, i), '/') AS folder, count(*) AS n FROM (SELECT s, unnest(range(0, len(s))) AS i FROM p) GROUP BY 1),
+o AS (SELECT folder, string_agg(f, ',' ORDER BY f) AS files FROM p GROUP BY folder) SELECT folder, files, '{{"md":' || n || '}}' AS counts FROM c LEFT JOIN o USING (folder) WHERE (SELECT sum(length(f) + 3) FROM p) <= 500000 UNION ALL SELECT folder, NULL, '{{"md":' || n || '}}' FROM c WHERE (SELECT sum(length(f) + 3) FROM p) > 500000""")
+def folder_tree(spark, sf_dir):
+    t = context.folder_tree(V.notes(spark, sf_dir).select("path"))
+    return t.select("folder", F.array_join("files", ",").alias("files"), "counts")
+
+
+@query(f"""WITH {_N}, {V.HITS_SQL}, f AS (SELECT query, folder AS path, 1.0::DOUBLE AS score, ord FROM hits WHERE ord % 40 = 0), s AS (SELECT query, CASE WHEN ord % 7 = 0 THEN upper(folder) ELSE folder END AS path, score, ord FROM hits),
+r AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.query = s.query AND f.path = s.path)), b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY query, lower(path) ORDER BY score DESC, ord) = 1),
+u AS (SELECT *, 'filter' AS source FROM f UNION ALL SELECT *, 'search' FROM b) SELECT query, path, score, source, row_number() OVER (PARTITION BY query ORDER BY source, score DESC, ord) AS place FROM u QUALIFY place <= 20""")
+def local_search(spark, sf_dir):
+    h = V.hits(spark, sf_dir)
+    f = h.where("ord % 40 = 0").select("query", F.col("folder").alias("path"), F.lit(1.0).alias("score"), "ord")
+    s = h.select("query", F.when(F.col("ord") % 7 == 0, F.upper("folder")).otherwise(F.col("folder")).alias("path"), "score", "ord")
+    return context.local_search(f, s, 20)
+
+
+@query(f"""WITH {_N}, {V.HITS_SQL}, a AS (SELECT DISTINCT query, query < 3 AS ranged, query >= 6 AS semantic FROM hits), t AS (SELECT query, note, 1.0::DOUBLE AS score FROM hits WHERE ord % 3 = 0), l AS (SELECT query, note, score FROM hits WHERE ord % 2 = 0), m AS (SELECT query, note, 1 - score AS score FROM hits),
+lr AS (SELECT query, note, row_number() OVER (PARTITION BY query ORDER BY score DESC, note) AS r FROM l WHERE score > 0 UNION ALL SELECT query, note, row_number() OVER (PARTITION BY query ORDER BY score DESC, note) FROM m WHERE score > 0),
+fu AS (SELECT query, note, sum(1 / (60 + r)) AS score FROM lr GROUP BY query, note), x AS (SELECT query, note, score, 'time' AS way FROM t WHERE query IN (SELECT query FROM a WHERE ranged) UNION ALL SELECT query, note, score, 'lexical' FROM l WHERE query IN (SELECT query FROM a WHERE NOT ranged AND NOT semantic)
+UNION ALL SELECT query, note, score, 'hybrid' FROM fu WHERE query IN (SELECT query FROM a WHERE NOT ranged AND semantic)) SELECT query, note, round(score, 9) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, note) AS rank, way FROM x QUALIFY rank <= 30""")
+def unified_search(spark, sf_dir):
+    h = V.hits(spark, sf_dir)
+    asked = h.select("query", (F.col("query") < 3).alias("ranged"), (F.col("query") >= 6).alias("semantic")).distinct()
+    timed = h.where("ord % 3 = 0").select("query", "note", F.lit(1.0).alias("score"))
+    lexical, semantic = h.where("ord % 2 = 0").select("query", "note", "score"), h.select("query", "note", (1 - F.col("score")).alias("score"))
+    return context.unified_search(asked, timed, lexical, semantic).withColumn("score", F.round("score", 9))
+
+
+@query(f"""WITH {_N}, r AS (SELECT item_id AS query, 1704067200000 + item_id * 36000000 AS a, 1704067200000 + item_id * 36000000 + 50000000 AS z FROM benchmark), d AS (SELECT item_id AS query, path FROM benchmark JOIN notes ON ord = item_id * 3),
+u AS (SELECT query, path, false AS daily FROM r JOIN notes ON mtime BETWEEN a AND z UNION ALL SELECT query, path, true FROM d) SELECT query, path, bool_or(daily) AS daily FROM u GROUP BY query, path""")
+def time_search(spark, sf_dir):
+    n, b = V.notes(spark, sf_dir), V.table(spark, sf_dir, "benchmark")
+    start = F.lit(1704067200000) + F.col("item_id") * 36000000
+    ranges = b.select(F.col("item_id").alias("query"), start.alias("start"), (start + 50000000).alias("end"))
+    daily = b.select(F.col("item_id").alias("query"), (F.col("item_id") * 3).alias("ord")).join(n.select("ord", "path"), "ord").select("query", "path")
+    gone = b.select(F.col("item_id").alias("query"), F.lit("gone.md").alias("path"))
+    return context.in_time(n, ranges, daily.unionByName(gone))

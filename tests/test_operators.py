@@ -207,6 +207,24 @@ def test_chunks_follow_headings_outside_fences():
     assert chunk_note("") == [] and chunk_note("just text")[0][3] == "just text"
 
 
+def test_sections_hold_every_word_in_windows():
+    r = random.Random(9)
+    for _ in range(60):
+        note = "".join(r.choice(["one two. ", "three four! ", "five\n", "\n\n", "\n# H a\n", "\n### H b\n", "six. ", "```\n# code\n```\n"]) for _ in range(r.randint(0, 40)))
+        got = chunk_note(note, most_words=6, overlap=0)
+        lines = note.split("\n")
+        heads, fence = [], False
+        for i, x in enumerate(lines):
+            fence ^= x.startswith("```")
+            if not fence and re.match(r"#{1,6}\s+\S", x):
+                heads.append(i)
+        kept = "\n".join(lines[heads[0] :] if heads else lines)
+        assert " ".join(" ".join(c[3] for c in got).split()) == " ".join(kept.split())
+        for path, a, b, content in got:
+            assert 1 <= a <= b <= len(lines) and (not heads or path)
+            assert len(content.split()) <= 6 or len([u for u in re.split(r"\n\s*\n|(?<=[.!?])\s+", content) if u.strip()]) == 1
+
+
 def test_line_windows_know_what_comes_next(spark):
     n = spark.createDataFrame([("p", "\n".join(["# T", *map(str, range(4))]))], "path string, body string")
     assert [(r["window"], r["heading"], r["lines"], r["next"]) for r in line_windows(n, 2).orderBy("window").collect()] == [(0, "T", 2, 1), (1, None, 2, 2), (2, None, 1, None)]
