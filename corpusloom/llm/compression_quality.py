@@ -1,6 +1,7 @@
 """A quality classifier by compression: two zstandard dictionaries, one trained on good and one on bad labelled text.
 
-A text is compressed with each dictionary. The difference of the sizes, normalised by their sum and by the text's length, says
+A whole text is compressed with each dictionary, in pieces of ``piece`` bytes each on its own, so that a long text's own repetitions don't
+outweigh the dictionaries. The difference of the summed sizes, normalised by their sum and by the text's length, says
 which class it resembles. A logistic curve over both, fitted on labelled texts that are in neither dictionary, turns them into a
 score from 0 to 1.
 
@@ -46,12 +47,12 @@ class CompressionModel:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
-def differences(text: str | None, compressors) -> list[float]:
+def differences(text: str | None, compressors, piece: int = 2000) -> list[float]:
     """The size with the bad dictionary less that with the good one, over their sum and over the text's length."""
     data = (text or "").encode("utf-8", "surrogatepass")
     if not data:
         return [0.0, 0.0]
-    good, bad = (len(c.compress(data)) for c in compressors)
+    good, bad = (sum(len(c.compress(data[i : i + piece])) for i in range(0, len(data), piece)) for c in compressors)
     return [(bad - good) / (bad + good), (bad - good) / len(data)]
 
 
@@ -68,7 +69,7 @@ def _dictionary(texts: list[str], size: int, train_bytes: int, rng: random.Rando
         return b"".join(parts)[:size]
 
 
-def fit_quality(labelled: DataFrame, label: str = "quality", most_per_class: int = 2500, most_bytes: int = 64 << 20, dictionary_bytes: int = 500_000, train_bytes: int = 8 << 20, level: int = 3, seed: int = 3) -> CompressionModel | None:
+def fit_quality(labelled: DataFrame, label: str = "quality", most_per_class: int = 2500, most_bytes: int = 64 << 20, dictionary_bytes: int = 1_000_000, train_bytes: int = 16 << 20, level: int = 3, seed: int = 3) -> CompressionModel | None:
     """Fits on (doc_id, text, label 0 or 1); every other sampled text goes to the dictionaries, the rest to the curve.
 
     ``most_per_class`` and ``most_bytes`` bound the sample, ``train_bytes`` what a dictionary of ``dictionary_bytes`` is trained on.
