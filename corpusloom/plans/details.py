@@ -363,10 +363,10 @@ def sorted_items(spark, sf_dir):
 
 
 @query("""WITH l AS (SELECT l_returnflag AS query, l_orderkey AS note, l_linenumber AS chunk, min(l_discount) AS score FROM lineitem GROUP BY 1, 2, 3)
-SELECT query, note, chunk, row_number() OVER (PARTITION BY query ORDER BY floor(score / 0.03) DESC, note, chunk, score DESC) AS rank FROM l QUALIFY rank <= 500""")
+SELECT query, note, chunk, row_number() OVER (PARTITION BY query ORDER BY floor(score / 0.03) DESC, note, chunk, score DESC) AS rank FROM l""")
 def near_tie_ranks(spark, sf_dir):
     li = V.table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("query"), F.col("l_orderkey").alias("note"), F.col("l_linenumber").alias("chunk")).agg(F.min("l_discount").alias("score"))
-    return context.near_ties(li, "query", "score", "note", "chunk", 0.03).where("rank <= 500").select("query", "note", "chunk", "rank")
+    return context.near_ties(li, "query", "score", "note", "chunk", 0.03).select("query", "note", "chunk", "rank")
 
 
 @query(f"""WITH {_N}, t AS (SELECT path, row_number() OVER (ORDER BY ord) AS n, length('{{"path":"' || path || '","ord":' || ord || '}}') + 1 AS c FROM notes),
@@ -410,9 +410,9 @@ def tool_call_parts(spark, sf_dir):
     return context.tool_calls(li, ["message", "call"], "at")
 
 
-@query(f"""WITH {_N} SELECT path, CASE ord % 3 WHEN 0 THEN 'Part two!' WHEN 1 THEN 'Missing' END AS heading, CASE ord % 3 WHEN 0 THEN md5('## Part Two' || chr(10) || body || chr(10) || '### Below') WHEN 2 THEN md5('# Top' || chr(10) || '## Part Two' || chr(10) || body || chr(10) || '### Below' || chr(10) || '## Next') END AS content FROM notes WHERE NOT regexp_matches(body, '(?m)^#')""")
+@query(f"""WITH {_N} SELECT path, CASE ord % 3 WHEN 0 THEN 'Part two!' WHEN 1 THEN 'Missing' END AS heading, CASE ord % 3 WHEN 0 THEN md5('## Part Two' || chr(10) || body || chr(10) || '### Below') WHEN 2 THEN md5('# Top' || chr(10) || '## Part Two' || chr(10) || body || chr(10) || '### Below' || chr(10) || '## Next') END AS content FROM (SELECT path, ord, regexp_replace(body, '(?m)^#', ' #', 'g') AS body FROM notes)""")
 def embedded_sections(spark, sf_dir):
-    n = V.notes(spark, sf_dir).where(~F.col("body").rlike("(?m)^#"))
+    n = V.notes(spark, sf_dir).withColumn("body", F.regexp_replace("body", "(?m)^#", " #"))
     body = F.concat(F.lit("# Top\n## Part Two\n"), "body", F.lit("\n### Below\n## Next"))
     heading = F.when(F.col("ord") % 3 == 0, "Part two!").when(F.col("ord") % 3 == 1, "Missing")
     notes = n.select("path", body.alias("body"))

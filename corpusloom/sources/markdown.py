@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_SCHEMA = "path string, chunk int, heading string, start_line int, end_line int, content string, content_hash string"
@@ -89,6 +89,13 @@ def line_windows(notes: DataFrame, size: int = 200) -> DataFrame:
     return grouped.join(counted, "path").select("path", "window", F.regexp_replace(first, r"^#{1,6}\s+", "").alias("heading"), F.size("l").alias("lines"), F.array_join(text, "\n").alias("content"), F.when(F.col("window") + 1 < F.col("_n"), F.col("window") + 1).alias("next"))
 
 
+def read_tables(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
+    """(sheet, row, cells) of CSV or TSV files for ``table_markdown``; a sheet is a file's name. Quoted cells may hold separators and line breaks."""
+    rows = spark.read.option("sep", separator).option("multiLine", True).option("escape", '"').csv(path)
+    name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.[^.]*$", 1)
+    return rows.select(name.alias("sheet"), F.monotonically_increasing_id().alias("row"), F.array(*(F.col(c) for c in rows.columns)).alias("cells"))
+
+
 def table_markdown(rows: DataFrame, sheet: str, row: str, cells: str) -> DataFrame:
     """A markdown section for each sheet: boundary empty rows go, pipes and line breaks are escaped."""
     clean = F.transform(cells, lambda c: F.regexp_replace(F.replace(F.coalesce(F.trim(c), F.lit("")), F.lit("|"), F.lit("\\|")), r"\r?\n", "<br>"))

@@ -11,7 +11,7 @@ from corpusloom.functions import text as T
 from corpusloom.operators import corpus, ranking, retrieval, vectors
 from corpusloom.sources import canvas, chunks, memories
 from corpusloom.sources.html import extract_html, extract_pages
-from corpusloom.sources.markdown import chunk_note, line_windows, table_markdown
+from corpusloom.sources.markdown import chunk_note, line_windows, read_tables, table_markdown
 from corpusloom.streaming.blocks import fold
 
 
@@ -235,6 +235,14 @@ def test_table_markdown_trims_and_escapes(spark):
     assert table_markdown(t, "sheet", "r", "cells").first()["markdown"] == "## Sheet: s\n\n| a\\|b | c |\n| --- | --- |\n| d |  |"
 
 
+def test_delimited_files_become_tables(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('x,"y, z"\n"1\n2",\n')
+    (tmp_path / "b.tsv").write_text("p\tq\n")
+    both = [read_tables(spark, str(tmp_path / "a.csv")), read_tables(spark, str(tmp_path / "b.tsv"), "\t")]
+    got = [table_markdown(t, "sheet", "row", "cells").first()["markdown"] for t in both]
+    assert got == ["## Sheet: a\n\n| x | y, z |\n| --- | --- |\n| 1<br>2 |  |", "## Sheet: b\n\n| p | q |\n| --- | --- |"]
+
+
 def test_html_skips_scripts_and_keeps_structure():
     title, _, body, status = extract_html("<title>T</title><nav>x</nav><h2>H</h2><p>a &amp; b<script>no</script></p><ul><li>i</li></ul>")
     assert (title, status) == ("T", "ok") and body.startswith("## H") and "a & b" in body and "- i" in body and "no" not in body
