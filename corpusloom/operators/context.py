@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import paths as P
 from corpusloom.functions import text as T
+from corpusloom.operators.ranking import numbered
 
 
 def above(hits: DataFrame, score: str, threshold: float) -> DataFrame:
@@ -142,8 +143,7 @@ def near_ties(hits: DataFrame, query: str, score: str, note: str, chunk: str, st
 
     Comparing pairs by whether their scores differ by a step is no order; steps of equal width are one, and differ from it where a pair straddles a border.
     """
-    w = Window.partitionBy(query).orderBy(F.floor(F.col(score) / step).desc(), note, chunk, F.desc(score))
-    return hits.withColumn("rank", F.row_number().over(w))
+    return numbered(hits, [query], [F.floor(F.col(score) / step).desc(), F.col(note), F.col(chunk), F.desc(score)]).withColumnRenamed("place", "rank")
 
 
 def within_size(rows: DataFrame, order: list[Column], limit: int, fewest: int = 50) -> DataFrame:
@@ -155,8 +155,7 @@ def within_size(rows: DataFrame, order: list[Column], limit: int, fewest: int =
     sizes = [n]
     while sizes[-1] > fewest:
         sizes.append(max(fewest, sizes[-1] // 2))
-    place = F.row_number().over(Window.orderBy(*order))  # a list for one reader, as its caller has limited it
-    placed = rows.withColumn("_n", place).withColumn("_c", F.length(F.to_json(F.struct(*rows.columns))) + 1)
+    placed = numbered(rows, [], order).withColumnRenamed("place", "_n").withColumn("_c", F.length(F.to_json(F.struct(*rows.columns))) + 1)
     sums = placed.agg(*(F.coalesce(F.sum(F.when(F.col("_n") <= k, F.col("_c"))), F.lit(0)).alias(f"s{i}") for i, k in enumerate(sizes))).first()
     fits = next((k for i, k in enumerate(sizes) if sums[i] + 1 <= limit), 0)
     return placed.where(F.col("_n") <= fits).drop("_n", "_c")

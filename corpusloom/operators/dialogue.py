@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.ranking import numbered
+from corpusloom.tables import ranged
 
 
 def turn_pairs(messages: DataFrame, chat: str, turn: str) -> DataFrame:
@@ -35,11 +36,17 @@ def renumber_citations(citations: DataFrame, doc: str, pos: str, number: str) ->
 def outermost(blocks: DataFrame, doc: str, start: str = "start", end: str = "end", tie: str = "id") -> DataFrame:
     """Blocks of a document that lie within no other of it; of equal blocks the one with the least ``tie`` stays, of repeated rows one.
 
-    By start and then the longer first, a block lies within another if some block before it reaches as far.
+    By start and then the longer first, a block lies within another if some block before it reaches as far. Blocks are dealt to ranges of
+    that order; the reach of a document's earlier ranges is carried over, so that a very long one isn't sorted in one task.
     """
-    before = Window.partitionBy(doc).orderBy(F.col(start), F.col(end).desc(), F.col(tie)).rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.max(end).over(before)
-    return blocks.withColumn("_reach", reach).where(F.col("_reach").isNull() | (F.col("_reach") < F.col(end))).drop("_reach")
+    placed = ranged(blocks, [F.col(doc)], [F.col(start), F.col(end).desc(), F.col(tie)])
+    reach = placed.groupBy(doc, "_range").agg(F.max(end).alias("_m"))
+    earlier = Window.partitionBy(doc).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    carried = reach.select(doc, "_range", F.max("_m").over(earlier).alias("_carry"))
+    before = Window.partitionBy(doc, "_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    met = placed.withColumn("_own", F.max(end).over(before)).join(carried, [doc, "_range"])
+    furthest = F.greatest("_own", "_carry")
+    return met.where(furthest.isNull() | (furthest < F.col(end))).select(*blocks.columns)
 
 
 def hybrid_scores(lexical: DataFrame, semantic: DataFrame, key: list[str], text_weight: float = 0.5) -> DataFrame:

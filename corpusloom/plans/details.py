@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import dates, paths, text
@@ -357,7 +356,7 @@ def sorted_items(spark, sf_dir):
 
     def placed(strategy):  # a row number over sorted rows keeps their order
         rows = context.sorted_items(s, strategy).select("name", F.monotonically_increasing_id().alias("_p"))
-        return rows.withColumn(strategy, F.row_number().over(Window.orderBy("_p"))).drop("_p")
+        return ranking.numbered(rows, [], [F.col("_p")]).select("name", F.col("place").alias(strategy))
 
     return placed("recent").join(placed("manual"), "name")
 
