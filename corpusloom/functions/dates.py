@@ -95,7 +95,7 @@ def time_range(expression: Column, now: Column) -> Column:
     """struct(start, end) of a time expression in English, by the first rule that fits; null where none does.
 
     Rules, in this order: the last (past, previous, prior) so many days, weeks, months or years; yesterday and the last, this or next week,
-    month, quarter or year; "week of" a day; a month; a month and a year; a quarter and a year; a year; a day or two days
+    month, quarter or year; "week of" a day; a month; a month and a year; a quarter, with or without a year; a year; a day or two days
     (YYYY-MM-DD, "to" between them). A range that would start in the future is taken a year earlier (not so for this and next ones). A year ends at
     the start of its last day. Case, the mark @vault and space around don't count.
     """
@@ -128,6 +128,9 @@ def time_range(expression: Column, now: Column) -> Column:
     for pattern, q, y in ((r"^q([1-4])\s+(\d{4})$", 1, 2), (r"^(\d{4})\s+q([1-4])$", 2, 1)):
         start = first(part(pattern, y).try_cast("int"), (part(pattern, q).try_cast("int") - 1) * 3 + 1)
         rules.append((t.rlike(pattern), not_future(start, _end(start, 3))))
+    quarter = r"^q([1-4])$"
+    start = first(F.year(now), (part(quarter, 1).try_cast("int") - 1) * 3 + 1)
+    rules.append((t.rlike(quarter), not_future(start, _end(start, 3))))
     year = r"^(?:(?:the\s+)?(?:year|yr)(?:\s+(?:of|in))?\s+)?(\d{4})$"
     start = first(part(year, 1).try_cast("int"), F.lit(1))
     rules.append((t.rlike(year), not_future(start, F.make_date(F.year(start), F.lit(12), F.lit(31)).cast("timestamp"))))

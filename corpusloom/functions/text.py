@@ -124,6 +124,11 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 1.0).otherwise(1 - F.try_divide(F.levenshtein(a, b), longest))
 
 
+def fuzzy_match(a: Column, b: Column, least: float = 0.8) -> Column:
+    """Whether two words are alike enough, as they are or without plural endings."""
+    return (similarity(a, b) >= least) | (without_plural(a) == without_plural(b)) | (similarity(without_plural(a), without_plural(b)) >= least)
+
+
 def without_plural(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), "(es|s)$", "")
 
@@ -685,3 +690,13 @@ def balanced_json(text: Column) -> Column:
         return texts.map(first)
 
     return find(text)
+
+
+def frontmatter_properties(text: Column) -> Column:
+    """Map of the frontmatter's entries to their items, joined by a comma and a space; the last of repeated names counts."""
+    entries = F.regexp_extract_all(frontmatter(text), F.lit(r"(?m)^[A-Za-z_][\w -]*:[^\S\n]*(?:[^\n]*)(?:\n[^\S\n]*-[^\S\n]+[^\n]*)*"), F.lit(0))
+    first = lambda e: F.regexp_extract(e, r"^[^:\n]+:[^\S\n]*([^\n]*)", 1)
+    name = lambda e: F.trim(F.regexp_extract(e, "^([^:\n]+):", 1))
+    value = lambda e: F.array_join(_listed(first(e), F.regexp_replace(e, r"^[^\n]*\n?", "")), ", ")
+    kept = F.filter(entries, lambda e, i: F.size(F.filter(F.slice(entries, i + 2, F.size(entries)), lambda o: name(o) == name(e))) == 0)
+    return F.map_from_entries(F.transform(kept, lambda e: F.struct(name(e), value(e))))

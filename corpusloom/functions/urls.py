@@ -33,6 +33,11 @@ def video_id(url: Column) -> Column:
     return F.nullif(F.regexp_extract(url, r"(?:[?&]v=|youtu\.be/|/shorts/|/embed/)([A-Za-z0-9_-]{11})(?:[^A-Za-z0-9_-]|$)", 1), F.lit(""))
 
 
+def canonical_video(url: Column) -> Column:
+    """The page of a video whatever the form of its address; null for other addresses."""
+    return F.concat(F.lit("https://www.youtube.com/watch?v="), video_id(url))
+
+
 def start_seconds(url: Column) -> Column:
     """t= or start= as seconds or 1h2m3s."""
     t = F.regexp_extract(url, r"[?&#](?:t|start)=([0-9hms]+)", 1)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions import urls
+from corpusloom.functions import paths, urls
 
 
 def mentions(notes: DataFrame, key: str, text: str) -> DataFrame:
@@ -94,3 +94,18 @@ def merge_tabs(tabs: DataFrame, fields: list[str], order: str) -> DataFrame:
     merged = tabs.groupBy(urls.matching_url(F.col("url")).alias("url")).agg(*latest, F.max(F.when(F.col("active"), F.col(order))).alias("_at"))
     last = tabs.where("active").agg(F.max(order).alias("_last"))
     return merged.crossJoin(F.broadcast(last)).select("url", *fields, F.coalesce(F.col("_at") == F.col("_last"), F.lit(False)).alias("active"))  # one row
+
+
+def read_windows(requests: DataFrame, notes: DataFrame, windows: DataFrame) -> DataFrame:
+    """(request, window, status, path, content, next) of requested windows (request, window) of notes.
+
+    Paths are resolved by ``resolve_paths``. Status: ok, invalid_path (blank, absolute or with a part ..), not_found, not_unique or out_of_range; all but ok
+    have no content. windows: (path, window, content, next).
+    """
+    fine = paths.safe(F.col("request")) & (F.trim("request") != "")
+    asked = requests.select("request", "window").distinct()
+    found = resolve_paths(asked.where(fine), notes)
+    met = asked.join(found, "request", "left").join(windows.select("path", "window", "content", "next"), ["path", "window"], "left")
+    matches = F.coalesce("matches", F.lit(0))
+    status = F.when(~F.coalesce(fine, F.lit(False)), "invalid_path").when(matches == 0, "not_found").when(matches > 1, "not_unique").when(F.col("content").isNull(), "out_of_range").otherwise("ok")
+    return met.select("request", "window", status.alias("status"), "path", "content", "next")

@@ -106,3 +106,17 @@ def related_notes(vectors: DataFrame, note: Column, links: DataFrame, asked: Dat
     s = F.coalesce("similarity", F.lit(0.0))
     both = best.join(bonus, ["query", "note"], "full_outer").select("query", "note", F.round(weight * s + F.coalesce("bonus", F.lit(0.0)), 9).alias("score"), "similarity", category(s).alias("category"))
     return both.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("category"), F.desc("score"), "note")))
+
+
+def recall_memories(memories: DataFrame, queries: DataFrame, now: Column, k: int = 5, least: float = 0.3) -> tuple[DataFrame, DataFrame]:
+    """((query, id, similarity, rank), memories with their counters): the best ``k`` for each query of those that are neither deleted nor sensitive.
+
+    memories (id, vector, deleted, sensitive, accesses, accessed), queries (id, vector) by ids of their own. Each time a memory is recalled counts an access;
+    its last access is then ``now``.
+    """
+    open_ones = memories.where(~F.coalesce("deleted", F.lit(False)) & ~F.coalesce("sensitive", F.lit(False)))
+    found = top_similar(queries.select((-1 - F.col("id")).alias("id"), "vector"), open_ones.select("id", "vector"), k, least)
+    found = found.select((-1 - F.col("query")).alias("query"), F.col("row").alias("id"), "similarity", "rank")
+    times = found.groupBy("id").agg(F.count("*").alias("_n"))
+    counted = memories.join(times, "id", "left").withColumn("accesses", F.col("accesses") + F.coalesce("_n", F.lit(0))).withColumn("accessed", F.when(F.col("_n").isNotNull(), now).otherwise(F.col("accessed"))).drop("_n")
+    return found, counted

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.functions import dates, paths, text
-from corpusloom.operators import context, ranking, upkeep
+from corpusloom.functions import dates, paths, text, urls
+from corpusloom.operators import context, links, ranking, upkeep, vectors
 from corpusloom.plans import views as V
 from corpusloom.plans.catalogue import query
 from corpusloom.plans.search import salient_sql
+from corpusloom.sources.markdown import line_windows
 
 _N = V.NOTES_SQL
 _ISO = "yyyy-MM-dd'T'HH:mm:ss.SSS"
@@ -546,3 +547,38 @@ def time_search(spark, sf_dir):
     daily = b.select(F.col("item_id").alias("query"), (F.col("item_id") * 3).alias("ord")).join(n.select("ord", "path"), "ord").select("query", "path")
     gone = b.select(F.col("item_id").alias("query"), F.lit("gone.md").alias("path"))
     return context.in_time(n, ranges, daily.unionByName(gone))
+
+
+@query(rf"""WITH {_N}, q AS (SELECT ord, path, body, CASE ord % 5 WHEN 0 THEN path WHEN 1 THEN '../' || path WHEN 2 THEN 'gone_' || ord WHEN 3 THEN basename ELSE path END AS request, CASE WHEN ord % 5 = 4 THEN 100000 WHEN ord % 5 = 3 THEN 1 ELSE 0 END AS w FROM notes),
+x AS (SELECT *, string_split(body, chr(10)) AS l FROM q) SELECT request, w AS "window", CASE WHEN ord % 5 = 1 THEN 'invalid_path' WHEN ord % 5 = 2 THEN 'not_found' WHEN len(l) <= w * 20 THEN 'out_of_range' ELSE 'ok' END AS status, CASE WHEN ord % 5 IN (0, 3, 4) THEN path END AS path,
+CASE WHEN ord % 5 IN (0, 3) AND len(l) > w * 20 THEN md5(array_to_string(l[w * 20 + 1:w * 20 + 20], chr(10))) END AS content, CASE WHEN ord % 5 IN (0, 3) AND len(l) > w * 20 + 20 THEN w + 1 END AS next FROM x""")
+def note_windows(spark, sf_dir):
+    n = V.notes(spark, sf_dir)
+    k = F.col("ord") % 5
+    request = F.when(k == 1, F.concat(F.lit("../"), "path")).when(k == 2, F.concat(F.lit("gone_"), F.col("ord").cast("string"))).when(k == 3, F.col("basename")).otherwise(F.col("path"))
+    asked = n.select(request.alias("request"), F.when(k == 4, 100000).when(k == 3, 1).otherwise(0).alias("window"))
+    return links.read_windows(asked, n, line_windows(n, 20)).withColumn("content", F.md5("content"))
+
+
+@query("""WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), k AS (SELECT q.id AS query, r.id, round(list_cosine_similarity(q.e, r.e), 6) AS s FROM v q, v r WHERE q.id % 20 = 0 AND r.id % 7 <> 1 AND r.id % 11 <> 2),
+t AS (SELECT query, id FROM k WHERE s >= 0.3 QUALIFY row_number() OVER (PARTITION BY query ORDER BY s DESC, id) <= 5), c AS (SELECT id, count(*) AS n FROM t GROUP BY id)
+SELECT v.id, id % 10 + coalesce(n, 0) AS accesses, CASE WHEN n IS NULL THEN 1 ELSE 99 END AS accessed FROM v LEFT JOIN c USING (id)""")
+def memory_recall(spark, sf_dir):
+    v = V.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    k = F.col("id")
+    memories = v.select("id", "vector", (k % 7 == 1).alias("deleted"), (k % 11 == 2).alias("sensitive"), (k % 10).alias("accesses"), F.lit(1).alias("accessed"))
+    return vectors.recall_memories(memories, v.where("id % 20 = 0"), F.lit(99))[1].select("id", "accesses", "accessed")
+
+
+@query("""SELECT p_partkey, p_partkey % 3 <> 2 AS alike, CASE WHEN p_partkey % 2 = 0 THEN 'https://www.youtube.com/watch?v=abcdefgh' || lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0') END AS video, 'title=' || p_name || '|tags=a, b|n=' || p_size AS properties,
+CASE WHEN p_partkey % 4 + 1 > 2 THEN 1995 ELSE 1996 END * 100 + (p_partkey % 4) * 3 + 1 AS quarter FROM part""")
+def small_texts(spark, sf_dir):
+    p = V.table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    word = F.when(k % 3 == 0, "notess").when(k % 3 == 1, "note").otherwise("other")
+    video = F.concat(F.lit("abcdefgh"), F.lpad((k % 1000).cast("string"), 3, "0"))
+    url = F.when(k % 4 == 0, F.concat(F.lit("https://youtu.be/"), video, F.lit("?t=3"))).when(k % 4 == 2, F.concat(F.lit("https://m.youtube.com/shorts/"), video)).otherwise("https://example.com/watch")
+    front = text.frontmatter_properties(F.concat(F.lit("---\ntitle: "), "p_name", F.lit("\nn: old\ntags:\n  - a\n  - b\nn: "), F.col("p_size").cast("string"), F.lit("\n---\nbody")))
+    shown = F.array_join(F.transform(F.array(*map(F.lit, ("title", "tags", "n"))), lambda x: F.concat_ws("=", x, F.try_element_at(front, x))), "|")
+    quarter = dates.time_range(F.concat(F.lit("q"), (k % 4 + 1).cast("string")), F.lit("1996-06-15").cast("timestamp"))["start"]
+    return p.select("p_partkey", text.fuzzy_match(word, F.lit("Notes")).alias("alike"), urls.canonical_video(url).alias("video"), shown.alias("properties"), (F.year(quarter) * 100 + F.month(quarter)).alias("quarter"))
