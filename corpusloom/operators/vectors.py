@@ -15,16 +15,17 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (F.size(a) == 0) | (norm == 0), 0.0).otherwise(F.try_divide(dot(a, b), norm))
 
 
-def top_similar(queries: DataFrame, rows: DataFrame, k: int, least: float = -1.0, slice_rows: int = 10_000) -> DataFrame:
+def top_similar(queries: DataFrame, rows: DataFrame, k: int, least: float = -1.0, slice_bytes: int = 32 << 20) -> DataFrame:
     """(query, row, similarity, rank): the ``k`` rows most similar to each query vector, itself left out; the smaller id first on ties.
 
-    Both sides are (id long, vector array). The stated query set meets all rows in slices of about ``slice_rows`` vectors, each sent to the tasks, which
+    Both sides are (id long, vector array). The stated query set meets all rows in slices of about ``slice_bytes``, each sent to the tasks, which
     stream their rows past it and return the best ``k`` of each query: rows aren't shuffled. Vectors that are null, empty, zero, or hold
     null or non-finite components have similarity 0 with everything, as have vectors of different lengths. Rows with a null id are left out.
     """
     spark = queries.sparkSession
     asked = queries.where("id is not null").select("id", F.col("vector").cast("array<double>").alias("vector"))
-    slices = max(1, math.ceil(asked.count() / slice_rows))
+    size = asked.agg(F.sum(8 * F.greatest(F.size("vector"), F.lit(0)) + 16)).first()[0] or 0
+    slices = max(1, math.ceil(size / slice_bytes))
     stored = rows.where("id is not null").select("id", F.col("vector").cast("array<double>").alias("vector"))
     out = None
     for s in range(slices):

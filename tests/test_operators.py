@@ -125,7 +125,7 @@ def test_similar_vectors_in_blocks_match_cosine(spark):
 
     v = np.random.default_rng(1).standard_normal((40, 8))
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vector array<double>")
-    got = vectors.top_similar(df.where("id < 5"), df, 3, slice_rows=2)
+    got = vectors.top_similar(df.where("id < 5"), df, 3, slice_bytes=160)
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     s = u @ u.T
     np.fill_diagonal(s, -2)
