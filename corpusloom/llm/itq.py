@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import discard, join_counted, saved
-from corpusloom.llm.linking import candidate_edges, components, exact_links
+from corpusloom.llm.linking import candidate_edges, components, exact_links, with_least
 
 
 @dataclass
@@ -133,8 +133,7 @@ def near_embeddings(vectors: DataFrame, threshold: float = 0.93, sample_rows: in
     else:
         tables.append(components(joined))
         per_class = light.join(counts, "uid", "left").join(tables[-1], "uid", "left").withColumns({"c": F.coalesce("component", "uid"), "n": own + F.coalesce("links", F.lit(0))})
-    lows = per_class.groupBy("c").agg(F.min("low").alias("least"))
-    per_class = saved(per_class.join(lows, "c").select("label", "h1", "h2", "weight", "n", F.col("least.vec_id").alias("component_id")), "per_class")
+    per_class = with_least(per_class.select("label", "h1", "h2", "weight", "n", "low", "c"), "low").select("label", "h1", "h2", "weight", "n", F.col("least.vec_id").alias("component_id"))
     discard(classes, *tables)
     light = rows.select("vec_id", "label", "h1", "h2", "usable")
     linked = join_counted(light.where("usable"), per_class, ["label", "h1", "h2"], "weight").select("vec_id", "n", "component_id")

@@ -170,6 +170,15 @@ def components(edges: DataFrame, chunk: int = 1 << 20) -> DataFrame:
     return found
 
 
+def with_least(members: DataFrame, value: str) -> DataFrame:
+    """A written table that adds ``least``: the least ``value`` of the members' component ``c``. Components of very many members go to every task."""
+    held = saved(members, "members")
+    lows = saved(held.groupBy("c").agg(F.min(value).alias("least"), F.count("*").alias("_members")), "lows")
+    out = saved(join_counted(held, lows, ["c"], "_members", hot=1000).drop("c", "_members", value), "per_class")
+    discard(held, lows)
+    return out
+
+
 def exact_links(members: DataFrame, links_of: Callable, block: int = 128) -> tuple[DataFrame, DataFrame, DataFrame]:
     """((uid, links), (a, b), the written table of both): how much weight every member links with inside its candidate component, and spanning edges.
 

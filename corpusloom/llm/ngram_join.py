@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import discard, if_small, join_counted, saved, text_batches, tidied, worker_cache
-from corpusloom.llm.linking import candidate_edges, components, exact_links
+from corpusloom.llm.linking import candidate_edges, components, exact_links, with_least
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -226,8 +226,7 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands
     counts, edges, links = exact_links(again, lambda codes, b: verified(codes, b, threshold, tolerance, step))
     joined = components(edges)
     per_class = classes.join(counts, "uid", "left").join(joined, "uid", "left").select("digest", "low", "weight", F.coalesce("component", "uid").alias("c"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    lows = per_class.groupBy("c").agg(F.min("low").alias("first"))
-    per_class = saved(per_class.join(lows, "c").select("digest", "n_links", "first", "weight"), "per_class")
+    per_class = with_least(per_class, "low").withColumnRenamed("least", "first")
     discard(met, found, wanted, links, joined, classes)
     linked = join_counted(some, per_class, ["digest"], "weight")
     linked = linked.select("doc_id", F.col("first.doc_id").alias("class_id"), "n_links", (F.col("uid") == F.col("first.uid")).alias("kept"), "text_key")
