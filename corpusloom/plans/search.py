@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text
-from corpusloom.operators import ranking, retrieval
+from corpusloom.operators import retrieval
 from corpusloom.plans import views as V
 from corpusloom.plans.catalogue import query
 from corpusloom.tables import saved
