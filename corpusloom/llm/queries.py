@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from corpusloom.llm import compression_quality, exact_dedup, itq, langid, mixing, ngram_join, packing, token_file, toxicity, warc
 from corpusloom.llm.common import crc_fold, new_folder
