@@ -36,11 +36,11 @@ def prefix_matches(words: DataFrame, asked: DataFrame, share: float = 0.375) ->
     return starts.join(asked.select(F.col("term").alias("asked")), "asked").select("term", "asked", F.when(more == 0, 1.0).otherwise(share * n / (n + 0.3 * more)).alias("nearness"))
 
 
-def bm25_plus(index: DataFrame, queries: DataFrame, candidates: DataFrame | None = None, k1: float = 1.2, b: float = 0.7, delta: float = 0.5, prefix: bool = True) -> DataFrame:
+def bm25_plus(index: DataFrame, queries: DataFrame, candidates: DataFrame | None = None, k1: float = 1.2, b: float = 0.7, delta: float = 0.5, prefix: bool = True, explain: bool = True) -> DataFrame:
     """(query, ord, score, matches) for queries (query, term) over a written index of ``postings``; any of a query's terms may match.
 
     ``candidates`` (query, ord): each query then has its own candidates only, and counts and mean lengths are of them. With ``prefix``, index
-    terms that start with a query's term count too. ``matches`` lists the (field, term, weight) that a score rests on. Only postings of
+    terms that start with a query's term count too. ``matches`` lists the (field, term, weight) that a score rests on, if asked to ``explain``. Only postings of
     asked terms are shuffled.
     """
     asked = queries.select("query", "term").distinct()
@@ -66,6 +66,8 @@ def bm25_plus(index: DataFrame, queries: DataFrame, candidates: DataFrame | None
     scored = met.join(df.join(sizes, [*by, "field"]), [*by, "field", "term"]).select(*by, "ord", "term", "field", weight.alias("weight"), (weight * idf * tf).alias("s"))
     reached = scored.join(near, "term").join(asked.withColumnRenamed("term", "asked"), [*by, "asked"])
     # A term of the index may be reached from several of a query's terms: it counts for each, and is listed once.
+    if not explain:
+        return reached.groupBy("query", "ord").agg(F.sum(F.col("s") * F.col("nearness")).alias("score"))
     hits = reached.groupBy("query", "ord").agg(F.sum(F.col("s") * F.col("nearness")).alias("score"), F.collect_set(F.struct("field", "term", "weight")).alias("matches"))
     return hits.withColumn("matches", F.array_sort("matches"))
 
