@@ -50,7 +50,8 @@ class Pieces(dict):
         self.odd = re.compile("|".join([_ODD.pattern, *map(re.escape, added)]), re.IGNORECASE).search
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() < 65536 else "<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
-        self.find = (_WITH_SPACE if keeps_space else _WITHOUT_SPACE).findall
+        self.finder = _WITH_SPACE if keeps_space else _WITHOUT_SPACE
+        self.find = self.finder.findall
         self.most = most
         self.keeps_space = keeps_space
         self.letters = _byte_letters()

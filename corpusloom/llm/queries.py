@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import compression_quality, exact_dedup, itq, langid, mixing, ngram_join, packing, token_file, toxicity, warc
+from corpusloom.llm import compression_quality, exact_dedup, filter_audit, itq, langid, mixing, ngram_join, packing, token_counts, token_file, toxicity, warc
 from corpusloom.llm.common import crc_fold, new_folder
 from corpusloom.llm.samples import with_some_labels
 
@@ -73,7 +73,15 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(docs, exact_dedup.earlier_half(docs)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_token_file, op3_itq, op4_mixing, op5_packing, op6_quality, op7_toxicity, op8_ngram_join, op9_langid, op10_exact_dedup)}
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", limit=2048)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_token_file, op3_itq, op4_mixing, op5_packing, op6_quality, op7_toxicity, op8_ngram_join, op9_langid, op10_exact_dedup, op12_token_counts, op13_filter_audit)}
 
 ORACLE_SQL = {
     "op1_warc": """
@@ -108,4 +116,32 @@ FROM c""",
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
   sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op13_filter_audit": r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+f AS (SELECT w.doc_id, part, 0
+    + CASE WHEN len(words) < 50 THEN 1 ELSE 0 END
+    + CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN least < w.doc_id THEN 16 ELSE 0 END AS bits, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+  FROM w LEFT JOIN (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id) l ON w.doc_id = l.doc_id),
+c AS (SELECT part, bits, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, bits),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, step, list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(substr(filter_order, i, 1)) - 65))) AS before,
+    1 << (ascii(substr(filter_order, step, 1)) - 65) AS bit FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+r AS (SELECT part, filter_order, step, bit,
+    sum(CASE WHEN bits & (coalesce(CAST(before AS INTEGER), 0) | bit) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN bits & coalesce(CAST(before AS INTEGER), 0) = 0 AND bits & bit <> 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN bits & coalesce(CAST(before AS INTEGER), 0) <> 0 AND bits & bit <> 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN bits = bit THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN bits & coalesce(CAST(before AS INTEGER), 0) = 0 AND bits & bit <> 0 THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN bits & coalesce(CAST(before AS INTEGER), 0) = 0 AND bits & bit <> 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM c, s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM r""",
 }
