@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import compression_quality, exact_dedup, filter_audit, itq, langid, mixing, ngram_join, packing, token_counts, token_file, toxicity, warc
+from corpusloom.llm import collocations, compression_quality, exact_dedup, filter_audit, itq, langid, mixing, ngram_join, packing, token_counts, token_file, toxicity, warc
 from corpusloom.llm.common import crc_fold, new_folder
 from corpusloom.llm.samples import with_some_labels
 
@@ -73,6 +73,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(docs, exact_dedup.earlier_half(docs)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_read(spark, sf_dir, "documents"), top=2000, least=30)
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_read(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", limit=2048)
 
@@ -81,7 +85,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_token_file, op3_itq, op4_mixing, op5_packing, op6_quality, op7_toxicity, op8_ngram_join, op9_langid, op10_exact_dedup, op12_token_counts, op13_filter_audit)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_token_file, op3_itq, op4_mixing, op5_packing, op6_quality, op7_toxicity, op8_ngram_join, op9_langid, op10_exact_dedup, op11_collocations, op12_token_counts, op13_filter_audit)}
 
 ORACLE_SQL = {
     "op1_warc": """
@@ -116,6 +120,24 @@ FROM c""",
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
   sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op11_collocations": r"""
+WITH p AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, len, unnest(list_transform(range(1, len(w) - len + 2), lambda i: array_to_string(w[i : i + len - 1], ' '))) AS phrase
+  FROM w, (SELECT unnest([1, 2, 3, 4]) AS len)),
+f AS (SELECT lang, len, phrase, count(*) AS f FROM g GROUP BY lang, len, phrase),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE len = 1 GROUP BY lang),
+c AS (SELECT lang, len, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE len > 1 AND f >= 30),
+k AS (SELECT c.lang, c.phrase, c.a, k, l.f AS l, r.f AS r, CAST(2000000 * CAST(a AS HUGEINT) // (CAST(l.f AS HUGEINT) + r.f) AS BIGINT) AS score
+  FROM (SELECT lang, len AS size, phrase, a, w, unnest(range(1, len)) AS k FROM c) c
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(w[1 : k], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(w[k + 1 : size], ' ')),
+s AS (SELECT lang, phrase, a, arg_min(l, score * 4 + k) AS l, arg_min(r, score * 4 + k) AS r, min(score) AS score FROM k GROUP BY lang, phrase, a),
+x AS (SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, max(a) AS longest
+  FROM (SELECT *, unnest(range(1, len - m + 2)) AS i FROM (SELECT *, unnest(range(2, len)) AS m FROM c WHERE len > 2)) GROUP BY 1, 2)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM s JOIN n USING (lang) LEFT JOIN x USING (lang, phrase) WHERE longest IS NULL OR 100 * longest < 80 * a
+QUALIFY rank <= 2000""",
     "op13_filter_audit": r"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS least FROM d),

@@ -8,7 +8,7 @@ import re
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpusloom.llm import filter_audit, token_counts
+from corpusloom.llm import collocations, filter_audit, token_counts
 from corpusloom.llm.queries import TOKENIZERS
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -121,3 +121,79 @@ def test_filter_audit_deals_a_hot_text_and_takes_long_ones(spark):
 
 def test_filter_audit_of_nothing(spark):
     assert filter_audit.audit(docs_of(spark, ["x"]).limit(0), spark.createDataFrame([], LABELS)).count() == 0
+
+
+# --- collocations
+
+
+def plain_collocations(rows, top, least):
+    """rows: (text, lang)."""
+    n, f = collections.Counter(), collections.Counter()
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(words)
+            for m in (1, 2, 3, 4):
+                for i in range(len(words) - m + 1):
+                    f[lang, *words[i : i + m]] += 1
+    longest = collections.Counter()
+    for (lang, *w), a in f.items():
+        if a >= least and len(w) > 2:
+            for m in range(2, len(w)):
+                for i in range(len(w) - m + 1):
+                    longest[lang, *w[i : i + m]] = max(a, longest[lang, *w[i : i + m]])
+    found = collections.defaultdict(list)
+    for (lang, *w), a in f.items():
+        if a >= least and len(w) > 1 and 100 * longest[lang, *w] < 80 * a:
+            s, _, l, r = min((2_000_000 * a // (f[lang, *w[:k]] + f[lang, *w[k:]]), k, f[lang, *w[:k]], f[lang, *w[k:]]) for k in range(1, len(w)))
+            found[lang].append((-s, -a, " ".join(w).encode(), l, r))
+    return {(lang, i, p.decode(), -a, l, r, n[lang], -s) for lang, x in found.items() for i, (s, a, p, l, r) in enumerate(sorted(x)[:top], 1)}
+
+
+def mined(df):
+    rows = [tuple(r) for r in df.select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()]
+    assert len(rows) == len(set(rows))
+    return set(rows)
+
+
+def phrases_of(r, words):
+    out = []
+    for _ in range(r.randint(3, 12)):
+        out += r.choice([[r.choice(words)], ["new", "York", "city"], ["state", "of", "the", "art"], ["as", "well", "as"], ["a", "b", "a", "b"], [r.choice(words), "of"]])
+        out.append(r.choice(["", "", "", ",", ". ", "\n", "\x0b", "\t"]))
+    return r.choice([" ", "  "]).join(out)
+
+
+def test_collocations_equal_a_plain_calculation(spark):
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(40)] + ["état", "ÉTAT", "\x1cx", "<b>", "Ünter"]
+    rows = [(phrases_of(r, words), r.choice(["en", "en", "en", "de", None, "und", ""])) for _ in range(500)] + [(None, "en"), ("", None), ("x" * 20_000, "de")]
+    docs = spark.createDataFrame([(i, t, lang, "s", 1) for i, (t, lang) in enumerate(rows)], DOC).withColumn("phrase", F.lit("clash")).withColumn("words", F.lit(1)).repartition(3)
+    for top, least, options in ((15, 3, {"block_words": 200}), (4, 5, {"floor": 900_000, "filter_bits": 1 << 16}), (2000, 2, {"filter_bits": 64}), (3, 40, {"floor": 1})):
+        assert mined(collocations.collocations(docs, top, least, **options)) == plain_collocations(rows, top, least), (top, least)
+
+
+def test_collocations_settle_ties_and_prune(spark):
+    rows = [(f"p{i} q{i}. p{i} q{i}", "en") for i in range(30)] + [("far away. far away. far. away", "en")] * 5 + [("rare pair", "en")] + [(f"common z{i}", "en") for i in range(40) for _ in range(3)]
+    docs = spark.createDataFrame([(i, t, lang, "s", 1) for i, (t, lang) in enumerate(rows)], DOC)
+    got = mined(collocations.collocations(docs, 12, 2))
+    assert got == plain_collocations(rows, 12, 2) and {x[7] for x in got} == {1_000_000}
+    coded, _ = collocations.code_corpus(docs, 2, 1 << 18)
+    counted = lambda band: collocations.scan(coded, None, band, 2, 1 << 16).count()
+    assert counted((500_000, 1 << 62)) == 31 and counted((0, 1 << 62)) == 71  # 40 pairs of the common word aren't counted at this floor
+
+
+def test_collocation_scores_pass_64_bits(spark):
+    a, l, r = 9 * 10**15, 10**16, 9 * 10**15 + 7
+    got = spark.createDataFrame([(a, l, r), (30, 30, 30), (30, 31, 30)], "a long, l long, r long").select(collocations.score_of(F.col("a"), F.col("l"), F.col("r"))).collect()
+    assert [x[0] for x in got] == [2_000_000 * a // (l + r), 1_000_000, 60_000_000 // 61]
+
+
+def test_collocations_of_long_texts_hot_languages_and_nothing(spark):
+    text = "alpha beta gamma delta " * 60_000
+    docs = docs_of(spark, [text, text.replace(" ", ". ")])
+    assert {x[2] for x in mined(collocations.collocations(docs, 10, 30))} == {"alpha beta gamma delta", "beta gamma delta alpha", "delta alpha beta gamma", "gamma delta alpha beta"}
+    assert collocations.collocations(docs.limit(0)).count() == 0
+    assert collocations.collocations(docs_of(spark, ["too few words", None])).count() == 0
