@@ -6,11 +6,12 @@ its two parts; its lowest cut counts. A candidate that a longer one with 80 % of
 first ``top`` survivors are the result.
 
 Phrases grow from their prefixes, and counts of prefixes bound what may grow from them: an extension of p has at most f(p) occurrences, and its first
-cut gives it 2000000 f(p) / (f(first word) + f(p)) at most, a bound that falls as p grows. The search goes in rounds, each with a floor below the last
-round's. A round counts the pairs of words whose bound reaches the floor, then extends the prefixes whose bound does, longer and longer. All that
-scores the floor or more is then known, with its parts (counted on demand) and its extensions to both sides (which decide whether it's dropped: a longer
-phrase can't be more frequent than the one-word extension that it holds). A language with ``top`` survivors at the floor or above, which includes
-all ties of the last, is settled and leaves the search; the others go on with a lower floor, in the end 0. Work of earlier rounds isn't repeated.
+cut gives it 2000000 f(p) / (f(first word) + f(p)) at most, a bound that falls as p grows. The frontier begins with all pairs of frequent words. The search
+goes in rounds, each with a floor for each language: first the score of a pair somewhat behind the ``top``-th, then of one farther behind, in the end 0. A
+round extends the prefixes whose bound reaches the floor, longer and longer. All that scores the floor or more is then known, with its parts
+(counted on demand) and its extensions to both sides (which decide whether it's dropped: a longer phrase can't be more frequent than the one-word
+extension that it holds). A language with ``top`` survivors at the floor or above, which includes all ties of the last, is settled and leaves the search;
+the others go on. Work of earlier rounds isn't repeated.
 
 The corpus is written once as blocks of word numbers with their own dictionaries; rare words, which no candidate holds, become gaps. A scan reads
 blocks and counts what it is told to. What to extend is told by Bloom filters of a fixed size (``filter_bits``, whatever the corpus): a phrase that
@@ -84,31 +85,33 @@ def _blocks(block_words: int):
 
         number = TaskContext.get().partitionId() << 32
         held: dict[str, tuple[_Numbers, list[np.ndarray]]] = {}
-        words = 0
+        words: dict[str, int] = {}
 
-        def flush():
+        def flush(lang):
             nonlocal number
-            for lang, (numbers, parts) in held.items():
-                ids = np.concatenate(parts)
-                counts = np.bincount(ids, minlength=len(numbers))[1:]
-                own = [w.decode() for w in list(numbers)[1:]]
-                if own:
-                    yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([lang]), pa.array([own], pa.list_(pa.string())), pa.array([counts.tolist()], pa.list_(pa.int64())), pa.array([ids.astype("<i4").tobytes()], pa.binary())], ["block", "lang", "words", "counts", "ids"])
-                    number += 1
-            held.clear()
+            numbers, parts = held.pop(lang)
+            del words[lang]
+            ids = np.concatenate(parts)
+            counts = np.bincount(ids, minlength=len(numbers))[1:]
+            if len(counts):
+                own = pa.array([w.decode() for w in list(numbers)[1:]], pa.string())
+                ends = pa.array([0, len(counts)], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([lang]), pa.ListArray.from_arrays(ends, own), pa.ListArray.from_arrays(ends, pa.array(counts, pa.int64())), pa.array([ids.astype("<i4").tobytes()], pa.binary())], ["block", "lang", "words", "counts", "ids"])
+                number += 1
 
         for b in batches:
             texts = b.column("text").cast(pa.binary())
             for lang, text in zip(b.column("lang").to_pylist(), texts, strict=True):
                 for run in word_runs(text.as_py()):
                     numbers, parts = held.get(lang) or held.setdefault(lang, (_Numbers({b"\xff": 0}), []))
-                    parts.append(np.fromiter(map(numbers.__getitem__, run), np.int32, len(run)))
-                    words += len(run) + 1
-                    parts.append(np.zeros(1, np.int32))
-                    if words >= block_words:
-                        yield from flush()
-                        words = 0
-        yield from flush()
+                    parts += [np.fromiter(map(numbers.__getitem__, run), np.int32, len(run)), np.zeros(1, np.int32)]
+                    words[lang] = words.get(lang, 0) + len(run) + 1
+                    if words[lang] >= block_words:
+                        yield from flush(lang)
+                if sum(words.values()) >= 4 * block_words:  # many languages at once
+                    yield from flush(max(words, key=words.get))
+        for lang in list(held):
+            yield from flush(lang)
 
     return write
 
@@ -119,12 +122,11 @@ def _recoded(batches):
 
     for b in batches:
         for lang, words, ids, often in zip(*(b.column(c) for c in ("lang", "words", "ids", "often")), strict=True):
-            at = np.array([x["at"] for x in often.as_py()], np.int64)
-            f = np.array([x["f"] for x in often.as_py()], np.int64)
+            at, f = (often.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             new = np.zeros(len(words) + 1, np.int32)
-            new[at + 1] = np.arange(1, len(at) + 1)
-            own = words.values.take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()]), pa.array([own.to_pylist()], pa.list_(pa.string())), pa.array([f.astype("<i8").tobytes()]), pa.array([new[np.frombuffer(ids.as_py(), "<i4")].astype("<i4").tobytes()])], ["lang", "words", "f", "ids"])
+            new[at.astype(np.int64) + 1] = np.arange(1, len(at) + 1)
+            own = pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), words.values.take(pa.array(at)))
+            yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()]), own, pa.array([f.astype("<i8").tobytes()]), pa.array([new[np.frombuffer(ids.as_py(), "<i4")].tobytes()])], ["lang", "words", "f", "ids"])
 
 
 def code_corpus(docs: DataFrame, least: int, block_words: int) -> tuple[DataFrame, DataFrame]:
@@ -207,8 +209,8 @@ def filters(marks: DataFrame, bits: int) -> dict[str, np.ndarray]:
     return out
 
 
-def _scan(told, band: tuple[int, int] | None):
-    """Counts, in each block, the n-grams that ``told`` (a broadcast of filters) or the band of pair bounds names."""
+def _scan(told, pairs: bool):
+    """Counts, in each block, the n-grams that ``told`` (a broadcast of filters) names, or all pairs."""
 
     def count(batches):
         import pyarrow as pa
@@ -221,7 +223,7 @@ def _scan(told, band: tuple[int, int] | None):
                 of = np.array([_hash(w.encode()) for w in own], np.uint64)
                 start = np.uint64(_hash(lang.encode()) * _STEP & _ALL)
                 ok, h = ids >= 0, None
-                for n in (1, 2, 3, 4):
+                for n in (1, 2) if pairs else (1, 2, 3, 4):
                     if n == 1:
                         at = np.flatnonzero(ok)
                         here = start + of[ids[at]]
@@ -231,10 +233,8 @@ def _scan(told, band: tuple[int, int] | None):
                         at = at[keep]
                         here = before_h[keep] * np.uint64(_STEP) + of[ids[at + n - 1]]
                         named = passes(by.get("count"), here) if n < 4 else np.zeros(len(at), bool)
-                        if n == 2 and band:
-                            f1, f2 = f[ids[at]].astype(float), f[ids[at + 1]].astype(float)
-                            bound = SCALE * np.minimum(f1, f2) / (f1 + np.minimum(f1, f2))
-                            named |= (bound >= band[0] * (1 - 1e-9)) & (bound < band[1] * (1 + 1e-9))
+                        if n == 2 and pairs:
+                            named[:] = True
                         if n > 2:
                             named |= passes(by.get("right"), before_h)[keep]
                             shifted = np.searchsorted(before_at, at + 1)  # where the last n-1 words begin
@@ -259,15 +259,15 @@ def _counted(pa, lang: str, own: list[str], f: np.ndarray, ids: np.ndarray, at:
     return pa.RecordBatch.from_arrays([pa.array([lang] * m), pa.array(phrases), pa.array(np.full(m, n, np.int32)), pa.array(amount.astype(np.int64)), pa.array(f[grams[:, 0]]), pa.array(f[grams[:, -1]])], ["lang", "phrase", "len", "f", "first", "last"])
 
 
-def scan(coded: DataFrame, marks: DataFrame | None, band: tuple[int, int] | None, least: int, bits: int) -> DataFrame | None:
-    """Written: COUNTS of what the marks and the band name, ``least`` or more times found; ``first`` and ``last`` are the counts of the outer words."""
+def scan(coded: DataFrame, marks: DataFrame | None, least: int, bits: int) -> DataFrame | None:
+    """Written: COUNTS of what the marks name (all pairs without marks), ``least`` or more times found; ``first`` and ``last`` are the counts of the outer words."""
     spark = coded.sparkSession
     by = filters(marks, bits) if marks is not None else {}
-    if not by and not band:
+    if marks is not None and not by:
         return None
     told = spark.sparkContext.broadcast(by)
     with _few_rows(spark, 4):
-        found = coded.mapInArrow(tidied(_scan(told, band)), COUNTS)
+        found = coded.mapInArrow(tidied(_scan(told, marks is None)), COUNTS)
         out = saved(found.groupBy("lang", "phrase", "len").agg(F.sum("f").alias("f"), F.max("first").alias("first"), F.max("last").alias("last")).where(F.col("f") >= least), "counted")
     told.unpersist()
     return out
@@ -293,9 +293,9 @@ def _bounds(known: DataFrame) -> DataFrame:
     return known.withColumn("grows", grows).withColumn("bound", F.when(F.col("len") == 2, score_of(F.col("f"), F.col("first"), F.col("last"))).otherwise(F.least("grows", score_of(F.col("f"), F.col("f"), F.col("last")))))
 
 
-def scored(known: DataFrame, low: int, high: int) -> DataFrame:
-    """(lang, phrase, len, a, k, l, r, score) of the known phrases with a score in [low, high)."""
-    may = _bounds(known).where(F.col("bound") >= low)
+def scored(known: DataFrame) -> DataFrame:
+    """(lang, phrase, len, a, k, l, r, score) of the phrases with a score within [low, high) of their row in ``known``."""
+    may = _bounds(known).where("bound >= low")
     of = known.select("lang", F.col("phrase").alias("part"), F.col("f").alias("found"))
 
     def part(rows: DataFrame, n: int, name: str) -> DataFrame:
@@ -304,7 +304,7 @@ def scored(known: DataFrame, low: int, high: int) -> DataFrame:
 
     def best(rows: DataFrame, cuts: list[tuple[str, str]]) -> DataFrame:
         each = F.array(*(F.struct(score_of(F.col("f"), F.col(l), F.col(r)).alias("score"), F.lit(k).alias("k"), F.col(l).alias("l"), F.col(r).alias("r")) for k, (l, r) in enumerate(cuts, 1)))
-        return rows.withColumn("cut", F.array_min(each)).select("lang", "phrase", "len", F.col("f").alias("a"), "cut.k", "cut.l", "cut.r", "cut.score").where(F.col("score").between(low, high - 1))
+        return rows.withColumn("cut", F.array_min(each)).select("lang", "phrase", "len", F.col("f").alias("a"), "cut.k", "cut.l", "cut.r", "cut.score", "low", "high").where("score >= low and score < high").drop("low", "high")
 
     two = best(may.where("len = 2"), [("first", "last")])
     three = best(part(part(may.where("len = 3"), 2, "l2"), -2, "r2"), [("first", "r2"), ("l2", "last")])
@@ -327,54 +327,52 @@ def _joined(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
-def collocations(docs: DataFrame, top: int = 2000, least: int = 30, floor: int = 500_000, block_words: int = 1 << 18, filter_bits: int = 1 << 24) -> DataFrame:
-    """(lang, rank, phrase, a, l, r, n, score): each language's best phrases. ``floor``, the first round's, changes the work only."""
+def collocations(docs: DataFrame, top: int = 2000, least: int = 30, reach: float = 1.25, block_words: int = 1 << 20, filter_bits: int = 1 << 24) -> DataFrame:
+    """(lang, rank, phrase, a, l, r, n, score): each language's best phrases. ``reach``: the first floor is the score of the pair at ``reach * top``; it changes the work only."""
     with scratch(docs.sparkSession, "settled", "sizes"):
-        found, sizes = _search(docs, top, least, floor, block_words, filter_bits)
+        found, sizes = _search(docs, top, least, reach, block_words, filter_bits)
     place = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= top)
     return ranked.join(sizes, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
-def _search(docs: DataFrame, top: int, least: int, low: int, block_words: int, bits: int) -> tuple[DataFrame, DataFrame]:
-    coded, sizes = code_corpus(docs, least, block_words)
-    tables: list[DataFrame] = []
-    survivors: list[DataFrame] = []
-    high, rows, open_ = 1 << 62, coded, None
+def _floors(pairs: DataFrame, open_: DataFrame, rank: int) -> DataFrame:
+    """Written: (lang, low, high) of the languages in ``open_`` (lang, high): low is the score of the pair at ``rank``, or 0."""
+    place = Window.partitionBy("lang").orderBy(F.desc("bound"), "phrase")
+    last = _bounds(pairs).select("lang", "phrase", "bound").withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= rank).groupBy("lang").agg(F.max("rank").alias("rank"), F.min("bound").alias("bound"))
+    low = F.when(F.col("rank") == rank, F.least("bound", "high")).otherwise(0)
+    return saved(open_.join(last, "lang", "left").select("lang", low.cast("long").alias("low"), "high"), "floors")
 
-    def note(new: DataFrame | None) -> None:
-        if new is not None:
-            tables.append(saved(new.join(_joined(tables), ["lang", "phrase"], "left_anti"), "known") if tables else new)
 
-    def marked(kind: str, rows: DataFrame, phrase: Column | str = "phrase") -> DataFrame:
-        return rows.select(F.lit(kind).alias("kind"), "lang", F.col(phrase).alias("phrase") if isinstance(phrase, str) else phrase.alias("phrase"))
+def _search(docs: DataFrame, top: int, least: int, reach: float, block_words: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    coded, sizes = code_corpus(docs, least, block_words)
+    pairs = scan(coded, None, least, bits)
+    tables, survivors, rank = [pairs], [], max(1, round(top * reach))
+    open_ = sizes.select("lang", F.lit(1 << 62).alias("high"))
 
-    def of_open(table: DataFrame) -> DataFrame:
-        return table if open_ is None else table.join(open_, "lang", "left_semi")
+    def marked(kind: str, rows: DataFrame) -> DataFrame:
+        return rows.select(F.lit(kind).alias("kind"), "lang", "phrase")
 
     while True:
-        inside = lambda c: F.col(c).between(low, high - 1)  # noqa: E731, B023
-        note(scan(rows, None, (low, high), least, bits))
+        floors = _floors(pairs, open_, rank)
         for n in (2, 3, 4):
-            known = of_open(_joined(tables))
-            here = _bounds(known).where(F.col("len") == n)
-            reach = here.where(inside("bound"))
+            known = _joined(tables)
+            here = _bounds(known.where(F.col("len") == n).join(floors, "lang"))
+            within = here.where("bound >= low and bound < high")
             marks = []
             if n < 4:
-                marks += [marked("right", here.where(inside("grows"))), marked("left", reach)]
+                marks += [marked("right", here.where("grows >= low and grows < high")), marked("left", within)]
             for k in range(2, n):  # the parts behind a cut that no scan has counted yet
-                wanted = reach.select("lang", _words("phrase", -k).alias("phrase")).distinct()
+                wanted = within.select("lang", _words("phrase", -k).alias("phrase")).distinct()
                 marks.append(marked("count", wanted.join(known, ["lang", "phrase"], "left_anti")))
-            note(scan(rows, _joined(marks), None, least, bits))
-        known = of_open(_joined(tables))
-        survivors.append(saved(not_held(scored(known, low, high), known), "settled"))
+            new = scan(coded.join(floors, "lang", "left_semi"), _joined(marks), least, bits)
+            if new is not None:
+                tables.append(saved(new.join(known, ["lang", "phrase"], "left_anti"), "known"))
+        known = _joined(tables).join(floors, "lang")
+        survivors.append(saved(not_held(scored(known), known), "settled"))
         have = _joined(survivors).groupBy("lang").agg(F.count("*").alias("have"))
-        open_ = saved(sizes.select("lang").join(have, "lang", "left").fillna(0, ["have"]).where(F.col("have") < top), "open")
-        nearest = open_.agg(F.max("have")).first()[0]
-        if low == 0 or nearest is None:
+        left = floors.join(have, "lang", "left").where((F.coalesce("have", F.lit(0)) < top) & (F.col("low") > 0))
+        open_ = saved(left.select("lang", F.col("low").alias("high")), "open")
+        if open_.isEmpty():
             return _joined(survivors), sizes
-        open_ = open_.select("lang")
-        rows, tables = of_open(coded), [saved(_joined(tables), "known")]
-        # The farther the nearest language is from its goal, the lower the next floor.
-        step = min(64, max(2, 2 * top // max(1, nearest)))
-        high, low = low, low // step if low // step >= 4000 else 0
+        rank *= 4

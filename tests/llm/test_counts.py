@@ -171,7 +171,7 @@ def test_collocations_equal_a_plain_calculation(spark):
     words = [f"w{i}" for i in range(40)] + ["état", "ÉTAT", "\x1cx", "<b>", "Ünter"]
     rows = [(phrases_of(r, words), r.choice(["en", "en", "en", "de", None, "und", ""])) for _ in range(500)] + [(None, "en"), ("", None), ("x" * 20_000, "de")]
     docs = spark.createDataFrame([(i, t, lang, "s", 1) for i, (t, lang) in enumerate(rows)], DOC).withColumn("phrase", F.lit("clash")).withColumn("words", F.lit(1)).repartition(3)
-    for top, least, options in ((15, 3, {"block_words": 200}), (4, 5, {"floor": 900_000, "filter_bits": 1 << 16}), (2000, 2, {"filter_bits": 64}), (3, 40, {"floor": 1})):
+    for top, least, options in ((15, 3, {"block_words": 200}), (8, 2, {"reach": 0.2, "filter_bits": 64})):
         assert mined(collocations.collocations(docs, top, least, **options)) == plain_collocations(rows, top, least), (top, least)
 
 
@@ -181,8 +181,9 @@ def test_collocations_settle_ties_and_prune(spark):
     got = mined(collocations.collocations(docs, 12, 2))
     assert got == plain_collocations(rows, 12, 2) and {x[7] for x in got} == {1_000_000}
     coded, _ = collocations.code_corpus(docs, 2, 1 << 18)
-    counted = lambda band: collocations.scan(coded, None, band, 2, 1 << 16).count()
-    assert counted((500_000, 1 << 62)) == 31 and counted((0, 1 << 62)) == 71  # 40 pairs of the common word aren't counted at this floor
+    assert collocations.scan(coded, None, 2, 1 << 16).count() == 71
+    marks = spark.createDataFrame([("right", "en", "p1 q1"), ("left", "en", "p2 q2"), ("count", "en", "p3 q3"), ("count", "de", "p4 q4")], "kind string, lang string, phrase string")
+    assert [tuple(x)[1:4] for x in collocations.scan(coded, marks, 2, 1 << 16).collect()] == [("p3 q3", 2, 2)]  # nothing extends the other two
 
 
 def test_collocation_scores_pass_64_bits(spark):
