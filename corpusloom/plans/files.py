@@ -11,7 +11,7 @@ from corpusloom.plans import views as V
 from corpusloom.plans.catalogue import query
 from corpusloom.sources import canvas, memories
 from corpusloom.sources.chunks import lexical_chunks
-from corpusloom.streaming import blocks, events
+from corpusloom.streaming import events
 from corpusloom.tables import new_folder
 
 
@@ -104,21 +104,6 @@ def index_upsert(spark, sf_dir):
     return corpus.upsert(d.withColumn("version", F.lit("old")), new, "id", d.where("id % 5 = 1"))
 
 
-def _streamed(spark: SparkSession, rows: DataFrame, name: str, files: int = 4) -> DataFrame:
-    """``rows`` as a stream of a few files."""
-    place = new_folder(spark, name)
-    rows.repartition(files).write.parquet(place)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(place)
-
-
-def _run(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """What a stream writes until its source is read."""
-    spark = stream.sparkSession
-    out, kept = new_folder(spark, name), new_folder(spark, "progress")
-    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", kept).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
-
-
 @query("""SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
 def stream_windows(spark, sf_dir):
     """Daily counts through a stream whose files come in any order; a last event far later moves the watermark beyond all days."""
@@ -141,30 +126,3 @@ def _run_then(stream: DataFrame, place: str, later: DataFrame, name: str) -> Dat
             step.write.mode("append").parquet(place)
         windows.writeStream.format("parquet").option("path", out).option("checkpointLocation", kept).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(windows.schema).parquet(out)
-
-
-@query(r"""SELECT conv_id * 1000 + turn AS stream_id, md5(text) AS spoken, md5('plan ' || turn) AS thought, md5('file ' || turn) AS written FROM conversations WHERE role = 'assistant'""")
-def stream_blocks(spark, sf_dir):
-    """Answers streamed in chunks of seven characters with thinking and a written file in them, folded by keyed state."""
-    c = V.table(spark, sf_dir, "conversations").where("role = 'assistant'")
-    turn = F.col("turn").cast("string")
-    whole = F.concat(F.lit("<think>plan "), turn, F.lit("</think>"), "text", F.lit("<writeFile>file "), turn, F.lit("</writeFile>"))
-    pieces = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("stream_id"), F.posexplode(F.regexp_extract_all(whole, F.lit(r"(?s).{1,7}"), F.lit(0))).alias("seq", "content"))
-    rows = pieces.select("stream_id", F.col("seq").cast("long").alias("seq"), "content")
-    folded = _run(blocks.fold_stream(_streamed(spark, rows, "chunks", 1)), "blocks")
-    joined = lambda kept: F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(kept, F.struct("seq", "text")))), lambda x: x["text"]), ""))
-    return folded.groupBy("stream_id").agg(joined(~F.col("thinking") & F.col("block").isNull()).alias("spoken"), joined(F.col("thinking")).alias("thought"), F.md5(F.max("block")).alias("written"))
-
-
-@query("""WITH c AS (SELECT doc_id AS path, CASE WHEN doc_id % 4 = 0 THEN 'v2' ELSE 'v1' END AS version FROM documents WHERE doc_id % 9 <> 5) SELECT * FROM c""")
-def stream_upkeep(spark, sf_dir):
-    """An index kept by a stream of changes: all notes, then newer versions of a fourth, then a ninth deleted."""
-    d = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"))
-    change = lambda rows, version, deleted, at: rows.select("path", F.lit(version).alias("version"), F.lit(deleted).alias("deleted"), F.lit(at).alias("at"))
-    rows = change(d, "v1", False, 1).unionByName(change(d.where("path % 4 = 0"), "v2", False, 2)).unionByName(change(d.where("path % 9 = 5"), "v3", True, 3))
-    place, index, kept = (new_folder(spark, x) for x in ("changes", "index", "progress"))
-    for at in (1, 2, 3):  # three files, read one by one in their order
-        rows.where(F.col("at") == at).coalesce(1).write.mode("append").parquet(place)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(place)
-    events.maintain(stream, index, kept).awaitTermination()
-    return spark.read.parquet(f"{index}/v2").select("path", "version")

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.streaming import StatefulProcessor
+
+from corpusloom.streaming.keyed import keyed
 
-OUTPUT = "stream_id long, seq long, text string, thinking boolean, block string"
-STATE = "buffer string, thinking boolean"
+#: A row for each piece, in the order of (seq, part); the last one of a stream has the kind ``end`` and tells how it ended.
+OUTPUT = "stream_id long, seq long, part int, kind string, text string, truncated boolean, tokens long"
 _OPEN, _CLOSE, _WRITE, _END = "<think>", "</think>", "<writeFile>", "</writeFile>"
+#: What models give as the reason for stopping at their limit.
+CUT_OFF = ("length", "max_tokens", "MAX_TOKENS")
 
 
 def _held(s: str, *marks: str) -> int:
@@ -16,52 +22,139 @@ def _held(s: str, *marks: str) -> int:
     return max((k for m in marks for k in range(1, len(m)) if s.endswith(m[:k])), default=0)
 
 
-def fold(buffer: str, thinking: bool, chunk: str, end: bool = False) -> tuple[list[tuple[str, bool, str | None]], str, bool]:
-    """Pieces (text, thinking, complete write block) that a chunk settles, what is still open, and whether it is thought."""
+def fold(buffer: str, thinking: bool, chunk: str, end: bool = False) -> tuple[list[tuple[str, str]], str, bool]:
+    """Pieces (kind, text) that a chunk settles, what is still open, and whether it is thought. ``end``: nothing follows, so all is settled.
+
+    Kinds: text, thought, file (a whole write block's content) and unopened (a thought's end without its beginning: all text before was thought).
+    A write block that never ends is text.
+    """
     s, out = buffer + chunk, []
     while s:
         if thinking:
             i = s.find(_CLOSE)
             cut = i if i >= 0 else len(s) - (0 if end else _held(s, _CLOSE))
             if cut:
-                out.append((s[:cut], True, None))
-            s, thinking = (s[cut + len(_CLOSE) :], False) if i >= 0 else (s[cut:], True)
+                out.append(("thought", s[:cut]))
             if i < 0:
+                s = s[cut:]
                 break
-        else:
-            t, w = s.find(_OPEN), s.find(_WRITE)
-            at = min((x for x in (t, w) if x >= 0), default=-1)
-            cut = at if at >= 0 else len(s) - (0 if end else _held(s, _OPEN, _WRITE))
-            if cut:
-                out.append((s[:cut], False, None))
-            s = s[cut:]
-            if at < 0:
-                break
-            if at == t:
-                s, thinking = s[len(_OPEN) :], True
-            else:
-                e = s.find(_END)
-                if e < 0:
-                    if end:
-                        out.append((s, False, None))
-                        s = ""
-                    break
-                out.append(("", False, s[len(_WRITE) : e]))
+            s, thinking = s[cut + len(_CLOSE) :], False
+            continue
+        found = [(i, m) for m in (_OPEN, _WRITE, _CLOSE) if (i := s.find(m)) >= 0]
+        at, mark = min(found, default=(len(s) - (0 if end else _held(s, _OPEN, _WRITE, _CLOSE)), None))
+        if at:
+            out.append(("text", s[:at]))
+        s = s[at:]
+        if mark is None:
+            break
+        if mark == _WRITE:
+            e = s.find(_END)
+            if e >= 0:
+                out.append(("file", s[len(_WRITE) : e]))
                 s = s[e + len(_END) :]
+            elif end:
+                out.append(("text", s))
+                s = ""
+            else:
+                break
+        else:
+            if mark == _CLOSE:
+                out.append(("unopened", ""))
+            s, thinking = s[len(mark) :], mark == _OPEN
     return out, s, thinking
 
 
-def fold_stream(chunks: DataFrame) -> DataFrame:
-    """Streaming (stream_id, seq, content) to OUTPUT; the open rest of each stream is state."""
+class _Fold(StatefulProcessor):
+    """Chunks in the order of seq, from 0; those that come too early wait in a map. A stream ends with its last chunk, or after a silence."""
+
+    def __init__(self, quiet_ms: int, thoughts: bool):
+        self.quiet_ms, self.thoughts = quiet_ms, thoughts
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "next long, buffer string, thinking boolean, tokens long, due long, ended boolean")
+        self.early = handle.getMapState("early", "seq long", "content string, finish string, tokens long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        nxt, buffer, thinking, tokens, due, ended = self.open.get() if self.open.exists() else (0, "", False, 0, 0, False)
+        if ended:
+            return
+        here: dict[int, tuple] = {}
+        latest = 0
+        for b in rows:  # an Arrow batch each; only together do they have an order
+            latest = max(latest, int(b["at_ms"].max()))
+            here.update((int(q), (c, f, t)) for q, c, f, t in b[["seq", "content", "finish", "tokens"]].itertuples(index=False))
+        out: list[tuple] = []
+        while nxt in here or self.early.containsKey((nxt,)):
+            if nxt in here:
+                content, finish, used = here.pop(nxt)
+            else:
+                content, finish, used = self.early.getValue((nxt,))
+                self.early.removeKey((nxt,))
+            ended = isinstance(finish, str)
+            buffer, thinking, tokens = self._take(key, out, nxt, content, buffer, thinking, tokens, used, ended)
+            nxt += 1
+            if ended:
+                self._end(key, out, nxt - 1, finish in CUT_OFF, tokens)
+                break
+        if not ended:
+            for q, v in here.items():
+                if q >= nxt:
+                    self.early.updateValue((q,), tuple(None if pd.isna(x) else x for x in v))
+        if latest + self.quiet_ms > due:  # the silence begins anew; a stream that has ended is forgotten after one, too
+            if due:
+                self.handle.deleteTimer(due)
+            due = max(latest + self.quiet_ms, timerValues.getCurrentWatermarkInMs() + 1)
+            self.handle.registerTimer(due)
+        if ended:
+            self.early.clear()
+        self.open.update((nxt, buffer, thinking, tokens, due, ended))
+        yield self._frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.open.exists():
+            return
+        nxt, buffer, thinking, tokens, _, ended = self.open.get()
+        out: list[tuple] = []
+        if not ended:  # what waits for a chunk that never came follows all the same
+            waiting = sorted((k[0], tuple(v)) for k, v in self.early.iterator())
+            last = waiting[-1][0] if waiting else nxt - 1
+            finish = None
+            for q, (content, f, used) in waiting:
+                buffer, thinking, tokens = self._take(key, out, q, content, buffer, thinking, tokens, used, False)
+                finish = f or finish
+            self._take(key, out, last, "", buffer, thinking, tokens, None, True)
+            self._end(key, out, last, finish in CUT_OFF, tokens)
+        self.open.clear()
+        self.early.clear()
+        yield self._frame(out)
+
+    def _take(self, key, out, seq, content, buffer, thinking, tokens, used, end):
+        pieces, buffer, thinking = fold(buffer, thinking, content if isinstance(content, str) else "", end)
+        for kind, text in pieces:
+            if self.thoughts or kind != "thought":
+                n = out[-1][2] + 1 if out and out[-1][1] == seq else 0
+                out.append((key[0], seq, n, kind, text, None, None))
+        return buffer, thinking, tokens if used is None or pd.isna(used) else int(used)
+
+    def _end(self, key, out, seq, truncated, tokens) -> None:
+        out.append((key[0], seq, out[-1][2] + 1 if out and out[-1][1] == seq else 0, "end", "", truncated, tokens))
+
+    def _frame(self, out: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(out, columns=["stream_id", "seq", "part", "kind", "text", "truncated", "tokens"])
+        return frame.astype({"stream_id": "int64", "seq": "int64", "part": "int32", "truncated": "boolean", "tokens": "Int64"})
+
+    def close(self) -> None:
+        pass
+
 
-    def step(key, batches, state: GroupState):
-        buffer, thinking = state.get if state.exists else ("", False)
-        rows = []
-        for b in batches:
-            for seq, content in b.sort_values("seq")[["seq", "content"]].itertuples(index=False):
-                out, buffer, thinking = fold(buffer, thinking, content or "")
-                rows += [(key[0], seq, t, k, w) for t, k, w in out]
-        state.update((buffer, thinking))
-        yield pd.DataFrame(rows, columns=["stream_id", "seq", "text", "thinking", "block"])
+def fold_stream(chunks: DataFrame, late: str = "10 seconds", quiet_ms: int = 60_000, thoughts: bool = True) -> DataFrame:
+    """Streaming (stream_id long, seq long from 0, content, finish, tokens, at timestamp) to OUTPUT.
 
-    return chunks.groupBy("stream_id").applyInPandasWithState(step, OUTPUT, STATE, "append", "NoTimeout")
+    Chunks may come in any order within and across micro-batches, also twice; each stream's are folded by seq. ``finish`` is null but for the last chunk, where
+    it tells the reason; ``tokens`` is the use so far, if known. A stream without a last chunk, or with a gap, ends when the watermark (``late`` behind the
+    newest chunk of all) is ``quiet_ms`` beyond its newest chunk: what is open then comes out as it is. Without ``thoughts``, thoughts are left out. Null
+    contents are empty. A null stream_id is a stream; chunks with a null seq are left out. What a stream holds as state is its
+    chunks behind a gap, its open block and, for a silence after its end, that it has ended.
+    """
+    return keyed(chunks.where("seq is not null"), ["stream_id"], _Fold(quiet_ms, thoughts), OUTPUT, late)

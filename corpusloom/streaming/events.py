@@ -1,12 +1,9 @@
-"""Change feeds: incremental upkeep of an index, and event-time windows."""
+"""Event-time windows and sessions, the same for tables and streams."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-
-from corpusloom.operators.corpus import upsert
 
 
 def windowed(events: DataFrame, size: str = "1 day", late: str = "1 hour") -> DataFrame:
@@ -18,20 +15,3 @@ def windowed(events: DataFrame, size: str = "1 day", late: str = "1 hour") -> Da
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     e = events.withWatermark("ts", late) if events.isStreaming else events
     return e.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "user_id", "n")
-
-
-def maintain(changes: DataFrame, index_path: str, checkpoint: str, key: str = "path") -> StreamingQuery:
-    """Applies (key, ..., deleted, at) changes to the Parquet index at ``index_path``, a new version for each batch.
-
-    Of several changes to a key in a batch the latest counts. A version is a folder of its own; a batch that is repeated writes the same one.
-    """
-
-    def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        others = [c for c in batch.columns if c != key]
-        last = batch.groupBy(key).agg(F.max_by(F.struct(*others), "at").alias("r")).select(key, *(F.col(f"r.{c}").alias(c) for c in others))
-        rows, gone = last.where("not deleted").drop("deleted"), last.where("deleted").select(key)
-        old = spark.read.schema(rows.schema).parquet(f"{index_path}/v{number - 1}") if number else spark.createDataFrame([], rows.schema)
-        upsert(old, rows, key, gone).write.mode("overwrite").parquet(f"{index_path}/v{number}")
-
-    return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
