@@ -40,7 +40,7 @@ COUNTS = "lang string, phrase string, len int, f long, first long, last long"
 SCALE = 2_000_000
 _CUT = 0xFF  # no byte of UTF-8
 _TABLE = bytes(_CUT if b in b".,;:!?" or 0x0A <= b <= 0x0D else 0x20 if b == 0x09 else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
-_SLICE = 1 << 20
+_SLICE, _ROWS = 1 << 20, 1 << 15
 _PROBES = 4
 _STEP = 0x9E3779B97F4A7C15
 _ALL = (1 << 64) - 1
@@ -240,7 +240,7 @@ def _scan(told, pairs: bool):
                             shifted = np.searchsorted(before_at, at + 1)  # where the last n-1 words begin
                             named |= passes(by.get("left"), before_h)[shifted]
                         if named.any():
-                            yield _counted(pa, lang, own, f, ids, at[named], n)
+                            yield from _counted(pa, lang, own, f, ids, at[named], n)
                     h = here
 
     return count
@@ -253,10 +253,11 @@ def _counted(pa, lang: str, own: list[str], f: np.ndarray, ids: np.ndarray, at:
             key = np.unique(key, return_inverse=True)[1]
         key = key * len(own) + ids[at + k]
     _, first, amount = np.unique(key, return_index=True, return_counts=True)
-    grams = np.stack([ids[at[first] + k] for k in range(n)], axis=1)
-    phrases = [" ".join([own[x] for x in g]) for g in grams.tolist()]
-    m = len(phrases)
-    return pa.RecordBatch.from_arrays([pa.array([lang] * m), pa.array(phrases), pa.array(np.full(m, n, np.int32)), pa.array(amount.astype(np.int64)), pa.array(f[grams[:, 0]]), pa.array(f[grams[:, -1]])], ["lang", "phrase", "len", "f", "first", "last"])
+    for i in range(0, len(first), _ROWS):
+        grams = np.stack([ids[at[first[i : i + _ROWS]] + k] for k in range(n)], axis=1)
+        phrases = [" ".join([own[x] for x in g]) for g in grams.tolist()]
+        m = len(phrases)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * m), pa.array(phrases), pa.array(np.full(m, n, np.int32)), pa.array(amount[i : i + _ROWS].astype(np.int64)), pa.array(f[grams[:, 0]]), pa.array(f[grams[:, -1]])], ["lang", "phrase", "len", "f", "first", "last"])
 
 
 def scan(coded: DataFrame, marks: DataFrame | None, least: int, bits: int) -> DataFrame | None:
@@ -327,7 +328,7 @@ def _joined(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
-def collocations(docs: DataFrame, top: int = 2000, least: int = 30, reach: float = 1.25, block_words: int = 1 << 20, filter_bits: int = 1 << 24) -> DataFrame:
+def collocations(docs: DataFrame, top: int = 2000, least: int = 30, reach: float = 1.25, block_words: int = 1 << 19, filter_bits: int = 1 << 24) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's best phrases. ``reach``: the first floor is the score of the pair at ``reach * top``; it changes the work only."""
     with scratch(docs.sparkSession, "settled", "sizes"):
         found, sizes = _search(docs, top, least, reach, block_words, filter_bits)
