@@ -37,7 +37,7 @@ def stream_blocks(spark, sf_dir):
     cut = F.regexp_extract_all(whole, F.lit(r"(?s).{1,7}"), F.lit(0))
     pieces = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("stream_id"), "form", F.length("text").cast("long").alias("tokens"), F.size(cut).alias("n"), F.posexplode(cut).alias("seq", "content"))
     finish = F.when((F.col("seq") == F.col("n") - 1) & F.col("form").isin(0, 2, 4), F.when(F.col("form") == 2, "length").otherwise("stop"))
-    rows = pieces.select("stream_id", F.col("seq").cast("long").alias("seq"), "content", finish.alias("finish"), F.when(finish.isNotNull(), F.col("tokens")).alias("tokens"), F.timestamp_millis(F.col("seq")).alias("at"))
+    rows = pieces.select("stream_id", F.col("seq").cast("long").alias("seq"), "content", finish.alias("finish"), F.when(finish.isNotNull(), F.col("tokens")).alias("tokens"), F.timestamp_millis(F.col("seq") + F.lit(10**9)).alias("at"))
     tick = spark.range(1).select(F.lit(-1).cast("long").alias("stream_id"), F.lit(0).cast("long").alias("seq"), F.lit("").alias("content"), F.lit("stop").alias("finish"), F.lit(0).cast("long").alias("tokens"), F.timestamp_seconds(F.lit(10**8)).alias("at"))
     out = _replayed(spark, rows, tick, lambda s: blocks.fold_stream(s, late="1 day"), "blocks").where("stream_id >= 0")
     piece = F.struct("seq", "part", "kind", "text")

@@ -83,7 +83,8 @@ class _Fold(StatefulProcessor):
         latest = 0
         for b in rows:  # an Arrow batch each; only together do they have an order
             latest = max(latest, int(b["at_ms"].max()))
-            here.update((int(q), (c, f, t)) for q, c, f, t in b[["seq", "content", "finish", "tokens"]].itertuples(index=False))
+            for q, c, f, t in b[["seq", "content", "finish", "tokens"]].itertuples(index=False):
+                here[int(q)] = (c if isinstance(c, str) else "", f if isinstance(f, str) else None, None if pd.isna(t) else int(t))  # state takes no other types
         out: list[tuple] = []
         while nxt in here or self.early.containsKey((nxt,)):
             if nxt in here:
@@ -91,7 +92,7 @@ class _Fold(StatefulProcessor):
             else:
                 content, finish, used = self.early.getValue((nxt,))
                 self.early.removeKey((nxt,))
-            ended = isinstance(finish, str)
+            ended = finish is not None
             buffer, thinking, tokens = self._take(key, out, nxt, content, buffer, thinking, tokens, used, ended)
             nxt += 1
             if ended:
@@ -100,7 +101,7 @@ class _Fold(StatefulProcessor):
         if not ended:
             for q, v in here.items():
                 if q >= nxt:
-                    self.early.updateValue((q,), tuple(None if pd.isna(x) else x for x in v))
+                    self.early.updateValue((q,), v)
         if latest + self.quiet_ms > due:  # the silence begins anew; a stream that has ended is forgotten after one, too
             if due:
                 self.handle.deleteTimer(due)
@@ -118,7 +119,7 @@ class _Fold(StatefulProcessor):
         out: list[tuple] = []
         if not ended:  # what waits for a chunk that never came follows all the same
             waiting = sorted((k[0], tuple(v)) for k, v in self.early.iterator())
-            last = waiting[-1][0] if waiting else nxt - 1
+            last = (waiting[-1][0] if waiting else nxt - 1) + 1  # what the end settles comes after the last chunk's pieces
             finish = None
             for q, (content, f, used) in waiting:
                 buffer, thinking, tokens = self._take(key, out, q, content, buffer, thinking, tokens, used, False)
@@ -130,19 +131,19 @@ class _Fold(StatefulProcessor):
         yield self._frame(out)
 
     def _take(self, key, out, seq, content, buffer, thinking, tokens, used, end):
-        pieces, buffer, thinking = fold(buffer, thinking, content if isinstance(content, str) else "", end)
+        pieces, buffer, thinking = fold(buffer, thinking, content, end)
         for kind, text in pieces:
             if self.thoughts or kind != "thought":
                 n = out[-1][2] + 1 if out and out[-1][1] == seq else 0
                 out.append((key[0], seq, n, kind, text, None, None))
-        return buffer, thinking, tokens if used is None or pd.isna(used) else int(used)
+        return buffer, thinking, tokens if used is None else used
 
     def _end(self, key, out, seq, truncated, tokens) -> None:
         out.append((key[0], seq, out[-1][2] + 1 if out and out[-1][1] == seq else 0, "end", "", truncated, tokens))
 
     def _frame(self, out: list[tuple]) -> pd.DataFrame:
         frame = pd.DataFrame(out, columns=["stream_id", "seq", "part", "kind", "text", "truncated", "tokens"])
-        return frame.astype({"stream_id": "int64", "seq": "int64", "part": "int32", "truncated": "boolean", "tokens": "Int64"})
+        return frame.astype({"stream_id": "Int64", "seq": "int64", "part": "int32", "truncated": "boolean", "tokens": "Int64"})
 
     def close(self) -> None:
         pass

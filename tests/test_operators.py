@@ -12,7 +12,6 @@ from corpusloom.operators import corpus, ranking, retrieval, vectors
 from corpusloom.sources import canvas, chunks, memories
 from corpusloom.sources.html import extract_html, extract_pages
 from corpusloom.sources.markdown import chunk_note, line_windows, read_tables, table_markdown
-from corpusloom.streaming.blocks import fold
 
 
 def rows(df, *order):
@@ -329,15 +328,3 @@ def test_canvas_groups(spark):
     c = spark.createDataFrame([("c", j)], "canvas string, json string")
     n = canvas.nodes(c, spark.createDataFrame([("a.md", "body")], "path string, body string"))
     assert n.where("id = 'n'").first()["text"] == "body" and rows(canvas.group_edges(n)) == [("c", "g", "n")]
-
-
-@pytest.mark.parametrize("cut", range(1, 12))
-def test_stream_fold_doesnt_depend_on_chunks(cut):
-    s = "hi<think>plan</think> a <writeFile>body</writeFile> b"
-    buffer, thinking, out = "", False, []
-    for i in range(0, len(s), cut):
-        got, buffer, thinking = fold(buffer, thinking, s[i : i + cut])
-        out += got
-    out += fold(buffer, thinking, "", True)[0]
-    assert "".join(t for t, k, w in out if not k and w is None) == "hi a  b"
-    assert "".join(t for t, k, w in out if k) == "plan" and [w for *_, w in out if w] == ["body"]
