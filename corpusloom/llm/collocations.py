@@ -14,7 +14,7 @@ extension that it holds). A language with ``top`` survivors at the floor or abov
 the others go on. Work of earlier rounds isn't repeated.
 
 The corpus is written once as blocks of word numbers with their own dictionaries; rare words, which no candidate holds, become gaps. A scan reads
-blocks and counts what it is told to. What to extend is told by Bloom filters of a fixed size (``filter_bits``, whatever the corpus): a phrase that
+blocks and counts what it is told to. What is frequent and what to extend is told by Bloom filters of a fixed size (``filter_bits``, whatever the corpus): a phrase that
 passes by chance is counted exactly all the same, in every block, so it costs a row and changes nothing. Counts are added up by
 phrase in a shuffle of sums; everything else is joins of phrase tables.
 
@@ -34,9 +34,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import discard, saved, scratch, tidied
 
-BLOCK = "block long, lang string, words array<string>, counts array<long>, ids binary"
-CODED = "lang string, words array<string>, f binary, ids binary"
-COUNTS = "lang string, phrase string, len int, f long, first long, last long"
+BLOCK = "lang string, words array<string>, counts array<long>, ids binary"
+CODED = "lang string, words array<string>, ids binary"
 SCALE = 2_000_000
 _CUT = 0xFF  # no byte of UTF-8
 _TABLE = bytes(_CUT if b in b".,;:!?" or 0x0A <= b <= 0x0D else 0x20 if b == 0x09 else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -81,14 +80,10 @@ class _Numbers(dict):
 def _blocks(block_words: int):
     def write(batches):
         import pyarrow as pa
-        from pyspark import TaskContext
-
-        number = TaskContext.get().partitionId() << 32
         held: dict[str, tuple[_Numbers, list[np.ndarray]]] = {}
         words: dict[str, int] = {}
 
         def flush(lang):
-            nonlocal number
             numbers, parts = held.pop(lang)
             del words[lang]
             ids = np.concatenate(parts)
@@ -96,8 +91,7 @@ def _blocks(block_words: int):
             if len(counts):
                 own = pa.array([w.decode() for w in list(numbers)[1:]], pa.string())
                 ends = pa.array([0, len(counts)], pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([lang]), pa.ListArray.from_arrays(ends, own), pa.ListArray.from_arrays(ends, pa.array(counts, pa.int64())), pa.array([ids.astype("<i4").tobytes()], pa.binary())], ["block", "lang", "words", "counts", "ids"])
-                number += 1
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.ListArray.from_arrays(ends, own), pa.ListArray.from_arrays(ends, pa.array(counts, pa.int64())), pa.array([ids.astype("<i4").tobytes()], pa.binary())], ["lang", "words", "counts", "ids"])
 
         for b in batches:
             texts = b.column("text").cast(pa.binary())
@@ -116,34 +110,38 @@ def _blocks(block_words: int):
     return write
 
 
-def _recoded(batches):
-    """Blocks with the words that occur often only, numbered anew; the others become cuts."""
-    import pyarrow as pa
+def _recoded(told):
+    """Blocks without the words that the filter leaves out, which become cuts; the others are numbered anew."""
+
+    def recode(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for lang, words, ids in zip(*(b.column(c) for c in ("lang", "words", "ids")), strict=True):
+                own = words.as_py()
+                kept = np.flatnonzero(passes(told.value.get("word"), _starts(lang.as_py(), own)))
+                new = np.zeros(len(own) + 1, np.int32)
+                new[kept + 1] = np.arange(1, len(kept) + 1)
+                held = pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), words.values.take(pa.array(kept)))
+                yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()]), held, pa.array([new[np.frombuffer(ids.as_py(), "<i4")].tobytes()])], ["lang", "words", "ids"])
 
-    for b in batches:
-        for lang, words, ids, often in zip(*(b.column(c) for c in ("lang", "words", "ids", "often")), strict=True):
-            at, f = (often.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            new = np.zeros(len(words) + 1, np.int32)
-            new[at.astype(np.int64) + 1] = np.arange(1, len(at) + 1)
-            own = pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), words.values.take(pa.array(at)))
-            yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()]), own, pa.array([f.astype("<i8").tobytes()]), pa.array([new[np.frombuffer(ids.as_py(), "<i4")].tobytes()])], ["lang", "words", "f", "ids"])
+    return recode
 
 
-def code_corpus(docs: DataFrame, least: int, block_words: int) -> tuple[DataFrame, DataFrame]:
-    """Written: (blocks of the words that occur ``least`` times or more in their language, with these counts; lang and its number of words)."""
+def code_corpus(docs: DataFrame, least: int, block_words: int, bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written: blocks of words that may occur ``least`` times or more in their language; those that do, (lang, word, f); each language's number of words n."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     with _few_rows(spark, 256):
         blocks = saved(texts.mapInArrow(tidied(_blocks(block_words)), BLOCK), "blocks")
     sizes = saved(blocks.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n")), "sizes")
-    often = blocks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy("lang", F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("f")).where(F.col("f") >= least)
-    entries = blocks.select("block", "lang", F.posexplode("words").alias("at", "word")).join(often, ["lang", "word"])
-    # A block holds a bounded number of words, so its list does.
-    lists = entries.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "f"))).alias("often"))
+    often = saved(blocks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy("lang", F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("f")).where(F.col("f") >= least), "often")
+    told = spark.sparkContext.broadcast(filters(often.select(F.lit("word").alias("kind"), "lang", F.col("word").alias("phrase")), bits))
     with _few_rows(spark, 4):
-        coded = saved(blocks.join(lists, "block").select("lang", "words", "ids", "often").mapInArrow(tidied(_recoded), CODED), "coded")
+        coded = saved(blocks.mapInArrow(tidied(_recoded(told)), CODED), "coded")
+    told.unpersist()
     discard(blocks)
-    return coded, sizes
+    return coded, often, sizes
 
 
 # --- scans
@@ -155,6 +153,11 @@ def _hash(data: bytes) -> int:
     return xxhash.xxh64_intdigest(data)
 
 
+def _starts(lang: str, words: list[str]) -> np.ndarray:
+    """The hashes of phrases of one word."""
+    return np.array([_hash(w.encode()) for w in words], np.uint64) + np.uint64(_hash(lang.encode()) * _STEP & _ALL)
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     return h ^ (h >> np.uint64(29))
@@ -217,16 +220,15 @@ def _scan(told, pairs: bool):
 
         by = told.value
         for b in batches:
-            for lang, words, f, ids in zip(*(b.column(c) for c in ("lang", "words", "f", "ids")), strict=True):
-                lang, f, ids = lang.as_py(), np.frombuffer(f.as_py(), "<i8"), np.frombuffer(ids.as_py(), "<i4").astype(np.int64) - 1
-                own = words.as_py()
-                of = np.array([_hash(w.encode()) for w in own], np.uint64)
-                start = np.uint64(_hash(lang.encode()) * _STEP & _ALL)
+            for lang, words, ids in zip(*(b.column(c) for c in ("lang", "words", "ids")), strict=True):
+                lang, own, ids = lang.as_py(), words.as_py(), np.frombuffer(ids.as_py(), "<i4").astype(np.int64) - 1
+                starts = _starts(lang, own)
+                of = starts - np.uint64(_hash(lang.encode()) * _STEP & _ALL)
                 ok, h = ids >= 0, None
                 for n in (1, 2) if pairs else (1, 2, 3, 4):
                     if n == 1:
                         at = np.flatnonzero(ok)
-                        here = start + of[ids[at]]
+                        here = starts[ids[at]]
                     else:
                         keep = (at + n - 1 < len(ids)) & ok[np.minimum(at + n - 1, len(ids) - 1)]
                         before_at, before_h = at, h
@@ -240,13 +242,13 @@ def _scan(told, pairs: bool):
                             shifted = np.searchsorted(before_at, at + 1)  # where the last n-1 words begin
                             named |= passes(by.get("left"), before_h)[shifted]
                         if named.any():
-                            yield from _counted(pa, lang, own, f, ids, at[named], n)
+                            yield from _counted(pa, lang, own, ids, at[named], n)
                     h = here
 
     return count
 
 
-def _counted(pa, lang: str, own: list[str], f: np.ndarray, ids: np.ndarray, at: np.ndarray, n: int):
+def _counted(pa, lang: str, own: list[str], ids: np.ndarray, at: np.ndarray, n: int):
     key = ids[at]
     for k in range(1, n):
         if k > 1:
@@ -255,21 +257,24 @@ def _counted(pa, lang: str, own: list[str], f: np.ndarray, ids: np.ndarray, at:
     _, first, amount = np.unique(key, return_index=True, return_counts=True)
     for i in range(0, len(first), _ROWS):
         grams = np.stack([ids[at[first[i : i + _ROWS]] + k] for k in range(n)], axis=1)
-        phrases = [" ".join([own[x] for x in g]) for g in grams.tolist()]
-        m = len(phrases)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * m), pa.array(phrases), pa.array(np.full(m, n, np.int32)), pa.array(amount[i : i + _ROWS].astype(np.int64)), pa.array(f[grams[:, 0]]), pa.array(f[grams[:, -1]])], ["lang", "phrase", "len", "f", "first", "last"])
+        yield pa.RecordBatch.from_arrays([pa.array([f"{lang}\t" + " ".join([own[x] for x in g]) for g in grams.tolist()]), pa.array(amount[i : i + _ROWS].astype(np.int64))], ["gram", "f"])
 
 
-def scan(coded: DataFrame, marks: DataFrame | None, least: int, bits: int) -> DataFrame | None:
-    """Written: COUNTS of what the marks name (all pairs without marks), ``least`` or more times found; ``first`` and ``last`` are the counts of the outer words."""
+def scan(coded: DataFrame, often: DataFrame, marks: DataFrame | None, least: int, bits: int) -> DataFrame | None:
+    """Written: (lang, phrase, len, f, first, last) of what the marks name (all pairs without marks), ``least`` or more times found; ``first`` and ``last`` are the counts of the outer words."""
     spark = coded.sparkSession
     by = filters(marks, bits) if marks is not None else {}
     if marks is not None and not by:
         return None
     told = spark.sparkContext.broadcast(by)
     with _few_rows(spark, 4):
-        found = coded.mapInArrow(tidied(_scan(told, marks is None)), COUNTS)
-        out = saved(found.groupBy("lang", "phrase", "len").agg(F.sum("f").alias("f"), F.max("first").alias("first"), F.max("last").alias("last")).where(F.col("f") >= least), "counted")
+        sums = coded.mapInArrow(tidied(_scan(told, marks is None)), "gram string, f long").groupBy("gram").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+        # Words hold no tab: what precedes the last one is the language.
+        phrase = F.substring_index("gram", "\t", -1)
+        split = sums.select(F.expr("left(gram, length(gram) - length(substring_index(gram, '\\t', -1)) - 1)").alias("lang"), phrase.alias("phrase"), (F.length(phrase) - F.length(F.translate(phrase, " ", "")) + 1).alias("len"), "f")
+        for name, n in (("first", 1), ("last", -1)):
+            split = split.withColumn("word", _words("phrase", n)).join(often.select("lang", "word", F.col("f").alias(name)), ["lang", "word"]).drop("word")
+        out = saved(split, "counted")
     told.unpersist()
     return out
 
@@ -328,7 +333,7 @@ def _joined(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
-def collocations(docs: DataFrame, top: int = 2000, least: int = 30, reach: float = 1.25, block_words: int = 1 << 19, filter_bits: int = 1 << 24) -> DataFrame:
+def collocations(docs: DataFrame, top: int = 2000, least: int = 30, reach: float = 1.25, block_words: int = 1 << 19, filter_bits: int = 1 << 25) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's best phrases. ``reach``: the first floor is the score of the pair at ``reach * top``; it changes the work only."""
     with scratch(docs.sparkSession, "settled", "sizes"):
         found, sizes = _search(docs, top, least, reach, block_words, filter_bits)
@@ -346,8 +351,8 @@ def _floors(pairs: DataFrame, open_: DataFrame, rank: int) -> DataFrame:
 
 
 def _search(docs: DataFrame, top: int, least: int, reach: float, block_words: int, bits: int) -> tuple[DataFrame, DataFrame]:
-    coded, sizes = code_corpus(docs, least, block_words)
-    pairs = scan(coded, None, least, bits)
+    coded, often, sizes = code_corpus(docs, least, block_words, bits)
+    pairs = scan(coded, often, None, least, bits)
     tables, survivors, rank = [pairs], [], max(1, round(top * reach))
     open_ = sizes.select("lang", F.lit(1 << 62).alias("high"))
 
@@ -366,7 +371,7 @@ def _search(docs: DataFrame, top: int, least: int, reach: float, block_words: in
             for k in range(2, n):  # the parts behind a cut that no scan has counted yet
                 wanted = within.select("lang", _words("phrase", -k).alias("phrase")).distinct()
                 marks.append(marked("count", wanted.join(known, ["lang", "phrase"], "left_anti")))
-            new = scan(coded.join(floors, "lang", "left_semi"), _joined(marks), least, bits)
+            new = scan(coded.join(floors, "lang", "left_semi"), often, _joined(marks), least, bits)
             if new is not None:
                 tables.append(saved(new.join(known, ["lang", "phrase"], "left_anti"), "known"))
         known = _joined(tables).join(floors, "lang")

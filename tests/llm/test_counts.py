@@ -180,10 +180,10 @@ def test_collocations_settle_ties_and_prune(spark):
     docs = spark.createDataFrame([(i, t, lang, "s", 1) for i, (t, lang) in enumerate(rows)], DOC)
     got = mined(collocations.collocations(docs, 12, 2))
     assert got == plain_collocations(rows, 12, 2) and {x[7] for x in got} == {1_000_000}
-    coded, _ = collocations.code_corpus(docs, 2, 1 << 18)
-    assert collocations.scan(coded, None, 2, 1 << 16).count() == 71
+    coded, often, _ = collocations.code_corpus(docs, 2, 1 << 18, 1 << 16)
+    assert collocations.scan(coded, often, None, 2, 1 << 16).count() == 71
     marks = spark.createDataFrame([("right", "en", "p1 q1"), ("left", "en", "p2 q2"), ("count", "en", "p3 q3"), ("count", "de", "p4 q4")], "kind string, lang string, phrase string")
-    assert [tuple(x)[1:4] for x in collocations.scan(coded, marks, 2, 1 << 16).collect()] == [("p3 q3", 2, 2)]  # nothing extends the other two
+    assert [(x["phrase"], x["len"], x["f"]) for x in collocations.scan(coded, often, marks, 2, 1 << 16).collect()] == [("p3 q3", 2, 2)]  # nothing extends the other two
 
 
 def test_collocation_scores_pass_64_bits(spark):
