@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -78,31 +77,70 @@ def recall_terms(query: Column, most_chars: int = 1000) -> Column:
     return F.array_distinct(F.filter(F.concat(F.array(F.lower(whole)), T.salient_terms(whole)), lambda t: F.length(t) > 1))
 
 
-def grep(notes: DataFrame, queries: DataFrame, limit: int = 200, slice_terms: int = 50_000) -> DataFrame:
+def _grams(text: Column, n: int) -> Column:
+    return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+
+def substrings(units: DataFrame, terms: DataFrame) -> DataFrame:
+    """(unit, term) for all terms of two characters or more that lie in a unit; both tables hold distinct values.
+
+    Units are indexed by the three-character grams that some term holds (and by two-character ones for terms of two). A term takes the postings of its rarest
+    gram, and what these hold is checked for the whole term; a term with a gram that no unit has is dropped unread.
+    """
+    three = F.length("term") > 2
+    wanted = terms.where(F.length("term") > 1).select("term", F.explode(F.array_distinct(F.when(three, _grams(F.col("term"), 3)).otherwise(F.array("term")))).alias("gram"))
+    wanted = saved(wanted, "wanted_grams")
+    two = not wanted.where("length(gram) = 2").isEmpty()
+    grams = F.concat(_grams(F.col("unit"), 3), _grams(F.col("unit"), 2)) if two else _grams(F.col("unit"), 3)
+    postings = units.select("unit", F.explode(F.array_distinct(grams)).alias("gram")).join(wanted.select("gram").distinct(), "gram", "left_semi")
+    postings = saved(postings, "gram_postings")
+    often = postings.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = wanted.join(often, "gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).where("r.n > 0")
+    return postings.join(rarest.select("term", F.col("r.gram").alias("gram")), "gram").where("contains(unit, term)").select("unit", "term")
+
+
+def in_bodies(notes: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, ord) for terms (lower case, two characters or more) in the notes' bodies; one row each.
+
+    Bodies are split at white space into words, and the index is of the distinct words. A term without white space lies in a body exactly if it lies in a
+    word. One with white space holds its inner words whole, so the notes of the rarest of them are checked, and without inner words
+    those whose words hold the longer of its ends.
+    """
+    words = saved(notes.select("ord", F.explode(F.array_distinct(F.split(F.lower("body"), r"\s+"))).alias("word")), "words")
+    often = saved(words.groupBy("word").agg(F.count("*").alias("n")), "vocabulary")
+    tokens = F.split("term", r"\s+")
+    inner = F.when(F.size(tokens) > 2, F.slice(tokens, 2, F.size(tokens) - 2)).otherwise(F.array().cast("array<string>"))
+    ends = F.when(F.length(F.get(tokens, F.lit(0))) >= F.length(F.get(tokens, F.lit(1))), F.get(tokens, F.lit(0))).otherwise(F.get(tokens, F.lit(1)))
+    parsed = saved(terms.select("term", F.array_distinct(inner).alias("inner"), F.when(F.size(tokens) == 1, F.col("term")).otherwise(ends).alias("part"), (F.size(tokens) > 1).alias("phrase")), "parsed")
+    whole = parsed.where(F.size("inner") > 0)
+    anchors = whole.select("term", F.explode("inner").alias("word")).join(often, "word", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("r")).where("r.n > 0").select("term", F.col("r.word").alias("word"))
+    others = parsed.where(F.size("inner") == 0)
+    parts = substrings(often.select(F.col("word").alias("unit")), others.select(F.col("part").alias("term")).distinct())
+    by_part = others.join(parts.select(F.col("unit").alias("word"), F.col("term").alias("part")), "part")
+    single = by_part.where("not phrase").select("term", "word").join(words, "word").select("term", "ord").distinct()
+    bodies = notes.select("ord", F.lower("body").alias("_b"))
+    maybe = anchors.unionByName(by_part.where("phrase").select("term", "word")).join(words, "word").select("term", "ord").distinct()
+    found = single.unionByName(maybe.join(bodies, "ord").where("contains(_b, term)").select("term", "ord"))
+    bare = parsed.where((F.size("inner") == 0) & (F.length("part") < 2))  # single characters about a gap: no word narrows these down
+    if not bare.isEmpty():
+        found = found.unionByName(bodies.join(bare.select("term"), F.expr("contains(_b, term)")).select("term", "ord"))
+    return found
+
+
+def grep(notes: DataFrame, queries: DataFrame, limit: int = 200) -> DataFrame:
     """(query, ord, tier, matches, rank): path hits by number of terms first, then content hits in scan order, ``limit`` a query.
 
-    queries (query, terms array): a stated set; its distinct terms meet paths, the distinct words of all bodies and, where they hold white
-    space, whole bodies, in slices of about ``slice_terms`` terms sent to every task. A term without white space lies in a body exactly
-    if it lies in one of its words. Since content hits count in scan order, the first 2 ``limit`` of a term are enough: if fewer than
-    ``limit`` of them miss the path, path hits alone fill the list. Null bodies and paths hold nothing.
+    queries (query, terms array). The distinct terms of all queries meet the distinct paths and the distinct words of all bodies through an index of character grams
+    (``substrings``). Since content hits count in scan order, the first 2 ``limit`` of a term are enough: if fewer than ``limit`` of them miss the
+    path, path hits alone fill the list. Null bodies and paths hold nothing; terms of one character are left out.
     """
     asked = queries.select("query", F.explode(F.array_distinct(F.filter(F.transform("terms", F.lower), lambda t: F.length(t) > 1))).alias("term"))
     asked = saved(asked, "asked")
     terms = asked.select("term").distinct()
-    slices = max(1, math.ceil(terms.count() / slice_terms))
-    words = notes.select("ord", F.explode(F.array_distinct(F.split(F.lower("body"), r"\s+"))).alias("word"))
-    distinct = saved(words.select("word").distinct(), "words") if slices else None
-    in_path = in_body = None
-    for k in range(slices):
-        part = terms.where(F.pmod(F.xxhash64("term"), F.lit(slices)) == k)
-        single, phrase = F.broadcast(part.where(~F.col("term").rlike(r"\s"))), F.broadcast(part.where(F.col("term").rlike(r"\s")))
-        paths = notes.select("ord", F.lower("path").alias("_p")).join(F.broadcast(part), F.expr("contains(_p, term)")).select("term", "ord")
-        held = words.join(distinct.join(single, F.expr("contains(word, term)")), "word").select("term", "ord")
-        whole = notes.select("ord", F.lower("body").alias("_b")).join(phrase, F.expr("contains(_b, term)")).select("term", "ord")
-        bodies = held.unionByName(whole).distinct()
-        in_path, in_body = (paths, bodies) if in_path is None else (in_path.unionByName(paths), in_body.unionByName(bodies))
+    paths = notes.select("ord", F.lower("path").alias("unit"))
+    in_path = paths.join(substrings(paths.select("unit").where("unit is not null").distinct(), terms), "unit").select("term", "ord")
     first = F.row_number().over(Window.partitionBy("term").orderBy("ord"))
-    in_body = in_body.withColumn("_n", first).where(F.col("_n") <= 2 * limit).select("term", "ord", F.lit(0).alias("p"))
+    in_body = in_bodies(notes, terms).withColumn("_n", first).where(F.col("_n") <= 2 * limit).select("term", "ord", F.lit(0).alias("p"))
     both = in_path.select("term", "ord", F.lit(1).alias("p")).unionByName(in_body).join(asked, "term")
     hits = both.groupBy("query", "ord").agg(F.sum("p").alias("matches"))
     hits = hits.select("query", "ord", F.when(F.col("matches") > 0, 0).otherwise(1).alias("tier"), "matches")
@@ -113,7 +151,7 @@ def grep(notes: DataFrame, queries: DataFrame, limit: int = 200, slice_terms: in
 def search(notes: DataFrame, edges: DataFrame, queries: DataFrame, fields: dict[str, str], results: int = 30, candidates: int = 200, boosts: bool = True) -> DataFrame:
     """(query, note, score, rank, matches): recall by grep, BM25+ over a query's candidates, boosts by folder and links, min-max, diverse top.
 
-    notes (ord, path, folder, tags, body and the columns of ``fields``), edges (src, dst), queries (query, text). Results are clamped to 1 to 100,
+    notes (ord, path, folder, tags, body and the columns of ``fields``), edges (src, dst), queries (query, text; only its first 1,000 characters are searched). Results are clamped to 1 to 100,
     candidates to 10 to 1000; three times the results go into the boosts. A query whose candidates match no term has no results; blank queries have
     none either.
     """
