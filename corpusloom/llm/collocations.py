@@ -216,13 +216,11 @@ def _scan(told, pairs: bool):
     """Counts, in each block, the n-grams that ``told`` (a broadcast of filters) names, or all pairs."""
 
     def count(batches):
-        import pyarrow as pa
-
         by = told.value
         for b in batches:
             for lang, words, ids in zip(*(b.column(c) for c in ("lang", "words", "ids")), strict=True):
-                lang, own, ids = lang.as_py(), words.as_py(), np.frombuffer(ids.as_py(), "<i4").astype(np.int64) - 1
-                starts = _starts(lang, own)
+                lang, ids = lang.as_py(), np.frombuffer(ids.as_py(), "<i4").astype(np.int64) - 1
+                starts = _starts(lang, words.as_py())
                 of = starts - np.uint64(_hash(lang.encode()) * _STEP & _ALL)
                 ok, h = ids >= 0, None
                 for n in (1, 2) if pairs else (1, 2, 3, 4):
@@ -242,22 +240,27 @@ def _scan(told, pairs: bool):
                             shifted = np.searchsorted(before_at, at + 1)  # where the last n-1 words begin
                             named |= passes(by.get("left"), before_h)[shifted]
                         if named.any():
-                            yield from _counted(pa, lang, own, ids, at[named], n)
+                            yield from _counted(words.values, lang, ids, at[named], n)
                     h = here
 
     return count
 
 
-def _counted(pa, lang: str, own: list[str], ids: np.ndarray, at: np.ndarray, n: int):
+def _counted(words, lang: str, ids: np.ndarray, at: np.ndarray, n: int):
+    """Record batches of the distinct n-grams at the places ``at``, written with their language, and how often each is there."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
     key = ids[at]
     for k in range(1, n):
         if k > 1:
             key = np.unique(key, return_inverse=True)[1]
-        key = key * len(own) + ids[at + k]
+        key = key * len(words) + ids[at + k]
     _, first, amount = np.unique(key, return_index=True, return_counts=True)
     for i in range(0, len(first), _ROWS):
-        grams = np.stack([ids[at[first[i : i + _ROWS]] + k] for k in range(n)], axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array([f"{lang}\t" + " ".join([own[x] for x in g]) for g in grams.tolist()]), pa.array(amount[i : i + _ROWS].astype(np.int64))], ["gram", "f"])
+        here = at[first[i : i + _ROWS]]
+        text = pc.binary_join_element_wise(*(words.take(pa.array(ids[here + k])) for k in range(n)), " ")
+        yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(lang, text, "\t"), pa.array(amount[i : i + _ROWS].astype(np.int64))], ["gram", "f"])
 
 
 def scan(coded: DataFrame, often: DataFrame, marks: DataFrame | None, least: int, bits: int) -> DataFrame | None:
@@ -333,7 +336,7 @@ def _joined(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
-def collocations(docs: DataFrame, top: int = 2000, least: int = 30, reach: float = 1.25, block_words: int = 1 << 19, filter_bits: int = 1 << 25) -> DataFrame:
+def collocations(docs: DataFrame, top: int = 2000, least: int = 30, reach: float = 1.25, block_words: int = 1 << 18, filter_bits: int = 1 << 25) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's best phrases. ``reach``: the first floor is the score of the pair at ``reach * top``; it changes the work only."""
     with scratch(docs.sparkSession, "settled", "sizes"):
         found, sizes = _search(docs, top, least, reach, block_words, filter_bits)
