@@ -8,13 +8,12 @@ seeded hash, taken whole as often as the flow says, and once more up to the rema
 Sizes are runs of characters other than space, tab, line feed, vertical tab, form feed and carriage return; null texts have
 size 0. Documents of no source are never taken. Null sources count as one source of their own, the last. A source
 without words has target 0. Rows that repeat a doc_id are documents of their own, ordered among themselves by their text's
-hash. Empty tables give empty results. Columns beyond doc_id, text and the sources are ignored.
+hash. Texts of any length are counted whole, one at a time in a task. Empty tables give empty results. Columns beyond doc_id, text and the sources are ignored.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,51 +44,89 @@ def targets(sizes: dict[str, int], weights: dict[str, float], total: int, copies
     return out
 
 
+class _Routes:
+    """The arcs of a flow from sets to the sources they name, as arrays; the paths run between sources, over all sets at once."""
+
+    def __init__(self, supply: list[tuple[int, list[int]]], quotas: list[int]):
+        degrees = np.array([len(x) for _, x in supply], np.int64)
+        self.first = np.concatenate([[0], np.cumsum(degrees)])  # of each set's arcs
+        self.source = np.array([s for _, x in supply for s in x], np.int64)
+        self.set = np.repeat(np.arange(len(supply)), degrees)
+        self.flow = np.zeros(len(self.source), np.int64)
+        self.rest = np.zeros(len(supply), np.int64)  # words of each set that have no way yet
+        self.room = np.array(quotas, np.int64)
+        by_source = np.argsort(self.source, kind="stable")
+        self.of = np.split(by_source, np.searchsorted(self.source[by_source], np.arange(1, len(quotas)))) if quotas else []
+
+    def _arcs(self, sets: np.ndarray) -> np.ndarray:
+        n = self.first[sets + 1] - self.first[sets]
+        return np.repeat(self.first[sets] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+
+    def path(self) -> list[int] | None:
+        """The shortest list of sources that leads from words without a way to a source with room: each can hand words on to the next."""
+        waiting = np.flatnonzero(self.rest)
+        before = {int(s): None for s in np.unique(self.source[self._arcs(waiting)])}
+        now = list(before)
+        while now:
+            for s in now:
+                if self.room[s]:
+                    out = []
+                    while s is not None:
+                        out.append(s)
+                        s = before[s]
+                    return out[::-1]
+            later = []
+            for s in now:
+                holding = self.set[self.of[s][self.flow[self.of[s]] > 0]]
+                for t in np.unique(self.source[self._arcs(holding)]).tolist():
+                    if t not in before:
+                        before[t] = s
+                        later.append(t)
+            now = later
+        return None
+
+    def push(self, path: list[int]) -> None:
+        """As many words as the path takes, from all sets that have some for it."""
+        start = self.of[path[0]]
+        moves = [(start, self.rest[self.set[start]])]  # arcs that gain and how much they may
+        for s, t in zip(path, path[1:], strict=False):
+            gains = self.of[t]
+            loses = self.of[s]
+            has = np.zeros(len(self.rest), np.int64)
+            has[self.set[loses]] = self.flow[loses]
+            moves.append((gains, has[self.set[gains]]))
+        amount = min(int(self.room[path[-1]]), *(int(m.sum()) for _, m in moves))
+        for k, (gains, most) in enumerate(moves):
+            upto = np.minimum(np.cumsum(most), amount)
+            given = np.diff(upto, prepend=0)
+            self.flow[gains] += given
+            taken = np.zeros(len(self.rest), np.int64)
+            taken[self.set[gains]] = given
+            if k:
+                loses = self.of[path[k - 1]]
+                self.flow[loses] -= taken[self.set[loses]]
+            else:
+                self.rest -= taken
+        self.room[path[-1]] -= amount
+
+
 def min_cost_flow(supply: list[tuple[int, list[int]]], quotas: list[int], copies: int) -> list[dict[int, int]]:
-    """For each (words, sources) of ``supply`` the words that go to each source; the k-th repetition costs k a word.
+    """For each (words, distinct sources) of ``supply`` the words that go to each source; the k-th repetition costs k a word.
 
-    Successive cheapest paths; a path saturates a set's tier, a quota or a reversed arc.
+    Costs lie on the repetitions alone, and the amounts that sets can send form a polymatroid, so the cheapest flow is found greedily: a largest flow
+    with every word once, then more with every word twice, and so on; a flow is only ever extended. Each extension takes all sets along a shortest path of sources at once.
     """
-    n, m = len(supply), len(quotas)
-    start, end = n + m, n + m + 1
-    to, cap, cost, arcs = [], [], [], defaultdict(list)
-
-    def arc(a: int, b: int, c: int, w: int) -> int:
-        for x, y, k, v in ((a, b, c, w), (b, a, 0, -w)):
-            arcs[x].append(len(to))
-            to.append(y)
-            cap.append(k)
-            cost.append(v)
-        return len(to) - 2
-
-    routes = []
-    for i, (words, sources) in enumerate(supply):
-        for k in range(copies):
-            arc(start, i, words, k)
-        routes.append({s: arc(i, n + s, words * copies, 0) for s in sources})
-    for s, q in enumerate(quotas):
-        arc(n + s, end, q, 0)
-    while True:
-        dist, via, queue, queued = {start: 0}, {}, deque([start]), {start}
-        while queue:
-            a = queue.popleft()
-            queued.discard(a)
-            for e in arcs[a]:
-                if cap[e] and dist[a] + cost[e] < dist.get(to[e], 1 << 60):
-                    dist[to[e]], via[to[e]] = dist[a] + cost[e], e
-                    if to[e] not in queued:
-                        queue.append(to[e])
-                        queued.add(to[e])
-        if end not in dist:
-            return [{s: cap[e ^ 1] for s, e in r.items() if cap[e ^ 1]} for r in routes]
-        path, at = [], end
-        while at != start:
-            path.append(via[at])
-            at = to[via[at] ^ 1]
-        least = min(cap[e] for e in path)
-        for e in path:
-            cap[e] -= least
-            cap[e ^ 1] += least
+    routes = _Routes(supply, quotas)
+    words = np.array([w if x else 0 for w, x in supply], np.int64)
+    for _ in range(copies):
+        routes.rest += words
+        while (path := routes.path()) is not None:
+            routes.push(path)
+    out: list[dict[int, int]] = [{} for _ in supply]
+    used = np.flatnonzero(routes.flow)
+    for i, s, f in zip(routes.set[used].tolist(), routes.source[used].tolist(), routes.flow[used].tolist(), strict=True):
+        out[i][s] = f
+    return out
 
 
 def sums_before(rows: DataFrame, keys: list[str], at: str, value: str, fan: int = 4096) -> DataFrame:
@@ -105,7 +142,7 @@ def sums_before(rows: DataFrame, keys: list[str], at: str, value: str, fan: int
     return rows.withColumn("_run", run).withColumn("_within", within).join(runs, [*keys, "_run"]).withColumn("before", F.col("_runs") + F.col("_within")).drop("_run", "_within", "_runs")
 
 
-def mix(docs: DataFrame, sources: Column | None = None, copies: int = 3, cycle: tuple[int, ...] = (1, 2, 3), weights: dict[str, float] | None = None, seed: int = 17, bucket_docs: int = 512, most_sets: int = 200_000) -> DataFrame:
+def mix(docs: DataFrame, sources: Column | None = None, copies: int = 3, cycle: tuple[int, ...] = (1, 2, 3), weights: dict[str, float] | None = None, seed: int = 17, bucket_docs: int = 512, most_sets: int = 1_000_000) -> DataFrame:
     """One row per document: doc_id, text_key, size, source_size, target, taken, taken_by.
 
     ``sources`` is an array of the source names of a document (default: its column source). Without ``weights`` (by name) the
