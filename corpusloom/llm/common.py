@@ -84,8 +84,8 @@ def open_fs(uri: str):
 
 
 def crc_fold(column: str, folds: int) -> Column:
-    """crc32 of a value's text, modulo ``folds``; the same in SQL and in Python."""
-    return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(folds)
+    """crc32 of a value's text, modulo ``folds``; the same in SQL and in Python. Null is in fold 0."""
+    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(folds), F.lit(0).cast("long"))
 
 
 def seeded(seed: int, column: str) -> Column:

@@ -8,7 +8,8 @@ to their component, by blocks, where the pairs whose codes differ in few enough
 Tasks return counts of links and spanning edges, not pairs.
 
 Tables and the bound on differing bits come from pairs drawn at the threshold and coded by the final codes, so that the share
-of them that would be found is measured, not assumed. Vectors of each length are a group of their own with its own codes.
+of them that would be found is measured, not assumed. Where no plan finds enough of them, labels are compared whole, in pairs of blocks of 1,024 vectors,
+so that a vector of a label of n goes to n / 1024 tasks. Vectors of each length are a group of their own with its own codes; their lengths are few (each is planned by the driver).
 
 Identical vectors of one label are one representative with a weight. Vectors that are null, empty, zero, or hold null or
 non-finite components, and vectors without a label, link with nothing and are their own component. Vectors of doubles are
@@ -76,12 +77,12 @@ def pairs_at(sample: np.ndarray, threshold: float, seed: int, n: int = 10_000) -
     return out
 
 
-def plan_tables(sample: np.ndarray, threshold: float, group_rows: int, recall: float, seed: int, block: int = 256, most_tables: int = 256, most_whole: int = 20_000) -> tuple[Codes, int, int, int]:
+def plan_tables(sample: np.ndarray, threshold: float, group_rows: int, recall: float, seed: int, block: int = 256, most_tables: int = 256) -> tuple[Codes, int, int, int]:
     """(codes, bits of a chunk, tables, bits that a candidate may differ in), such that the measured share of pairs at the threshold that are found is ``recall`` at least.
 
     Chunks are as wide as the largest label asks for, and narrower where that would take more than ``most_tables`` tables; codes
     hold 128 bits at least, for strangers to stay apart. The bound may lose a tenth of what may be lost, the tables the rest. Small labels
-    are compared whole (no bits, one table), and so are those of up to ``most_whole`` vectors where no width does; larger ones are an error.
+    are compared whole (no bits, one table), and so are all where no width does: that is exact at any size, and quadratic in the largest label.
     """
     pairs = pairs_at(sample, threshold, seed) if group_rows > 64 else []
     codes = fit_itq(sample, 1, seed=seed)
@@ -104,8 +105,6 @@ def plan_tables(sample: np.ndarray, threshold: float, group_rows: int, recall: f
             if tables >= most_tables:
                 break
             tables = min(most_tables, tables + max(1, tables // 8))
-    if pairs and group_rows > most_whole:
-        raise ValueError(f"no {most_tables} tables find {recall:.2%} of the pairs at cosine {threshold} in labels of {group_rows} vectors; take a higher threshold or a lower recall")
     return Codes(codes.mean, codes.rotations[:1]), 0, 1, step
 
 
@@ -176,20 +175,23 @@ def length_links(classes: DataFrame, dim: int, largest: int, n: int, threshold:
             label = b.column("label").take(pa.array(np.repeat(np.arange(len(code)), tables)))
             yield pa.RecordBatch.from_arrays([label, pa.array(keys), pa.array(uid), flat], ["label", "key", "uid", "code"])
 
-    index = classes.select("label", "uid", "v").mapInArrow(tabled, f"label {classes.schema['label'].dataType.simpleString()}, key long, uid long, code binary")
-    index = saved(index.select(F.xxhash64("label", "key").alias("bucket"), "uid", "code"), "index")
-    shared = index.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-
     def within(codes):
         words = np.ascontiguousarray(np.pad(codes, ((0, 0), (0, -codes.shape[1] % 8)))).view(np.uint64)
         return lambda i, j: np.bitwise_count(words[i] ^ words[j]).sum(axis=-1) <= most
 
-    found = components(candidate_edges(index.join(shared, "bucket"), within))
+    if width:
+        index = classes.select("label", "uid", "v").mapInArrow(tabled, f"label {classes.schema['label'].dataType.simpleString()}, key long, uid long, code binary")
+        index = saved(index.select(F.xxhash64("label", "key").alias("bucket"), "uid", "code"), "index")
+        shared = index.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+        found = components(candidate_edges(index.join(shared, "bucket"), within))
+        discard(index)
+    else:  # labels are compared whole
+        found = saved(classes.select("uid", F.xxhash64("label").alias("component")), "whole")
 
     def cosines(codes, bodies):
         v = unit(np.frombuffer(b"".join(bodies), kind).reshape(len(bodies), -1))
-        near = within(codes)(np.arange(len(v))[:, None], np.arange(len(v))[None, :])
-        return near & (v @ v.T >= threshold)
+        near = v @ v.T >= threshold
+        return near & within(codes)(np.arange(len(v))[:, None], np.arange(len(v))[None, :]) if width else near
 
     def packed(batches):
         import pyarrow as pa
@@ -203,6 +205,6 @@ def length_links(classes: DataFrame, dim: int, largest: int, n: int, threshold:
     # Components never cross labels: a bucket holds one label. A colliding bucket hash is undone here.
     sizes = found.groupBy("component").agg(F.count("*").alias("n"))
     members = saved(found.join(sizes, "component").join(classes, "uid").select(F.xxhash64("component", "label").alias("component"), "n", "uid", "weight", "v"), "candidates")
-    counts, edges, links = exact_links(members.mapInArrow(packed, "component long, n long, uid long, weight long, code binary, body binary"), cosines)
-    discard(index, found, members)
+    counts, edges, links = exact_links(members.mapInArrow(packed, "component long, n long, uid long, weight long, code binary, body binary"), cosines, block=128 if width else 1024)
+    discard(found, members)
     return counts, edges, links

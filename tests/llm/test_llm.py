@@ -220,8 +220,20 @@ def test_table_plan_meets_its_recall_or_fails():
         met = (d[:, : tables * width].reshape(len(d), tables, width).sum(axis=2) == 0).any(axis=1)
         assert (met & (d.sum(axis=1) <= most)).mean() >= 0.997
     assert itq.plan_tables(x, 0.0, 600, 0.999, 11, most_tables=1)[1:3] == (0, 1)
-    with pytest.raises(ValueError):
-        itq.plan_tables(x, 0.0, 1_000_000, 0.999, 11, most_tables=1)
+    assert itq.plan_tables(x, 0.0, 1_000_000, 0.999, 11, most_tables=1)[1:3] == (0, 1)
+
+
+def test_labels_without_a_plan_are_compared_whole(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    x = r.standard_normal((2600, 16)).astype(np.float32)
+    x[2000:] = x[:600] + 0.1 * r.standard_normal((600, 16)).astype(np.float32)
+    rows = [(i, v.tolist(), "hot" if i % 13 else "other") for i, v in enumerate(x)]
+    monkeypatch.setattr(itq, "plan_tables", lambda sample, *a: (itq.fit_itq(sample, 1), 0, 1, 16))
+    got = {g["vec_id"]: g["n_links"] for g in itq.near_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string"), 0.9).collect()}
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    same = np.array([bool(i % 13) for i in range(len(x))])
+    links = (unit @ unit.T >= 0.9) & (same[:, None] == same[None, :])
+    assert got == {i: int(n) - 1 for i, n in enumerate(links.sum(axis=1))} and sum(got.values()) > 1000
 
 
 def test_components_of_a_long_chain_and_a_star(spark):
@@ -327,6 +339,74 @@ def test_flow_prefers_fresh_text():
     assert sum(mixing.min_cost_flow([(10, [0])], [25], 3)[0].values()) == 25
 
 
+def plain_flow(supply: list[tuple[int, list[int]]], quotas: list[int], copies: int) -> list[dict[int, int]]:
+    """One cheapest path after another."""
+    n, m = len(supply), len(quotas)
+    start, end = n + m, n + m + 1
+    to, cap, cost, arcs = [], [], [], collections.defaultdict(list)
+
+    def arc(a: int, b: int, c: int, w: int) -> int:
+        for x, y, k, v in ((a, b, c, w), (b, a, 0, -w)):
+            arcs[x].append(len(to))
+            to.append(y)
+            cap.append(k)
+            cost.append(v)
+        return len(to) - 2
+
+    routes = []
+    for i, (words, sources) in enumerate(supply):
+        for k in range(copies):
+            arc(start, i, words, k)
+        routes.append({s: arc(i, n + s, words * copies, 0) for s in sources})
+    for s, q in enumerate(quotas):
+        arc(n + s, end, q, 0)
+    while True:
+        dist, via, queue, queued = {start: 0}, {}, collections.deque([start]), {start}
+        while queue:
+            a = queue.popleft()
+            queued.discard(a)
+            for e in arcs[a]:
+                if cap[e] and dist[a] + cost[e] < dist.get(to[e], 1 << 60):
+                    dist[to[e]], via[to[e]] = dist[a] + cost[e], e
+                    if to[e] not in queued:
+                        queue.append(to[e])
+                        queued.add(to[e])
+        if end not in dist:
+            return [{s: cap[e ^ 1] for s, e in r.items() if cap[e ^ 1]} for r in routes]
+        path, at = [], end
+        while at != start:
+            path.append(via[at])
+            at = to[via[at] ^ 1]
+        least = min(cap[e] for e in path)
+        for e in path:
+            cap[e] -= least
+            cap[e ^ 1] += least
+
+
+def test_flow_is_as_large_and_cheap_as_path_by_path():
+    r = random.Random(12)
+    for _ in range(60):
+        m, n = r.randint(1, 6), r.randint(1, 12)
+        supply = [(r.randint(0, 30), sorted(r.sample(range(m), r.randint(0, m)))) for _ in range(n)]
+        quotas = [r.randint(0, 90) for _ in range(m)]
+        totals = []
+        for flow in (mixing.min_cost_flow(supply, quotas, 3), plain_flow(supply, quotas, 3)):
+            used = [sum(f.values()) for f in flow]
+            assert all(u <= 3 * w and set(f) <= set(x) for u, f, (w, x) in zip(used, flow, supply, strict=True))
+            assert all(sum(f.get(s, 0) for f in flow) <= q for s, q in enumerate(quotas))
+            totals.append((sum(used), sum(max(0, u - k * w) for u, (w, _) in zip(used, supply, strict=True) for k in (1, 2))))
+        assert totals[0] == totals[1]
+
+
+def test_flow_of_many_sets():
+    r = random.Random(1)
+    supply = [(r.randint(1, 10**6), sorted(r.sample(range(20), r.randint(1, 8)))) for _ in range(50_000)]
+    total = sum(w for w, _ in supply)
+    quotas = [total * 2 * (s + 1) // (20 * 21) for s in range(20)]
+    flow = mixing.min_cost_flow(supply, quotas, 3)
+    assert sum(sum(f.values()) for f in flow) == sum(quotas)
+
+
 # --- classifiers
 
 
