@@ -1,12 +1,12 @@
-"""Vector operators: cosine, a query set against all rows in slices, threshold classification."""
+"""Vector operators: cosine, exact nearest rows by pivots, threshold classification."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.tables import saved
+
 
 def cosine(a: Column, b: Column) -> Column:
     """0 for lengths that differ, empty or zero vectors."""
@@ -15,25 +15,169 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (F.size(a) == 0) | (norm == 0), 0.0).otherwise(F.try_divide(dot(a, b), norm))
 
 
-def top_similar(queries: DataFrame, rows: DataFrame, k: int, least: float = -1.0, slice_bytes: int = 32 << 20) -> DataFrame:
+def top_similar(queries: DataFrame, rows: DataFrame, k: int, least: float = -1.0, pivots: int = 64, block: int = 16_384, seed: int = 5) -> DataFrame:
     """(query, row, similarity, rank): the ``k`` rows most similar to each query vector, itself left out; the smaller id first on ties.
 
-    Both sides are (id long, vector array). The stated query set meets all rows in slices of about ``slice_bytes``, each sent to the tasks, which
-    stream their rows past it and return the best ``k`` of each query: rows aren't shuffled. Vectors that are null, empty, zero, or hold
-    null or non-finite components have similarity 0 with everything, as have vectors of different lengths. Rows with a null id are left out.
+    Both sides are (id long, vector array); similarities are rounded to six places. Rows are dealt to the cells of ``pivots`` of them (for each length of vectors, by a
+    seeded hash), and a cell knows its radius. A first pass meets each query with its nearest cell, which bounds the angle to its k-th row; a second one
+    with all cells that the triangle inequality on angles doesn't rule out, so that the result is exact. Cells are met in blocks of ``block`` rows
+    and queries, whatever the size of a cell; the driver sees pivots and radii only. Vectors that are null, empty, zero, or hold null or non-finite components
+    have similarity 0 with everything, as have vectors of different lengths. Rows with a null id are left out.
     """
     spark = queries.sparkSession
-    asked = queries.where("id is not null").select("id", F.col("vector").cast("array<double>").alias("vector"))
-    size = asked.agg(F.sum(8 * F.greatest(F.size("vector"), F.lit(0)) + 16)).first()[0] or 0
-    slices = max(1, math.ceil(size / slice_bytes))
-    stored = rows.where("id is not null").select("id", F.col("vector").cast("array<double>").alias("vector"))
-    out = None
-    for s in range(slices):
-        part = asked.where(F.pmod(F.xxhash64("id"), F.lit(slices)) == s).orderBy("id").toArrow()
-        found = stored.mapInArrow(_best(spark.sparkContext.broadcast(part), k), "query long, row long, similarity double")
-        out = found if out is None else out.unionByName(found)
-    w = Window.partitionBy("query").orderBy(F.desc("similarity"), "row")
-    return out.where(F.col("similarity") >= least).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    doubles = lambda t: t.where("id is not null").select("id", F.col("vector").cast("array<double>").alias("vector"))
+    fine = F.exists("vector", lambda c: c != 0) & F.forall("vector", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
+    classed = lambda t: doubles(t).withColumn("len", F.when(F.coalesce(fine, F.lit(False)), F.size("vector")).otherwise(-1))
+    stored, asked = saved(classed(rows), "rows"), saved(classed(queries), "queries")
+    order = Window.partitionBy("len").orderBy(F.xxhash64("id", F.lit(seed)), "id")
+    chosen = stored.where("len > 0").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= pivots).orderBy("len", "_n").select("len", "vector").toPandas()
+    cells = Cells.of(chosen)
+    shared = spark.sparkContext.broadcast(cells)
+    dealt = saved(stored.where("len > 0").select("id", "vector").mapInArrow(_nearest(shared), "cell int, angle double, id long, vector array<double>"), "cells")
+    sizes = dealt.groupBy("cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect()  # a row for each pivot
+    told = spark.sparkContext.broadcast({r["cell"]: (r["radius"], -(-r["n"] // block)) for r in sizes})
+    parts = spark.createDataFrame([(r["cell"], -(-r["n"] // block)) for r in sizes], "cell int, parts int")
+    held = dealt.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")).drop("parts", "angle")
+
+    def met(reaching: DataFrame) -> DataFrame:
+        """Queries (query, vector, cell, part) against the rows of these parts of cells."""
+        reaching = saved(reaching, "reaching")
+        many = reaching.groupBy("cell", "part").agg(F.ceil(F.count("*") / block).cast("int").alias("turns"))
+        turned = reaching.join(many, ["cell", "part"]).withColumn("turn", F.pmod(F.xxhash64("query"), "turns").cast("int"))
+        there = held.join(many, ["cell", "part"]).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
+        keys = ["cell", "part", "turn"]
+        out = turned.select(*keys, "query", "vector").groupBy(*keys).cogroup(there.select(*keys, "id", "vector").groupBy(*keys))
+        return out.applyInArrow(_best(k), "query long, row long, similarity double")
+
+    best = Window.partitionBy("query").orderBy(F.desc("similarity"), "row")
+    first = saved(met(asked.where("len > 0").select("id", "vector").mapInArrow(_reach(shared, told, None), "query long, vector array<double>, cell int, part int")), "first")
+    bound = first.withColumn("_n", F.row_number().over(best)).where(F.col("_n") == k).select(F.col("query").alias("id"), F.col("similarity").alias("bound"))
+    bounded = asked.where("len > 0").join(bound, "id", "left").select("id", "vector", F.greatest(F.coalesce("bound", F.lit(-1.0)), F.lit(float(least))).alias("bound"))
+    near = met(bounded.mapInArrow(_reach(shared, told, 1e-6), "query long, vector array<double>, cell int, part int"))
+    # Rows without a direction, or of another length, have similarity 0: the smallest k + 1 ids of them can matter to a query.
+    low = stored.withColumn("_n", F.row_number().over(Window.partitionBy("len").orderBy("id"))).where(F.col("_n") <= k + 1).select(F.col("len").alias("other"), F.col("id").alias("row"))
+    kinds = asked.select("len").distinct()
+    far = kinds.join(low, (F.col("len") != F.col("other")) | (F.col("len") < 0)).withColumn("_n", F.row_number().over(Window.partitionBy("len").orderBy("row"))).where(F.col("_n") <= k + 1)
+    zero = asked.select(F.col("id").alias("query"), "len").join(far.select("len", "row"), "len").where("query <> row").select("query", "row", F.lit(0.0).alias("similarity"))
+    found = near.unionByName(zero).where(F.col("similarity") >= least)
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+class Cells:
+    """Pivots by length of vectors, as unit vectors; cells are numbered over all of them."""
+
+    def __init__(self, pivots: dict):
+        self.pivots = pivots
+        self.first, n = {}, 0
+        for d, p in pivots.items():
+            self.first[d], n = n, n + len(p)
+
+    @classmethod
+    def of(cls, chosen) -> Cells:
+        import numpy as np
+
+        out = {}
+        for d, group in chosen.groupby("len"):
+            v = np.array(group["vector"].tolist(), float)
+            v /= np.abs(v).max(axis=1, keepdims=True)
+            out[int(d)] = v / np.linalg.norm(v, axis=1, keepdims=True)
+        return cls(out)
+
+
+def _angles(x, y):
+    import numpy as np
+
+    return np.arccos(np.clip(x @ y.T, -1, 1))
+
+
+def _nearest(shared):
+    """Rows with the cell of their nearest pivot and the angle to it."""
+
+    def nearest(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for whole in batches:
+            for first in range(0, whole.num_rows, 2048):
+                b = whole.slice(first, 2048)
+                for d, (places, v) in unit_vectors(b.column("vector")).items():
+                    a = _angles(v, shared.value.pivots[d])
+                    own = a.argmin(axis=1)
+                    at = pa.array(places)
+                    yield pa.RecordBatch.from_arrays([pa.array((own + shared.value.first[d]).astype(np.int32)), pa.array(a[np.arange(len(own)), own]), b.column("id").take(at), b.column("vector").take(at)], ["cell", "angle", "id", "vector"])
+
+    return nearest
+
+
+def reached(angles, radii, bound, rounding: float):
+    """Which cells may hold a row as similar as ``bound``: the angle to one is at least the angle to its pivot less its radius."""
+    import numpy as np
+
+    most = np.arccos(np.clip(bound - rounding, -1, 1))
+    return angles - radii <= most[:, None] + 1e-7  # single steps of arccos near 0 and pi are up to 1.5e-8
+
+
+def _reach(shared, told, rounding: float | None):
+    """The parts of cells that each query meets: those of its nearest cell without ``rounding``, else those that its bound doesn't rule out."""
+
+    def reach(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for whole in batches:
+            for first in range(0, whole.num_rows, 512):
+                b = whole.slice(first, 512)
+                for d, (places, v) in unit_vectors(b.column("vector")).items():
+                    if d not in shared.value.pivots:
+                        continue
+                    start = shared.value.first[d]
+                    a = _angles(v, shared.value.pivots[d])
+                    n = a.shape[1]
+                    radii = np.array([told.value.get(start + c, (-np.inf, 0))[0] for c in range(n)])
+                    parts = np.array([told.value.get(start + c, (0, 0))[1] for c in range(n)])
+                    if rounding is None:
+                        hit = np.zeros(a.shape, bool)
+                        hit[np.arange(len(a)), np.where(parts > 0, a, np.inf).argmin(axis=1)] = True
+                    else:
+                        hit = reached(a, radii, b.column("bound").to_numpy()[places], rounding)
+                    q, c = np.nonzero(hit & (parts > 0))
+                    times = parts[c]
+                    q, c = np.repeat(q, times), np.repeat(c, times)
+                    part = np.arange(len(q)) - np.repeat(np.cumsum(times) - times, times)
+                    for i in range(0, len(q), 8192):
+                        at = pa.array(places[q[i : i + 8192]])
+                        yield pa.RecordBatch.from_arrays([b.column("id").take(at), b.column("vector").take(at), pa.array((c[i : i + 8192] + start).astype(np.int32)), pa.array(part[i : i + 8192].astype(np.int32))], ["query", "vector", "cell", "part"])
+
+    return reach
+
+
+def _best(k: int):
+    """The best ``k`` rows of a block for each of its queries."""
+
+    def best(asked, rows):
+        import numpy as np
+        import pyarrow as pa
+
+        out = {"query": [np.zeros(0, np.int64)], "row": [np.zeros(0, np.int64)], "similarity": [np.zeros(0)]}
+        if asked.num_rows and rows.num_rows:
+            ids, mine = asked.column("query").to_numpy(), rows.column("id").to_numpy()
+            order = np.argsort(mine, kind="stable")  # of equal ones the smaller id comes first
+            mine = mine[order]
+            ((_, v),) = unit_vectors(rows.column("vector")).values()
+            ((_, u),) = unit_vectors(asked.column("vector")).values()
+            v = v[order]
+            for at in range(0, len(ids), 512):
+                s = np.round(u[at : at + 512] @ v.T, 6)
+                s[ids[at : at + 512, None] == mine[None, :]] = -np.inf
+                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                value = np.take_along_axis(s, top, 1)
+                some = np.isfinite(value)
+                out["query"].append(np.repeat(ids[at : at + 512], some.sum(axis=1)))
+                out["row"].append(mine[top][some])
+                out["similarity"].append(value[some])
+        return pa.table({c: np.concatenate(x) for c, x in out.items()})
+
+    return best
 
 
 def unit_vectors(column) -> dict:
@@ -54,39 +198,6 @@ def unit_vectors(column) -> dict:
     return out
 
 
-def _best(shared, k: int):
-    def best(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        ids = shared.value.column("id").to_numpy()
-        asked = unit_vectors(shared.value.column("vector").combine_chunks())
-        top = np.full((len(ids), k), -np.inf)
-        who = np.full((len(ids), k), np.iinfo(np.int64).max)
-        for batch in batches:
-            for first in range(0, batch.num_rows, 512):
-                b = batch.slice(first, 512)
-                mine, held = b.column("id").to_numpy(), unit_vectors(b.column("vector"))
-                for at in range(0, len(ids), 2048):
-                    s = np.zeros((len(ids[at : at + 2048]), len(mine)))
-                    for d in asked.keys() & held.keys():
-                        places, v = asked[d]
-                        some = (places >= at) & (places < at + 2048)
-                        s[np.ix_(places[some] - at, held[d][0])] = v[some] @ held[d][1].T
-                    s = np.round(s, 6)
-                    s[ids[at : at + 2048, None] == mine[None, :]] = -np.inf
-                    both = np.concatenate([top[at : at + 2048], s], axis=1)
-                    names = np.concatenate([who[at : at + 2048], np.broadcast_to(mine, s.shape)], axis=1)
-                    order = np.lexsort((names, -both), axis=1)[:, :k]
-                    top[at : at + 2048], who[at : at + 2048] = np.take_along_axis(both, order, 1), np.take_along_axis(names, order, 1)
-        for at in range(0, len(ids), 1024):
-            some = np.isfinite(top[at : at + 1024])
-            if some.any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at : at + 1024], k)[some.ravel()]), pa.array(who[at : at + 1024][some]), pa.array(top[at : at + 1024][some])], ["query", "row", "similarity"])
-
-    return best
-
-
 def category(similarity: Column) -> Column:
     return F.when(similarity > 0.7, 3).when(similarity > 0.55, 2).otherwise(1)
 

@@ -117,14 +117,12 @@ def memory_dedup(spark, sf_dir):
     return new.select("id").join(best, "id", "left").select("id", F.when(F.col("target").isNull(), "insert").otherwise("update").alias("action"), "target", "similarity")
 
 
-@query(f"""WITH {_UNIT_SQL} SELECT vec_id AS id, s AS similarity, row_number() OVER (ORDER BY s DESC, vec_id) AS rank FROM (
-SELECT vec_id, round(list_cosine_similarity(e, (SELECT e FROM v WHERE vec_id = (SELECT min(vec_id) FROM v))), 6) AS s FROM v) WHERE s >= 0.1 QUALIFY rank <= 10""")
+@query(f"""WITH {_UNIT_SQL}, k AS (SELECT q.vec_id AS query, r.vec_id AS id, round(list_cosine_similarity(q.e, r.e), 6) AS similarity FROM v q, v r WHERE q.vec_id % 20 = 0 AND q.vec_id <> r.vec_id)
+SELECT query, id, similarity, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id) AS rank FROM k WHERE similarity >= 0.1 QUALIFY rank <= 10""")
 def memory_retrieve(spark, sf_dir):
-    v = V.table(spark, sf_dir, "embeddings")
-    q = v.orderBy("vec_id").limit(1).select(F.col("embedding").alias("q"))
-    s = F.round(vectors.cosine(F.col("embedding"), F.col("q")), 6)
-    top = v.crossJoin(F.broadcast(q)).select(F.col("vec_id").alias("id"), s.alias("similarity")).where("similarity >= 0.1").orderBy(F.desc("similarity"), "id").limit(10)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("similarity"), "id")))  # ten rows
+    """The ten memories most similar to each asking one, at 0.1 or more."""
+    v = V.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return vectors.top_similar(v.where("id % 20 = 0"), v, 10, least=0.1).withColumnRenamed("row", "id").select("query", "id", "similarity", "rank")
 
 
 @query("""WITH m AS (SELECT c_custkey AS id, CAST(c_nationkey AS DOUBLE) AS a, c_acctbal AS l, CAST((c_custkey * 7919) % 1000 AS DOUBLE) AS c FROM customer),

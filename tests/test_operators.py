@@ -119,12 +119,12 @@ def test_paragraphs_break_on_gaps_and_sentence_ends(spark):
     assert [r["text"] for r in corpus.paragraphs(s, ["v"]).orderBy("start").collect()] == ["a b.", "c", "d"]
 
 
-def test_similar_vectors_in_blocks_match_cosine(spark):
+def test_similar_vectors_in_blocks_and_cells_match_cosine(spark):
     import numpy as np
 
     v = np.random.default_rng(1).standard_normal((40, 8))
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vector array<double>")
-    got = vectors.top_similar(df.where("id < 5"), df, 3, slice_bytes=160)
+    got = vectors.top_similar(df.where("id < 5"), df, 3, pivots=4, block=8)
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     s = u @ u.T
     np.fill_diagonal(s, -2)
@@ -142,6 +142,32 @@ def test_similar_vectors_without_direction_and_of_other_lengths(spark):
     assert vectors.top_similar(df.limit(0), df, 2).count() == 0 and vectors.top_similar(df, df.limit(0), 2).count() == 0
 
 
+def test_pivots_leave_out_cells_of_clustered_vectors_and_lose_nothing(spark):
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    centres = r.standard_normal((20, 12))
+    v = np.concatenate([np.repeat(centres, 60, axis=0) + 0.05 * r.standard_normal((1200, 12)), np.repeat(centres[:1], 600, axis=0)])  # and a third of all rows equal
+    v = v[r.permutation(len(v))]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vector array<double>")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 6)
+    np.fill_diagonal(s, -2)
+    asked = range(0, len(v), 20)
+    want = {(q, int(x), k + 1, s[q, x]) for q in asked for k, x in enumerate(np.lexsort((np.arange(len(v)), -s[q]))[:4])}
+    got = vectors.top_similar(df.where("id % 20 = 0"), df, 4, pivots=32, block=100)
+    assert {(g["query"], g["row"], g["rank"], g["similarity"]) for g in got.collect()} == want
+    cells = u[:32]
+    a = vectors._angles(u, cells)
+    own = a.argmin(axis=1)
+    radii = np.array([a[own == c, c].max(initial=-np.inf) for c in range(32)])
+    bound = np.array([s[q][np.argsort(-s[q])[3]] for q in asked])
+    hit = vectors.reached(a[list(asked)], radii, bound, 1e-6)
+    assert hit.mean() < 0.3
+    for i, q in enumerate(asked):
+        assert hit[i][own[np.flatnonzero(s[q] >= bound[i])]].all()
+
+
 def test_bm25_prefers_rare_terms_and_titles(spark):
     n = spark.createDataFrame([(1, "x.md", "rare word", "t"), (2, "y.md", "word word", "t"), (3, "z.md", "word", "rare")], "ord int, path string, body string, title string")
     q = spark.createDataFrame([(1, "rare"), (1, "word")], "query int, term string")
