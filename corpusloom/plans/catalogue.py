@@ -363,7 +363,7 @@ SELECT g AS "group", node FROM r, n WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 A
 def canvas_containment(spark, sf_dir):
     p = V.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.col("p_retailprice").alias("x"), F.col("p_size").cast("double").alias("y"))
     r = p.select(F.col("node").alias("group"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + 3).alias("x1"), (F.col("y") + 3).alias("y1"))
-    return corpus.contained(r, p, 4.0)
+    return corpus.contained(r, p)
 
 
 @query(f"""WITH {V.NOTES_SQL}, r AS (SELECT ord % 10 AS query, ord, body, row_number() OVER (PARTITION BY ord % 10 ORDER BY mtime DESC, ord) AS rank FROM notes),

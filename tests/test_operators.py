@@ -91,7 +91,16 @@ def test_duplicate_queries_equal_all_pairs(spark):
 def test_containment_includes_borders(spark):
     r = spark.createDataFrame([("g", 0.0, 0.0, 10.0, 10.0)], "group string, x0 double, y0 double, x1 double, y1 double")
     n = spark.createDataFrame([("in", 10.0, 0.0), ("out", 10.1, 5.0), ("g", 5.0, 5.0)], "node string, x double, y double")
-    assert rows(corpus.contained(r, n, 4.0)) == [("g", "in")]
+    assert rows(corpus.contained(r, n)) == [("g", "in")]
+
+
+def test_containment_of_rectangles_of_all_sizes(spark):
+    g = random.Random(7)
+    rects = [(f"r{i}", x := g.uniform(-2e6, 2e6), y := g.uniform(-2e6, 2e6), x + w, y + w * g.random()) for i in range(150) for w in [g.choice([0.0, 1e-3, 1.0, 64.0, 5000.0, 1e6])]]
+    points = [(f"p{i}", *(g.choice([(r[1], r[2]), (r[3], r[4]), ((r[1] + r[3]) / 2, (r[2] + r[4]) / 2), (g.uniform(-2e6, 2e6), g.uniform(-2e6, 2e6))]))) for i in range(300) for r in [g.choice(rects)]]
+    r = spark.createDataFrame([*rects, ("bad", 1.0, 1.0, 0.0, 2.0), ("null", None, 0.0, 1.0, 1.0)], "group string, x0 double, y0 double, x1 double, y1 double")
+    got = rows(corpus.contained(r, spark.createDataFrame(points, "node string, x double, y double")))
+    assert got == sorted((a, p) for a, x0, y0, x1, y1 in rects for p, x, y in points if x0 <= x <= x1 and y0 <= y <= y1)
 
 
 def test_as_of_takes_the_latest_mark(spark):
