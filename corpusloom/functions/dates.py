@@ -91,6 +91,11 @@ def _month_number(text: Column) -> Column:
     return F.nullif(F.array_position(F.array(*(F.lit(m[:3]) for m in MONTHS)), F.left(text, F.lit(3))), F.lit(0)).cast("int")
 
 
+#: What may stand before a number of units, and before a year.
+_BACKWARDS = ("last", "past", "previous", "prior")
+_BEFORE_YEARS = ("", *(" ".join(w for w in (the, year, of) if w) for the in ("", "the") for year in ("year", "yr") for of in ("", "of", "in")))
+
+
 def time_range(expression: Column, now: Column) -> Column:
     """struct(start, end) of a time expression in English, by the first rule that fits; null where none does.
 
@@ -107,17 +112,20 @@ def time_range(expression: Column, now: Column) -> Column:
         earlier = F.make_interval(years=F.lit(-1))
         return F.when(start > now, span(start + earlier, end + earlier)).otherwise(span(start, end))
 
+    words = F.split(t, r"\s+")
+    word = lambda i: F.coalesce(F.get(words, F.lit(i)), F.lit(""))
+    rest = lambda w, n: F.array_join(F.slice(w, n + 1, F.greatest(F.size(w) - n, F.lit(0))), " ")  # noqa: E731  what follows the first n words
     rules = []
-    relative = r"^(?:last|past|previous|prior)\s+(\d+)\s+(day|week|month|year)s?$"
-    count, today = part(relative, 1).try_cast("int"), F.date_trunc("DAY", now)
+    count, today = F.when(F.translate(word(1), "0123456789", "") == "", word(1)).try_cast("int"), F.date_trunc("DAY", now)
     for unit in ("day", "week", "month", "year"):
-        rules.append((t.rlike(relative) & (part(relative, 2) == unit) & (count > 0), span(today - F.make_interval(**{f"{unit}s": count}), today)))
+        rules.append(((F.size(words) == 3) & word(0).isin(*_BACKWARDS) & word(2).isin(unit, f"{unit}s") & (count > 0), span(today - F.make_interval(**{f"{unit}s": count}), today)))
     for name in ("yesterday", *(f"{which} {unit}" for unit in ("week", "month", "quarter", "year") for which in ("last", "this", "next"))):
         rules.append((t == name, span(*named_range(name, now))))
-    week = r"^(?:the\s+)?week\s+of\s+(.+)$"
-    day = F.coalesce(F.try_to_date(part(week, 1), "yyyy-MM-dd"), F.try_to_date(F.concat_ws(" ", F.year(now).cast("string"), F.initcap(F.regexp_replace(part(week, 1), r"(\d)(?:st|nd|rd|th)$", "$1"))), "yyyy MMMM d"))
+    said = F.when(word(0) == "the", rest(words, 1)).otherwise(F.array_join(words, " "))
+    of = F.when(F.startswith(said, F.lit("week of ")), F.substr(said, F.lit(9)))
+    day = F.coalesce(F.try_to_date(of, "yyyy-MM-dd"), F.try_to_date(F.concat_ws(" ", F.year(now).cast("string"), F.initcap(F.regexp_replace(of, r"(\d)(?:st|nd|rd|th)$", "$1"))), "yyyy MMMM d"))
     monday = F.date_trunc("WEEK", day.cast("timestamp"))
-    rules.append((t.rlike(week) & day.isNotNull(), not_future(monday, monday + F.expr("INTERVAL 7 DAYS") - F.expr("INTERVAL 0.001 SECOND"))))
+    rules.append((of.isNotNull() & day.isNotNull(), not_future(monday, monday + F.expr("INTERVAL 7 DAYS") - F.expr("INTERVAL 0.001 SECOND"))))
     alone, dated = rf"^({_MONTH})$", rf"^({_MONTH})\s+(\d{{4}})$"
     first = lambda year, month: F.make_date(year, month, F.lit(1)).cast("timestamp")
     month = _month_number(part(alone, 1))
@@ -131,9 +139,10 @@ def time_range(expression: Column, now: Column) -> Column:
     quarter = r"^q([1-4])$"
     start = first(F.year(now), (part(quarter, 1).try_cast("int") - 1) * 3 + 1)
     rules.append((t.rlike(quarter), not_future(start, _end(start, 3))))
-    year = r"^(?:(?:the\s+)?(?:year|yr)(?:\s+(?:of|in))?\s+)?(\d{4})$"
-    start = first(part(year, 1).try_cast("int"), F.lit(1))
-    rules.append((t.rlike(year), not_future(start, F.make_date(F.year(start), F.lit(12), F.lit(31)).cast("timestamp"))))
+    last = F.element_at(words, -1)
+    start = first(F.when(last.rlike(r"^\d{4}$"), last).try_cast("int"), F.lit(1))
+    before = F.array_join(F.slice(words, 1, F.size(words) - 1), " ")
+    rules.append((start.isNotNull() & before.isin(*_BEFORE_YEARS), not_future(start, F.make_date(F.year(start), F.lit(12), F.lit(31)).cast("timestamp"))))
     days = r"^(\d{4}-\d{2}-\d{2})(?:\s+to\s+(\d{4}-\d{2}-\d{2}))?$"
     a = F.try_to_date(part(days, 1), "yyyy-MM-dd")
     z = F.coalesce(F.try_to_date(part(days, 2), "yyyy-MM-dd"), a)

@@ -228,17 +228,22 @@ def first_spellings(terms: Column) -> Column:
     return F.filter(clean, lambda t, i: F.array_position(low, F.lower(t)) == i + 1)
 
 
+#: What begins and ends the blocks that a copied message leaves out.
+WRITE_TAGS = ("writeFile", "writeToFile")
+CALL_MARKS = ("<!--TOOL_CALL_START:", "<!--TOOL_CALL_END:", "-->")
+_HOLE = "\ue000"  # stands where a block was
+
+
 def message_for_copy(text: Column) -> Column:
-    """Without thinking, write blocks (fenced ones too), tool calls and reasoning marks; at most one blank line in a row."""
+    """Without thinking, write blocks (with the xml fence around one), tool calls and reasoning marks; at most one blank line in a row."""
     text = strip_thinking(text)
-    for pattern in (
-        r"(?s)```xml\s*(?:(?!```).)*?<write(?:File|ToFile)>.*?</write(?:File|ToFile)>.*?```",
-        r"(?s)<write(?:File|ToFile)>.*?</write(?:File|ToFile)>",
-        r"(?s)<!--TOOL_CALL_START:.*?-->.*?<!--TOOL_CALL_END:.*?-->",
-        r"<!--AGENT_REASONING:\w+:\d+:.*-->",
-    ):
-        text = F.regexp_replace(text, pattern, "")
-    return F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    for tag in WRITE_TAGS:
+        text = F.regexp_replace(text, f"(?s)<{tag}>.*?</{tag}>", _HOLE)
+    fences = F.regexp_replace(text, f"(?s)```xml(?:(?!```)[^{_HOLE}])*{_HOLE}.*?```", "")
+    start, end, close = CALL_MARKS
+    calls = F.regexp_replace(F.translate(fences, _HOLE, ""), f"(?s){start}.*?{close}.*?{end}.*?{close}", "")
+    spoken = F.regexp_replace(calls, r"<!--AGENT_REASONING:\w+:\d+:.*-->", "")  # the list of steps may hold the mark's own end
+    return F.regexp_replace(F.array_join(F.split(spoken, r"\n{3,}"), "\n\n"), r"^\s+|\s+$", "")
 
 
 def joined_transcript(parts: Column) -> Column:
@@ -285,9 +290,12 @@ def ellipsis(text: Column, limit: int) -> Column:
 
 def chat_title(name: Column) -> Column:
     """A file's name without project prefix, days and times, @ and _ as spaces."""
-    plain = F.regexp_replace(name, r"^[A-Za-z0-9-]+__", "")
-    plain = F.regexp_replace(F.regexp_replace(plain, r"\{\$date\}|\d{8}", ""), r"\{\$time\}|\d{6}", "")
-    return F.trim(F.regexp_replace(F.translate(plain, "@_", "  "), r"\s+", " "))
+    prefix = F.substring_index(name, "__", 1)
+    named = F.contains(name, F.lit("__")) & ~prefix.rlike("[^A-Za-z0-9-]|^$")
+    rest = F.when(named, F.substr(name, F.length(prefix) + 3)).otherwise(name)
+    # Of a run of digits, eights are days and a six left over is a time.
+    undated = F.regexp_replace(rest, r"(?:\d{8})+(?:\d{6})?|\d{6}|\{\$(?:date|time)\}", "")
+    return F.array_join(F.filter(F.split(undated, r"[\s@_]+"), lambda w: w != ""), " ")
 
 
 # Characters that compare as their plain counterparts.
