@@ -137,7 +137,7 @@ def code_corpus(docs: DataFrame, least: int, block_words: int, bits: int) -> tup
     sizes = saved(blocks.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n")), "sizes")
     often = saved(blocks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy("lang", F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("f")).where(F.col("f") >= least), "often")
     told = spark.sparkContext.broadcast(filters(often.select(F.lit("word").alias("kind"), "lang", F.col("word").alias("phrase")), bits))
-    with _few_rows(spark, 4):
+    with _few_rows(spark, 8):
         coded = saved(blocks.mapInArrow(tidied(_recoded(told)), CODED), "coded")
     told.unpersist()
     discard(blocks)
@@ -270,7 +270,7 @@ def scan(coded: DataFrame, often: DataFrame, marks: DataFrame | None, least: int
     if marks is not None and not by:
         return None
     told = spark.sparkContext.broadcast(by)
-    with _few_rows(spark, 4):
+    with _few_rows(spark, 8):
         sums = coded.mapInArrow(tidied(_scan(told, marks is None)), "gram string, f long").groupBy("gram").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
         # Words hold no tab: what precedes the last one is the language.
         phrase = F.substring_index("gram", "\t", -1)
@@ -336,7 +336,7 @@ def _joined(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
-def collocations(docs: DataFrame, top: int = 2000, least: int = 30, reach: float = 1.25, block_words: int = 1 << 18, filter_bits: int = 1 << 25) -> DataFrame:
+def collocations(docs: DataFrame, top: int = 2000, least: int = 30, reach: float = 1.25, block_words: int = 100_000, filter_bits: int = 1 << 25) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's best phrases. ``reach``: the first floor is the score of the pair at ``reach * top``; it changes the work only."""
     with scratch(docs.sparkSession, "settled", "sizes"):
         found, sizes = _search(docs, top, least, reach, block_words, filter_bits)
