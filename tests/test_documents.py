@@ -1,100 +1,6 @@
-"""Office files, page layout and transcripts."""
+"""Page layout and chat transcripts."""
 
-import io
-import zipfile
-
-from corpusloom.sources import chats, layout, office
-
-W = 'xmlns:w="http://w"'
-R = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
-A = 'xmlns:a="http://a" xmlns:p="http://p"'
-
-
-def packed(**parts):
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        for name, text in parts["parts"].items():
-            z.writestr(name, text)
-    return out.getvalue()
-
-
-def docx(body):
-    return packed(parts={"word/document.xml": f"<w:document {W}><w:body>{body}</w:body></w:document>"})
-
-
-def p(text, props="", run=""):
-    return f"<w:p><w:pPr>{props}</w:pPr><w:r><w:rPr>{run}</w:rPr><w:t>{text}</w:t></w:r></w:p>"
-
-
-def rels(*links):
-    return "<Relationships>" + "".join(f'<Relationship Id="{i}" Type="http://x/{kind}" Target="{t}"/>' for i, kind, t in links) + "</Relationships>"
-
-
-def test_docx():
-    cell = lambda t: f"<w:tc>{p(t)}</w:tc>"
-    item = '<w:numPr><w:ilvl w:val="0"/></w:numPr>'
-    body = p("Plan", '<w:pStyle w:val="Heading1"/>') + p("now", run="<w:b/>") + p("") + p("one", item) + p("two", item) + f"<w:tbl><w:tr>{cell('a|b')}{cell('c')}</w:tr><w:tr>{cell('1')}</w:tr></w:tbl>"
-    assert office.docx_markdown(docx(body)) == ("Plan", "# Plan\n\n**now**\n\n- one\n- two\n\n| a\\|b | c |\n| --- | --- |\n| 1 |  |")
-    assert office.docx_markdown(docx("")) == (None, "")
-
-
-def test_pptx_keeps_the_order_of_the_presentation():
-    shape = lambda t, kind="": f'<p:sp><p:nvSpPr><p:nvPr><p:ph type="{kind}"/></p:nvPr></p:nvSpPr><p:txBody><a:p><a:r><a:t>{t}</a:t></a:r></a:p></p:txBody></p:sp>'
-    slide = lambda *s: f"<p:sld {A}>{''.join(s)}</p:sld>"
-    deck = packed(parts={
-        "ppt/presentation.xml": f'<p:presentation {A} {R}><p:sldIdLst><p:sldId id="1" r:id="b"/><p:sldId id="2" r:id="a"/></p:sldIdLst></p:presentation>',
-        "ppt/_rels/presentation.xml.rels": rels(("a", "slide", "slides/s1.xml"), ("b", "slide", "slides/s2.xml")),
-        "ppt/slides/s1.xml": slide(shape("last")),
-        "ppt/slides/s2.xml": slide(shape("Hello", "title"), shape("body")),
-        "ppt/slides/_rels/s2.xml.rels": rels(("n", "notesSlide", "../notes/n.xml")),
-        "ppt/notes/n.xml": slide(shape("7", "sldNum"), shape("say hi")),
-    })
-    assert office.pptx_markdown(deck) == ("Hello", "## Slide 1\n\nHello\n\nbody\n\n> say hi\n\n## Slide 2\n\nlast")
-
-
-def test_epub_follows_its_spine():
-    book = packed(parts={
-        "META-INF/container.xml": '<container><rootfiles><rootfile full-path="o/b.opf"/></rootfiles></container>',
-        "o/b.opf": '<package><metadata><title>Book</title></metadata><manifest><item id="x" href="x.html"/><item id="y" href="y%201.html"/></manifest><spine><itemref idref="y"/><itemref idref="x"/><itemref idref="gone"/></spine></package>',
-        "o/x.html": "<html><body><p>no heading</p></body></html>",
-        "o/y 1.html": "<html><body><h1>Start</h1><p>text</p></body></html>",
-    })
-    assert office.epub_markdown(book) == ("Book", "## Start\n\ntext\n\n## Chapter 2\n\nno heading")
-
-
-def workbook():
-    return packed(parts={
-        "xl/workbook.xml": f'<workbook {R}><sheets><sheet name="S" r:id="q"/></sheets></workbook>',
-        "xl/_rels/workbook.xml.rels": rels(("q", "worksheet", "/xl/w/s.xml")),
-        "xl/sharedStrings.xml": "<sst><si><t>k</t></si></sst>",
-        "xl/w/s.xml": '<worksheet><sheetData><row r="1"/><row r="2"><c r="A2" t="s"><v>0</v></c><c r="C2"><v>3</v></c></row><row r="3"><c r="B3" t="inlineStr"><is><t>z</t></is></c></row><row r="4"/></sheetData></worksheet>',
-    })
-
-
-def test_xlsx():
-    assert office.xlsx_markdown(workbook()) == (None, "## Sheet: S\n\n| k |  | 3 |\n| --- | --- | --- |\n|  | z |  |")
-
-
-def test_files_that_fail_have_codes(spark, tmp_path):
-    folder = tmp_path / "in" / "deep"
-    folder.mkdir(parents=True)
-    for name, content in {"a.DOCX": docx(p("hi there")), "b.xlsx": b"no zip", "c.pdf": b"%PDF", "d.epub": b"x" * 5000, "e.docx": b"PK", "empty.docx": b""}.items():
-        (folder / name).write_bytes(content)
-    out = office.convert_files(office.read_files(spark, str(tmp_path / "in")), 4000)
-    got = {r["path"].rsplit("/", 1)[1]: (r["title"], r["markdown"], r["words"], r["error"]) for r in out.collect()}
-    assert got == {"a.DOCX": ("a", "hi there", 2, None), "b.xlsx": (None, None, None, "unreadable"), "c.pdf": (None, None, None, "unsupported"), "d.epub": (None, None, None, "too_large"), "e.docx": (None, None, None, "unreadable")}
-    assert office.convert_files(office.read_files(spark, str(tmp_path / "in")).where("false")).count() == 0
-
-
-def test_converted_notes_never_take_anothers_name(spark):
-    schema = "path string, format string, title string, markdown string, words int, error string"
-    c = spark.createDataFrame([("x/a.docx", "docx", 'T "1"', "m", 1, None), ("y/a.docx", "docx", "T", "n", 1, None), ("z/b.docx", "docx", "T", "o", 1, None), ("z/e.docx", "docx", None, None, None, "unreadable")], schema)
-    none = spark.createDataFrame([("out/b.md", "own words")], "path string, content string")
-    first = office.converted_notes(c, none, "out").collect()
-    assert {(r["path"], r["source"]) for r in first} == {("out/a.md", "x/a.docx"), ("out/y__a.md", "y/a.docx"), ("out/z__b.md", "z/b.docx")}
-    assert next(r["content"] for r in first if r["path"] == "out/a.md") == '---\ntitle: "T \\"1\\""\nformat: docx\nwords: 1\n---\n<!-- source: x/a.docx -->\nm'
-    again = spark.createDataFrame([(r["path"], r["content"]) for r in first] + [("out/b.md", "own words")], "path string, content string")
-    assert office.converted_notes(c, again, "out").count() == 0
+from corpusloom.sources import chats, layout
 
 
 def test_layout(spark):

@@ -128,6 +128,28 @@ def test_paragraphs_break_on_gaps_and_sentence_ends(spark):
     assert [r["text"] for r in corpus.paragraphs(s, ["v"]).orderBy("start").collect()] == ["a b.", "c", "d"]
 
 
+def test_paragraphs_of_a_hot_key_equal_a_plain_fold(spark):
+    r = random.Random(11)
+    segments = []
+    for key in ["hot"] * 6 + ["a", "b", None]:
+        base = segments and 1e6 * len(segments) or 0.0
+        segments += [(key, base + i * 2.0 + r.choice([0, 0, 0, 5]) * (r.random() < 0.02), len(segments) + i, " ".join(["word"] * r.randint(0, 7)) + r.choice(["", "", "", "", "", ".", " ", "?"])) for i in range(r.choice([1, 300]) if key != "hot" else 200)]
+    got = sorted((x["k"] or "", x["paragraph"], x["start"], x["n"], x["text"]) for x in corpus.paragraphs(spark.createDataFrame(segments, "k string, at double, ord long, text string"), ["k"], most_words=30).collect())
+    want = []
+    for key in {s[0] for s in segments}:
+        done, last = [], None
+        for _, at, _, text in sorted((s for s in segments if s[0] == key and s[3].strip(" ")), key=lambda s: (s[1], s[2])):
+            text = text.strip(" ")
+            if last is None or at - last[0] >= 4 or last[1][-1] in ".?!" or done[-1][2] >= 30:
+                done.append([at, 0, 0, []])
+            done[-1][1] += 1
+            done[-1][2] += len(text.split())
+            done[-1][3].append(text)
+            last = (at, text)
+        want += [(key or "", i, d[0], d[1], " ".join(d[3])) for i, d in enumerate(done)]
+    assert got == sorted(want) and len(want) > 50
+
+
 def test_similar_vectors_in_blocks_and_cells_match_cosine(spark):
     import numpy as np
 
