@@ -648,3 +648,19 @@ def test_operators_leave_no_more_tables_than_their_result_reads(spark):
     itq.near_embeddings(spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [1.0, 0.01], 0)], "vec_id long, embedding array<float>, label int")).collect()
     names = sorted(p.rsplit("/", 1)[1] for p in set(tables._TABLES.values()) - before)
     assert names == ["per_class", "per_class", "signatures", "vectors"]
+
+
+# --- very long texts
+
+
+def test_very_long_texts_stay_whole_in_archives_token_files_and_mixes(spark):
+    text = "alpha beta gamma, " * 150_000
+    out = new_folder(spark, "warc")
+    warc.write_warc(spark.createDataFrame([(1, "http://a", text), (2, "http://b", text[:-1])], "page_id long, url string, html string"), out)
+    assert {r["page_id"]: r["payload_bytes"] for r in warc.read_warc(spark, out).collect()} == {1: len(text), 2: len(text) - 1}
+    path, out = f"{TOKENIZERS}/byte_bpe_50k.json", new_folder(spark, "tokens")
+    token_file.write_tokens(docs_of(spark, [text, "x"]), out, path, end_id=2)
+    ids = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids + [2]
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in token_file.read_tokens(spark, out).collect()}
+    assert got[0] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    assert {r["doc_id"]: r["size"] for r in mixing.mix(docs_of(spark, [text, "x"])).collect()} == {0: 450_000, 1: 1}
