@@ -11,7 +11,7 @@ free slots; it needs about 2 bytes a bucket of 4 keys.
 
 Very common digests are sent to all tasks where rows meet their winners.
 
-Null texts are empty texts. Of equal texts the row with the largest doc_id stays; a null doc_id is below all others. Rows that
+Null texts are empty texts; texts of any length are digested whole, and only digests are shuffled. Of equal texts the row with the largest doc_id stays; a null doc_id is below all others. Rows that
 repeat both doc_id and text count one by one in group_size and share their kept flag. Empty tables give empty
 results. Columns beyond doc_id and text are ignored.
 """

@@ -5,7 +5,8 @@ document of more ids than a sequence first fills whole sequences; what remains i
 first bin with room, which the tree of largest remaining capacities finds in logarithmic time. A bin left with
 more than ``slack`` free places is cut into sequences whose lengths are powers of two, which need no padding.
 
-Null texts are empty: their document is the end id alone. Rows that repeat a doc_id are documents of their own; their pieces
+Null texts are empty: their document is the end id alone. Texts of any length are encoded whole, one at a time in a task. Equal lengths are placed in the order of
+(doc_id, text). Rows that repeat a doc_id are documents of their own; their pieces
 share that id. A null doc_id stays null. Empty tables give empty results. Columns beyond doc_id and text are ignored.
 """
 
