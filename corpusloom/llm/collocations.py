@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import discard, saved, scratch, tidied
 
 BLOCK = "lang string, words array<string>, counts array<long>, ids binary"
-CODED = "lang string, words array<string>, ids binary"
+CODED = "lang string, words array<string>, hashes binary, ids binary"
 SCALE = 2_000_000
 _CUT = 0xFF  # no byte of UTF-8
 _TABLE = bytes(_CUT if b in b".,;:!?" or 0x0A <= b <= 0x0D else 0x20 if b == 0x09 else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -118,12 +118,12 @@ def _recoded(told):
 
         for b in batches:
             for lang, words, ids in zip(*(b.column(c) for c in ("lang", "words", "ids")), strict=True):
-                own = words.as_py()
-                kept = np.flatnonzero(passes(told.value.get("word"), _starts(lang.as_py(), own)))
-                new = np.zeros(len(own) + 1, np.int32)
+                hashes = _starts(lang.as_py(), words.as_py())
+                kept = np.flatnonzero(passes(told.value.get("word"), hashes))
+                new = np.zeros(len(words) + 1, np.int32)
                 new[kept + 1] = np.arange(1, len(kept) + 1)
                 held = pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), words.values.take(pa.array(kept)))
-                yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()]), held, pa.array([new[np.frombuffer(ids.as_py(), "<i4")].tobytes()])], ["lang", "words", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()]), held, pa.array([hashes[kept].tobytes()]), pa.array([new[np.frombuffer(ids.as_py(), "<i4")].tobytes()])], ["lang", "words", "hashes", "ids"])
 
     return recode
 
@@ -218,9 +218,9 @@ def _scan(told, pairs: bool):
     def count(batches):
         by = told.value
         for b in batches:
-            for lang, words, ids in zip(*(b.column(c) for c in ("lang", "words", "ids")), strict=True):
+            for lang, words, hashes, ids in zip(*(b.column(c) for c in ("lang", "words", "hashes", "ids")), strict=True):
                 lang, ids = lang.as_py(), np.frombuffer(ids.as_py(), "<i4").astype(np.int64) - 1
-                starts = _starts(lang, words.as_py())
+                starts = np.frombuffer(hashes.as_py(), np.uint64)
                 of = starts - np.uint64(_hash(lang.encode()) * _STEP & _ALL)
                 ok, h = ids >= 0, None
                 for n in (1, 2) if pairs else (1, 2, 3, 4):
@@ -336,7 +336,7 @@ def _joined(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
-def collocations(docs: DataFrame, top: int = 2000, least: int = 30, reach: float = 1.25, block_words: int = 100_000, filter_bits: int = 1 << 25) -> DataFrame:
+def collocations(docs: DataFrame, top: int = 2000, least: int = 30, reach: float = 1.25, block_words: int = 120_000, filter_bits: int = 1 << 25) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's best phrases. ``reach``: the first floor is the score of the pair at ``reach * top``; it changes the work only."""
     with scratch(docs.sparkSession, "settled", "sizes"):
         found, sizes = _search(docs, top, least, reach, block_words, filter_bits)
