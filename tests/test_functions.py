@@ -69,3 +69,8 @@ def test_index_patterns(spark):
     assert keep([], ["*.pdf", "#x"]) == ["english/b.md", "d.md"]
     assert keep([], [], project=True) == []
     assert keep(["[[d]]"], []) == ["d.md"]
+
+
+def test_token_estimates_are_exact(spark):
+    got = spark.range(2001).select("id", text.token_estimate(F.col("id").cast("int")).alias("n")).collect()
+    assert all(r["n"] == -(-r["id"] * 135 // 100) for r in got) and got[140]["n"] == 189
