@@ -152,3 +152,8 @@ def test_merged_search_adds_ranks(spark):
     a = spark.createDataFrame([(1, 1, 0.9), (1, 2, 0.8), (1, 3, 0.0)], "query int, note int, score double")
     b = spark.createDataFrame([(1, 2, 0.7), (1, 4, 0.1)], "query int, note int, score double")
     assert [(r["note"], r["rank"]) for r in merged_search(a, b).orderBy("rank").collect()] == [(2, 1), (1, 2), (4, 3)]
+
+
+def test_within_size_stops_after_the_halvings_given(spark):
+    rows = spark.range(800).select(F.col("id"), F.repeat(F.lit("x"), F.lit(90)).alias("t"))
+    assert [context.within_size(rows, [F.col("id")], 12_000, halvings=h).count() for h in (None, 2, 3)] == [100, 0, 100]
