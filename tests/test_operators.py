@@ -388,3 +388,12 @@ def test_canvas_groups(spark):
     c = spark.createDataFrame([("c", j)], "canvas string, json string")
     n = canvas.nodes(c, spark.createDataFrame([("a.md", "body")], "path string, body string"))
     assert n.where("id = 'n'").first()["text"] == "body" and rows(canvas.group_edges(n)) == [("c", "g", "n")]
+
+
+def test_containment_meets_copies_as_one(spark):
+    nodes = spark.range(2000).select(F.concat(F.lit("p"), "id").alias("node"), F.lit(1.0).alias("x"), F.lit(2.0).alias("y"))
+    rects = spark.range(30).select(F.concat(F.lit("p"), "id").alias("group"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(3.0).alias("x1"), F.lit(3.0).alias("y1"))
+    found = corpus.contained(rects, nodes, most=100)
+    assert found.count() == found.distinct().count() == 30 * 1999
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(nodes") < plan.index("Join Inner")  # rows are unfolded after the join
