@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from corpusloom.streaming.keyed import keyed
 
-#: A row for each piece, in the order of (seq, part); the last one of a stream has the kind ``end`` and tells how it ended.
+#: A row for each piece, in the order of (seq, part), numbered by its first chunk of those that came together; the last one of a stream has the kind ``end`` and tells how it ended.
 OUTPUT = "stream_id long, seq long, part int, kind string, text string, truncated boolean, tokens long"
 _OPEN, _CLOSE, _WRITE, _END = "<think>", "</think>", "<writeFile>", "</writeFile>"
 #: What models give as the reason for stopping at their limit.
@@ -64,86 +64,121 @@ def fold(buffer: str, thinking: bool, chunk: str, end: bool = False) -> tuple[li
     return out, s, thinking
 
 
+#: Fixed value: chunks that wait behind a gap are kept in groups of so many numbers, each read and written at once.
+_GROUP = 1024
+
+
 class _Fold(StatefulProcessor):
-    """Chunks in the order of seq, from 0; those that come too early wait in a map. A stream ends with its last chunk, or after a silence."""
+    """Chunks in the order of seq, from 0; those that come too early wait in a map of groups. A stream ends with its last chunk, or after a silence."""
 
     def __init__(self, quiet_ms: int, thoughts: bool):
         self.quiet_ms, self.thoughts = quiet_ms, thoughts
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "next long, buffer string, thinking boolean, tokens long, due long, ended boolean")
-        self.early = handle.getMapState("early", "seq long", "content string, finish string, tokens long")
+        self.open = handle.getValueState("open", "next long, buffer string, thinking boolean, tokens long, due long, ended boolean, top long")
+        self.early = handle.getMapState("early", "group long", "seqs array<long>, contents array<string>, finishes array<string>, tokens array<long>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        nxt, buffer, thinking, tokens, due, ended = self.open.get() if self.open.exists() else (0, "", False, 0, 0, False)
+        nxt, buffer, thinking, tokens, due, ended, top = self.open.get() or (0, "", False, 0, 0, False, -1)  # top: the last chunk that waits
         if ended:
             return
         here: dict[int, tuple] = {}
         latest = 0
         for b in rows:  # an Arrow batch each; only together do they have an order
             latest = max(latest, int(b["at_ms"].max()))
-            for q, c, f, t in b[["seq", "content", "finish", "tokens"]].itertuples(index=False):
+            for q, c, f, t in zip(*(b[x].tolist() for x in ("seq", "content", "finish", "tokens")), strict=True):
                 here[int(q)] = (c if isinstance(c, str) else "", f if isinstance(f, str) else None, None if pd.isna(t) else int(t))  # state takes no other types
-        out: list[tuple] = []
-        while nxt in here or self.early.containsKey((nxt,)):
+        groups: dict[int, dict[int, tuple]] = {}
+        changed: set[int] = set()
+        first, run, finish = nxt, [], None
+        while not ended:
             if nxt in here:
-                content, finish, used = here.pop(nxt)
+                chunk = here.pop(nxt)
+            elif nxt <= top and nxt in self._waiting(groups, nxt // _GROUP):
+                chunk = groups[nxt // _GROUP][nxt]
+                changed.add(nxt // _GROUP)
             else:
-                content, finish, used = self.early.getValue((nxt,))
-                self.early.removeKey((nxt,))
+                break
+            content, finish, used = chunk
+            run.append(content)
+            tokens = tokens if used is None else used
             ended = finish is not None
-            buffer, thinking, tokens = self._take(key, out, nxt, content, buffer, thinking, tokens, used, ended)
             nxt += 1
-            if ended:
-                self._end(key, out, nxt - 1, finish in CUT_OFF, tokens)
-                break
-        if not ended:
+        out: list[tuple] = []
+        if run:  # chunks that follow each other are folded as one
+            buffer, thinking = self._take(key, out, first, "".join(run), buffer, thinking, ended)
+        if ended:
+            self._end(key, out, nxt - 1, finish in CUT_OFF, tokens)
+            if top >= 0:
+                self.early.clear()
+        else:
             for q, v in here.items():
                 if q >= nxt:
-                    self.early.updateValue((q,), v)
-        if latest + self.quiet_ms > due:  # the silence begins anew; a stream that has ended is forgotten after one, too
-            if due:
-                self.handle.deleteTimer(due)
-            due = max(latest + self.quiet_ms, timerValues.getCurrentWatermarkInMs() + 1)
-            self.handle.registerTimer(due)
-        if ended:
-            self.early.clear()
-        self.open.update((nxt, buffer, thinking, tokens, due, ended))
-        yield self._frame(out)
+                    (self._waiting(groups, q // _GROUP) if q // _GROUP <= top // _GROUP else groups.setdefault(q // _GROUP, {}))[q] = v
+                    changed.add(q // _GROUP)
+            top = max([top, *here])
+            for g in changed:
+                left = sorted((q, v) for q, v in groups[g].items() if q >= nxt)
+                if left:
+                    self.early.updateValue((g,), ([q for q, _ in left], *([v[i] for _, v in left] for i in range(3))))
+                else:
+                    self.early.removeKey((g,))
+        if not due:  # one timer at a time: when it comes, it is set anew if the silence has begun anew; a stream that has ended is forgotten after one, too
+            self.handle.registerTimer(self._due(latest, timerValues))
+        due = max(due, self._due(latest, timerValues))
+        self.open.update((nxt, buffer, thinking, tokens, due, ended, top))
+        if out:
+            yield self._frame(out)
+
+    def _waiting(self, groups: dict, g: int) -> dict[int, tuple]:
+        if g not in groups:
+            kept = self.early.getValue((g,))
+            groups[g] = {q: v for q, *v in zip(*kept, strict=True)} if kept else {}
+        return groups[g]
+
+    def _due(self, latest: int, timerValues) -> int:
+        return max(latest + self.quiet_ms, timerValues.getCurrentWatermarkInMs() + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.open.exists():
+        held = self.open.get()
+        if held is None:
+            return
+        nxt, buffer, thinking, tokens, due, ended, top = held
+        if due > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(due)
             return
-        nxt, buffer, thinking, tokens, _, ended = self.open.get()
         out: list[tuple] = []
         if not ended:  # what waits for a chunk that never came follows all the same
-            waiting = sorted((k[0], tuple(v)) for k, v in self.early.iterator())
+            waiting = sorted(x for _, kept in self.early.iterator() for x in zip(*kept, strict=True) if x[0] >= nxt) if top >= nxt else []
             last = (waiting[-1][0] if waiting else nxt - 1) + 1  # what the end settles comes after the last chunk's pieces
             finish = None
-            for q, (content, f, used) in waiting:
-                buffer, thinking, tokens = self._take(key, out, q, content, buffer, thinking, tokens, used, False)
+            for _, _, f, used in waiting:
+                tokens = tokens if used is None else used
                 finish = f or finish
-            self._take(key, out, last, "", buffer, thinking, tokens, None, True)
+            if waiting:
+                buffer, thinking = self._take(key, out, waiting[0][0], "".join(x[1] for x in waiting), buffer, thinking, False)
+            self._take(key, out, last, "", buffer, thinking, True)
             self._end(key, out, last, finish in CUT_OFF, tokens)
+            if top >= 0:
+                self.early.clear()
         self.open.clear()
-        self.early.clear()
-        yield self._frame(out)
+        if out:
+            yield self._frame(out)
 
-    def _take(self, key, out, seq, content, buffer, thinking, tokens, used, end):
+    def _take(self, key, out, seq, content, buffer, thinking, end):
         pieces, buffer, thinking = fold(buffer, thinking, content, end)
         for kind, text in pieces:
             if self.thoughts or kind != "thought":
                 n = out[-1][2] + 1 if out and out[-1][1] == seq else 0
                 out.append((key[0], seq, n, kind, text, None, None))
-        return buffer, thinking, tokens if used is None else used
+        return buffer, thinking
 
     def _end(self, key, out, seq, truncated, tokens) -> None:
         out.append((key[0], seq, out[-1][2] + 1 if out and out[-1][1] == seq else 0, "end", "", truncated, tokens))
 
     def _frame(self, out: list[tuple]) -> pd.DataFrame:
-        frame = pd.DataFrame(out, columns=["stream_id", "seq", "part", "kind", "text", "truncated", "tokens"])
-        return frame.astype({"stream_id": "Int64", "seq": "int64", "part": "int32", "truncated": "boolean", "tokens": "Int64"})
+        return pd.DataFrame(out, columns=["stream_id", "seq", "part", "kind", "text", "truncated", "tokens"], dtype=object)
 
     def close(self) -> None:
         pass
