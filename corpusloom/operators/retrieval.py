@@ -49,6 +49,8 @@ def bm25_plus(index: DataFrame, queries: DataFrame, candidates: DataFrame | None
     else:
         near = terms.select("term", F.col("term").alias("asked"), F.lit(1.0).alias("nearness"))
     near = saved(near, "near_terms")
+    if candidates is None and not explain:
+        return _summed(index, near, asked, k1, b, delta)
     met = index.join(near.select("term").distinct(), "term", "left_semi")
     by = []
     if candidates is None:
@@ -59,9 +61,7 @@ def bm25_plus(index: DataFrame, queries: DataFrame, candidates: DataFrame | None
         met = met.join(pairs, "ord")
     sizes = sizes.select(*by, "field", "n", (F.col("total") / F.col("n")).alias("mean"))
     df = met.groupBy(*by, "field", "term").agg(F.count("*").alias("df"))
-    weight = F.element_at(F.create_map(*(F.lit(x) for kv in FIELD_WEIGHTS.items() for x in kv)), F.col("field"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = (k1 + 1) / (1 + k1 * (1 - b + b * F.col("n_terms") / F.col("mean"))) + delta
+    weight, idf, tf = _parts(k1, b, delta)
     scored = met.join(df.join(sizes, [*by, "field"]), [*by, "field", "term"]).select(*by, "ord", "term", "field", weight.alias("weight"), (weight * idf * tf).alias("s"))
     reached = scored.join(near, "term").join(asked.withColumnRenamed("term", "asked"), [*by, "asked"])
     # A term of the index may be reached from several of a query's terms: it counts for each, and is listed once.
@@ -71,6 +71,29 @@ def bm25_plus(index: DataFrame, queries: DataFrame, candidates: DataFrame | None
     return hits.withColumn("matches", F.array_sort("matches"))
 
 
+def _parts(k1: float, b: float, delta: float) -> tuple[Column, Column, Column]:
+    weight = F.element_at(F.create_map(*(F.lit(x) for kv in FIELD_WEIGHTS.items() for x in kv)), F.col("field"))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    tf = (k1 + 1) / (1 + k1 * (1 - b + b * F.col("n_terms") / F.col("mean"))) + delta
+    return weight, idf, tf
+
+
+def _summed(index: DataFrame, near: DataFrame, asked: DataFrame, k1: float, b: float, delta: float) -> DataFrame:
+    """(query, ord, score) over all notes: what a note gives to an asked term is summed before queries come in, so no row for a posting and a query is shuffled.
+
+    A note's rows then lie in one task, where the queries' terms meet them; these are sent to every task after a count.
+    """
+    sizes = index.groupBy("field").agg(F.count_if("first").alias("n"), F.count("*").alias("total")).select("field", "n", (F.col("total") / F.col("n")).alias("mean"))
+    df = index.groupBy("field", "term").agg(F.count("*").alias("df"))
+    weight, idf, tf = _parts(k1, b, delta)
+    reached = df.join(near, "term").join(F.broadcast(sizes), "field").select("field", "term", "asked", "mean", (weight * idf * F.col("nearness")).alias("_w"))  # sizes: a row a field
+    given = index.select("ord", "field", "term", "n_terms").join(reached, ["field", "term"]).select("ord", "asked", (F.col("_w") * tf).alias("s"))
+    given = given.repartition("ord").groupBy("ord", "asked").agg(F.sum("s").alias("s"))
+    asked = saved(asked.select("query", F.col("term").alias("asked")), "asked_terms")
+    few = F.broadcast(asked) if asked.count() <= 1_000_000 else asked
+    return given.join(few, "asked").groupBy("query", "ord").agg(F.sum("s").alias("score"))
+
+
 def recall_terms(query: Column, most_chars: int = 1000) -> Column:
     """The trimmed query, cut to ``most_chars``, and its salient terms, in lower case, each once."""
     whole = F.left(F.trim(query), F.lit(most_chars))

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text
-from corpusloom.operators import retrieval
+from corpusloom.operators import ranking, retrieval
 from corpusloom.plans import views as V
 from corpusloom.plans.catalogue import query
 from corpusloom.tables import saved
@@ -64,13 +63,11 @@ def bm25_topk(spark, sf_dir):
     """The ten best notes for every whole benchmark text, over all notes and fields, with terms by prefix and what they matched."""
     q = V.questions(spark, sf_dir).select("query", F.explode(text.terms(F.col("text"))).alias("term"))
     index = saved(retrieval.postings(_notes(spark, sf_dir), FIELDS), "postings")
-    hits = saved(retrieval.bm25_plus(index, q, explain=False).withColumn("raw", F.round("score", 6)), "hits")
-    top = Window.partitionBy("query").orderBy(F.desc("raw"), "ord")
-    best = saved(hits.withColumn("rank", F.row_number().over(top)).where("rank <= 10"), "best")
+    hits = retrieval.bm25_plus(index, q, explain=False).withColumn("raw", F.round("score", 6))
+    best = saved(ranking.best_with_bounds(hits, "query", "raw", "ord", 10), "best")
     why = retrieval.bm25_plus(index.join(best.select("ord").distinct(), "ord", "left_semi"), q, best).select("query", "ord", "matches")
-    bounds = hits.groupBy("query").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi"))
     score = F.when(F.col("hi") == F.col("lo"), 0.5).otherwise(0.02 + F.try_divide(F.col("raw") - F.col("lo"), F.col("hi") - F.col("lo")) * 0.96)
-    return best.join(bounds, "query").join(why, ["query", "ord"]).select("query", "ord", F.round(score, 6).alias("score"), _matches().alias("matches"), "rank")
+    return best.join(why, ["query", "ord"]).select("query", "ord", F.round(score, 6).alias("score"), _matches().alias("matches"), "rank")
 
 
 _RECALL = f"""q0 AS (SELECT query, left(trim(text), 1000) AS text FROM questions WHERE trim(text) <> ''),

@@ -397,3 +397,25 @@ def test_containment_meets_copies_as_one(spark):
     assert found.count() == found.distinct().count() == 30 * 1999
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode(nodes") < plan.index("Join Inner")  # rows are unfolded after the join
+
+
+def test_best_with_bounds_equals_a_plain_ranking(spark):
+    g = random.Random(3)
+    hits = [(q, i, float(g.randint(0, 30))) for q in (1, 2, None) for i in range(60 if q else 2)]
+    got = ranking.best_with_bounds(spark.createDataFrame(hits, "query int, ord int, raw double").repartition(5), "query", "raw", "ord", 7).collect()
+    want = []
+    for q in (1, 2, None):
+        own = sorted((h for h in hits if h[0] == q), key=lambda h: (-h[2], h[1]))
+        want += [(q or 0, h[1], h[2], n, own[-1][2], own[0][2]) for n, h in enumerate(own[:7], 1)]
+    assert sorted((r["query"] or 0, r["ord"], r["raw"], r["rank"], r["lo"], r["hi"]) for r in got) == sorted(want)
+
+
+def test_scores_over_all_notes_equal_the_explained_ones(spark):
+    notes = spark.createDataFrame([(i, f"planet plan {'walk ' * (i % 3)} n{i}", "plan" if i % 4 else "walks") for i in range(40)], "ord int, body string, title string")
+    index = retrieval.postings(notes, {"body": "body", "title": "title"})
+    asked = spark.createDataFrame([(q, t) for q, ts in ((1, ["plan", "pla"]), (2, ["walk", "n"])) for t in ts], "query int, term string")
+    scores = lambda df: {(r["query"], r["ord"]): round(r["score"], 9) for r in df.collect()}
+    got = retrieval.bm25_plus(index, asked, explain=False)
+    assert scores(got) == scores(retrieval.bm25_plus(index, asked)) and len(scores(got)) == 80
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [ord" in plan  # a note's terms are summed before the queries come in
