@@ -167,4 +167,4 @@ def test_waiting_chunks_are_kept_in_groups_and_folded_as_one(spark):
     cuts = [text[i : i + 3] for i in range(0, len(text), 3)]
     rows = [(1, i, c, "stop" if i == len(cuts) - 1 else None, None, 1e6) for i, c in enumerate(cuts)]
     out = replay(spark, [rows[1:], rows[:1] + rows[5:9], [(99, 0, "", "stop", None, 1e8)]], CHUNK, lambda s: blocks.fold_stream(s, late="1 hour")).where("stream_id = 1").collect()
-    assert folded(out) == {1: (joined(plain_fold(text)), [(False, None)])} and len(out) < 20
+    assert folded(out) == {1: (joined(plain_fold(text)), [(False, 0)])} and len(out) < 20
