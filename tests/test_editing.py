@@ -58,3 +58,26 @@ def test_compaction_is_guarded_and_spliced_in_place(spark):
     assert [got[i]["compacted"] for i in (2, 3, 5, 7)] == [texts[i] for i in (2, 3, 5, 7)] and not any(got[i]["was_compacted"] for i in (2, 3, 5, 7))
     assert got[4]["compacted"] == new and got[4]["items"] == 1
     assert got[6]["compacted"].startswith("<url_content>\n<title>T</title>\n<url>u</url>\n<ctime>1</ctime>\n<content>[SUMMARIZED]\nT:bbb</content>") and got[6]["compacted"].endswith("<note_context>never closed")
+
+
+def test_fuzzy_ranking_in_blocks_reads_no_target_for_a_missing_beginning(spark):
+    r = random.Random(9)
+    targets = [(i, f"{r.choice(['en', 'de'])}/src{i % 5}/doc_{r.randint(0, 3000)}.md" if i % 3 else "same/x_1.md") for i in range(400)]
+    queries = [(i, f"{r.choice('ed')}{r.randint(0, 5000)}") for i in range(80)] + [(900, "sm"), (901, "sm"), (902, "x"), (902, "sm")]
+    got = fuzzy.fuzzy_top(spark.createDataFrame(queries, "query int, text string"), spark.createDataFrame(targets, "id int, text string"), 4, letters=60, part=50).collect()
+    want = []
+    for q in {q for q, _ in queries}:
+        hits = sorted((-s, i) for k, text in set(queries) if k == q for i, t in targets if (s := plain_alignment(text, t)) is not None)
+        want += [(q, i, -s, n) for n, (s, i) in enumerate(hits[:4], 1)]
+    assert sorted((x["query"], x["id"], x["score"], x["rank"]) for x in got) == sorted(want)
+
+    class Counted(str):
+        tried = 0
+
+        def find(self, *a):
+            Counted.tried += 1
+            return str.find(self, *a)
+
+    words = [f"q{i:05}" for i in range(0, 90000, 9)]
+    found = sorted(words[k] for k, _ in fuzzy.alignments(fuzzy.tree(words), Counted("q/10800.md")))
+    assert found == ["q10800"] and Counted.tried < 1000  # 10,000 words that share the first letter
