@@ -140,30 +140,53 @@ def in_bodies(notes: DataFrame, terms: DataFrame) -> DataFrame:
     others = parsed.where(F.size("inner") == 0)
     parts = substrings(often.select(F.col("word").alias("unit")), others.select(F.col("part").alias("term")).distinct())
     by_part = others.join(parts.select(F.col("unit").alias("word"), F.col("term").alias("part")), "part")
-    single = by_part.where("not phrase").select("term", "word").join(words, "word").select("term", "ord").distinct()
+    sought = saved(anchors.withColumn("phrase", F.lit(True)).unionByName(by_part.select("term", "word", "phrase")), "sought_words")
+    sought = F.broadcast(sought) if sought.count() <= 1_000_000 else sought  # then the words are neither shuffled nor sorted
+    single = words.join(sought.where("not phrase"), "word").select("term", "ord").distinct()
     bodies = notes.select("ord", F.lower("body").alias("_b"))
-    maybe = anchors.unionByName(by_part.where("phrase").select("term", "word")).join(words, "word").select("term", "ord").distinct()
-    found = single.unionByName(maybe.join(bodies, "ord").where("contains(_b, term)").select("term", "ord"))
+    maybe = words.join(sought.where("phrase"), "word").select("term", "ord").distinct()
+    # Bodies stream past the hits, unsorted.
+    found = single.unionByName(maybe.hint("shuffle_hash").join(bodies, "ord").where("contains(_b, term)").select("term", "ord"))
     bare = parsed.where((F.size("inner") == 0) & (F.length("part") < 2))  # single characters about a gap: no word narrows these down
     if not bare.isEmpty():
         found = found.unionByName(bodies.join(bare.select("term"), F.expr("contains(_b, term)")).select("term", "ord"))
     return found
 
 
-def grep(notes: DataFrame, queries: DataFrame, limit: int = 200) -> DataFrame:
+def first_in_bodies(notes: DataFrame, terms: DataFrame, most: int, early: int) -> DataFrame:
+    """(term, ord): the ``most`` notes with the least ord of each term of ``in_bodies``.
+
+    A common term has them among the first ``early`` notes already. Terms that don't are looked for in eight times as many, and so on up to all, so that no term
+    meets many more than 8 ``most`` notes at a time where its hits lie about evenly.
+    """
+    first = F.row_number().over(Window.partitionBy("term").orderBy("ord"))
+    cut = lambda found: found.withColumn("_n", first).where(F.col("_n") <= most).drop("_n")
+    n, out = notes.count(), None
+    while 2 * early < n:
+        last = notes.agg(F.percentile_approx("ord", early / n).alias("_last"))
+        begin = notes.crossJoin(F.broadcast(last)).where("ord is null or ord <= _last").drop("_last")  # one row
+        found = saved(cut(in_bodies(begin, terms)), "early_hits")
+        done = saved(found.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= most).select("term"), "early_terms")
+        found = found.join(done, "term", "left_semi")
+        out = found if out is None else out.unionByName(found)
+        terms, early = saved(terms.join(done, "term", "left_anti"), "late_terms"), 8 * early
+    rest = cut(in_bodies(notes, terms))
+    return rest if out is None else out.unionByName(rest)
+
+
+def grep(notes: DataFrame, queries: DataFrame, limit: int = 200, early: int = 10_000) -> DataFrame:
     """(query, ord, tier, matches, rank): path hits by number of terms first, then content hits in scan order, ``limit`` a query.
 
     queries (query, terms array). The distinct terms of all queries meet the distinct paths and the distinct words of all bodies through an index of character grams
     (``substrings``). Since content hits count in scan order, the first 2 ``limit`` of a term are enough: if fewer than ``limit`` of them miss the
-    path, path hits alone fill the list. Null bodies and paths hold nothing; terms of one character are left out.
+    path, path hits alone fill the list. Common terms have them among the first ``early`` notes. Null bodies and paths hold nothing; terms of one character are left out.
     """
     asked = queries.select("query", F.explode(F.array_distinct(F.filter(F.transform("terms", F.lower), lambda t: F.length(t) > 1))).alias("term"))
     asked = saved(asked, "asked")
     terms = asked.select("term").distinct()
     paths = notes.select("ord", F.lower("path").alias("unit"))
     in_path = paths.join(substrings(paths.select("unit").where("unit is not null").distinct(), terms), "unit").select("term", "ord")
-    first = F.row_number().over(Window.partitionBy("term").orderBy("ord"))
-    in_body = in_bodies(notes, terms).withColumn("_n", first).where(F.col("_n") <= 2 * limit).select("term", "ord", F.lit(0).alias("p"))
+    in_body = first_in_bodies(notes, terms, 2 * limit, early).select("term", "ord", F.lit(0).alias("p"))
     both = in_path.select("term", "ord", F.lit(1).alias("p")).unionByName(in_body).join(asked, "term")
     hits = both.groupBy("query", "ord").agg(F.sum("p").alias("matches"))
     hits = hits.select("query", "ord", F.when(F.col("matches") > 0, 0).otherwise(1).alias("tier"), "matches")

@@ -419,3 +419,23 @@ def test_scores_over_all_notes_equal_the_explained_ones(spark):
     assert scores(got) == scores(retrieval.bm25_plus(index, asked)) and len(scores(got)) == 80
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [ord" in plan  # a note's terms are summed before the queries come in
+
+
+def test_grep_reads_common_terms_from_the_first_notes_only(spark, monkeypatch):
+    g = random.Random(4)
+    words = ["alpha", "beta gamma", "rare", "xalphax"]
+    notes = [(i, f"p{i}/alpha.md" if i % 50 == 0 else f"p{i}.md", " ".join(g.choice(words[:2]) for _ in range(4)) + (" rare end" if i > 150 and i % 9 == 0 else "") if i % 7 else None) for i in range(300)]
+    queries = [(1, ["Alpha", "rare"]), (2, ["beta gamma"]), (3, ["rare end", "nowhere"]), (4, ["a"])]
+    read = []
+    whole = retrieval.in_bodies
+    monkeypatch.setattr(retrieval, "in_bodies", lambda n, t: read.append((n.count(), sorted(r["term"] for r in t.collect()))) or whole(n, t))
+    frames = spark.createDataFrame(notes, "ord int, path string, body string"), spark.createDataFrame(queries, "query int, terms array<string>")
+    got = retrieval.grep(*frames, limit=5, early=40).collect()
+    want = []
+    for q, terms in queries:
+        terms = [t.lower() for t in terms if len(t) > 1]
+        hits = [(sum(t in p for t in terms), any(t in (b or "") for t in terms), i) for i, p, b in notes]
+        hits = sorted((0 if a else 1, -a, i) for a, b, i in hits if a or b)
+        want += [(q, i, tier, -a, n) for n, (tier, a, i) in enumerate(hits[:5], 1)]
+    assert sorted(tuple(r[c] for c in ("query", "ord", "tier", "matches", "rank")) for r in got) == sorted(want)
+    assert read == [(40, ["alpha", "beta gamma", "nowhere", "rare", "rare end"]), (300, ["nowhere", "rare", "rare end"])]
