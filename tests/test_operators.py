@@ -439,3 +439,14 @@ def test_grep_reads_common_terms_from_the_first_notes_only(spark, monkeypatch):
         want += [(q, i, tier, -a, n) for n, (tier, a, i) in enumerate(hits[:5], 1)]
     assert sorted(tuple(r[c] for c in ("query", "ord", "tier", "matches", "rank")) for r in got) == sorted(want)
     assert read == [(40, ["alpha", "beta gamma", "nowhere", "rare", "rare end"]), (300, ["nowhere", "rare", "rare end"])]
+
+
+def test_lexical_chunks_leave_a_task_in_small_batches():
+    import pyarrow as pa
+
+    texts = [f"# H{i}\n" + f"word{i} " * 2000 for i in range(150)] + [None, "short"]
+    batch = pa.RecordBatch.from_pydict({"path": [f"p{i}" for i in range(len(texts))], "title": ["t"] * len(texts), "body": pa.array(texts, pa.string())})
+    made = list(chunks._chunked(500, 20_000)(iter([batch, batch.slice(0, 0)])))
+    assert max(sum(map(len, b.column("content").to_pylist())) for b in made) < 21_000
+    want = [(f"p{i}", n, *c) for i, t in enumerate(texts) for n, c in enumerate(chunks.note_chunks("t", t, 500))]
+    assert [tuple(r.values()) for b in made for r in b.to_pylist()] == want
