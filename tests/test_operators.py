@@ -450,3 +450,27 @@ def test_lexical_chunks_leave_a_task_in_small_batches():
     assert max(sum(map(len, b.column("content").to_pylist())) for b in made) < 21_000
     want = [(f"p{i}", n, *c) for i, t in enumerate(texts) for n, c in enumerate(chunks.note_chunks("t", t, 500))]
     assert [tuple(r.values()) for b in made for r in b.to_pylist()] == want
+
+
+def test_diverse_top_deals_out_few_rows(spark):
+    import pyarrow as pa
+
+    g = random.Random(6)
+    hits = [(g.choice(["a", "b"]), g.randint(0, 400), g.choice([float(g.randint(0, 99)), None]) if i % 50 == 0 else float(g.randint(0, 99)), i) for i in range(6000)]
+    hits += [("few", i % 3, float(i % 40), 10_000 + i) for i in range(500)] + [(None, i, 1.0, 20_000 + i) for i in range(30)]
+    g.shuffle(hits)
+    df = spark.createDataFrame(hits, "query string, note int, score double, tie int").repartition(7)
+    got = ranking.diverse_top(df, "query", "note", "score", "tie", 5).collect()
+    want = []
+    for q in ("a", "b", "few", None):
+        own = sorted((h for h in hits if h[0] == q), key=lambda h: (h[2] is None, -(h[2] or 0), h[3]))
+        seen, first, again = set(), [], []
+        for h in own:
+            (again if h[1] in seen else first).append(h)
+            seen.add(h[1])
+        top = sorted((first + again)[:5], key=lambda h: (h[2] is None, -(h[2] or 0), h[3]))
+        want += [(*h, n) for n, h in enumerate(top, 1)]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    batches = [pa.RecordBatch.from_pydict(dict(zip(("query", "note", "score", "tie"), zip(*hits[i : i + 500])))) for i in range(0, len(hits), 500)]
+    kept = sum(b.num_rows for b in ranking._contenders("query", "note", "score", "tie", 5, 1000)(iter(batches)))
+    assert kept < 4 * 15 + sum(h[2] is None for h in hits) + 1
