@@ -166,13 +166,13 @@ def _best(k: int):
             ((_, v),) = unit_vectors(rows.column("vector")).values()
             ((_, u),) = unit_vectors(asked.column("vector")).values()
             v = v[order]
-            for at in range(0, len(ids), 512):
-                s = np.round(u[at : at + 512] @ v.T, 6)
-                s[ids[at : at + 512, None] == mine[None, :]] = -np.inf
+            for at in range(0, len(ids), 64):
+                s = np.round(u[at : at + 64] @ v.T, 6)
+                s[ids[at : at + 64, None] == mine[None, :]] = -np.inf
                 top = np.argsort(-s, axis=1, kind="stable")[:, :k]
                 value = np.take_along_axis(s, top, 1)
                 some = np.isfinite(value)
-                out["query"].append(np.repeat(ids[at : at + 512], some.sum(axis=1)))
+                out["query"].append(np.repeat(ids[at : at + 64], some.sum(axis=1)))
                 out["row"].append(mine[top][some])
                 out["similarity"].append(value[some])
         return pa.table({c: np.concatenate(x) for c, x in out.items()})
@@ -184,17 +184,20 @@ def unit_vectors(column) -> dict:
     """length -> (places, unit vectors) of an Arrow array of lists; vectors without a direction are in none."""
     import numpy as np
 
-    found: dict = {}
-    for i, x in enumerate(column.to_pylist()):
-        if x and None not in x:
-            found.setdefault(len(x), []).append((i, x))
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
     out = {}
-    for d, held in found.items():
-        v = np.array([x for _, x in held], float)
+    for d in np.unique(lengths[lengths > 0]).tolist():
+        places = np.flatnonzero(lengths == d)
+        v = column.take(pa.array(places)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d)  # null components are NaN
         size = np.abs(v).max(axis=1)
         fine = np.isfinite(size) & (size > 0)
         v = v[fine] / size[fine, None]
-        out[d] = np.array([i for i, _ in held])[fine], v / np.linalg.norm(v, axis=1, keepdims=True)
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        out[d] = places[fine], v
     return out
 
 

@@ -452,6 +452,30 @@ def test_lexical_chunks_leave_a_task_in_small_batches():
     assert [tuple(r.values()) for b in made for r in b.to_pylist()] == want
 
 
+def test_blocks_of_vectors_need_little_memory():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    g = np.random.default_rng(2)
+    v = g.normal(size=(4096, 32)).astype(np.float32)
+    table = lambda name: pa.table({name: np.arange(len(v)), "vector": pa.FixedSizeListArray.from_arrays(v.ravel(), 32).cast(pa.list_(pa.float32()))})
+    asked, held = table("query"), table("id")
+    tracemalloc.start()
+    got = vectors._best(3)(asked, held).to_pandas()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20_000_000
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    s = np.round(u[:50] @ u.T, 6)
+    s[np.arange(50), np.arange(50)] = -np.inf
+    assert got["row"][:150].tolist() == np.argsort(-s, axis=1, kind="stable")[:, :3].ravel().tolist()
+    odd = pa.array([[1.0, None], None, [], [0.0, 0.0], [3.0, 4.0], [2.0], [float("nan"), 1.0]], pa.list_(pa.float64()))
+    found = {d: (p.tolist(), u.tolist()) for d, (p, u) in vectors.unit_vectors(pa.chunked_array([odd.slice(0, 2), odd.slice(2)])).items()}
+    assert found == {1: ([5], [[1.0]]), 2: ([4], [[0.6, 0.8]])}
+
+
 def test_diverse_top_deals_out_few_rows(spark):
     import pyarrow as pa
 
