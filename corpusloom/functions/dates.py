@@ -104,7 +104,13 @@ def time_range(expression: Column, now: Column) -> Column:
     (YYYY-MM-DD, "to" between them). A range that would start in the future is taken a year earlier (not so for this and next ones). A year ends at
     the start of its last day. Case, the mark @vault and space around don't count.
     """
-    t = F.trim(F.replace(F.lower(expression), F.lit("@vault"), F.lit("")))
+    # The text and its words are bound once: each rule reads them many times.
+    bound = lambda value, within: F.get(F.transform(F.array(value), within), F.lit(0))
+    text = F.trim(F.replace(F.lower(expression), F.lit("@vault"), F.lit("")))
+    return bound(text, lambda t: bound(F.split(t, r"\s+"), lambda words: _by_rules(t, words, now)))
+
+
+def _by_rules(t: Column, words: Column, now: Column) -> Column:
     part = lambda pattern, g: F.regexp_extract(t, pattern, g)
     span = lambda start, end: F.struct(start.cast("timestamp").alias("start"), end.cast("timestamp").alias("end"))
 
@@ -112,7 +118,6 @@ def time_range(expression: Column, now: Column) -> Column:
         earlier = F.make_interval(years=F.lit(-1))
         return F.when(start > now, span(start + earlier, end + earlier)).otherwise(span(start, end))
 
-    words = F.split(t, r"\s+")
     word = lambda i: F.coalesce(F.get(words, F.lit(i)), F.lit(""))
     rest = lambda w, n: F.array_join(F.slice(w, n + 1, F.greatest(F.size(w) - n, F.lit(0))), " ")  # noqa: E731  what follows the first n words
     rules = []

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import dates, paths, text
@@ -157,3 +158,11 @@ def test_merged_search_adds_ranks(spark):
 def test_within_size_stops_after_the_halvings_given(spark):
     rows = spark.range(800).select(F.col("id"), F.repeat(F.lit("x"), F.lit(90)).alias("t"))
     assert [context.within_size(rows, [F.col("id")], 12_000, halvings=h).count() for h in (None, 2, 3)] == [100, 0, 100]
+
+
+@pytest.mark.parametrize(("name", "mark", "most"), [("small_texts", "Repartition", 1)])
+def test_costly_texts_are_worked_out_once_a_row_in_dealt_tasks(spark, name, mark, most):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan and plan.count(mark) <= most
