@@ -160,7 +160,7 @@ def test_within_size_stops_after_the_halvings_given(spark):
     assert [context.within_size(rows, [F.col("id")], 12_000, halvings=h).count() for h in (None, 2, 3)] == [100, 0, 100]
 
 
-@pytest.mark.parametrize(("name", "mark", "most"), [("small_texts", "Repartition", 1), ("parse_replies", "from_json(", 3)])
+@pytest.mark.parametrize(("name", "mark", "most"), [("small_texts", "Repartition", 1), ("parse_replies", "from_json(", 3), ("citation_texts", "(?is)", 3)])
 def test_costly_texts_are_worked_out_once_a_row_in_dealt_tasks(spark, name, mark, most):
     import __spark_entry__ as entry
 
