@@ -399,6 +399,26 @@ def test_containment_meets_copies_as_one(spark):
     assert plan.index("Generate explode(nodes") < plan.index("Join Inner")  # rows are unfolded after the join
 
 
+def test_containment_deals_a_full_cell_to_tasks(spark):
+    nodes = spark.range(20_001).select(F.col("id").alias("node"), (F.col("id") / 10_000).alias("x"), F.lit(1.0).alias("y"))
+    rects = spark.range(30).select(F.col("id").alias("group"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(3.0).alias("x1"), F.lit(3.0).alias("y1"))
+    found = corpus.contained(rects, nodes)
+    tasks = found.groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > 1 and sum(t["count"] for t in tasks) == 30 * 20_000
+    assert found._jdf.queryExecution().optimizedPlan().toString().startswith("Generate explode(nodes")  # no filter over the unfolded rows
+
+
+def test_containment_in_tiles_equals_all_pairs(spark):
+    g = random.Random(5)
+    points = [(i, float(g.randint(0, 6)), g.choice([0.0, 0.5, 1.0, 40.0])) for i in range(150)]
+    rects = [(i, x, y, x + 3, y + 3) for i, x, y in points if i % 3] + [(900 + i, 0.0, 0.0, g.choice([3.0, 50.0]), 2.0) for i in range(20)]
+    want = sorted((a, p) for a, x0, y0, x1, y1 in rects for p, x, y in points if a != p and x0 <= x <= x1 and y0 <= y <= y1)
+    for ids in (("long", "long"), ("long", "int"), ("double", "double")):
+        r, n = (spark.createDataFrame(d, s).withColumn(c, F.col(c).cast(i)) for d, s, c, i in zip((rects, points), ("group long, x0 double, y0 double, x1 double, y1 double", "node long, x double, y double"), ("group", "node"), ids, strict=True))
+        found = corpus.contained(r, n, most=3, side=7)
+        assert [k for _, k in found.dtypes] == ["bigint" if i == "long" else i for i in ids] and rows(found) == want
+
+
 def test_best_with_bounds_equals_a_plain_ranking(spark):
     g = random.Random(3)
     hits = [(q, i, float(g.randint(0, 30))) for q in (1, 2, None) for i in range(60 if q else 2)]
